@@ -3,7 +3,7 @@
 A byte-level BPE with the usual letters / digits / punctuation / white-space split never lets a
 piece reach across a single space between two visible characters, so a text's ids are the ids of
 its space-separated chunks put in a row.  Natural text repeats chunks, so each worker keeps a memo
-chunk -> ids; unseen chunks are split into pieces, and unseen pieces go to the library's model.
+chunk -> ids; unseen chunks are split into pieces, and the pieces go to the library's model.
 Texts for which that cut could be wrong (white space beside a space), and every vocabulary whose
 pipeline is not plain byte-level BPE, go to the library whole.  The memo is only a memo: it
 takes no more when it is full, and ids never depend on it.
@@ -21,7 +21,9 @@ import regex
 _ASCII_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
 _WIDE_SPACE = "\x85\xa0                　"
 _TOUCHING = ["  ", *(" " + c for c in _ASCII_SPACE), *(c + " " for c in _ASCII_SPACE)]
-_MEMO_LIMIT = 900_000
+_MEMO_LIMIT = 1_000_000
+#: Characters that are cut into chunks at once.
+_STEP = 500_000
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
@@ -64,34 +66,43 @@ class Encoder:
 
     def _clear(self) -> None:
         self.memo: dict[str, int] = {}
-        self.known: dict[str, list[int]] = {}
         self.pool = np.zeros(1 << 20, np.int32)
         self.used = 0
         self.starts = np.zeros(1 << 18, np.int64)
         self.lens = np.zeros(1 << 18, np.int64)
 
-    def _piece(self, piece: str) -> list[int]:
-        ids = [t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, piece.encode())))]
-        if len(self.known) < _MEMO_LIMIT:
-            self.known[piece] = ids
+    def _ids(self, key: str) -> list[int]:
+        """Ids of a chunk by its key: the chunk without its space, or a tab and a chunk that has none."""
+        spaced = key[:1] != "\t"
+        word = key if spaced else key[1:]
+        if word.isalpha():
+            if word.isascii():
+                text = "\u0120" + word if spaced else word  # how byte-level vocabularies write a space
+            else:
+                text = "".join(map(self.letters.__getitem__, (" " + word if spaced else word).encode()))
+            return [t.id for t in self.model.tokenize(text)]
+        chunk = " " + word if spaced else word
+        if any(s in chunk for s in self.specials):
+            return self.lib.encode(chunk, add_special_tokens=False).ids
+        ids: list[int] = []
+        for p in self.pieces.findall(chunk):
+            at = self.memo.get(p[1:] if p[0] == " " else "\t" + p)
+            if at is not None and at < self.settled:
+                ids += self.pool[self.starts[at] : self.starts[at] + self.lens[at]].tolist()
+            else:
+                ids += [t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, p.encode())))]
         return ids
 
-    def _learn(self, keys) -> None:
+    def _learn(self, keys: list[str]) -> None:
         """Puts unseen chunks into the memo."""
         flat: list[int] = []
         sizes = []
-        known, pieces = self.known, self.pieces.findall
+        k, n = len(self.memo), len(keys)
+        self.settled = k
         for key in keys:
-            chunk = key[1:] if key[:1] == "\t" else " " + key
-            if any(s in chunk for s in self.specials):
-                ids = self.lib.encode(chunk, add_special_tokens=False).ids
-            else:
-                ids = []
-                for p in (chunk,) if chunk[1:].isalpha() and chunk[:1] == " " else pieces(chunk):
-                    ids += known.get(p) or self._piece(p)
+            ids = self._ids(key)
             flat += ids
             sizes.append(len(ids))
-        k, n = len(self.memo), len(sizes)
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         while k + n > len(self.starts):
@@ -111,6 +122,16 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(flat int32 ids, ids per text); a null text is empty."""
+        flats, sizes, lo, chars = [np.zeros(0, np.int32)], np.zeros(len(texts), np.int64), 0, 0
+        for i, t in enumerate(texts):
+            chars += len(t or "")
+            if chars >= _STEP or i == len(texts) - 1:
+                flat, sizes[lo : i + 1] = self._encode(texts[lo : i + 1])
+                flats.append(flat)
+                lo, chars = i + 1, 0
+        return np.concatenate(flats), sizes
+
+    def _encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         chunks: list[str] = []
         counts = np.zeros(len(texts), np.int64)
         whole: dict[int, np.ndarray] = {}
