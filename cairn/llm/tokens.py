@@ -21,7 +21,7 @@ import regex
 _ASCII_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
 _WIDE_SPACE = "\x85\xa0                　"
 _TOUCHING = ["  ", *(" " + c for c in _ASCII_SPACE), *(c + " " for c in _ASCII_SPACE)]
-_MEMO_LIMIT = 1_000_000
+_MEMO_LIMIT = 600_000
 #: Characters that are cut into chunks at once.
 _STEP = 500_000
 _ENCODERS: dict[str, "Encoder"] = {}
