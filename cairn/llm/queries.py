@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, packing, sharding, simhash, wavelet
+from . import chat, language, packing, quality, sharding, simhash, wavelet
 from .common import table
 
 
@@ -30,12 +30,22 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(table(spark, sf_dir, "documents"))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.digest(table(spark, sf_dir, "documents"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op3_packing": op3_packing,
     "op4_wavelet": op4_wavelet,
     "op7_simhash": op7_simhash,
     "op8_sharding": op8_sharding,
+    "op9_language": op9_language,
+    "op10_quality": op10_quality,
 }
 
 SQL: dict[str, str] = {"op1_chat": chat.SQL}
