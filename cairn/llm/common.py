@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Arrow batches that go to Python hold at most so many bytes, however long the texts are.
 BATCH_BYTES = "8m"
@@ -42,6 +43,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_text(docs: DataFrame, keep: DataFrame) -> DataFrame:
+    """The rows of docs whose (doc_id, xxhash64 of text) is a row (doc_id, text_hash) of keep."""
+    keep = keep.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["__id"]) & (F.xxhash64(docs["text"]) == keep["__hash"]), "left_semi")
+
+
 def parts_of(df: DataFrame) -> int:
     """Partitions of the plan's scan: what later shuffles of the same volume are sized by."""
     return max(1, df.rdd.getNumPartitions())

@@ -187,6 +187,13 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def accepted_documents(docs: DataFrame) -> DataFrame:
-    """docs without the rows that are rejected: 'und', or far from every language."""
-    keep = predict(docs, fit_documents(docs)).where("lang_pred <> 'und' and not rejected").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["__id"]), "left_semi")
+    """docs, all columns, without the rows that are rejected: 'und', or far from every language."""
+    model = fit_documents(docs)
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names, _, rejected = shared.value.predict(b.column(at).to_pylist())
+            yield b.filter(pa.array([n != "und" and not r for n, r in zip(names, rejected.tolist())], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

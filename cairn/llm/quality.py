@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, written
+from .common import bound_batches, with_text, written
 
 ORDER = 5
 SLOT_BITS, INDEX_BITS = 24, 20
@@ -222,7 +222,7 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
     return len(words), int(_INK[raw].sum()), int(_SYMBOL[raw].sum()), len(lines) - len(set(lines)), repeat_words(words)
 
 
-SCORED = "doc_id bigint, lang_code int, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, log_perplexity double"
+SCORED = "doc_id bigint, text_hash bigint, lang_code int, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, log_perplexity double"
 
 
 def score(docs: DataFrame, arrays: HashArrays) -> DataFrame:
@@ -243,9 +243,9 @@ def score(docs: DataFrame, arrays: HashArrays) -> DataFrame:
                 total += np.bincount(doc[part], log_probabilities(model, gram[part], lang[part]), len(texts))
             mean = [-t / n if n else None for t, n in zip(total.tolist(), sizes.tolist())]
             codes = pa.array([language_code(x) for x in langs], pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), codes, *(pa.array(base[:, i]) for i in range(5)), pa.array(mean, pa.float64())], names=[x.split()[0] for x in SCORED.split(", ")])
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(3), codes, *(pa.array(base[:, i]) for i in range(5)), pa.array(mean, pa.float64())], names=[x.split()[0] for x in SCORED.split(", ")])
 
-    return docs.select("doc_id", "text", "lang").mapInArrow(run, SCORED)
+    return docs.select("doc_id", "text", "lang", F.xxhash64("text")).mapInArrow(run, SCORED)
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -269,5 +269,4 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """docs without the rows that the rules reject."""
-    keep = judge(docs).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["__id"]), "left_semi")
+    return with_text(docs, judge(docs).where("kept").select("doc_id", "text_hash"))

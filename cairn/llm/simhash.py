@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, parts_of, written
+from .common import bound_batches, parts_of, with_text, written
 from .components import components
 
 WIDTH, RADIUS, SEED = 3, 3, 42
@@ -87,15 +87,15 @@ def fingerprints_of(texts: list, width: int = WIDTH) -> np.ndarray:
 
 
 def fingerprint_documents(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed 64-bit integer) of whole texts."""
+    """doc_id, fp (the fingerprint as a signed 64-bit integer) and a hash of each whole text."""
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = fingerprints_of(b.column(1).to_pylist(), width).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fps), b.column(2)], names=["doc_id", "fp", "text_hash"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, fp bigint")
+    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, "doc_id bigint, fp bigint, text_hash bigint")
 
 
 class Forest:
@@ -218,27 +218,31 @@ def link_classes(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return dealt.mapInArrow(run, "u bigint, v bigint")
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp and component_id (the least doc_id that links reach) for every row."""
+def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
+    """(rows, groups): every row's doc_id, fp and component_id, and each group's first row.
+
+    component_id is the least doc_id that links reach; a group's first row has the least doc_id, then
+    the least text_hash.
+    """
     prints = written(fingerprint_documents(docs, width), "prints")
-    classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
+    classes = written(prints.groupBy("fp").agg(first.alias("first")), "classes")
     found = components(link_classes(classes.select("fp"), radius), "links")
-    named = classes.join(found, classes["fp"] == found["node"], "left").select("fp", F.coalesce("component", "fp").alias("component"), "least")
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_class = named.select("fp", "component").join(least, "component").select("fp", "component_id")
-    return prints.join(by_class, "fp").select("doc_id", "fp", "component_id")
+    named = classes.join(found, classes["fp"] == found["node"], "left").select("fp", F.coalesce("component", "fp").alias("component"), "first")
+    groups = named.groupBy("component").agg(F.min("first").alias("first"))
+    by_class = named.select("fp", "component").join(groups, "component").select("fp", F.col("first.doc_id").alias("component_id"))
+    return prints.join(by_class, "fp").select("doc_id", "fp", "component_id"), groups.select("first.doc_id", "first.text_hash")
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows, _ = near_duplicates(docs)
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def first_of_groups(docs: DataFrame, **options) -> DataFrame:
-    """docs without all but one row of each group: the one with the least doc_id stays."""
-    keep = near_duplicates(docs, **options).where("doc_id <=> component_id").select("doc_id").distinct()
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
-    if "__rank" in docs.columns:
-        raise ValueError("a column named __rank is reserved")
-    # repeated rows share their doc_id; a window over it keeps one
-    order = Window.partitionBy("doc_id").orderBy("doc_id")
+    """docs without all but the first row of each group."""
+    _, groups = near_duplicates(docs, **options)
+    kept = with_text(docs, groups)
+    # repeated rows are one group's first row several times
+    order = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
     return kept.withColumn("__rank", F.row_number().over(order)).where("__rank = 1").drop("__rank")
