@@ -3,7 +3,9 @@
 A byte-level BPE with the usual letters / digits / punctuation / white-space split never lets a
 piece reach across a single space between two visible characters, so a text's ids are the ids of
 its space-separated chunks put in a row.  Natural text repeats chunks, so each worker keeps a memo
-chunk -> ids; unseen chunks are split into pieces, and the pieces go to the library's model.
+of chunks' ids in numpy arrays, found by a 64-bit hash that is computed for all chunks of a batch at
+once and checked against the chunk's size and first bytes; only unseen chunks become strings, whose
+pieces go to the library's model.
 Texts for which that cut could be wrong (white space beside a space), and every vocabulary whose
 pipeline is not plain byte-level BPE, go to the library whole.  The memo is only a memo: it
 takes no more when it is full, and ids never depend on it.
@@ -11,6 +13,7 @@ takes no more when it is full, and ids never depend on it.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import zlib
 
@@ -21,9 +24,12 @@ import regex
 _ASCII_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
 _WIDE_SPACE = "\x85\xa0                　"
 _TOUCHING = ["  ", *(" " + c for c in _ASCII_SPACE), *(c + " " for c in _ASCII_SPACE)]
-_MEMO_LIMIT = 600_000
+#: Chunks that a worker's memo holds at most, and slots of its hash table.
+_MEMO_LIMIT, _TABLE_BITS = 2_300_000, 22
 #: Characters that are cut into chunks at once.
-_STEP = 500_000
+_STEP = 1_000_000
+_PRIME = 0x9E3779B97F4A7C15 | 1
+_BYTE = np.array([int.from_bytes(hashlib.blake2b(bytes([i]), digest_size=8).digest(), "big") for i in range(256)], np.uint64)
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
@@ -65,16 +71,16 @@ class Encoder:
         return _ENCODERS[path]
 
     def _clear(self) -> None:
-        self.memo: dict[str, int] = {}
-        self.pool = np.zeros(1 << 20, np.int32)
-        self.used = 0
-        self.starts = np.zeros(1 << 18, np.int64)
-        self.lens = np.zeros(1 << 18, np.int64)
-
-    def _ids(self, key: str) -> list[int]:
-        """Ids of a chunk by its key: the chunk without its space, or a tab and a chunk that has none."""
-        spaced = key[:1] != "\t"
-        word = key if spaced else key[1:]
+        self.keys = np.zeros(1 << _TABLE_BITS, np.uint64)
+        self.where = np.zeros(1 << _TABLE_BITS, np.int32)
+        self.n, self.used = 0, 0
+        self.pool = np.zeros(1 << 18, np.int32)
+        self.starts, self.lens, self.checks = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.uint64)
+        self.short: dict[str, list[int]] = {}
+        self.powers = self.inverses = np.ones(1, np.uint64)
+
+    def _ids(self, word: str, spaced: bool) -> list[int]:
+        """Ids of a chunk, given without the space before it."""
         if word.isalpha():
             if word.isascii():
                 text = "\u0120" + word if spaced else word  # how byte-level vocabularies write a space
@@ -86,34 +92,79 @@ class Encoder:
             return self.lib.encode(chunk, add_special_tokens=False).ids
         ids: list[int] = []
         for p in self.pieces.findall(chunk):
-            at = self.memo.get(p[1:] if p[0] == " " else "\t" + p)
-            if at is not None and at < self.settled:
-                ids += self.pool[self.starts[at] : self.starts[at] + self.lens[at]].tolist()
-            else:
-                ids += [t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, p.encode())))]
+            got = self.short.get(p)
+            if got is None:
+                got = [t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, p.encode())))]
+                if len(p) <= 2 and len(self.short) < 10_000:
+                    self.short[p] = got
+            ids += got
         return ids
 
-    def _learn(self, keys: list[str]) -> None:
-        """Puts unseen chunks into the memo."""
+    def _hashes(self, raw: np.ndarray, begin: np.ndarray, end: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A 64-bit hash of each byte range, and its size and first bytes in one number."""
+        if len(self.powers) < len(raw) + 1:
+            n = len(raw) + 1
+            self.powers = np.cumprod(np.append(np.uint64(1), np.full(n, _PRIME, np.uint64)))
+            self.inverses = np.cumprod(np.append(np.uint64(1), np.full(n, pow(_PRIME, -1, 1 << 64), np.uint64)))
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(_BYTE[raw] * self.powers[: len(raw)], out=sums[1:])
+        size = (end - begin).astype(np.uint64)
+        h = (sums[end] - sums[begin]) * self.inverses[begin]
+        h += size * np.uint64(0xC2B2AE3D27D4EB4F) + first.astype(np.uint64) * np.uint64(0x165667B19E3779F9)
+        h ^= h >> np.uint64(31)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(29)
+        check = size << np.uint64(33) | first.astype(np.uint64) << np.uint64(32)
+        for k in range(4):
+            check |= np.where(size > k, raw[np.minimum(begin + k, len(raw) - 1)], 0).astype(np.uint64) << np.uint64(8 * k)
+        return np.maximum(h, np.uint64(1)), check
+
+    def _find(self, h: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """Memo places of hashes; -1 where unseen."""
+        mask = np.int64((1 << _TABLE_BITS) - 1)
+        slot = (h >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
+        got = self.keys[slot]
+        out = np.where(got == h, self.where[slot], -1)
+        open_ = np.flatnonzero((got != h) & (got != 0))
+        while len(open_):
+            slot[open_] = now = (slot[open_] + 1) & mask
+            got = self.keys[now]
+            hit = got == h[open_]
+            out[open_[hit]] = self.where[now[hit]]
+            open_ = open_[~hit & (got != 0)]
+        return np.where((out >= 0) & (self.checks[out] == check), out, -1)
+
+    def _insert(self, h: np.ndarray, at: np.ndarray) -> None:
+        mask = np.int64((1 << _TABLE_BITS) - 1)
+        slot = (h >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
+        left = np.arange(len(h))
+        while len(left):
+            free = self.keys[slot[left]] == 0
+            try_ = left[free]
+            self.keys[slot[try_]] = h[try_]
+            won = self.keys[slot[try_]] == h[try_]
+            self.where[slot[try_[won]]] = at[try_[won]]
+            left = np.concatenate([left[~free], try_[~won]])
+            slot[left] = (slot[left] + 1) & mask
+
+    def _learn(self, data: bytes, begin, end, first, check) -> int:
+        """Ids of unseen chunks, put behind the memo's; the place of the first of them."""
         flat: list[int] = []
         sizes = []
-        k, n = len(self.memo), len(keys)
-        self.settled = k
-        for key in keys:
-            ids = self._ids(key)
+        for a, b, f in zip(begin.tolist(), end.tolist(), first.tolist()):
+            ids = self._ids(data[a:b].decode("utf-8", "surrogatepass"), not f)
             flat += ids
             sizes.append(len(ids))
+        k, n = self.n, len(sizes)
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         while k + n > len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            self.lens = np.concatenate([self.lens, np.zeros_like(self.lens)])
+            self.starts, self.lens, self.checks = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lens, self.checks))
         self.pool[self.used : self.used + len(flat)] = flat
-        ends = np.cumsum(np.array(sizes, np.int64))
         self.lens[k : k + n] = sizes
-        self.starts[k : k + n] = self.used + ends - sizes
-        self.used += len(flat)
-        self.memo.update(zip(keys, range(k, k + n)))
+        self.starts[k : k + n] = self.used + np.cumsum(np.array(sizes, np.int64)) - sizes
+        self.checks[k : k + n] = check
+        return len(flat)
 
     def _safe(self, t: str) -> bool:
         if t[0] == " " or t[-1] == " " or any(x in t for x in _TOUCHING):
@@ -132,42 +183,53 @@ class Encoder:
         return np.concatenate(flats), sizes
 
     def _encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        chunks: list[str] = []
-        counts = np.zeros(len(texts), np.int64)
         whole: dict[int, np.ndarray] = {}
+        safe = []
         for i, t in enumerate(texts):
             if not t:
                 continue
-            if not self.plain or not self._safe(t):
+            if self.plain and self._safe(t):
+                safe.append(i)
+            else:
                 whole[i] = np.array(self.lib.encode(t, add_special_tokens=False).ids, np.int32)
-                continue
-            parts = t.split(" ")
-            parts[0] = "\t" + parts[0]  # a chunk with no space before it
-            chunks += parts
-            counts[i] = len(parts)
-        where = list(map(self.memo.get, chunks))
-        new, used = [], self.used
-        if None in where:
-            new = list(dict.fromkeys([c for c, w in zip(chunks, where) if w is None]))
-            self._learn(new)
-            where = list(map(self.memo.__getitem__, chunks))
-        idx = np.array(where, np.int64)
-        lens = self.lens[idx]
-        ends = np.cumsum(lens)
-        total = int(ends[-1]) if len(ends) else 0
-        flat = self.pool[np.arange(total) + np.repeat(self.starts[idx] - (ends - lens), lens)]
-        if len(self.memo) > _MEMO_LIMIT:  # full: what this call added is forgotten again
-            self.used = used
-            for c in new:
-                del self.memo[c]
-        upto = np.concatenate([[0], ends])
-        edges = np.concatenate([[0], np.cumsum(counts)])
-        sizes = upto[edges[1:]] - upto[edges[:-1]]
+        sizes = np.zeros(len(texts), np.int64)
+        flat = np.zeros(0, np.int32)
+        if safe:
+            parts = [texts[i].encode("utf-8", "surrogatepass") for i in safe]
+            data = b" ".join(parts)
+            flat, per = self._chunks(data, np.cumsum([len(p) + 1 for p in parts]))
+            sizes[safe] = per
         if not whole:
             return flat, sizes
         cuts = np.concatenate([[0], np.cumsum(sizes)])
-        parts = [whole[i] if i in whole else flat[cuts[i] : cuts[i + 1]] for i in range(len(texts))]
-        return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+        out = [whole[i] if i in whole else flat[cuts[i] : cuts[i + 1]] for i in range(len(texts))]
+        return np.concatenate(out), np.array([len(p) for p in out], np.int64)
+
+    def _chunks(self, data: bytes, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids per text) of texts joined by spaces; stops: where each next text begins."""
+        raw = np.frombuffer(data, np.uint8)
+        end = np.append(np.flatnonzero(raw == 32), len(raw))
+        begin = np.append(0, end[:-1] + 1)
+        of = np.searchsorted(stops, begin, "right")
+        first = np.append(True, of[1:] != of[:-1])
+        h, check = self._hashes(raw, begin, end, first)
+        idx = self._find(h, check).astype(np.int64)
+        new = np.flatnonzero(idx < 0)
+        more = 0
+        if len(new):
+            _, rep, back = np.unique(h[new], return_index=True, return_inverse=True)
+            rep = new[rep]
+            if (check[rep][back] != check[new]).any():  # two unseen chunks with one hash: each by itself
+                rep, back = new, np.arange(len(new))
+            more = self._learn(data, begin[rep], end[rep], first[rep], check[rep])
+            idx[new] = self.n + back
+        lens = self.lens[idx].astype(np.int64)
+        stop = np.cumsum(lens)
+        flat = self.pool[np.arange(int(stop[-1])) + np.repeat(self.starts[idx] - (stop - lens), lens)]
+        if more and self.n + len(rep) <= _MEMO_LIMIT and len(rep) <= len(np.unique(h[rep])):
+            self._insert(h[rep], np.arange(self.n, self.n + len(rep)))
+            self.n, self.used = self.n + len(rep), self.used + more
+        return flat, np.bincount(of, lens, len(stops)).astype(np.int64)
 
 
 def ids_crc32(ids: np.ndarray) -> int:
