@@ -142,13 +142,13 @@ class WaveletMatrix:
     def decode(self) -> np.ndarray:
         """All tokens: the partitions undone from the lowest plane up."""
         code = np.zeros(self.n, np.uint16 if len(self.alphabet) <= 1 << 16 else np.uint32)
-        places = np.arange(self.n, dtype=np.int32)
         for k in reversed(range(len(self.planes))):
-            bit = np.unpackbits(self.planes[k], count=self.n)
+            bit = np.unpackbits(self.planes[k], count=self.n).view(bool)
             code[self.zeros[k] :] |= code.dtype.type(1 << (len(self.planes) - 1 - k))
-            ones = np.cumsum(bit, dtype=np.int32)
-            # a zero comes from its place among the zeros, a one from behind all zeros
-            code = code.take(np.where(bit.view(bool), ones + np.int32(self.zeros[k] - 1), places - ones))
+            before = np.empty_like(code)
+            before[np.flatnonzero(~bit)] = code[: self.zeros[k]]
+            before[np.flatnonzero(bit)] = code[self.zeros[k] :]
+            code = before
         return self.alphabet[code] if self.n else np.zeros(0, np.uint32)
 
 
