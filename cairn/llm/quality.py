@@ -258,7 +258,8 @@ def judge(docs: DataFrame) -> DataFrame:
     bands = scored.where("not base_failed").groupBy("lang_code").agg(F.percentile_approx("log_perplexity", [0.25, 0.5, 0.75], 10000).alias("q"))
     wide = F.greatest(F.expr("q[2] - q[0]"), F.lit(FLOOR))
     bands = bands.select("lang_code", (F.expr("q[0]") - BELOW * wide).alias("lo"), (F.expr("q[2]") + ABOVE * wide).alias("hi"))
-    out = scored.join(bands, "lang_code", "left")
+    # language codes have 16 bits, so there are at most 65536 bands
+    out = scored.join(F.broadcast(bands), "lang_code", "left")
     inside = F.coalesce(F.expr("log_perplexity between lo and hi"), F.lit(False))
     return out.withColumn("kept", ~F.col("base_failed") & inside)
 
