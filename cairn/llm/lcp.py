@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, bound_batches, parts_of
+from .common import batches_of, bound_batches, parts_of, tidy
 
 BINS, SHORT_BINS, LEVELS = 64, 16, 12
 #: With fewer filled bins than this, level one's bins count too.
@@ -77,8 +77,10 @@ def parse(names: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     start = new.copy()
     if n > 2:
         start[1:-1] |= (two[1:-1] > two[:-2]) & (two[1:-1] >= two[2:])
-        start[first[first + 1 < n] + 1] = False  # a text's first phrase has two symbols at least
-        start[first] = True
+    # a text's first and last phrases have two symbols at least, so no neighbour text is looked at
+    start[first[first + 1 < n] + 1] = False
+    start[np.append(first[1:], n) - 1] = False
+    start[first] = True
     at = np.flatnonzero(start)
     size = np.diff(np.append(at, n))
     place = np.arange(n) - np.repeat(at, size)
@@ -169,13 +171,25 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
             prints = to_text(sketches([t or "" for t in b.column(1).to_pylist()]))
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(prints, pa.string())], names=["doc_id", "fingerprint"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, fingerprint string")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id bigint, fingerprint string")
 
 
 DIGEST = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *[(n, pa.string()) for n in ("edited_sha256", "fingerprint", "edited_fingerprint")], ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
 
+def _range_of(value, cuts: list[int]):
+    """How many of the ascending cuts are less than value, found in two steps; 0 for null."""
+    width = max(1, int(len(cuts) ** 0.5))
+    groups = [cuts[i : i + width] for i in range(0, len(cuts), width)]
+    if not groups:
+        return F.lit(0)
+    less = lambda array: F.coalesce(F.size(F.filter(array, lambda c: c < value)), F.lit(0))
+    group = F.greatest(less(F.array(*[F.lit(g[0]).cast("long") for g in groups])) - 1, F.lit(0))
+    inner = F.get(F.array(*[F.array(*[F.lit(c).cast("long") for c in g]) for g in groups]), group)
+    return F.when(value.isNull(), F.lit(0)).otherwise(group * width + less(inner)).cast("int")
+
+
 def digest(docs: DataFrame) -> DataFrame:
     """Every text, and the text edited with the next document (descending doc_id, then the first).
 
@@ -189,22 +203,13 @@ def digest(docs: DataFrame) -> DataFrame:
     # cuts between ranges, and the greatest doc_id of each range: as many as the scan has tasks
     cuts = docs.where("doc_id is not null").agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10000).alias("q")).first()["q"]
     cuts = sorted(set(cuts or []))
-    bounds = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    part = F.coalesce(F.size(F.filter(bounds, lambda c: c < F.col("doc_id"))), F.lit(0))
-    docs = docs.withColumn("part", part)
+    docs = docs.withColumn("part", _range_of(F.col("doc_id"), cuts))
     tops = docs.groupBy("part").agg(F.max("doc_id").alias("top")).orderBy("part").collect()
     if not tops:
         return spark.createDataFrame([], DIGEST)
     # the last document of a range goes to the next range that has any; the very last to the first
-    goes = {r["top"]: tops[(i + 1) % len(tops)]["part"] for i, r in enumerate(tops)}
-    to = F.lit(None).cast("int")
-    for top, where in goes.items():
-        to = F.when(F.col("doc_id").eqNullSafe(F.lit(top)), F.lit(where)).otherwise(to) if len(goes) <= 8 else to
-    if len(goes) > 8:
-        to = F.create_map(*[x for top, where in goes.items() if top is not None for x in (F.lit(top).cast("long"), F.lit(where))])[F.col("doc_id")]
-    known = [t for t in goes if t is not None]
-    mine = F.col("doc_id").isin(known) if None not in goes else F.col("doc_id").isin(known) | F.col("doc_id").isNull()
-    ghosts = docs.where(mine).withColumn("part", to).where("part is not null")
+    goes = spark.createDataFrame([(r["top"], tops[(i + 1) % len(tops)]["part"]) for i, r in enumerate(tops)], "top bigint, to int")
+    ghosts = docs.join(F.broadcast(goes), docs["doc_id"].eqNullSafe(goes["top"])).select("doc_id", "text", F.col("to").alias("part"))
     rows = docs.withColumn("own", F.lit(1)).unionByName(ghosts.withColumn("own", F.lit(0)))
     dealt = rows.repartition(max(1, len(cuts) + 1), "part").sortWithinPartitions("part", "own", F.asc_nulls_first("doc_id"), "text")
 
@@ -234,4 +239,4 @@ def digest(docs: DataFrame) -> DataFrame:
             if len(ids):
                 before, before_sketch = texts[-1], sk[-1]
 
-    return dealt.select("doc_id", "text", "part", "own").mapInArrow(run, DIGEST)
+    return dealt.select("doc_id", "text", "part", "own").mapInArrow(tidy(run), DIGEST)
