@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, tidy
 
 DIM_BITS = 12
 DIM = 1 << DIM_BITS
@@ -127,7 +127,7 @@ def fit(training: DataFrame) -> Model:
                 df[DIM] += hi - lo
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(DIM + 1)), pa.array(df)], names=["f", "n"])
 
-    rows = training.select("text").mapInArrow(frequencies, "f bigint, n bigint").groupBy("f").agg(F.sum("n").alias("n")).toPandas()
+    rows = training.select("text").mapInArrow(tidy(frequencies), "f bigint, n bigint").groupBy("f").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros(DIM + 1)
     df[rows["f"]] = rows["n"]
     idf = np.log((1 + df[DIM]) / (1 + df[:DIM])).astype(np.float32) + np.float32(0.1)
@@ -153,7 +153,7 @@ def fit(training: DataFrame) -> Model:
         least = float((x @ cents.T).max(1).min())
         return pd.DataFrame({"lang": [pdf["lang"].iloc[0]] * len(cents), "c": [c.astype("<f4").tobytes() for c in cents], "least": [least] * len(cents)})
 
-    found = sample.select("lang", "text", "doc_id").mapInArrow(vectorise, "lang string, doc_id bigint, v binary")
+    found = sample.select("lang", "text", "doc_id").mapInArrow(tidy(vectorise), "lang string, doc_id bigint, v binary")
     found = found.groupBy("lang").applyInPandas(cluster, "lang string, c binary, least double").toPandas().sort_values(["lang", "c"])
     cents = np.stack([np.frombuffer(c, "<f4") for c in found["c"]]) if len(found) else np.zeros((0, DIM), np.float32)
     return Model(idf, found["lang"].tolist(), cents, found["least"].to_numpy(float))
@@ -169,7 +169,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             names, scores, rejected = shared.value.predict(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(names, pa.string()), pa.array(scores), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "rejected"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, lang_pred string, score double, rejected boolean")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id bigint, lang_pred string, score double, rejected boolean")
 
 
 def held_out():
@@ -196,4 +196,4 @@ def accepted_documents(docs: DataFrame) -> DataFrame:
             names, _, rejected = shared.value.predict(b.column(at).to_pylist())
             yield b.filter(pa.array([n != "und" and not r for n, r in zip(names, rejected.tolist())], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

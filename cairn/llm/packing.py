@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, bound_batches, written
+from .common import batches_of, bound_batches, tidy, written
 from .tokens import Encoder, default_tokenizer_path, ids_crc32
 
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
@@ -116,7 +116,7 @@ def pack_documents(docs: DataFrame, length: int = 2048, open_windows: int = 32,
             n += 1
         yield from batches_of(out, _OPEN)
 
-    first = written(docs.select("doc_id", "text").mapInArrow(pack, PIECE + ", leftover boolean"), "packed")
+    first = written(docs.select("doc_id", "text").mapInArrow(tidy(pack), PIECE + ", leftover boolean"), "packed")
     group = F.shiftright("sequence_id", _SHIFT + MERGED.bit_length() - 1)
     left = first.where("leftover").withColumn("grp", group)
     groups = (left.agg(F.max("grp")).first()[0] or 0) + 1
@@ -149,5 +149,5 @@ def pack_documents(docs: DataFrame, length: int = 2048, open_windows: int = 32,
         if held:
             yield from flush()
 
-    merged = left.repartition(groups, "grp").sortWithinPartitions("grp", "sequence_id", "offset").mapInArrow(merge, PIECE)
+    merged = left.repartition(groups, "grp").sortWithinPartitions("grp", "sequence_id", "offset").mapInArrow(tidy(merge), PIECE)
     return first.where("not leftover").drop("leftover").unionByName(merged)

@@ -24,16 +24,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, with_text, written
+from .common import bound_batches, tidy, with_text, written
 
 ORDER = 5
 SLOT_BITS, INDEX_BITS = 24, 20
 #: A band reaches so many quartile ranges beyond the quartiles, each at least FLOOR nats a byte wide.
-BELOW, ABOVE, FLOOR = 6.0, 3.0, 0.02
+BELOW, ABOVE, FLOOR = 6.0, 3.5, 0.02
 #: Fixed values of the rules.
 SYMBOLS = b"#*$%&|<>"
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 MIN_WORDS, REPEAT_PERCENT = 50, 50
+_STEP = 1_000_000
 _PAD = b"\n" * (ORDER - 1)
 _SYMBOL = np.isin(np.arange(256), list(SYMBOLS))
 _INK = ~np.isin(np.arange(256), list(SPACES)) & ~((np.arange(256) & 0xC0) == 0x80)
@@ -58,6 +59,16 @@ def _stream(texts: list, langs: list) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return gram[skip], np.repeat(codes, sizes), sizes
 
 
+def _slices(texts: list) -> Iterator[slice]:
+    """Ranges of texts of about a megabyte, which bounds the arrays made from them."""
+    lo, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size >= _STEP or i == len(texts) - 1:
+            yield slice(lo, i + 1)
+            lo, size = i + 1, 0
+
+
 def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     k, c = np.concatenate(keys), np.concatenate(counts)
     order = np.argsort(k)
@@ -72,22 +83,23 @@ def count_grams(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, held = [], [], 0
         for b in batches:
-            gram, lang, _ = _stream(b.column(0).to_pylist(), b.column(1).to_pylist())
-            for at in range(0, len(gram), 1 << 20):
-                k, c = np.unique(gram[at : at + (1 << 20)] | lang[at : at + (1 << 20)] << 40, return_counts=True)
+            texts, langs = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for part in _slices(texts):
+                gram, lang, _ = _stream(texts[part], langs[part])
+                k, c = np.unique(gram | lang << 40, return_counts=True)
                 keys.append(k)
                 counts.append(c)
                 held += len(k)
-            if held > 2_000_000:
-                k, c = _merged(keys, counts)
-                keys, counts, held = [k], [c], 0
-                if len(k) > 1_000_000:  # Spark adds up what a task gives in parts
-                    yield _grams(k, c)
-                    keys, counts = [], []
+                if held > 1_000_000:
+                    k, c = _merged(keys, counts)
+                    keys, counts, held = [k], [c], 0
+                    if len(k) > 500_000:  # Spark adds up what a task gives in parts
+                        yield _grams(k, c)
+                        keys, counts = [], []
         if keys:
             yield _grams(*_merged(keys, counts))
 
-    out = docs.select("text", "lang").mapInArrow(run, "lang int, gram bigint, c bigint")
+    out = docs.select("text", "lang").mapInArrow(tidy(run), "lang int, gram bigint, c bigint")
     return out.groupBy("lang", "gram").agg(F.sum("c").alias("c"))
 
 
@@ -174,7 +186,7 @@ def hash_arrays(model: DataFrame) -> HashArrays:
             key = hash_keys(kind, lang, gram).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(key >> (32 - SLOT_BITS)), pa.array(key), pa.array(c), pa.array(value)], names=["slot", "key", "c", "value"])
 
-    slots = model.mapInArrow(run, "slot bigint, key bigint, c bigint, value float")
+    slots = model.mapInArrow(tidy(run), "slot bigint, key bigint, c bigint, value float")
     best = slots.groupBy("slot").agg(F.max(F.struct("c", "key", "value")).alias("b")).select("b.key", "b.value")
     got = best.toArrow()
     return HashArrays(got["key"].to_numpy().astype(np.uint32), got["value"].to_numpy().astype(np.float32))
@@ -228,24 +240,22 @@ SCORED = "doc_id bigint, text_hash bigint, lang_code int, n_words bigint, word_c
 def score(docs: DataFrame, arrays: HashArrays) -> DataFrame:
     """The base counts and the log-perplexity per byte of every document."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((arrays.keys, arrays.values))
+    shared = spark.sparkContext.broadcast(arrays)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = HashArrays(shared.value[0][:-1], shared.value[1][:-1])
+        model = shared.value
         for b in batches:
             texts, langs = b.column(1).to_pylist(), b.column(2).to_pylist()
             base = np.array([base_counts(t) for t in texts], np.int64).reshape(-1, 5)
-            gram, lang, sizes = _stream(texts, langs)
-            total = np.zeros(len(texts))
-            doc = np.repeat(np.arange(len(texts)), sizes)
-            for at in range(0, len(gram), 1 << 20):
-                part = slice(at, at + (1 << 20))
-                total += np.bincount(doc[part], log_probabilities(model, gram[part], lang[part]), len(texts))
-            mean = [-t / n if n else None for t, n in zip(total.tolist(), sizes.tolist())]
+            mean: list[float | None] = []
+            for part in _slices(texts):
+                gram, lang, sizes = _stream(texts[part], langs[part])
+                total = np.bincount(np.repeat(np.arange(len(sizes)), sizes), log_probabilities(model, gram, lang), len(sizes))
+                mean += [-t / n if n else None for t, n in zip(total.tolist(), sizes.tolist())]
             codes = pa.array([language_code(x) for x in langs], pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(3), codes, *(pa.array(base[:, i]) for i in range(5)), pa.array(mean, pa.float64())], names=[x.split()[0] for x in SCORED.split(", ")])
 
-    return docs.select("doc_id", "text", "lang", F.xxhash64("text")).mapInArrow(run, SCORED)
+    return docs.select("doc_id", "text", "lang", F.xxhash64("text")).mapInArrow(tidy(run), SCORED)
 
 
 def judge(docs: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, parts_of, with_text, written
+from .common import bound_batches, parts_of, tidy, with_text, written
 from .components import components
 
 WIDTH, RADIUS, SEED = 3, 3, 42
@@ -95,7 +95,7 @@ def fingerprint_documents(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             fps = fingerprints_of(b.column(1).to_pylist(), width).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fps), b.column(2)], names=["doc_id", "fp", "text_hash"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, "doc_id bigint, fp bigint, text_hash bigint")
+    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(tidy(run), "doc_id bigint, fp bigint, text_hash bigint")
 
 
 class Forest:
@@ -215,7 +215,7 @@ def link_classes(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
             yield out(*held)
 
     dealt = rows.repartition(n_parts, "grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi")
-    return dealt.mapInArrow(run, "u bigint, v bigint")
+    return dealt.mapInArrow(tidy(run), "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
@@ -245,4 +245,5 @@ def first_of_groups(docs: DataFrame, **options) -> DataFrame:
     kept = with_text(docs, groups)
     # repeated rows are one group's first row several times
     order = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
-    return kept.withColumn("__rank", F.row_number().over(order)).where("__rank = 1").drop("__rank")
+    ranked = kept.select(F.struct(*[kept[c] for c in docs.columns]).alias("row"), F.row_number().over(order).alias("n"))
+    return ranked.where("n = 1").select("row.*")

@@ -25,7 +25,7 @@ _ASCII_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
 _WIDE_SPACE = "\x85\xa0                　"
 _TOUCHING = ["  ", *(" " + c for c in _ASCII_SPACE), *(c + " " for c in _ASCII_SPACE)]
 #: Chunks that a worker's memo holds at most, and slots of its hash table.
-_MEMO_LIMIT, _TABLE_BITS = 2_300_000, 22
+_MEMO_LIMIT, _TABLE_BITS = 1_400_000, 21
 #: Characters that are cut into chunks at once.
 _STEP = 1_000_000
 _PRIME = 0x9E3779B97F4A7C15 | 1
