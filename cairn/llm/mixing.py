@@ -13,7 +13,7 @@ so sorting by place interleaves the sources at their weights.
 
 Cases: a null source is a source of its own; a null text has no tokens; sources without tokens have
 weight 0 and one pass; repeated rows are documents like others; an empty table gives no rows; other
-columns are kept.
+columns are kept, but for earlier mix_ columns, which are replaced.
 """
 
 from __future__ import annotations
@@ -94,12 +94,12 @@ def mix(docs: DataFrame, entropy: float | None = None, repetition: float | None
     plan joins documents to small tables of sources and blocks, and only the documents of the one block
     a source that its budget ends in are ordered.
     """
-    reserved = {"__src", "__tokens", "__block", "__cut", "__copies"} & set(docs.columns)
-    if reserved:
-        raise ValueError(f"columns {sorted(reserved)} are reserved")
+    docs = docs.drop("mix_tokens", "mix_weight", "mix_epochs", "mix_copies")
     count = word_count(F.col("text")) if tokens is None else tokens
     dealt = F.pmod(F.xxhash64("doc_id", F.lit("block")), F.lit(BLOCKS)).cast("int")
-    marked = docs.withColumns({"__src": source_key(F.col("source")), "__tokens": count, "__block": dealt, "__order": F.xxhash64("doc_id", F.crc32(F.encode(F.coalesce("text", F.lit("")), "utf-8")))})
+    order = F.xxhash64("doc_id", F.crc32(F.encode(F.coalesce("text", F.lit("")), "utf-8")))
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    marked = docs.select(row, source_key(F.col("source")).alias("__src"), count.alias("__tokens"), dealt.alias("__block"), order.alias("__order"))
     narrow = written(marked.select("__src", "__tokens", "__block", "__order"), "mixdocs")
     plan = written(plan_sources(narrow, entropy, repetition, floor), "mixplan")
     blocks = narrow.groupBy("__src", "__block").agg(F.sum("__tokens").alias("n"))
@@ -121,7 +121,7 @@ def mix(docs: DataFrame, entropy: float | None = None, repetition: float | None
     # at most 1024 rows a source; broadcast only where their number is small
     out = marked.join(F.broadcast(small) if small.count() <= 200_000 else small, ["__src", "__block"])
     copies = (F.col("passes") + more).cast("long")
-    return out.select(*[marked[c] for c in docs.columns], F.col("__tokens").alias("mix_tokens"), F.col("weight").alias("mix_weight"), F.col("epochs").alias("mix_epochs"), copies.alias("mix_copies"))
+    return out.select("row.*", F.col("__tokens").alias("mix_tokens"), F.col("weight").alias("mix_weight"), F.col("epochs").alias("mix_epochs"), copies.alias("mix_copies"))
 
 
 def expand(mixed: DataFrame) -> DataFrame:
@@ -142,4 +142,4 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """docs, each row as often as the mixture uses it."""
     names = docs.columns
     out = mix(docs, **options).where("mix_copies > 0")
-    return out.withColumn("__copy", F.explode(F.expr("sequence(1L, mix_copies)"))).select(*names)
+    return out.select(*names, F.explode(F.expr("sequence(1L, mix_copies)"))).select(*names)

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches_of, bound_batches, parts_of, written
+from .common import batches_of, bound_batches, parts_of, tidy, written
 from .tokens import Encoder, default_tokenizer_path, ids_crc32
 
 MAGIC = b"CWM1"
@@ -80,7 +80,7 @@ class WaveletMatrix:
         return cls(alphabet, n, planes, ones)
 
     def _bit(self, k: int, i: int) -> int:
-        return self.planes[k][i >> 3] >> (7 - (i & 7)) & 1
+        return int(self.planes[k][i >> 3]) >> (7 - (i & 7)) & 1
 
     def _rank1(self, k: int, i: int) -> int:
         """Ones among the first i bits of plane k."""
@@ -227,7 +227,7 @@ def write_shards(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0,
             yield flush()
 
     dealt = docs.repartitionByRange(parts_of(docs), "doc_id").sortWithinPartitions("doc_id", "text")
-    return written(dealt.mapInArrow(build, SHARDS), "shards")
+    return written(dealt.mapInArrow(tidy(build), SHARDS), "shards")
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
@@ -243,7 +243,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
                     at += n
                 yield from batches_of(rows, _READ)
 
-    rows = shards.select("part", "shard", "blob").mapInArrow(read, "part bigint, shard bigint, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint")
+    rows = shards.select("part", "shard", "blob").mapInArrow(tidy(read), "part bigint, shard bigint, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint")
     # ids before each shard: over parts (as many as tasks), then over the shards of a part
     sizes = shards.select("part", "shard", "n_tokens")
     parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n"))
