@@ -128,14 +128,17 @@ def expand(mixed: DataFrame) -> DataFrame:
     """One row per document and pass, with mix_pass and mix_place in (0, 1)."""
     rows = mixed.where("mix_copies > 0").withColumn("mix_pass", F.explode(F.expr("sequence(1L, mix_copies)")))
     block = F.pmod(F.xxhash64("doc_id", F.lit("block")), F.lit(BLOCKS)).cast("int")
-    key = source_key(F.col("source"))
-    turn = F.pmod(F.xxhash64(key, block, F.when(F.col("mix_pass") > F.floor("mix_epochs"), F.lit(0)).otherwise(F.col("mix_pass"))), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    return rows.withColumn("mix_place", (F.col("mix_pass") - 1 + turn) / F.ceil("mix_epochs"))
+    partial = F.when(F.col("mix_pass") > F.floor("mix_epochs"), F.lit(0)).otherwise(F.col("mix_pass"))
+    # the block's place in this pass, then the document's within its block
+    turn = F.pmod(F.xxhash64(source_key(F.col("source")), block, partial), F.lit(1 << 20))
+    inner = F.pmod(F.xxhash64("doc_id", partial), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    return rows.withColumn("mix_place", (F.col("mix_pass") - 1 + (turn + inner) / F.lit(float(1 << 20))) / F.ceil("mix_epochs"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    out = mix(docs, repetition=2.0, floor=1.0)
-    return out.select("doc_id", "source", "mix_tokens", "mix_weight", "mix_epochs", "mix_copies")
+    """One row per document and pass of the mixture."""
+    out = expand(mix(docs, repetition=2.0, floor=1.0))
+    return out.select("doc_id", "source", "mix_tokens", "mix_weight", "mix_epochs", "mix_pass", "mix_place")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:

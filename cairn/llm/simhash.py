@@ -12,6 +12,13 @@ fingerprints of unrelated texts lie too close to each pivot to be dealt out by t
 A bucket with more classes than a task should hold is dealt out as pairs of slices, so every pair of it
 still meets once.  Buckets give spanning edges, not pairs; components come from star contraction.
 
+similar_documents is the wider form: fingerprints of 256 bits over five-word shingles, linked where the
+Jaccard likeness of their shingles is 0.8 or more.  At the distances that this stands for no few blocks
+stay equal, so keys are samples of bits: as many bits as the classes' number asks for, and as many keys
+as find a pair of likeness 0.8 with a probability of 0.95.  A bucket gives the edges of a least spanning
+forest of the pairs near enough; each edge's likeness is then verified on its ends' least 192 shingle
+hashes, which are all of them, and so exact, for texts with no more shingles than that.
+
 Cases: a null text has no words and, like any text without words, fingerprint zero; fewer words than a
 shingle make one shingle; null doc_ids come after all others in a group; repeated rows are members like
 others; an empty table gives no rows; other columns are ignored.
@@ -19,6 +26,7 @@ others; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,14 +41,21 @@ from .components import components
 WIDTH, RADIUS, SEED = 3, 3, 42
 #: Pivots of a distance table, and classes of a bucket that one task compares.
 PIVOTS, SLICE = 48, 4096
+#: Shingle hashes that a sketch keeps.
+SKETCH = 192
 #: (first bit, bits) of the five blocks; a key is the bits of two of them.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def pivots(n: int = PIVOTS) -> np.ndarray:
-    """The reference fingerprints: hashes of their ordinals."""
-    return np.array([xxhash.xxh64_intdigest(f"pivot {i}", seed=SEED) for i in range(n)], np.uint64)
+def pivots(n: int = PIVOTS, words: int = 1) -> np.ndarray:
+    """The (n, words) reference fingerprints: hashes of their ordinals."""
+    return np.array([[xxhash.xxh64_intdigest(f"pivot {i}/{w}", seed=SEED) for w in range(words)] for i in range(n)], np.uint64)
+
+
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distances of rows of words."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
 def shingle_hashes(text: str | None, width: int = WIDTH) -> list[int]:
@@ -54,48 +69,72 @@ def shingle_hashes(text: str | None, width: int = WIDTH) -> list[int]:
     return [digest(line[a:b], SEED) for a, b in zip(starts.tolist(), ends[width - 1 :].tolist())]
 
 
-def fingerprints_of(texts: list, width: int = WIDTH) -> np.ndarray:
-    """uint64 fingerprints; bit b counts from the least significant."""
+def _spread(h: np.ndarray, words: int) -> np.ndarray:
+    """(n, words) hashes from one: itself, then its mixtures with fixed numbers."""
+    out = np.empty((len(h), words), np.uint64)
+    out[:, 0] = h
+    for w in range(1, words):
+        x = (h ^ np.uint64(w)) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        out[:, w] = x ^ (x >> np.uint64(32))
+    return out
+
+
+def fingerprints_of(texts: list, width: int = WIDTH, words: int = 1, sketches: list | None = None) -> np.ndarray:
+    """(texts, words) uint64 fingerprints; bit b of a word counts from the least significant.
+
+    sketches, where given, gets each text's least SKETCH distinct shingle hashes, as bytes.
+    """
     hashes: list[int] = []
-    counts = []
-    out = np.zeros(len(texts), np.uint64)
-    place = (np.uint64(1) << np.arange(63, -1, -1, dtype=np.uint64)).astype(np.uint64)
-
-    def flush(lo: int, hi: int) -> None:
-        n = np.array(counts, np.int64)
-        full = np.flatnonzero(n)
-        if len(full):
-            bits = np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1)
-            ends = np.cumsum(n)
-            at = (ends - n)[full]
-            for k, (a, b) in zip(full.tolist(), zip(at.tolist(), ends[full].tolist())):
-                ones = np.add.reduce(bits[a:b], axis=0, dtype=np.int32)
-                out[lo + k] = np.bitwise_or.reduce(place[2 * ones > n[k]]) if (2 * ones > n[k]).any() else 0
-        hashes.clear()
-        counts.clear()
+    counts: list[int] = []
+    out = np.zeros((len(texts), words), np.uint64)
+
+    def flush(lo: int) -> None:
+        if not hashes:
+            return
+        wide = _spread(np.array(hashes, np.uint64), words)
+        bits = np.unpackbits(wide.astype(">u8").view(np.uint8).reshape(len(wide), -1), axis=1)
+        at = 0
+        for k, n in enumerate(counts):
+            if n:
+                ones = np.add.reduce(bits[at : at + n], axis=0, dtype=np.int32)
+                out[lo + k] = np.packbits(2 * ones > n).view(">u8")
+                at += n
 
     lo = 0
     for i, t in enumerate(texts):
         h = shingle_hashes(t, width)
+        if sketches is not None:
+            sketches.append(np.unique(np.array(h, np.uint64))[:SKETCH].astype("<u8").tobytes())
         hashes += h
         counts.append(len(h))
-        if len(hashes) > 200_000:
-            flush(lo, i + 1)
-            lo = i + 1
-    flush(lo, len(texts))
+        if len(hashes) > 200_000 // words or i == len(texts) - 1:
+            flush(lo)
+            hashes, counts, lo = [], [], i + 1
     return out
 
 
-def fingerprint_documents(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed 64-bit integer) and a hash of each whole text."""
+def fingerprint_documents(docs: DataFrame, width: int = WIDTH, words: int = 1) -> DataFrame:
+    """doc_id, a hash of each whole text, and its fingerprint's words (signed) in fp, fp1, fp2, …
+
+    With several words, also sketch: the least shingle hashes.
+    """
     bound_batches(docs.sparkSession)
+    names = _columns(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = fingerprints_of(b.column(1).to_pylist(), width).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fps), b.column(2)], names=["doc_id", "fp", "text_hash"])
+            sketches: list | None = [] if words > 1 else None
+            fps = fingerprints_of(b.column(1).to_pylist(), width, words, sketches).view(np.int64)
+            more = [] if sketches is None else [pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(2), *(pa.array(np.ascontiguousarray(fps[:, w])) for w in range(words)), *more], names=["doc_id", "text_hash", *names, *["sketch"] * (words > 1)])
 
-    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(tidy(run), "doc_id bigint, fp bigint, text_hash bigint")
+    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(tidy(run), "doc_id bigint, text_hash bigint, " + ", ".join(f"{n} bigint" for n in names) + ", sketch binary" * (words > 1))
+
+
+def _columns(words: int) -> list[str]:
+    return ["fp", *(f"fp{w}" for w in range(1, words))]
 
 
 class Forest:
@@ -126,41 +165,36 @@ class Forest:
                 self.edges.append((x, y))
 
 
-def linked(bucket: np.ndarray, fps: np.ndarray, radius: int = RADIUS, refs: np.ndarray | None = None, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Spanning edges (positions) of the pairs within radius that share a bucket number.
-
-    side, where given, is 0 or 1 per row: only pairs of different sides are compared.
-    """
-    refs = pivots() if refs is None else refs
-    first = np.bitwise_count(fps ^ refs[0]).astype(np.int64)
-    order = np.lexsort((fps, first, bucket))
-    bucket, fps, first = bucket[order], fps[order], first[order]
-    # one sorted key: a window of rows of the same bucket with a near enough first coordinate
+def linked(bucket: np.ndarray, fps: np.ndarray, radius: int = RADIUS, refs: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Spanning edges (positions) of the pairs of (n, words) fingerprints within radius that share a bucket number."""
+    refs = pivots(words=fps.shape[1]) if refs is None else refs
+    first = distance(fps, refs[0])
     _, dense = np.unique(bucket, return_inverse=True)
-    key = dense.astype(np.int64) * 256 + first
-    stop = np.searchsorted(key, key + radius, "right")
-    side = None if side is None else side[order]
-    forest, n = Forest(len(fps)), len(fps)
-    span = stop - np.arange(n) - 1
-    at, step = 0, 1 << 20
+    # one sorted key: a window of rows of the same bucket with a near enough first coordinate
+    key = dense.astype(np.int64) * 4096 + first
+    order = np.argsort(key, kind="stable")
+    key, fps = key[order], fps[order]
+    span = np.searchsorted(key, key + radius, "right") - np.arange(len(fps)) - 1
+    forest, n, at, step = Forest(len(fps)), len(fps), 0, 1 << 19
+    done = np.concatenate([[0], np.cumsum(span)])
     while at < n:
-        upto = max(at + 1, int(np.searchsorted(np.cumsum(span[at:]), step, "right")) + at)
+        upto = max(at + 1, int(np.searchsorted(done, done[at] + step, "right")) - 1)
         width = span[at:upto]
         a = np.repeat(np.arange(at, upto), width)
         b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(width) - width, width)
-        if side is not None:
-            keep = side[a] != side[b]
-            a, b = a[keep], b[keep]
         for p in refs[1:]:  # the table's other coordinates, while they still discard many pairs
             if len(a) < 64:
                 break
-            d = np.bitwise_count(fps[at:] ^ p).astype(np.int16)
+            top = int(b.max()) + 1
+            d = distance(fps[at:top], p)
             keep = np.abs(d[a - at] - d[b - at]) <= radius
             before = len(a)
             a, b = a[keep], b[keep]
             if len(a) > 0.7 * before:
                 break
-        keep = np.bitwise_count(fps[a] ^ fps[b]) <= radius
+        apart = distance(fps[a], fps[b])
+        keep = np.flatnonzero(apart <= radius)
+        keep = keep[np.argsort(apart[keep], kind="stable")]  # nearest first
         forest.join(a[keep], b[keep])
         at = upto
     return [(int(order[x]), int(order[y])) for x, y in forest.edges]
@@ -171,43 +205,48 @@ def _keys() -> list[tuple[int, int]]:
 
 
 def link_classes(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Edges (u, v) between distinct fingerprints: each two within radius are connected by them."""
+    """Edges (u, v) between distinct fingerprints fp: each two within radius are connected by them."""
 
     def block(i: int):
         first, bits = BLOCKS[i]
         return F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << bits) - 1))
 
-    n_parts = parts_of(fps)
     pairs = [F.shiftleft(F.shiftleft(block(i), 13).bitwiseOR(block(j)), 4).bitwiseOR(F.lit(k)) for k, (i, j) in enumerate(_keys())]
-    keyed = written(fps.select("fp", F.explode(F.array(*pairs)).alias("bucket")), "keys")
+    return _link_buckets(fps.select(F.explode(F.array(*pairs)).alias("bucket"), F.col("fp").alias("node"), "fp"), 1, radius, parts_of(fps))
+
+
+def _link_buckets(keyed: DataFrame, words: int, radius: int, n_parts: int) -> DataFrame:
+    """Edges between nodes of (bucket, node, fp…) that share a bucket and lie within radius."""
+    names = _columns(words)
     sizes = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    big = sizes.where(f"n > {SLICE}").select("bucket", F.expr(f"cast((n + {SLICE} - 1) div {SLICE} as int)").alias("slices"))
-    big = written(big, "big")
-    rows = keyed.join(sizes.where(f"n <= {SLICE}").select("bucket"), "bucket", "left_semi").select(F.col("bucket").alias("grp"), F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("slice"), "fp")
-    if big.limit(1).count():
-        # each row of a large bucket goes to every pair of slices that has its own
-        own = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("slices")).cast("int")
-        sliced = keyed.join(F.broadcast(big) if big.count() <= 100_000 else big, "bucket").withColumn("slice", own)
-        other = sliced.withColumn("other", F.explode(F.expr("sequence(0, slices - 1)")))
-        rows = rows.unionByName(other.select(F.col("bucket").alias("grp"), F.least("slice", "other").alias("lo"), F.greatest("slice", "other").alias("hi"), "slice", "fp"))
+    big = written(sizes.where(f"n > {SLICE}").select("bucket", F.expr(f"cast((n + {SLICE} - 1) div {SLICE} as int)").alias("slices")), "big")
+    rows = keyed.select(F.col("bucket").alias("grp"), F.lit(0).alias("lo"), F.lit(0).alias("hi"), "node", *names)
+    n_big = big.count()
+    if n_big:
+        # a row of a large bucket goes to every pair of slices that has its own, so all its pairs meet
+        few = F.broadcast(big) if n_big <= 100_000 else big
+        own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("slices")).cast("int")
+        other = keyed.join(few, "bucket").withColumns({"own": own}).withColumn("other", F.explode(F.expr("sequence(0, slices - 1)")))
+        dealt = other.select(F.col("bucket").alias("grp"), F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", *names)
+        rows = rows.join(few, rows["grp"] == big["bucket"], "left_anti").unionByName(dealt)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        refs, held = pivots(), None
+        refs, held = pivots(words=words), None
 
-        def out(grp, lo, hi, part, fp) -> pa.RecordBatch:
-            _, number = np.unique(np.stack([grp, lo, hi]), axis=1, return_inverse=True)
-            edges = linked(number.reshape(-1), fp, radius, refs)
+        def out(grp, lo, hi, node, *fp) -> pa.RecordBatch:
+            new = np.append(True, (grp[1:] != grp[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))
+            edges = linked(np.cumsum(new), np.stack(fp, axis=1).view(np.uint64), radius, refs)
             u, v = (np.array([e[k] for e in edges], np.int64) for k in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(fp[u].view(np.int64)), pa.array(fp[v].view(np.int64))], names=["u", "v"])
+            return pa.RecordBatch.from_arrays([pa.array(node[u]), pa.array(node[v])], names=["u", "v"])
 
         for b in batches:
-            cols = [b.column(k).to_numpy() for k in range(5)]
-            cols[4] = cols[4].view(np.uint64)
+            cols = [b.column(k).to_numpy() for k in range(4 + words)]
             if held is not None:
                 cols = [np.concatenate([x, y]) for x, y in zip(held, cols)]
-            g = cols[0], cols[1], cols[2]
+            if not len(cols[0]):
+                continue
             # the last bucket may go on in the next batch
-            same = (g[0] == g[0][-1]) & (g[1] == g[1][-1]) & (g[2] == g[2][-1]) if len(cols[0]) else np.zeros(0, bool)
+            same = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1]) & (cols[2] == cols[2][-1])
             if (~same).any():
                 yield out(*[c[~same] for c in cols])
             held = [c[same] for c in cols]
@@ -218,30 +257,117 @@ def link_classes(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return dealt.mapInArrow(tidy(run), "u bigint, v bigint")
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
-    """(rows, groups): every row's doc_id, fp and component_id, and each group's first row.
+def _classes(prints: DataFrame, words: int) -> DataFrame:
+    """Distinct fingerprints: node, the words, and the first row of each."""
+    more = ["sketch"] if words > 1 else []
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", *more))
+    names = _columns(words)
+    node = F.col("fp") if words == 1 else F.xxhash64(*names)
+    return written(prints.groupBy(*names).agg(first.alias("first")).select(node.alias("node"), *names, "first"), "classes")
+
+
+def _groups(classes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node and component of all classes, component and first row of all groups)."""
+    found = components(edges, "links")
+    named = classes.select("node", "first").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "first")
+    return named.select("node", "component"), named.groupBy("component").agg(F.min("first").alias("first"))
+
+
+def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, groups) of links between fingerprints at RADIUS: every row's doc_id, fp and component_id,
+    and each group's first row.
 
     component_id is the least doc_id that links reach; a group's first row has the least doc_id, then
     the least text_hash.
     """
-    prints = written(fingerprint_documents(docs, width), "prints")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
-    classes = written(prints.groupBy("fp").agg(first.alias("first")), "classes")
-    found = components(link_classes(classes.select("fp"), radius), "links")
-    named = classes.join(found, classes["fp"] == found["node"], "left").select("fp", F.coalesce("component", "fp").alias("component"), "first")
-    groups = named.groupBy("component").agg(F.min("first").alias("first"))
-    by_class = named.select("fp", "component").join(groups, "component").select("fp", F.col("first.doc_id").alias("component_id"))
+    prints = written(fingerprint_documents(docs), "prints")
+    classes = _classes(prints, 1)
+    named, groups = _groups(classes, link_classes(classes.select("fp")))
+    by_class = named.join(groups, "component").select(F.col("node").alias("fp"), F.col("first.doc_id").alias("component_id"))
     return prints.join(by_class, "fp").select("doc_id", "fp", "component_id"), groups.select("first.doc_id", "first.text_hash")
 
 
+#: The wider form: words of a fingerprint, shingle width, likeness, least chance to find a pair of it.
+WIDE, WIDE_WIDTH, LIKENESS, RECALL = 4, 5, 0.8, 0.95
+#: Linked are pairs up to so many standard deviations over the distance that LIKENESS stands for.
+MARGIN = 1.6
+
+
+def differing(likeness: float) -> float:
+    """The part of bits in which fingerprints of sets of a Jaccard likeness differ."""
+    return math.acos(2 * likeness / (1 + likeness)) / math.pi
+
+
+def wide_radius(likeness: float = LIKENESS, words: int = WIDE) -> int:
+    p, n = differing(likeness), 64 * words
+    return round(n * p + MARGIN * math.sqrt(n * p * (1 - p)))
+
+
+def key_plan(classes: int, likeness: float = LIKENESS, recall: float = RECALL) -> tuple[int, int]:
+    """(bits of a key, keys): buckets of unrelated classes hold a few of them, whatever their number."""
+    bits = min(40, max(12, math.ceil(math.log2(max(classes, 2))) - 1))
+    return bits, math.ceil(math.log(1 - recall) / math.log(1 - (1 - differing(likeness)) ** bits))
+
+
+def link_similar(classes: DataFrame, words: int = WIDE, likeness: float = LIKENESS) -> DataFrame:
+    """Edges between classes (node, fp…) whose fingerprints are about as near as likeness."""
+    bits, keys = key_plan(classes.count(), likeness)
+    rng = np.random.default_rng(SEED)
+    chosen = np.stack([rng.permutation(64 * words)[:bits] for _ in range(keys)])
+    names = _columns(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        value = 1 << np.arange(bits, dtype=np.int64)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2000):
+                b = batch.slice(lo, 2000)
+                fps = np.stack([b.column(1 + w).to_numpy() for w in range(words)], axis=1)
+                ones = np.unpackbits(fps.astype(">i8").view(np.uint8).reshape(len(fps), -1), axis=1).astype(np.int64)
+                got = [ones[:, c] @ value for c in chosen]
+                bucket = np.concatenate([g * keys + j for j, g in enumerate(got)])
+                again = [np.tile(x, keys) for x in (b.column(0).to_numpy(), *fps.T)]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), *map(pa.array, again)], names=["bucket", "node", *names])
+
+    schema = "bucket bigint, node bigint, " + ", ".join(f"{n} bigint" for n in names)
+    keyed = classes.select("node", *names).mapInArrow(tidy(run), schema)
+    return _link_buckets(keyed, words, wide_radius(likeness, words), 2 * parts_of(classes) + keys // 4)
+
+
+def sketch_likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard likeness from two sorted sketches: the common part of the union's least hashes."""
+    both = np.union1d(a, b)[:SKETCH]
+    return float(np.isin(np.intersect1d(a, b, assume_unique=True), both).sum()) / len(both) if len(both) else 1.0
+
+
+def verified(edges: DataFrame, classes: DataFrame, likeness: float = LIKENESS) -> DataFrame:
+    """The edges whose ends' sketches are as alike as likeness."""
+    sketch = classes.select("node", F.col("first.sketch").alias("sketch"))
+    e = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    e = e.join(sketch.select(F.col("node").alias("u"), F.col("sketch").alias("a")), "u").join(sketch.select(F.col("node").alias("v"), F.col("sketch").alias("b")), "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [sketch_likeness(np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")) >= likeness for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    return e.select("u", "v", "a", "b").mapInArrow(tidy(run), "u bigint, v bigint")
+
+
+def similar_documents(docs: DataFrame) -> DataFrame:
+    """doc_id and text_hash of the first row of each group of similar documents."""
+    classes = _classes(fingerprint_documents(docs, WIDE_WIDTH, WIDE), WIDE)
+    groups = _groups(classes, verified(link_similar(classes), classes))[1]
+    return groups.select("first.doc_id", "first.text_hash")
+
+
 def digest(docs: DataFrame) -> DataFrame:
     rows, _ = near_duplicates(docs)
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def first_of_groups(docs: DataFrame, **options) -> DataFrame:
-    """docs without all but the first row of each group."""
-    _, groups = near_duplicates(docs, **options)
+def first_of_groups(docs: DataFrame, wide: bool = True) -> DataFrame:
+    """docs without all but the first row of each group: of similar documents, or of links at RADIUS."""
+    groups = similar_documents(docs) if wide else near_duplicates(docs)[1]
     kept = with_text(docs, groups)
     # repeated rows are one group's first row several times
     order = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")

@@ -96,7 +96,7 @@ def test_simhash(docs, doc_rows):
 
 
 def test_simhash_keeps_one_row_a_group(docs, doc_rows):
-    kept = simhash.first_of_groups(docs)
+    kept = simhash.first_of_groups(docs, wide=False)
     assert kept.columns == docs.columns
     fps = {d: fingerprint_by_hand(t) for d, t, *_ in doc_rows if d is not None}
     ids = [r["doc_id"] for r in kept.select("doc_id").collect()]
@@ -105,6 +105,37 @@ def test_simhash_keeps_one_row_a_group(docs, doc_rows):
     assert set(range(60)) <= set(ids)
 
 
+def test_similar_documents(spark):
+    """Copies with some words changed are found at likeness 0.8 and over, unrelated texts stay apart."""
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(400)]
+    texts, near = [], []
+    for i in range(150):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(120, 400))]
+        texts.append(words)
+        if i < 60:
+            copy = list(words)
+            for at in rng.sample(range(len(words)), max(1, len(words) // 90)):
+                copy[at] = "changed"
+            near.append((i, copy))
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)] + [(1000 + i, " ".join(w)) for i, w in near] + [(2000, " ".join(texts[0]))]
+
+    def jaccard(a, b):
+        x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a, b))
+        return len(x & y) / len(x | y)
+
+    kept = {r[0] for r in simhash.first_of_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).select("doc_id").collect()}
+    assert set(range(150)) <= kept and 2000 not in kept
+    alike = [i for i, w in near if jaccard(texts[i], w) >= 0.8]
+    assert len(alike) > 40 and sum(1000 + i not in kept for i in alike) >= 0.9 * len(alike)
+
+
+def test_key_plan():
+    for n in (10, 10**4, 10**6, 10**9):
+        bits, keys = simhash.key_plan(n)
+        assert 1 - (1 - (1 - simhash.differing(0.8)) ** bits) ** keys >= 0.95 and n / 2**bits <= 4
+
+
 def test_simhash_empty(no_docs):
     assert simhash.digest(no_docs).count() == 0 and simhash.first_of_groups(no_docs).count() == 0
 
