@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Arrow batches that go to Python hold at most so many bytes, however long the texts are.
-BATCH_BYTES = "8m"
-BATCH_ROWS = "4000"
+BATCH_BYTES = "4m"
+BATCH_ROWS = "2000"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -27,7 +27,7 @@ _TOUCHING = ["  ", *(" " + c for c in _ASCII_SPACE), *(c + " " for c in _ASCII_S
 #: Chunks that a worker's memo holds at most, and slots of its hash table.
 _MEMO_LIMIT, _TABLE_BITS = 1_400_000, 21
 #: Characters that are cut into chunks at once.
-_STEP = 1_000_000
+_STEP = 300_000
 _PRIME = 0x9E3779B97F4A7C15 | 1
 _BYTE = np.array([int.from_bytes(hashlib.blake2b(bytes([i]), digest_size=8).digest(), "big") for i in range(256)], np.uint64)
 _ENCODERS: dict[str, "Encoder"] = {}
