@@ -9,7 +9,9 @@ lines of a leaf then stream through one task in id order, which holds the leaf's
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,11 +32,16 @@ def number_like(token: str) -> bool:
 
 
 class Cluster:
-    __slots__ = ("number", "tokens", "params", "count", "first")
+    __slots__ = ("number", "tokens", "params", "count", "first", "text", "places")
 
     def __init__(self, number: int, tokens: list[str], first: int):
         self.number, self.tokens, self.first, self.count = number, list(tokens), first, 0
         self.params = {i for i, t in enumerate(tokens) if number_like(t)}
+        self.note()
+
+    def note(self) -> None:
+        """Keeps the template's text and the parameters' places as a list in text."""
+        self.text, self.places = " ".join(self.tokens), ",".join(map(str, sorted(self.params)))
 
 
 class Leaf:
@@ -57,15 +64,22 @@ class Leaf:
             c = Cluster(len(self.clusters), tokens, line)
             self.clusters.append(c)
         else:
-            for i, (a, b) in enumerate(zip(c.tokens, tokens)):
-                if a != b and a != WILD:
+            new = [i for i, (a, b) in enumerate(zip(c.tokens, tokens)) if a != b and a != WILD]
+            if new:
+                for i in new:
                     c.tokens[i] = WILD
-                    c.params.add(i)
+                c.params.update(new)
+                c.note()
         c.count += 1
         return c
 
 
-_OUT = "id bigint, leaf string, number int, template string, keys array<string>, vals array<string>, last boolean, n bigint"
+_OUT = pa.schema([("id", pa.int64()), ("leaf", pa.string()), ("number", pa.int32()), ("template", pa.string()), ("line", pa.string()), ("places", pa.string()), ("last", pa.bool_()), ("n", pa.int64())])
+_OUT_SQL = "id bigint, leaf string, number int, template string, line string, places string, last boolean, n bigint"
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _OUT)], schema=_OUT)
 
 
 def tokenize(content):
@@ -103,45 +117,46 @@ def mine(lines: DataFrame, column: str = "message", depth: int = DEPTH, threshol
     content = strip_header(F.coalesce(F.col(column), F.lit("")), headers) if headers else F.coalesce(F.col(column), F.lit(""))
     dealt = leaves(lines.select("id", tokenize(content).alias("tokens")), depth, max_children)
 
-    def run(it):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leaf, now = None, None
 
-        def ends():
-            cs = leaf.clusters
-            return pd.DataFrame({"id": [c.first for c in cs], "leaf": now, "number": [c.number for c in cs], "template": [" ".join(c.tokens) for c in cs], "keys": None, "vals": None, "last": True, "n": [c.count for c in cs]})
+        def ends() -> list[tuple]:
+            return [] if leaf is None else [(c.first, now, c.number, c.text, None, None, True, c.count) for c in leaf.clusters]
 
-        for pdf in it:
+        for batch in batches:
             out = []
-            for name, line, tokens in zip(pdf["leaf"], pdf["id"], pdf["tokens"]):
+            for name, line, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if name != now:
-                    if leaf is not None:
-                        if out:
-                            yield pd.DataFrame(out, columns=["id", "leaf", "number", "template", "keys", "vals", "last", "n"])
-                            out = []
-                        yield ends()
+                    out += ends()
                     leaf, now = Leaf(threshold), name
-                tokens = list(tokens)
-                c = leaf.add(tokens, line)
-                at = sorted(c.params)
-                out.append((line, name, c.number, " ".join(c.tokens), [f"param_{i}" for i in at], [tokens[i] for i in at], False, 1))
+                c = leaf.add(text.split(" "), line)
+                out.append((line, name, c.number, c.text, text, c.places, False, 1))
             if out:
-                yield pd.DataFrame(out, columns=["id", "leaf", "number", "template", "keys", "vals", "last", "n"])
+                yield _batch(out)
         if leaf is not None:
-            yield ends()
+            yield _batch(ends())
 
     full = dealt.where("leaf is not null")
-    got = full.repartition("leaf").sortWithinPartitions("leaf", "id").mapInPandas(run, _OUT).persist()
+    lines_of = full.select("leaf", "id", F.array_join("tokens", " ").alias("line"))
+    got = lines_of.repartition("leaf").sortWithinPartitions("leaf", "id").mapInArrow(run, _OUT_SQL).persist()
     none = lines.select("id", content.alias("c")).where("c = ''").select("id")
     final = got.where("last").select("leaf", "number", "template", F.col("id").alias("first_id"), "n")
     alone = none.select(F.lit(None).cast("string").alias("leaf"), F.lit(0).alias("number"), F.lit(EMPTY).alias("template"), F.col("id").alias("first_id"), F.lit(1).cast("bigint").alias("n"))
     numbered = _numbered(final.unionByName(alone))
     clusters = numbered.select("cluster_id", "template", F.col("n").alias("count"), "first_id")
     rows = got.where("not last").join(numbered.select("leaf", "number", "cluster_id", F.col("template").alias("template_final")), ["leaf", "number"])
-    rows = rows.select("id", "cluster_id", F.col("template").alias("template_at_parse"), "template_final", F.map_from_arrays("keys", "vals").alias("params"))
+    rows = rows.select("id", "cluster_id", F.col("template").alias("template_at_parse"), "template_final", _params().alias("params"))
     empty = numbered.where("leaf is null").select(F.col("first_id").alias("id"), "cluster_id", F.lit(EMPTY).alias("template_at_parse"), F.lit(EMPTY).alias("template_final"), F.create_map().cast("map<string,string>").alias("params"))
     return rows.unionByName(empty), clusters
 
 
+def _params():
+    """A row's parameters from its line and its cluster's places at the time."""
+    at, tokens = F.split("places", ","), F.split("line", " ", -1)
+    pairs = F.map_from_arrays(F.transform(at, lambda i: F.concat(F.lit("param_"), i)), F.transform(at, lambda i: F.get(tokens, i.cast("int"))))
+    return F.when(F.col("places") == "", F.create_map().cast("map<string,string>")).otherwise(pairs)
+
+
 def _numbered(clusters: DataFrame) -> DataFrame:
     """clusters with cluster_id, by first_id: ranks of range parts, then offsets of the parts."""
     from ..sources.reader import with_ordinal

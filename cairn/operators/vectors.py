@@ -114,6 +114,7 @@ def embed_with(df: DataFrame, embedder: Embedder, column: str = "template") -> D
 def store_templates(templates: DataFrame, embedder: Embedder | None = None, dim: int = 64) -> DataFrame:
     """Points of a template table; templates whose embedding failed (an empty vector) are left out."""
     t = templates.select("template", "template_id", "count")
-    e = embed_with(t, embedder) if embedder is not None else t.withColumn("embedding", embed_hash(F.col("template"), dim))
+    # only a service's vectors can be empty; a filter on the hashed ones would be pushed below the counting
+    e = embed_with(t, embedder).where(F.size("embedding") > 0) if embedder is not None else t.withColumn("embedding", embed_hash(F.col("template"), dim))
     payload = F.create_map(F.lit("template"), F.col("template"), F.lit("template_id"), F.col("template_id"), F.lit("count"), F.col("count").cast("string"))
-    return e.where(F.size("embedding") > 0).select(point_id(F.col("template")).alias("point_id"), "template", "embedding", payload.alias("payload"))
+    return e.select(point_id(F.col("template")).alias("point_id"), "template", "embedding", payload.alias("payload"))

@@ -29,6 +29,19 @@ def record(valid: Column, **parts: Column) -> Column:
     return F.when(valid, F.struct(*cols))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _last_wins(keys: Column, values: Column) -> Column:
+    """A map of two arrays; of equal keys the last counts."""
+    entries = F.arrays_zip(keys.alias("k"), values.alias("v"))
+    kept = F.filter(entries, lambda e, i: F.array_position(F.slice(keys, i + 2, F.size(keys)), e["k"]) == 0)
+    dealt = F.map_from_arrays(F.transform(kept, lambda e: e["k"]), F.transform(kept, lambda e: e["v"]))
+    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.map_from_arrays(keys, values)).otherwise(dealt)
+
+
 def _map(pairs: dict[str, Column]) -> Column:
     """A string map without the null values."""
     if not pairs:
@@ -67,17 +80,20 @@ def parse_json(line: Column, dimensions=(), datetime_format: str = "%Y-%m-%dT%H:
         for d in dimensions:
             ok = ok & F.coalesce(F.schema_of_variant(F.try_variant_get(v, f"$['{d}']", "variant")) == "STRING", F.lit(False))
         return record(ok, **_special(strings, datetime_format, year, {"body", "severity", "level", "message"}))
-    f = json_scalars(line)
-    get = lambda k: F.try_element_at(f, F.lit(k))
-    first = lambda a, b: F.coalesce(get(a), get(b))
-    return record(
-        f.isNotNull() & (F.trim(line) != "{}"),
-        fields=f,
-        severity=first("severity", "level"),
-        timestamp=parse_any(first("timestamp", "time"), (datetime_format, *JSON_FORMATS), year),
-        level=F.coalesce(first("level", "severity"), F.lit("")),
-        message=F.coalesce(first("message", "msg"), F.lit("")),
-    )
+
+    def build(f: Column) -> Column:
+        get = lambda k: F.try_element_at(f, F.lit(k))
+        first = lambda a, b: F.coalesce(get(a), get(b))
+        return record(
+            f.isNotNull() & ~line.rlike(r"^\s*\{\s*\}\s*$"),
+            fields=f,
+            severity=first("severity", "level"),
+            timestamp=let(first("timestamp", "time"), lambda t: parse_any(t, (datetime_format, *JSON_FORMATS), year)),
+            level=F.coalesce(first("level", "severity"), F.lit("")),
+            message=F.coalesce(first("message", "msg"), F.lit("")),
+        )
+
+    return let(json_scalars(line), build)
 
 
 def parse_csv(line: Column, dimensions=(), delimiter: str = ",", datetime_format: str = "%Y-%m-%dT%H:%M:%SZ", quoted: bool = False, year: int | None = None, **_) -> Column:
@@ -142,13 +158,14 @@ def parse_logfmt(line: Column, year: int | None = None, **_) -> Column:
     pair = r'([A-Za-z_][\w.\-]*)=("(?:[^"\\]|\\.)*"|[^\s"]*)'
     keys = F.regexp_extract_all(line, F.lit(pair), F.lit(1))
     values = F.transform(F.regexp_extract_all(line, F.lit(pair), F.lit(2)), _unquoted)
-    # of equal keys the last counts
-    entries = F.arrays_zip(keys.alias("k"), values.alias("v"))
-    last = F.filter(F.transform(entries, lambda e, i: F.struct(e["k"].alias("k"), e["v"].alias("v"), (F.array_position(F.slice(keys, i + 2, F.size(keys)), e["k"]) == 0).alias("keep"))), lambda e: e["keep"])
-    f = F.map_from_arrays(F.transform(last, lambda e: e["k"]), F.transform(last, lambda e: e["v"]))
-    get = lambda *ks: F.coalesce(*[F.try_element_at(f, F.lit(k)) for k in ks])
-    level = F.coalesce(get("level", "lvl", "severity"), F.lit(""))
-    return record(F.size(keys) > 0, fields=f, severity=get("level", "lvl", "severity"), timestamp=parse_any(get("time", "ts", "timestamp"), year=year), level=level, message=F.coalesce(get("msg", "message"), F.lit("")))
+
+    def build(f: Column) -> Column:
+        get = lambda *ks: F.coalesce(*[F.try_element_at(f, F.lit(k)) for k in ks])
+        level = get("level", "lvl", "severity")
+        at = let(get("time", "ts", "timestamp"), lambda t: parse_any(t, ("%Y-%m-%dT%H:%M:%S", *JSON_FORMATS), year))
+        return record(F.size(f) > 0, fields=f, severity=level, timestamp=at, level=F.coalesce(level, F.lit("")), message=F.coalesce(get("msg", "message"), F.lit("")))
+
+    return let(F.struct(keys.alias("k"), values.alias("v")), lambda e: let(_last_wins(e["k"], e["v"]), build))
 
 
 def parse_log4j(line: Column, **_) -> Column:
@@ -162,19 +179,27 @@ def parse_log4j(line: Column, **_) -> Column:
 
 def parse_cef(line: Column, **_) -> Column:
     """Seven headers between unescaped bars, then key=value extensions whose values may hold spaces."""
-    parts = F.split(line, r"(?<!\\)\|", 8)
     plain = lambda c: F.regexp_replace(c, r"\\([\\|=])", "$1")
     names = ("version", "vendor", "product", "device_version", "signature_id", "name", "severity")
-    head = {n: plain(F.get(parts, i)) for i, n in enumerate(names)}
-    head["version"] = F.regexp_replace(head["version"], r"^.*?CEF:", "")
     pair = r"(\w+)=((?:\\.|[^\\=])*)(?=\s+\w+=|\s*$)"
-    ext = F.coalesce(F.get(parts, 7), F.lit(""))
-    keys = F.regexp_extract_all(ext, F.lit(pair), F.lit(1))
-    values = F.transform(F.regexp_extract_all(ext, F.lit(pair), F.lit(2)), lambda v: F.trim(plain(v)))
-    extension = F.map_from_entries(F.filter(F.transform(F.arrays_zip(keys.alias("k"), values.alias("v")), lambda e, i: F.when((F.array_position(F.slice(keys, i + 2, F.size(keys)), e["k"]) == 0) & ~F.array_contains(F.array(*map(F.lit, names)), e["k"]), F.struct(e["k"], e["v"]))), lambda e: e.isNotNull()))
-    fields = F.map_concat(_map(head), extension)
-    message = F.coalesce(F.try_element_at(extension, F.lit("msg")), head["name"])
-    return record(line.rlike(r"CEF:\d") & (F.size(parts) >= 7), fields=fields, severity=head["severity"], level=head["severity"], message=message)
+
+    def extension(text: Column) -> Column:
+        keys = F.regexp_extract_all(text, F.lit(pair), F.lit(1))
+        values = F.transform(F.regexp_extract_all(text, F.lit(pair), F.lit(2)), lambda v: F.trim(plain(v)))
+        return let(F.struct(keys.alias("k"), values.alias("v")), lambda e: _last_wins(e["k"], e["v"]))
+
+    def build(parts: Column) -> Column:
+        head = {n: plain(F.get(parts, i)) for i, n in enumerate(names)}
+        head["version"] = F.regexp_replace(head["version"], r"^.*?CEF:", "")
+
+        def whole(more: Column) -> Column:
+            own = F.map_filter(more, lambda k, _: ~k.isin(list(names)))
+            message = F.coalesce(F.try_element_at(more, F.lit("msg")), head["name"])
+            return record(line.rlike(r"CEF:\d") & (F.size(parts) >= 7), fields=F.map_concat(_map(head), own), severity=head["severity"], level=head["severity"], message=message)
+
+        return let(extension(F.coalesce(F.get(parts, 7), F.lit(""))), whole)
+
+    return let(F.split(line, r"(?<!\\)\|", 8), build)
 
 
 #: Parsers by format name.

@@ -101,6 +101,7 @@ def live_templates(lines: DataFrame, threshold: float = 0.5) -> DataFrame:
             for i, (tokens, params, n, first) in enumerate(state.get[0]):
                 c = Cluster(i, list(tokens), first)
                 c.params, c.count = set(params), n
+                c.note()
                 leaf.clusters.append(c)
         out = []
         rows = pd.concat(list(batches)).sort_values("id")
