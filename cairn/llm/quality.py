@@ -5,8 +5,9 @@ counts, discounts, interpolated probabilities and back-off weights as DataFrames
 them up in sorted hash arrays: 32-bit hash keys in ascending order, one per 24-bit slot (the more
 frequent n-gram keeps a contested slot, the other is scored by back-off), values beside them, and an
 index of the keys' leading bits.  The arrays hold at most 2**24 entries whatever the corpus, which
-bounds what is broadcast.  A document whose log-perplexity per byte lies outside its language's band
-is rejected; a band is the median and quartile range of all the language's documents.
+bounds what is broadcast.  A document's log-perplexity is its log-loss per byte of content: the rules'
+symbols cost surprise but are no content, so noise among words counts in full.  Outside its language's
+band it is rejected; a band is made from the quartiles of all the language's documents.
 
 Cases: a null text has no words and fails; null languages form a language of their own; documents
 without a byte have no perplexity; repeated rows count and are judged as often as they occur; an empty
@@ -29,7 +30,7 @@ from .common import bound_batches, tidy, with_text, written
 ORDER = 5
 SLOT_BITS, INDEX_BITS = 24, 20
 #: A band reaches so many quartile ranges beyond the quartiles, each at least FLOOR nats a byte wide.
-BELOW, ABOVE, FLOOR = 6.0, 3.5, 0.02
+BELOW, ABOVE, FLOOR = 8.0, 4.0, 0.02
 #: Fixed values of the rules.
 SYMBOLS = b"#*$%&|<>"
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -238,7 +239,7 @@ SCORED = "doc_id bigint, text_hash bigint, lang_code int, n_words bigint, word_c
 
 
 def score(docs: DataFrame, arrays: HashArrays) -> DataFrame:
-    """The base counts and the log-perplexity per byte of every document."""
+    """The base counts and the log-perplexity per byte of content of every document."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(arrays)
 
@@ -251,7 +252,8 @@ def score(docs: DataFrame, arrays: HashArrays) -> DataFrame:
             for part in _slices(texts):
                 gram, lang, sizes = _stream(texts[part], langs[part])
                 total = np.bincount(np.repeat(np.arange(len(sizes)), sizes), log_probabilities(model, gram, lang), len(sizes))
-                mean += [-t / n if n else None for t, n in zip(total.tolist(), sizes.tolist())]
+                content = np.maximum(sizes - base[part, 2], 1).tolist()
+                mean += [-t / c if n else None for t, n, c in zip(total.tolist(), sizes.tolist(), content)]
             codes = pa.array([language_code(x) for x in langs], pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(3), codes, *(pa.array(base[:, i]) for i in range(5)), pa.array(mean, pa.float64())], names=[x.split()[0] for x in SCORED.split(", ")])
 
