@@ -2,8 +2,9 @@
 
 Every shard owns many points of a ring.  A document hashes to a place on the ring and belongs to the
 next point clockwise; a shard takes at most (1 + slack) times the mean bytes, and documents past that
-continue clockwise to the next shard with room.  The ring has 65536 segments, so its plan is made from
-65536 sums whatever the number of documents, and only segments where a shard fills up are cut.
+continue clockwise to the next shard with room.  The ring has 65536 segments, which are placed whole, the
+heaviest first, so its plan is made from 65536 sums whatever the number of documents; only a segment of
+many documents that outweighs a 64th of a shard (one doc_id repeated) is cut.
 
 Cases: a null text has size 1; null doc_ids share one place on the ring; repeated rows are placed as
 often as they occur, equal rows next to each other; a document larger than a shard's share still goes
@@ -12,6 +13,8 @@ to one shard; an empty table gives no rows; columns other than doc_id and text a
 
 from __future__ import annotations
 
+import bisect
+import functools
 import hashlib
 import math
 
@@ -29,24 +32,39 @@ def ring_points(shards: int, points: int) -> list[tuple[int, int]]:
     return sorted((place(s, v), s) for s in range(shards) for v in range(points))
 
 
-def ring_plan(loads: dict[int, int], shards: int, points: int, slack: float) -> list[tuple[int, int, int, int]]:
-    """(segment, shard, from byte, to byte): who takes which part of each segment's bytes."""
+def ring_plan(loads: dict[int, tuple[int, int]], shards: int, points: int, slack: float) -> list[tuple[int, int, int, int]]:
+    """(segment, shard, from byte, to byte) from each segment's (bytes, documents).
+
+    A segment goes to its own point's shard, or clockwise to the first shard that it fits into; one that
+    fits nowhere goes to the shard with most room.
+    """
     ring = ring_points(shards, points)
-    total = sum(loads.values())
-    room = [math.ceil((1 + slack) * total / shards)] * shards
-    plan, at = [], 0
-    for segment in range(SEGMENTS):
-        while at < len(ring) and ring[at][0] < segment:
-            at += 1
-        left, lo, v = loads.get(segment, 0), 0, at
-        while left:
-            shard = ring[v % len(ring)][1]
-            take = min(left, room[shard])
-            if take:
-                plan.append((segment, shard, lo, lo + take))
-                room[shard] -= take
-                lo, left = lo + take, left - take
-            v += 1
+    places = [p for p, _ in ring]
+    limit = math.ceil((1 + slack) * sum(n for n, _ in loads.values()) / shards)
+    room, plan = [limit] * shards, []
+
+    @functools.cache
+    def clockwise_from(at: int) -> tuple[int, ...]:
+        return tuple(dict.fromkeys(ring[(at + v) % len(ring)][1] for v in range(len(ring))))
+
+    for segment, (load, rows) in sorted(loads.items(), key=lambda x: (-x[1][0], x[0])):
+        clockwise = clockwise_from(bisect.bisect_left(places, segment))
+        if rows > 1 and load * 64 > limit:
+            lo = 0
+            for shard in clockwise:
+                take = min(load - lo, max(0, room[shard]))
+                if take:
+                    plan.append((segment, shard, lo, lo + take))
+                    room[shard] -= take
+                    lo += take
+            if lo < load:  # rounding left a rest
+                plan.append((segment, clockwise[0], lo, load))
+            continue
+        shard = next((s for s in clockwise if room[s] >= load), None)
+        if shard is None:
+            shard = max(range(shards), key=room.__getitem__)
+        plan.append((segment, shard, 0, load))
+        room[shard] -= load
     return plan
 
 
@@ -60,8 +78,8 @@ def shard_documents(docs: DataFrame, shards: int = 16, points: int = 128, slack:
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32"), F.xxhash64("doc_id").alias("place"))
     rows = written(rows.withColumn("segment", F.shiftrightunsigned("place", 48).cast("int")), "ring")
-    loads = rows.groupBy("segment").agg(F.sum("size").alias("n")).toPandas()
-    plan = ring_plan(dict(zip(loads["segment"].tolist(), loads["n"].tolist())), shards, points, slack)
+    loads = rows.groupBy("segment").agg(F.sum("size").alias("n"), F.count("*").alias("k")).toPandas()
+    plan = ring_plan(dict(zip(loads["segment"].tolist(), zip(loads["n"].tolist(), loads["k"].tolist()))), shards, points, slack)
     pieces = spark.createDataFrame(plan or [(-1, 0, 0, 0)], "segment int, shard int, lo bigint, hi bigint")
     # place within the segment: bytes before the document's middle tell its shard where a segment is cut
     order = Window.partitionBy("segment").orderBy("place", "doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)

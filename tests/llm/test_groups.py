@@ -223,12 +223,16 @@ def test_sharding_is_even_and_moves_little(spark):
 
 
 def test_ring_plan_covers_every_byte():
-    loads = {i: (i * 7919) % 100 for i in range(0, 65536, 11)}
+    loads = {i: (1 + (i * 7919) % 100, 2) for i in range(0, 65536, 11)} | {77: (90_000, 5), 78: (50_000, 1)}
     plan = sharding.ring_plan(loads, 5, 32, 0.01)
     got = Counter()
     for seg, _, lo, hi in plan:
         got[seg] += hi - lo
-    assert got == Counter({k: v for k, v in loads.items() if v})
+    assert got == Counter({k: v for k, (v, _) in loads.items()})
+    size = Counter()
+    for _, shard, lo, hi in plan:
+        size[shard] += hi - lo
+    assert max(size.values()) <= 1.02 * sum(size.values()) / 5
 
 
 def test_sharding_empty(no_docs):
