@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.kernels import let
+
 STORE = "point_id string, template string, embedding array<float>, payload map<string,string>"
 
 
@@ -98,7 +100,8 @@ def embed_hash(text: Column, dim: int = 64) -> Column:
     """An offline embedding: counts of a text's tokens in hashed places."""
     tokens = F.filter(F.split(F.lower(text), r"[^a-z0-9<*>]+"), lambda t: t != "")
     places = F.transform(tokens, lambda t: F.pmod(F.crc32(t.cast("binary")), F.lit(dim)).cast("int"))
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("float"))
+    count = lambda at, i: F.size(F.filter(at, lambda p: p == i)).cast("float")
+    return let(places, lambda at: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: count(at, i)))
 
 
 def embed_with(df: DataFrame, embedder: Embedder, column: str = "template") -> DataFrame:

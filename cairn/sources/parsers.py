@@ -12,6 +12,7 @@ from datetime import datetime
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.kernels import let
 from ..functions.times import JSON_FORMATS, parse_any, parse_time
 
 RECORD = "struct<body:string,template:string,fields:map<string,string>,severity:string,timestamp:timestamp_ntz,level:string,message:string>"
@@ -29,11 +30,6 @@ def record(valid: Column, **parts: Column) -> Column:
     return F.when(valid, F.struct(*cols))
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is computed once, however often body uses it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _last_wins(keys: Column, values: Column) -> Column:
     """A map of two arrays; of equal keys the last counts."""
     entries = F.arrays_zip(keys.alias("k"), values.alias("v"))
