@@ -52,10 +52,15 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """df, computed once and written to the shared folder: lost executors lose nothing of it."""
+    """df, computed once and written to the shared folder: lost executors lose nothing of it.
+
+    The folder is removed when the application ends.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cairn-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
