@@ -93,13 +93,12 @@ def leaves(lines: DataFrame, depth: int, max_children: int) -> DataFrame:
     rows = lines.withColumns({"__n": F.size("tokens")} | {n: key(i) for i, n in enumerate(names)})
     paths = rows.where("__n > 0").groupBy("__n", *names).agg(F.min("id").alias("first")).withColumn("leaf", F.col("__n").cast("string"))
     for n in names:
-        # sibling keys in order of arrival; those past the cap share the wildcard
-        siblings = paths.where(F.col(n).isNotNull()).groupBy("leaf", n).agg(F.min("first").alias("f"))
-        rank = F.row_number().over(Window.partitionBy("leaf").orderBy("f"))
-        kept = siblings.withColumn("r", rank).where(F.col("r") <= max_children).select("leaf", n, F.lit(True).alias("ok"))
-        paths = paths.join(kept, ["leaf", n], "left")
-        step = F.when(F.col(n).isNull(), F.lit("")).when(F.col("ok"), F.concat(F.lit("\x1f"), n)).otherwise(F.lit("\x1f" + WILD))
-        paths = paths.withColumn("leaf", F.concat("leaf", step)).drop("ok")
+        # sibling keys in order of arrival (a line has one key, so no two tie); those past the cap share
+        # the wildcard.  One shuffle a level: both windows fit a table dealt out by leaf
+        paths = paths.repartition("leaf").withColumn("__f", F.min("first").over(Window.partitionBy("leaf", n)))
+        paths = paths.withColumn("__r", F.dense_rank().over(Window.partitionBy("leaf").orderBy("__f")))
+        step = F.when(F.col(n).isNull(), F.lit("")).when(F.col("__r") <= max_children, F.concat(F.lit("\x1f"), n)).otherwise(F.lit("\x1f" + WILD))
+        paths = paths.withColumn("leaf", F.concat("leaf", step)).drop("__f", "__r")
     p = paths.select(F.col("__n").alias("__m"), *[F.col(n).alias(n + "_") for n in names], "leaf")
     on = F.col("__n") == F.col("__m")
     for n in names:
