@@ -16,8 +16,8 @@ similar_documents is the wider form: fingerprints of 256 bits over five-word shi
 Jaccard likeness of their shingles is 0.8 or more.  At the distances that this stands for no few blocks
 stay equal, so keys are samples of bits: as many bits as the classes' number asks for, and as many keys
 as find a pair of likeness 0.8 with a probability of 0.95.  A bucket gives the edges of a least spanning
-forest of the pairs near enough; each edge's likeness is then verified on its ends' least 192 shingle
-hashes, which are all of them, and so exact, for texts with no more shingles than that.
+forest of the pairs near enough; these only gather families.  In a family all pairs are compared by their
+whole shingle sets, and only pairs of likeness 0.8 or more become links.
 
 Cases: a null text has no words and, like any text without words, fingerprint zero; fewer words than a
 shingle make one shingle; null doc_ids come after all others in a group; repeated rows are members like
@@ -291,6 +291,8 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 WIDE, WIDE_WIDTH, LIKENESS, RECALL = 4, 5, 0.8, 0.95
 #: Linked are pairs up to so many standard deviations over the distance that LIKENESS stands for.
 MARGIN = 1.6
+#: Classes, and shingles, of a family's slice; shingles of more sets than RARE are counted by matrix products.
+FAMILY, FAMILY_SHINGLES, RARE = 512, 500_000, 8
 
 
 def differing(likeness: float) -> float:
@@ -333,30 +335,144 @@ def link_similar(classes: DataFrame, words: int = WIDE, likeness: float = LIKENE
     return _link_buckets(keyed, words, wide_radius(likeness, words), 2 * parts_of(classes) + keys // 4)
 
 
-def sketch_likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard likeness from two sorted sketches: the common part of the union's least hashes."""
-    both = np.union1d(a, b)[:SKETCH]
-    return float(np.isin(np.intersect1d(a, b, assume_unique=True), both).sum()) / len(both) if len(both) else 1.0
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """(n, n) numbers of common elements of sets without repeats; only above the diagonal."""
+    n = len(sets)
+    row, value = np.repeat(np.arange(n), [len(s) for s in sets]), np.concatenate(sets)
+    order = np.argsort(value, kind="stable")
+    row, value = row[order], value[order]
+    _, column, count = np.unique(value, return_inverse=True, return_counts=True)
+    held = count[column]
+    out = np.zeros((n, n), np.int64)
+    # elements of few sets by their pairs, of many by products of 0-1 matrices
+    rare = (held > 1) & (held <= RARE)
+    r, v = row[rare], value[rare]
+    for lag in range(1, RARE):
+        same = np.flatnonzero(v[lag:] == v[:-lag])
+        if not len(same):
+            break
+        out += np.bincount(r[same] * n + r[same + lag], minlength=n * n).reshape(n, n)
+    often = held > RARE
+    r, _c = row[often], column[often]
+    c = np.unique(_c, return_inverse=True)[1]
+    for lo in range(0, int(c.max()) + 1 if len(c) else 0, 1024):
+        at = slice(*np.searchsorted(c, (lo, lo + 1024)))
+        block = np.zeros((n, 1024), np.float32)
+        block[r[at], c[at] - lo] = 1
+        out += np.triu(block @ block.T, 1).astype(np.int64)
+    return out
+
+
+def alike(sets: list[np.ndarray], trees: np.ndarray, likeness: float = LIKENESS) -> list[tuple[int, int]]:
+    """Spanning edges (positions) of the pairs of different trees whose Jaccard likeness is at least likeness."""
+    size = np.array([len(s) for s in sets])
+    common = overlaps(sets)
+    a, b = np.nonzero(common)
+    ratio = common[a, b] / (size[a] + size[b] - common[a, b])
+    keep = np.flatnonzero((ratio >= likeness) & (trees[a] != trees[b]))
+    keep = keep[np.argsort(-ratio[keep], kind="stable")]
+    forest = Forest(len(sets))
+    forest.join(a[keep], b[keep])
+    return forest.edges
+
+
+def shingle_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """(node, component, size, hashes): the distinct shingle hashes of the texts of members' first rows.
+
+    Repeated rows may give a node more than once, equal each time.
+    """
+    m = members.select("node", "component", F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__hash"))
+    texts = docs.join(m, docs["doc_id"].eqNullSafe(m["__id"]) & (F.xxhash64(docs["text"]) == m["__hash"])).select(m["node"], m["component"], docs["text"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in batches:
+            nodes = b.column(0).to_pylist()
+            new = [i for i, x in enumerate(nodes) if x not in seen and not seen.add(x)]
+            part = b.take(pa.array(new, pa.int64()))
+            sets = [np.unique(np.array(shingle_hashes(t, WIDE_WIDTH), np.uint64)) for t in part.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())], names=["node", "component", "size", "hashes"])
+
+    return texts.mapInArrow(tidy(run), "node bigint, component bigint, size bigint, hashes binary")
 
 
-def verified(edges: DataFrame, classes: DataFrame, likeness: float = LIKENESS) -> DataFrame:
-    """The edges whose ends' sketches are as alike as likeness."""
-    sketch = classes.select("node", F.col("first.sketch").alias("sketch"))
-    e = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    e = e.join(sketch.select(F.col("node").alias("u"), F.col("sketch").alias("a")), "u").join(sketch.select(F.col("node").alias("v"), F.col("sketch").alias("b")), "v")
+def verified(edges: DataFrame, sets: DataFrame, likeness: float = LIKENESS) -> DataFrame:
+    """The edges (u, v) whose ends' whole shingle sets are as alike as likeness; sets has each node once."""
+    e = edges.join(sets.select(F.col("node").alias("u"), F.col("hashes").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("hashes").alias("b")), "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [sketch_likeness(np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")) >= likeness for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            pairs = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+            ok = [bool(alike([np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")], np.arange(2), likeness)) for a, b in pairs]
             yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
     return e.select("u", "v", "a", "b").mapInArrow(tidy(run), "u bigint, v bigint")
 
 
+def _slices_of(rows: str, shingles: str):
+    return F.expr(f"cast(greatest(1, ceil(({rows}) / {FAMILY}), ceil(({shingles}) / {FAMILY_SHINGLES})) as int)")
+
+
+def link_families(docs: DataFrame, classes: DataFrame, edges: DataFrame, likeness: float = LIKENESS) -> DataFrame:
+    """Edges that connect each two classes of likeness or more in one component of the edges given.
+
+    The edges given are spanning edges of loosely near pairs, so the two ends of every near pair are in one
+    of their components (families); all pairs of a family are compared by their whole shingle sets.  In a
+    large family the given edges are verified first; pairs inside the largest tree of those that stay need
+    no comparison, and the others are dealt out as pairs of slices.
+    """
+    near = written(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "near")
+    members = components(near, "loose").join(classes.select("node", "first"), "node")
+    sets = written(shingle_sets(docs, members), "sets")
+    sizes = sets.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
+    large = written(sizes.where(f"n > {FAMILY} or total > {FAMILY_SHINGLES}"), "large")
+    cells = sets.select(F.col("component").alias("grp"), F.lit(0).alias("lo"), F.lit(0).alias("hi"), "node", F.col("node").alias("tree"), "hashes")
+    firm, n_large = None, large.count()
+    if n_large:
+        few = F.broadcast(large) if n_large <= 100_000 else large
+        inside = written(sets.join(few, "component").dropDuplicates(["node"]), "inside")
+        firm = written(verified(near, inside, likeness), "firm")
+        trees = components(firm, "trees").select("node", F.col("component").alias("tree"))
+        inside = inside.join(trees, "node", "left").withColumn("tree", F.coalesce("tree", "node"))
+        per = inside.groupBy("component", "tree").agg(F.count("*").alias("m"), F.sum("size").alias("mt"))
+        main = per.groupBy("component").agg(F.max(F.struct("m", "mt", "tree")).alias("main"), F.sum("m").alias("k"), F.sum("mt").alias("kt")).where("k > main.m")
+        plan = main.select("component", F.col("main.tree").alias("top"), _slices_of("k - main.m", "kt - main.mt").alias("rest"), _slices_of("main.m", "main.mt").alias("most"))
+        dealt = inside.join(F.broadcast(plan) if n_large <= 100_000 else plan, "component")
+        at = F.xxhash64("node", F.lit(1))
+        dealt = dealt.withColumn("own", F.when(F.expr("tree = top"), F.col("rest") + F.pmod(at, F.col("most"))).otherwise(F.pmod(at, F.col("rest"))).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, if(tree = top, rest, rest + most) - 1)")))
+        dealt = dealt.select(F.col("component").alias("grp"), F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "tree", "hashes")
+        cells = cells.join(few, cells["grp"] == large["component"], "left_anti").unionByName(dealt)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, nodes, trees, held = None, [], [], {}
+
+        def out() -> pa.RecordBatch:
+            ends = alike(list(held.values()), np.array(trees), likeness) if len(held) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([nodes[e[k]] for e in ends], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+        for b in batches:
+            for grp, lo, hi, node, tree, hashes in zip(*(b.column(k).to_pylist() for k in range(6))):
+                if (grp, lo, hi) != cell:
+                    if held:
+                        yield out()
+                    cell, nodes, trees, held = (grp, lo, hi), [], [], {}
+                if node not in held:
+                    nodes.append(node)
+                    trees.append(tree)
+                    held[node] = np.frombuffer(hashes, "<u8")
+        if held:
+            yield out()
+
+    n_parts = max(parts_of(classes), parts_of(sets))
+    found = cells.repartition(n_parts, "grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi").mapInArrow(tidy(run), "u bigint, v bigint")
+    return found if firm is None else found.unionByName(firm)
+
+
 def similar_documents(docs: DataFrame) -> DataFrame:
     """doc_id and text_hash of the first row of each group of similar documents."""
     classes = _classes(fingerprint_documents(docs, WIDE_WIDTH, WIDE), WIDE)
-    groups = _groups(classes, verified(link_similar(classes), classes))[1]
+    groups = _groups(classes, link_families(docs, classes, link_similar(classes)))[1]
     return groups.select("first.doc_id", "first.text_hash")
 
 

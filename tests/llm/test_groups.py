@@ -130,6 +130,22 @@ def test_similar_documents(spark):
     assert len(alike) > 40 and sum(1000 + i not in kept for i in alike) >= 0.9 * len(alike)
 
 
+@pytest.mark.parametrize("slice_size", [512, 40])
+def test_similar_pairs_inside_a_family(spark, monkeypatch, slice_size):
+    """Documents of one template, about 0.74 alike, with planted pairs over 0.8: every pair is one group, and nothing else is."""
+    monkeypatch.setattr(simhash, "FAMILY", slice_size)
+    rng = random.Random(12)
+    template = [f"t{rng.randrange(5000)}" for _ in range(340)]
+    family = [template + [f"u{rng.randrange(10**6)}" for _ in range(60)] for _ in range(240)]
+    pairs = [(i, family[i][:-25] + [f"v{rng.randrange(10**6)}" for _ in range(25)]) for i in range(40)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(family)] + [(1000 + i, " ".join(w)) for i, w in pairs]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in [*enumerate(family), *((1000 + i, w) for i, w in pairs)]}
+    alike = {(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert alike == {(i, 1000 + i) for i in range(40)}
+    kept = {r[0] for r in simhash.first_of_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).select("doc_id").collect()}
+    assert kept == set(range(240))
+
+
 def test_key_plan():
     for n in (10, 10**4, 10**6, 10**9):
         bits, keys = simhash.key_plan(n)
