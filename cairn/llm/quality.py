@@ -1,16 +1,16 @@
 """Quality rules by n-gram perplexity: a modified Kneser-Ney model over UTF-8 bytes, per language.
 
-Spark counts the byte 5-grams of all documents by language and derives the lower orders' continuation
+Spark counts the byte 5-grams of all distinct texts by language and derives the lower orders' continuation
 counts, discounts, interpolated probabilities and back-off weights as DataFrames.  Scoring tasks look
 them up in sorted hash arrays: 32-bit hash keys in ascending order, one per 24-bit slot (the more
 frequent n-gram keeps a contested slot, the other is scored by back-off), values beside them, and an
 index of the keys' leading bits.  The arrays hold at most 2**24 entries whatever the corpus, which
 bounds what is broadcast.  A document's log-perplexity is its log-loss per byte of content: the rules'
 symbols cost surprise but are no content, so noise among words counts in full.  Outside its language's
-band it is rejected; a band is made from the quartiles of all the language's documents.
+band it is rejected; a band is made from the quartiles of all the language's distinct texts.
 
 Cases: a null text has no words and fails; null languages form a language of their own; documents
-without a byte have no perplexity; repeated rows count and are judged as often as they occur; an empty
+without a byte have no perplexity; copies count once in the model and the bands, and each is judged; an empty
 table gives no rows; columns other than doc_id, text and lang are ignored.
 """
 
@@ -104,6 +104,15 @@ def count_grams(docs: DataFrame) -> DataFrame:
     return out.groupBy("lang", "gram").agg(F.sum("c").alias("c"))
 
 
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """(text, lang): each text of a language once; only texts that occur more than once are shuffled."""
+    keyed = docs.select("text", "lang", F.xxhash64(F.col("lang").isNull(), "lang", "text").alias("key"))
+    again = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "again")
+    few = F.broadcast(again) if again.count() <= 1_000_000 else again
+    copies = keyed.join(few, "key", "left_semi").dropDuplicates(["key"])
+    return keyed.join(few, "key", "left_anti").unionByName(copies).select("text", "lang")
+
+
 def _grams(k: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array((k >> 40).astype(np.int32)), pa.array(k & ((1 << 40) - 1)), pa.array(c.astype(np.int64))], names=["lang", "gram", "c"])
 
@@ -263,11 +272,12 @@ def score(docs: DataFrame, arrays: HashArrays) -> DataFrame:
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, the base counts, base_failed, log_perplexity and kept of every document."""
     bound_batches(docs.sparkSession)
-    top = written(count_grams(docs), "grams")
+    top = written(count_grams(distinct_texts(docs)), "grams")
     scored = written(score(docs, hash_arrays(kneser_ney(top))), "scored")
     failed = F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {REPEAT_PERCENT} * n_words")
     scored = scored.withColumn("base_failed", failed)
-    bands = scored.where("not base_failed").groupBy("lang_code").agg(F.percentile_approx("log_perplexity", [0.25, 0.5, 0.75], 10000).alias("q"))
+    once = scored.where("not base_failed").groupBy("lang_code", "text_hash").agg(F.first("log_perplexity").alias("log_perplexity"))
+    bands = once.groupBy("lang_code").agg(F.percentile_approx("log_perplexity", [0.25, 0.5, 0.75], 10000).alias("q"))
     wide = F.greatest(F.expr("q[2] - q[0]"), F.lit(FLOOR))
     bands = bands.select("lang_code", (F.expr("q[0]") - BELOW * wide).alias("lo"), (F.expr("q[2]") + ABOVE * wide).alias("hi"))
     # language codes have 16 bits, so there are at most 65536 bands

@@ -186,6 +186,23 @@ def test_perplexity_bands_reject_noise(spark):
     assert all(out[i] for i in range(150)) and not out[1000] and not out[1001]
 
 
+@pytest.mark.parametrize("share", [1 / 3, 0.8])
+def test_copies_move_no_band(spark, share):
+    """A group of copies changes no other row's log-perplexity or verdict."""
+    import random
+
+    from .conftest import prose
+
+    rng = random.Random(5)
+    rows = [(i, prose(rng, 200), "en") for i in range(150)]
+    rows += [(1000 + i, " ".join("".join(chr(rng.randint(33, 126)) for _ in range(7)) for _ in range(80)), "en") for i in range(2)]
+    copies = [(2000 + i, rows[0][1], "en") for i in range(round(len(rows) * share / (1 - share)))]
+    schema = "doc_id bigint, text string, lang string"
+    alone, among = ({r["doc_id"]: r for r in quality.digest(spark.createDataFrame(x, schema)).collect()} for x in (rows, rows + copies))
+    assert all(among[i]["kept"] == alone[i]["kept"] and math.isclose(among[i]["log_perplexity"], alone[i]["log_perplexity"], rel_tol=1e-6) for i in alone)
+    assert all(among[i]["kept"] for i, _, _ in copies) and among[149]["kept"] and not among[1000]["kept"] and not among[1001]["kept"]
+
+
 def test_quality_empty(no_docs, docs):
     assert quality.digest(no_docs).count() == 0
     assert quality.kept_documents(docs).columns == docs.columns
