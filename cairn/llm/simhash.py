@@ -41,8 +41,6 @@ from .components import components
 WIDTH, RADIUS, SEED = 3, 3, 42
 #: Pivots of a distance table, and classes of a bucket that one task compares.
 PIVOTS, SLICE = 48, 4096
-#: Shingle hashes that a sketch keeps.
-SKETCH = 192
 #: (first bit, bits) of the five blocks; a key is the bits of two of them.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -81,11 +79,8 @@ def _spread(h: np.ndarray, words: int) -> np.ndarray:
     return out
 
 
-def fingerprints_of(texts: list, width: int = WIDTH, words: int = 1, sketches: list | None = None) -> np.ndarray:
-    """(texts, words) uint64 fingerprints; bit b of a word counts from the least significant.
-
-    sketches, where given, gets each text's least SKETCH distinct shingle hashes, as bytes.
-    """
+def fingerprints_of(texts: list, width: int = WIDTH, words: int = 1) -> np.ndarray:
+    """(texts, words) uint64 fingerprints; bit b of a word counts from the least significant."""
     hashes: list[int] = []
     counts: list[int] = []
     out = np.zeros((len(texts), words), np.uint64)
@@ -105,8 +100,6 @@ def fingerprints_of(texts: list, width: int = WIDTH, words: int = 1, sketches: l
     lo = 0
     for i, t in enumerate(texts):
         h = shingle_hashes(t, width)
-        if sketches is not None:
-            sketches.append(np.unique(np.array(h, np.uint64))[:SKETCH].astype("<u8").tobytes())
         hashes += h
         counts.append(len(h))
         if len(hashes) > 200_000 // words or i == len(texts) - 1:
@@ -116,21 +109,16 @@ def fingerprints_of(texts: list, width: int = WIDTH, words: int = 1, sketches: l
 
 
 def fingerprint_documents(docs: DataFrame, width: int = WIDTH, words: int = 1) -> DataFrame:
-    """doc_id, a hash of each whole text, and its fingerprint's words (signed) in fp, fp1, fp2, …
-
-    With several words, also sketch: the least shingle hashes.
-    """
+    """doc_id, a hash of each whole text, and its fingerprint's words (signed) in fp, fp1, fp2, …"""
     bound_batches(docs.sparkSession)
     names = _columns(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sketches: list | None = [] if words > 1 else None
-            fps = fingerprints_of(b.column(1).to_pylist(), width, words, sketches).view(np.int64)
-            more = [] if sketches is None else [pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(2), *(pa.array(np.ascontiguousarray(fps[:, w])) for w in range(words)), *more], names=["doc_id", "text_hash", *names, *["sketch"] * (words > 1)])
+            fps = fingerprints_of(b.column(1).to_pylist(), width, words).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(2), *(pa.array(np.ascontiguousarray(fps[:, w])) for w in range(words))], names=["doc_id", "text_hash", *names])
 
-    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(tidy(run), "doc_id bigint, text_hash bigint, " + ", ".join(f"{n} bigint" for n in names) + ", sketch binary" * (words > 1))
+    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(tidy(run), "doc_id bigint, text_hash bigint, " + ", ".join(f"{n} bigint" for n in names))
 
 
 def _columns(words: int) -> list[str]:
@@ -259,8 +247,7 @@ def _link_buckets(keyed: DataFrame, words: int, radius: int, n_parts: int) -> Da
 
 def _classes(prints: DataFrame, words: int) -> DataFrame:
     """Distinct fingerprints: node, the words, and the first row of each."""
-    more = ["sketch"] if words > 1 else []
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", *more))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
     names = _columns(words)
     node = F.col("fp") if words == 1 else F.xxhash64(*names)
     return written(prints.groupBy(*names).agg(first.alias("first")).select(node.alias("node"), *names, "first"), "classes")

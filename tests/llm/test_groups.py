@@ -146,6 +146,16 @@ def test_similar_pairs_inside_a_family(spark, monkeypatch, slice_size):
     assert kept == set(range(240))
 
 
+def test_likeness_is_of_whole_sets():
+    """At exactly 0.8 a pair is a link, one shingle below it is none, however long the texts are."""
+    for n in (5, 250, 5000):
+        rest = np.arange(10**9, 10**9 + 10 * n).astype(np.uint64)
+        at = [rest[: 9 * n], rest[n : 10 * n]]
+        assert simhash.alike(at, np.arange(2)) == [(0, 1)]
+        assert simhash.alike([np.append(at[0], np.uint64(1)), at[1]], np.arange(2)) == []
+        assert simhash.alike(at, np.zeros(2)) == []
+
+
 def test_key_plan():
     for n in (10, 10**4, 10**6, 10**9):
         bits, keys = simhash.key_plan(n)
