@@ -76,7 +76,10 @@ def upsert(store: DataFrame, new: DataFrame) -> DataFrame:
     return both.withColumn("__rank", F.row_number().over(w)).where("__rank = 1").drop("__rank", "__age")
 
 
-def delete(store: DataFrame, ids: list[str]) -> DataFrame:
+def delete(store: DataFrame, ids: list[str] | DataFrame) -> DataFrame:
+    """store without the points of ids: a list, or a table with point_id."""
+    if isinstance(ids, DataFrame):
+        return store.join(ids.select("point_id"), "point_id", "left_anti").select(store.columns)
     return store.where(~F.col("point_id").isin(ids))
 
 

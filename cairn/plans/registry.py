@@ -170,7 +170,7 @@ def _vector_upsert(s: SparkSession, d: str) -> DataFrame:
 
 _add("vector_store", lambda s, d: vectors.get_all(_store(s, d)).select("point_id", "template", kernels.get_field(F.col("payload"), "count").alias("count")), f"{LOGS} SELECT template_id AS point_id, template, count::VARCHAR AS count FROM log_templates ORDER BY point_id LIMIT 100")
 _add("vector_upsert", _vector_upsert, f"{LOGS} SELECT template_id AS point_id, CASE WHEN template LIKE 'error%' THEN '0' ELSE count::VARCHAR END AS count FROM log_templates")
-_add("vector_delete", lambda s, d: vectors.delete(_store(s, d), [r["point_id"] for r in _store(s, d).where("template like 'error%'").select("point_id").limit(100).collect()]).select("template"), f"{LOGS} SELECT template FROM log_templates WHERE template NOT LIKE 'error%'")
+_add("vector_delete", lambda s, d: vectors.delete(_store(s, d), _store(s, d).where("template like 'error%'")).select("template"), f"{LOGS} SELECT template FROM log_templates WHERE template NOT LIKE 'error%'")
 _add("embed_hash", lambda s, d: log_entries(s, d).select("id", F.aggregate(vectors.embed_hash(F.col("message")), F.lit(0.0).cast("float"), lambda a, v: (a + v).cast("float")).cast("int").alias("tokens")), f"{LOGS} SELECT id, len(list_filter(regexp_split_to_array(lower(message), '[^a-z0-9<*>]+'), lambda x: x <> ''))::INT AS tokens FROM log_entries")
 
 # --- SQL pass-through: the same statement, translated for Spark ------------------------------------

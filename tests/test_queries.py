@@ -25,3 +25,9 @@ def test_filters_reach_the_scan(spark, sf):
     plan = registry.QUERIES["filter_by_time"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(ts)" in plan
     assert "value" not in plan.split("ReadSchema")[1].split(">")[0]
+
+
+def test_vector_delete_has_no_limit(spark, monkeypatch):
+    store = spark.createDataFrame([(f"p{i}", f"{'error' if i < 150 else 'info'} {i}") for i in range(160)], "point_id string, template string")
+    monkeypatch.setattr(registry, "_store", lambda s, d: store)
+    assert {r["template"] for r in registry.QUERIES["vector_delete"](spark, "").collect()} == {f"info {i}" for i in range(150, 160)}
