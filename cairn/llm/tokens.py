@@ -3,9 +3,10 @@
 A byte-level BPE with the usual letters / digits / punctuation / white-space split never lets a
 piece reach across a single space between two visible characters, so a text's ids are the ids of
 its space-separated chunks put in a row.  Natural text repeats chunks, so each worker keeps a memo
-of chunks' ids in numpy arrays, found by a 64-bit hash that is computed for all chunks of a batch at
-once and checked against the chunk's size and first bytes; only unseen chunks become strings, whose
-pieces go to the library's model.
+of chunks, their bytes and ids in numpy arrays, found by a 64-bit hash that is computed for all chunks
+of a batch at once.  The hash only proposes: the bytes of every chunk are compared with those of the one
+it was taken for, and a chunk that differs is encoded by itself.  Only unseen chunks become strings,
+whose pieces go to the library's model.
 Texts for which that cut could be wrong (white space beside a space), and every vocabulary whose
 pipeline is not plain byte-level BPE, go to the library whole.  The memo is only a memo: it
 takes no more when it is full, and ids never depend on it.
@@ -73,9 +74,10 @@ class Encoder:
     def _clear(self) -> None:
         self.keys = np.zeros(1 << _TABLE_BITS, np.uint64)
         self.where = np.zeros(1 << _TABLE_BITS, np.int32)
-        self.n, self.used = 0, 0
-        self.pool = np.zeros(1 << 18, np.int32)
-        self.starts, self.lens, self.checks = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.uint64)
+        self.n, self.used, self.written = 0, 0, 0
+        self.pool, self.bytes = np.zeros(1 << 18, np.int32), np.zeros(1 << 20, np.uint8)
+        # of each chunk: where its ids and bytes begin, and its size and place in one number
+        self.starts, self.lens, self.texts, self.checks = (np.zeros(1 << 16, t) for t in (np.int32, np.int32, np.int32, np.int64))
         self.short: dict[str, list[int]] = {}
         self.powers = self.inverses = np.ones(1, np.uint64)
 
@@ -101,22 +103,19 @@ class Encoder:
         return ids
 
     def _hashes(self, raw: np.ndarray, begin: np.ndarray, end: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """A 64-bit hash of each byte range, and its size and first bytes in one number."""
+        """A 64-bit hash of each byte range, and its size and whether it begins a text in one number."""
         if len(self.powers) < len(raw) + 1:
             n = len(raw) + 1
             self.powers = np.cumprod(np.append(np.uint64(1), np.full(n, _PRIME, np.uint64)))
             self.inverses = np.cumprod(np.append(np.uint64(1), np.full(n, pow(_PRIME, -1, 1 << 64), np.uint64)))
         sums = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum(_BYTE[raw] * self.powers[: len(raw)], out=sums[1:])
-        size = (end - begin).astype(np.uint64)
+        check = (end - begin) * 2 + first
         h = (sums[end] - sums[begin]) * self.inverses[begin]
-        h += size * np.uint64(0xC2B2AE3D27D4EB4F) + first.astype(np.uint64) * np.uint64(0x165667B19E3779F9)
+        h += check.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
         h ^= h >> np.uint64(31)
         h *= np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(29)
-        check = size << np.uint64(33) | first.astype(np.uint64) << np.uint64(32)
-        for k in range(4):
-            check |= np.where(size > k, raw[np.minimum(begin + k, len(raw) - 1)], 0).astype(np.uint64) << np.uint64(8 * k)
         return np.maximum(h, np.uint64(1)), check
 
     def _find(self, h: np.ndarray, check: np.ndarray) -> np.ndarray:
@@ -147,24 +146,48 @@ class Encoder:
             left = np.concatenate([left[~free], try_[~won]])
             slot[left] = (slot[left] + 1) & mask
 
-    def _learn(self, data: bytes, begin, end, first, check) -> int:
-        """Ids of unseen chunks, put behind the memo's; the place of the first of them."""
+    def _learn(self, data: bytes, begin, end, first, k: int, used: int, written: int) -> tuple[int, int]:
+        """Encodes chunks and puts them behind the memo's first k; how far ids and bytes reach then."""
         flat: list[int] = []
-        sizes = []
+        sizes, parts = [], []
         for a, b, f in zip(begin.tolist(), end.tolist(), first.tolist()):
-            ids = self._ids(data[a:b].decode("utf-8", "surrogatepass"), not f)
+            part = data[a:b]
+            ids = self._ids(part.decode("utf-8", "surrogatepass"), not f)
             flat += ids
             sizes.append(len(ids))
-        k, n = self.n, len(sizes)
-        while self.used + len(flat) > len(self.pool):
+            parts.append(part)
+        text = b" ".join(parts) + b" "  # each chunk's bytes and a space
+        n = len(sizes)
+        while used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while written + len(text) > len(self.bytes):
+            self.bytes = np.concatenate([self.bytes, np.zeros_like(self.bytes)])
         while k + n > len(self.starts):
-            self.starts, self.lens, self.checks = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lens, self.checks))
-        self.pool[self.used : self.used + len(flat)] = flat
+            self.starts, self.lens, self.texts, self.checks = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lens, self.texts, self.checks))
+        self.pool[used : used + len(flat)] = flat
+        self.bytes[written : written + len(text)] = np.frombuffer(text, np.uint8)
         self.lens[k : k + n] = sizes
-        self.starts[k : k + n] = self.used + np.cumsum(np.array(sizes, np.int64)) - sizes
-        self.checks[k : k + n] = check
-        return len(flat)
+        self.starts[k : k + n] = used + np.cumsum(np.array(sizes, np.int64)) - sizes
+        width = end - begin + 1
+        self.texts[k : k + n] = written + np.cumsum(width) - width
+        self.checks[k : k + n] = (end - begin) * 2 + first
+        return used + len(flat), written + len(text)
+
+    def _differing(self, raw: np.ndarray, begin: np.ndarray, end: np.ndarray, idx: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """Places of the chunks whose bytes are not those of the memo's chunk idx."""
+        odd = self.checks[idx] != check
+        fits = np.flatnonzero(~odd)
+        width = (end - begin + 1)[fits]
+        # the chunks with a space after each, as the memo holds them
+        shift = np.repeat(self.texts[idx[fits]].astype(np.int64) - (np.cumsum(width) - width), width)
+        held = self.bytes[np.arange(len(shift)) + shift]
+        own = np.append(raw, np.uint8(32))
+        if len(fits) < len(idx):
+            own = own[np.arange(len(shift)) + np.repeat(begin[fits] - (np.cumsum(width) - width), width)]
+        wrong = np.flatnonzero(held != own)
+        if len(wrong):
+            odd[fits[np.searchsorted(np.cumsum(width), wrong, "right")]] = True
+        return np.flatnonzero(odd)
 
     def _safe(self, t: str) -> bool:
         if t[0] == " " or t[-1] == " " or any(x in t for x in _TOUCHING):
@@ -215,20 +238,22 @@ class Encoder:
         h, check = self._hashes(raw, begin, end, first)
         idx = self._find(h, check).astype(np.int64)
         new = np.flatnonzero(idx < 0)
-        more = 0
+        rep, k, used, written = new, self.n, self.used, self.written
         if len(new):
             _, rep, back = np.unique(h[new], return_index=True, return_inverse=True)
             rep = new[rep]
-            if (check[rep][back] != check[new]).any():  # two unseen chunks with one hash: each by itself
-                rep, back = new, np.arange(len(new))
-            more = self._learn(data, begin[rep], end[rep], first[rep], check[rep])
-            idx[new] = self.n + back
+            idx[new] = k + back
+            used, written = self._learn(data, begin[rep], end[rep], first[rep], k, used, written)
+        odd = self._differing(raw, begin, end, idx, check)
+        if len(odd):  # taken for another chunk of the same hash
+            idx[odd] = k + len(rep) + np.arange(len(odd))
+            self._learn(data, begin[odd], end[odd], first[odd], k + len(rep), used, written)
         lens = self.lens[idx].astype(np.int64)
         stop = np.cumsum(lens)
         flat = self.pool[np.arange(int(stop[-1])) + np.repeat(self.starts[idx] - (stop - lens), lens)]
-        if more and self.n + len(rep) <= _MEMO_LIMIT and len(rep) <= len(np.unique(h[rep])):
-            self._insert(h[rep], np.arange(self.n, self.n + len(rep)))
-            self.n, self.used = self.n + len(rep), self.used + more
+        if len(rep) and k + len(rep) <= _MEMO_LIMIT:
+            self._insert(h[rep], np.arange(k, k + len(rep)))
+            self.n, self.used, self.written = k + len(rep), used, written
         return flat, np.bincount(of, lens, len(stops)).astype(np.int64)
 
 

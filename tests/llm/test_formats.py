@@ -83,6 +83,17 @@ def test_memo_never_changes_ids(library, monkeypatch):
             assert [flat[a:b].tolist() for a, b in zip(cuts, cuts[1:])] == want
 
 
+@pytest.mark.parametrize("size", [512, 1024, 2048, 4096])
+def test_colliding_chunks_keep_their_ids(library, size):
+    """Sums of powers modulo 2**64 are equal for a Thue-Morse word and its complement of 1024 letters and more."""
+    word = "".join("ab"[i.bit_count() & 1] for i in range(size))
+    other = word.translate(str.maketrans("ab", "ba"))
+    for texts in (["wxyz" + word, "wxyz" + other], ["wxyz" + word + " wxyz" + other], [f"q wxyz{other}", f"q wxyz{word} end"]):
+        encoder = tokens.Encoder(tokens.default_tokenizer_path())
+        for text in texts:
+            assert encoder.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def whole_ids(library, text, end):
     return library.encode(text or "", add_special_tokens=False).ids + [end]
 
