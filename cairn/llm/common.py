@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Arrow batches that go to Python hold at most so many bytes, however long the texts are.
@@ -64,10 +64,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def with_text(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """The rows of docs whose (doc_id, xxhash64 of text) is a row (doc_id, text_hash) of keep."""
-    keep = keep.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["__id"]) & (F.xxhash64(docs["text"]) == keep["__hash"]), "left_semi")
+def with_text(docs: DataFrame, keep: DataFrame, key: Column | None = None) -> DataFrame:
+    """The rows of docs whose (doc_id, key) is a row of keep (doc_id, key); key: xxhash64 of the text."""
+    key = F.xxhash64(docs["text"]) if key is None else key
+    keep = keep.toDF("__id", "__key")
+    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["__id"]) & (key == keep["__key"]), "left_semi")
 
 
 def parts_of(df: DataFrame) -> int:

@@ -1,17 +1,24 @@
 """Quality rules by n-gram perplexity: a modified Kneser-Ney model over UTF-8 bytes, per language.
 
 Spark counts the byte 5-grams of all distinct texts by language and derives the lower orders' continuation
-counts, discounts, interpolated probabilities and back-off weights as DataFrames.  Scoring tasks look
-them up in sorted hash arrays: 32-bit hash keys in ascending order, one per 24-bit slot (the more
-frequent n-gram keeps a contested slot, the other is scored by back-off), values beside them, and an
-index of the keys' leading bits.  The arrays hold at most 2**24 entries whatever the corpus, which
-bounds what is broadcast.  A document's log-perplexity is its log-loss per byte of content: the rules'
-symbols cost surprise but are no content, so noise among words counts in full.  Outside its language's
-band it is rejected; a band is made from the quartiles of all the language's distinct texts.
+counts, discounts, interpolated probabilities and back-off weights as DataFrames.  Texts fall into two
+halves by their hash, each half has its own model, and a text is scored by the model of the other half:
+a model that had counted a text would find even its noise likely.
+
+The model lives in sorted hash arrays: keys of kind, language and n-gram, mixed by a one-to-one hash and in
+ascending order, values beside them, and an index of the keys' leading bits; nothing is dropped and no two
+entries share a key.  The arrays grow with the corpus.  Up to BROADCAST entries they are sent to the scoring
+tasks; a larger model stays distributed: the distinct n-grams of each block of texts are looked up by
+joins, and blocks meet their values in cogroups.  Both ways give the same numbers.
+
+A document's log-perplexity is its log-loss per word, words being those that hold a letter, so that what
+stands between words costs but does not count.  Outside its language's band it is rejected; a band reaches
+from the lower to the upper outer fence (three quartile ranges beyond the quartiles) of all the language's
+distinct texts that pass the base rules.
 
 Cases: a null text has no words and fails; null languages form a language of their own; documents
-without a byte have no perplexity; copies count once in the model and the bands, and each is judged; an empty
-table gives no rows; columns other than doc_id, text and lang are ignored.
+without a letter have no perplexity and are rejected; copies count once in the model and the bands, and each is judged; an empty
+table gives no rows; columns other than doc_id, text and lang are ignored; over 2**19 languages raise.
 """
 
 from __future__ import annotations
@@ -21,16 +28,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, tidy, with_text, written
+from .common import bound_batches, parts_of, tidy, with_text, written
 
 ORDER = 5
-SLOT_BITS, INDEX_BITS = 24, 20
-#: A band reaches so many quartile ranges beyond the quartiles, each at least FLOOR nats a byte wide.
-BELOW, ABOVE, FLOOR = 8.0, 4.0, 0.02
+#: Model entries that are broadcast at most: 12 bytes each, and an index of 4 bytes each at most.
+BROADCAST = 1 << 23
+#: Characters of text in a block of the distributed lookup.
+BLOCK_CHARS = 1 << 23
+LANGUAGES = 1 << 19
+#: A band reaches so many quartile ranges beyond the quartiles (outer fences), each at least FLOOR nats wide.
+FENCE, FLOOR = 3.0, 0.1
 #: Fixed values of the rules.
 SYMBOLS = b"#*$%&|<>"
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -38,16 +48,27 @@ MIN_WORDS, REPEAT_PERCENT = 50, 50
 _STEP = 1_000_000
 _PAD = b"\n" * (ORDER - 1)
 _SYMBOL = np.isin(np.arange(256), list(SYMBOLS))
+_GAP = np.isin(np.arange(256), list(SPACES))
+#: Bytes of ASCII letters and of all characters beyond ASCII.
+_LETTER = np.isin(np.arange(256) | 32, np.arange(97, 123)) | (np.arange(256) > 127)
 _INK = ~np.isin(np.arange(256), list(SPACES)) & ~((np.arange(256) & 0xC0) == 0x80)
 
 
-def language_code(lang: str | None) -> int:
-    """16 bits of a language name; 0 for null."""
-    return 0 if lang is None else 1 + xxhash.xxh64_intdigest(lang) % 65535
+def language_codes(docs: DataFrame) -> dict[str | None, int]:
+    """A number for each language, null included: 48 bytes a language on the driver, LANGUAGES at most."""
+    langs = [r[0] for r in docs.select("lang").distinct().limit(LANGUAGES + 1).collect()]
+    if len(langs) > LANGUAGES:
+        raise ValueError(f"lang has over {LANGUAGES} values")
+    return {x: i for i, x in enumerate(sorted(langs, key=lambda x: (x is not None, x)))}
+
+
+def text_half(text: Column) -> Column:
+    """The half, 0 or 1, that a text falls into."""
+    return F.xxhash64(text, F.lit("half")).bitwiseAND(F.lit(1)).cast("int")
 
 
-def _stream(texts: list, langs: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(5-gram ending at each byte, language of each byte, bytes per text)."""
+def _stream(texts: list, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(5-gram ending at each byte, code of each byte's text, bytes per text)."""
     data = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     sizes = np.array([len(d) for d in data], np.int64)
     raw = np.frombuffer(_PAD + _PAD.join(data), np.uint8).astype(np.int64)
@@ -56,8 +77,7 @@ def _stream(texts: list, langs: list) -> tuple[np.ndarray, np.ndarray, np.ndarra
         gram |= raw[ORDER - 1 - k : len(raw) - k] << (8 * k)
     # the pads between texts are context only
     skip = np.arange(int(sizes.sum())) + np.repeat(np.arange(len(sizes)) * (ORDER - 1), sizes)
-    codes = np.array([language_code(x) for x in langs], np.int64)
-    return gram[skip], np.repeat(codes, sizes), sizes
+    return gram[skip], np.repeat(np.asarray(codes, np.int64), sizes), sizes
 
 
 def _slices(texts: list) -> Iterator[slice]:
@@ -78,15 +98,18 @@ def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return k[first], np.add.reduceat(c, first) if len(first) else c
 
 
-def count_grams(docs: DataFrame) -> DataFrame:
-    """(lang, gram, c): how often each byte 5-gram occurs in each language."""
+def count_grams(texts: DataFrame, codes: dict) -> DataFrame:
+    """(lang, gram, c): how often each byte 5-gram occurs in each half of each language.
+
+    lang is twice the language's code, plus the half.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, held = [], [], 0
         for b in batches:
-            texts, langs = b.column(0).to_pylist(), b.column(1).to_pylist()
+            texts, own = b.column(0).to_pylist(), _codes(b.column(1), b.column(2), codes)
             for part in _slices(texts):
-                gram, lang, _ = _stream(texts[part], langs[part])
+                gram, lang, _ = _stream(texts[part], own[part])
                 k, c = np.unique(gram | lang << 40, return_counts=True)
                 keys.append(k)
                 counts.append(c)
@@ -100,17 +123,21 @@ def count_grams(docs: DataFrame) -> DataFrame:
         if keys:
             yield _grams(*_merged(keys, counts))
 
-    out = docs.select("text", "lang").mapInArrow(tidy(run), "lang int, gram bigint, c bigint")
+    out = texts.select("text", "lang", text_half(F.col("text"))).mapInArrow(tidy(run), "lang int, gram bigint, c bigint")
     return out.groupBy("lang", "gram").agg(F.sum("c").alias("c"))
 
 
+def _codes(langs: pa.Array, halves: pa.Array, codes: dict) -> np.ndarray:
+    return np.array([2 * codes[x] for x in langs.to_pylist()], np.int64) + halves.to_numpy(zero_copy_only=False)
+
+
 def distinct_texts(docs: DataFrame) -> DataFrame:
-    """(text, lang): each text of a language once; only texts that occur more than once are shuffled."""
+    """(text, lang, key): each text of a language once; only texts that occur more than once are shuffled."""
     keyed = docs.select("text", "lang", F.xxhash64(F.col("lang").isNull(), "lang", "text").alias("key"))
     again = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "again")
     few = F.broadcast(again) if again.count() <= 1_000_000 else again
     copies = keyed.join(few, "key", "left_semi").dropDuplicates(["key"])
-    return keyed.join(few, "key", "left_anti").unionByName(copies).select("text", "lang")
+    return keyed.join(few, "key", "left_anti").unionByName(copies).select("text", "lang", "key")
 
 
 def _grams(k: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
@@ -122,7 +149,7 @@ def _low(n_bytes: int):
 
 
 def kneser_ney(top: DataFrame) -> DataFrame:
-    """Model rows (kind, lang, gram, c, value) from the counts of the highest order.
+    """Model rows (kind, lang, gram, value) from the counts of the highest order.
 
     kind k: log-probability of a k-gram; kind 16 + k: log weight of a k-gram's context, the k - 1 bytes
     before its last, for what the k-gram table leaves to the next lower order.
@@ -151,19 +178,21 @@ def kneser_ney(top: DataFrame) -> DataFrame:
             p = p.join(below, (F.col("lang") == F.col("l")) & (_low(k - 1) == F.col("g")))
             p = p.select("lang", "gram", "c", (own + F.col("left") * F.col("q")).alias("p"))
         lower = written(p, f"p{k}")
-        these = lower.select(F.lit(k).alias("kind"), "lang", "gram", "c", F.log("p").cast("float").alias("value"))
-        these = these.unionByName(contexts.select(F.lit(16 + k).alias("kind"), "lang", F.col("ctx").alias("gram"), F.col("total").alias("c"), F.log("left").cast("float").alias("value")))
+        these = lower.select(F.lit(k).alias("kind"), "lang", "gram", F.log("p").cast("float").alias("value"))
+        these = these.unionByName(contexts.select(F.lit(16 + k).alias("kind"), "lang", F.col("ctx").alias("gram"), F.log("left").cast("float").alias("value")))
         rows = these if rows is None else rows.unionByName(these)
     return rows
 
 
 def hash_keys(kind: int | np.ndarray, lang: np.ndarray, gram: np.ndarray) -> np.ndarray:
-    """32-bit keys; the leading SLOT_BITS are the slot."""
-    x = gram.astype(np.uint64) | (lang.astype(np.uint64) << np.uint64(40)) | (np.asarray(kind).astype(np.uint64) << np.uint64(57))
+    """64-bit keys, one for each (kind, lang, gram): odd factors and shifted differences can be undone."""
+    kind = np.asarray(kind, np.uint64)
+    kind = np.where(kind > 16, kind - np.uint64(11), kind)  # 1 to 5 and 17 to 21 in four bits
+    x = gram.astype(np.uint64) | lang.astype(np.uint64) << np.uint64(40) | kind << np.uint64(60)
     x = x * np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(32)
     x = x * np.uint64(0xD6E8FEB86659FD93)
-    return (x >> np.uint64(32)).astype(np.uint32)
+    return x ^ (x >> np.uint64(32))
 
 
 class HashArrays:
@@ -171,35 +200,33 @@ class HashArrays:
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         order = np.argsort(keys)
-        self.keys = np.append(keys[order], np.uint32(0xFFFFFFFF))
-        self.values = np.append(values[order], np.float32(0))
-        self.begin = np.searchsorted(self.keys[:-1], np.arange(1 << INDEX_BITS, dtype=np.uint64) << np.uint64(32 - INDEX_BITS)).astype(np.int32)
+        self.keys, self.values = keys[order], np.append(values[order], np.float32(0))
+        self.bits = min(23, max(8, len(keys).bit_length() - 1))
+        self.begin = np.searchsorted(self.keys, np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)).astype(np.int32)
+        self.keys = np.append(self.keys, ~np.uint64(0))
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(value, found) of each key."""
-        at = self.begin[keys >> np.uint32(32 - INDEX_BITS)]
+        at = self.begin[keys >> np.uint64(64 - self.bits)]
         got = self.keys[at]
         more = np.flatnonzero(got < keys)
         while len(more):
             at[more] += 1
             got[more] = now = self.keys[at[more]]
             more = more[now < keys[more]]
-        return self.values[at], got == keys
+        return self.values[at], (got == keys) & (at < len(self.keys) - 1)
 
 
 def hash_arrays(model: DataFrame) -> HashArrays:
-    """The model's arrays on the driver: at most 2**SLOT_BITS entries."""
+    """The model's arrays, on the driver: for models of BROADCAST entries at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kind, lang, gram, c, value = (b.column(i).to_numpy() for i in range(5))
-            key = hash_keys(kind, lang, gram).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key >> (32 - SLOT_BITS)), pa.array(key), pa.array(c), pa.array(value)], names=["slot", "key", "c", "value"])
+            kind, lang, gram = (b.column(i).to_numpy() for i in range(3))
+            yield pa.RecordBatch.from_arrays([pa.array(hash_keys(kind, lang, gram).view(np.int64)), b.column(3)], names=["key", "value"])
 
-    slots = model.mapInArrow(tidy(run), "slot bigint, key bigint, c bigint, value float")
-    best = slots.groupBy("slot").agg(F.max(F.struct("c", "key", "value")).alias("b")).select("b.key", "b.value")
-    got = best.toArrow()
-    return HashArrays(got["key"].to_numpy().astype(np.uint32), got["value"].to_numpy().astype(np.float32))
+    got = model.select("kind", "lang", "gram", "value").mapInArrow(tidy(run), "key bigint, value float").toArrow()
+    return HashArrays(got["key"].to_numpy().view(np.uint64), got["value"].to_numpy().astype(np.float32))
 
 
 def log_probabilities(arrays: HashArrays, gram: np.ndarray, lang: np.ndarray) -> np.ndarray:
@@ -222,6 +249,24 @@ def log_probabilities(arrays: HashArrays, gram: np.ndarray, lang: np.ndarray) ->
     return out
 
 
+def joined_log_probabilities(asked: DataFrame, model: DataFrame) -> DataFrame:
+    """asked (block, lang, gram) with value, as log_probabilities gives it, by joins."""
+    distinct = asked.select("lang", "gram").distinct()
+    done, left = None, distinct.withColumn("sum", F.lit(0.0))
+    for k in range(ORDER, -1, -1):
+        if k:
+            own = model.where(F.col("kind") == k).select("lang", F.col("gram").alias("g"), F.col("value").cast("double").alias("own"))
+            left = left.withColumn("g", _low(k)).join(own, ["lang", "g"], "left").drop("g")
+            known = left.where("own is not null").select("lang", "gram", (F.col("sum") + F.col("own")).alias("value"))
+            weight = model.where(F.col("kind") == 16 + k).select("lang", F.col("gram").alias("g"), F.col("value").cast("double").alias("weight"))
+            left = left.where("own is null").drop("own").withColumn("g", F.shiftright(_low(k), 8)).join(weight, ["lang", "g"], "left")
+            left = left.select("lang", "gram", (F.col("sum") + F.coalesce("weight", F.lit(0.0))).alias("sum"))
+        else:
+            known = left.select("lang", "gram", (F.col("sum") + F.lit(float(np.log(1 / 256)))).alias("value"))
+        done = known if done is None else done.unionByName(known)
+    return asked.join(done, ["lang", "gram"])
+
+
 def repeat_words(words: list) -> int:
     """Words that lie in three-word windows found twice or more."""
     windows = list(zip(words, words[1:], words[2:]))
@@ -244,43 +289,114 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
     return len(words), int(_INK[raw].sum()), int(_SYMBOL[raw].sum()), len(lines) - len(set(lines)), repeat_words(words)
 
 
-SCORED = "doc_id bigint, text_hash bigint, lang_code int, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, log_perplexity double"
+BASE = "doc_id bigint, key bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, lang_code int"
+_NAMES = [x.split()[0] for x in BASE.split(", ")]
+
+
+def _base(b: pa.RecordBatch, codes: dict) -> list:
+    """BASE columns of a batch (doc_id, text, lang, half, key)."""
+    base = np.array([base_counts(t) for t in b.column(1).to_pylist()], np.int64).reshape(-1, 5)
+    lang = np.array([codes[x] for x in b.column(2).to_pylist()], np.int32)
+    return [b.column(0).cast(pa.int64()), b.column(4), *(pa.array(base[:, i]) for i in range(5)), pa.array(lang)]
+
+
+def _asked(b: pa.RecordBatch, codes: dict) -> tuple[list, np.ndarray]:
+    """Texts, and the codes of the models that score them: those of the other halves."""
+    return b.column(1).to_pylist(), _codes(b.column(2), b.column(3), codes) ^ 1
 
 
-def score(docs: DataFrame, arrays: HashArrays) -> DataFrame:
-    """The base counts and the log-perplexity per byte of content of every document."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(arrays)
+def _marked(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", "lang", text_half(F.col("text")).alias("half"), F.xxhash64(F.col("lang").isNull(), "lang", "text").alias("key"))
+
+
+def lettered_words(texts: list) -> np.ndarray:
+    """How many words of each text hold a letter."""
+    data = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    raw = np.frombuffer(b" ".join(data) + b" ", np.uint8)
+    at = np.flatnonzero(_LETTER[raw])
+    word = np.cumsum(_GAP[raw], dtype=np.int32)[at]
+    first = at[np.flatnonzero(np.diff(word, prepend=-1))]
+    return np.bincount(np.searchsorted(np.cumsum([len(d) + 1 for d in data]), first, "right"), minlength=len(texts))
+
+
+def losses(texts: list, own: np.ndarray, look_up) -> list[float | None]:
+    """Log-perplexities of texts under the models own; look_up gives n-grams' log-probabilities."""
+    out: list[float | None] = []
+    for part in _slices(texts):
+        gram, lang, sizes = _stream(texts[part], own[part])
+        total = np.bincount(np.repeat(np.arange(len(sizes)), sizes), look_up(gram, lang), len(sizes))
+        out += [-t / n if n else None for t, n in zip(total.tolist(), lettered_words(texts[part]).tolist())]
+    return out
+
+
+def score(docs: DataFrame, arrays: HashArrays, codes: dict) -> DataFrame:
+    """BASE and log_perplexity of every document: the model is broadcast."""
+    shared = docs.sparkSession.sparkContext.broadcast(arrays)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b in batches:
-            texts, langs = b.column(1).to_pylist(), b.column(2).to_pylist()
-            base = np.array([base_counts(t) for t in texts], np.int64).reshape(-1, 5)
-            mean: list[float | None] = []
-            for part in _slices(texts):
-                gram, lang, sizes = _stream(texts[part], langs[part])
-                total = np.bincount(np.repeat(np.arange(len(sizes)), sizes), log_probabilities(model, gram, lang), len(sizes))
-                content = np.maximum(sizes - base[part, 2], 1).tolist()
-                mean += [-t / c if n else None for t, n, c in zip(total.tolist(), sizes.tolist(), content)]
-            codes = pa.array([language_code(x) for x in langs], pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(3), codes, *(pa.array(base[:, i]) for i in range(5)), pa.array(mean, pa.float64())], names=[x.split()[0] for x in SCORED.split(", ")])
+            mean = losses(*_asked(b, codes), lambda gram, lang: log_probabilities(model, gram, lang))
+            yield pa.RecordBatch.from_arrays([*_base(b, codes), pa.array(mean, pa.float64())], names=[*_NAMES, "log_perplexity"])
+
+    return _marked(docs).mapInArrow(tidy(run), BASE + ", log_perplexity double")
+
+
+def score_distributed(docs: DataFrame, texts: DataFrame, model: DataFrame, codes: dict) -> DataFrame:
+    """What score gives, without the model in one place.  texts: the distinct texts of docs.
+
+    Blocks hold about BLOCK_CHARS of distinct texts; a block's distinct n-grams are looked up by joins, and
+    the block's texts meet their values in a cogroup.  Copies get their text's result by its key.
+    """
+    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(parts_of(docs), -(-chars // BLOCK_CHARS))
+    block = F.pmod(F.xxhash64("key", F.lit("block")), F.lit(blocks)).cast("int").alias("block")
+    dealt = _marked(texts.withColumn("doc_id", F.lit(0))).select("doc_id", "text", "lang", "half", "key", block)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            (all_texts, own), of = _asked(b, codes), b.column(5).to_numpy()
+            for part in _slices(all_texts):
+                gram, lang, sizes = _stream(all_texts[part], own[part])
+                k = np.unique(np.stack([np.repeat(of[part].astype(np.int64), sizes), lang << 40 | gram]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(k[0].astype(np.int32)), pa.array((k[1] >> 40).astype(np.int32)), pa.array(k[1] & ((1 << 40) - 1))], names=["block", "lang", "gram"])
+
+    asked = written(dealt.mapInArrow(tidy(ask), "block int, lang int, gram bigint").distinct(), "asked")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        grams, values = (right["lang"].to_numpy().astype(np.int64) << 40) | right["gram"].to_numpy(), right["value"].to_numpy()
+        order = np.argsort(grams)
+        grams, values = grams[order], values[order]
+        keys: list[pa.Array] = []
+        mean: list[float | None] = []
+        for b in left.to_batches(2000):
+            keys.append(b.column(4))
+            mean += losses(*_asked(b, codes), lambda gram, lang: values[np.searchsorted(grams, lang << 40 | gram)])
+        return pa.table({"key": pa.concat_arrays(keys) if keys else pa.array([], pa.int64()), "log_perplexity": pa.array(mean, pa.float64())})
+
+    found = dealt.groupBy("block").cogroup(joined_log_probabilities(asked, model).groupBy("block")).applyInArrow(run, "key bigint, log_perplexity double")
+
+    def base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays(_base(b, codes), names=_NAMES)
 
-    return docs.select("doc_id", "text", "lang", F.xxhash64("text")).mapInArrow(tidy(run), SCORED)
+    return _marked(docs).mapInArrow(tidy(base), BASE).join(written(found, "losses"), "key")
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, the base counts, base_failed, log_perplexity and kept of every document."""
     bound_batches(docs.sparkSession)
-    top = written(count_grams(distinct_texts(docs)), "grams")
-    scored = written(score(docs, hash_arrays(kneser_ney(top))), "scored")
+    codes, texts = language_codes(docs), distinct_texts(docs)
+    model = written(kneser_ney(written(count_grams(texts, codes), "grams")), "model")
+    small = model.count() <= BROADCAST
+    scored = written(score(docs, hash_arrays(model), codes) if small else score_distributed(docs, texts, model, codes), "scored")
     failed = F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {REPEAT_PERCENT} * n_words")
     scored = scored.withColumn("base_failed", failed)
-    once = scored.where("not base_failed").groupBy("lang_code", "text_hash").agg(F.first("log_perplexity").alias("log_perplexity"))
-    bands = once.groupBy("lang_code").agg(F.percentile_approx("log_perplexity", [0.25, 0.5, 0.75], 10000).alias("q"))
-    wide = F.greatest(F.expr("q[2] - q[0]"), F.lit(FLOOR))
-    bands = bands.select("lang_code", (F.expr("q[0]") - BELOW * wide).alias("lo"), (F.expr("q[2]") + ABOVE * wide).alias("hi"))
-    # language codes have 16 bits, so there are at most 65536 bands
+    once = scored.where("not base_failed").groupBy("lang_code", "key").agg(F.first("log_perplexity").alias("log_perplexity"))
+    bands = once.groupBy("lang_code").agg(F.percentile_approx("log_perplexity", [0.25, 0.75], 10000).alias("q"))
+    wide = F.greatest(F.expr("q[1] - q[0]"), F.lit(FLOOR))
+    bands = bands.select("lang_code", (F.expr("q[0]") - FENCE * wide).alias("lo"), (F.expr("q[1]") + FENCE * wide).alias("hi"))
+    # a band a language, LANGUAGES at most
     out = scored.join(F.broadcast(bands), "lang_code", "left")
     inside = F.coalesce(F.expr("log_perplexity between lo and hi"), F.lit(False))
     return out.withColumn("kept", ~F.col("base_failed") & inside)
@@ -292,4 +408,4 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """docs without the rows that the rules reject."""
-    return with_text(docs, judge(docs).where("kept").select("doc_id", "text_hash"))
+    return with_text(docs, judge(docs).where("kept").select("doc_id", "key"), F.xxhash64(docs["lang"].isNull(), docs["lang"], docs["text"]))

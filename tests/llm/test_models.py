@@ -158,20 +158,71 @@ def kneser_ney_by_hand(counts):
     return p
 
 
-def test_kneser_ney_matches_plain_model(spark):
-    texts = [("the cat sat on the mat", "en"), ("the bat sat", "en"), ("on and on and on", "en")]
-    df = spark.createDataFrame(texts, "text string, lang string")
-    model = quality.hash_arrays(quality.kneser_ney(quality.count_grams(df)))
-    counts = Counter()
-    for t, _ in texts:
-        raw = b"\n" * 4 + t.encode()
-        counts.update(tuple(raw[i : i + 5]) for i in range(len(t)))
-    p = kneser_ney_by_hand(counts)
-    for t in ("the cat sat", "a zebra", "mat on"):
-        gram, lang, _ = quality._stream([t], ["en"])
+TRAINING = [("the cat sat on the mat", "en"), ("the bat sat", "en"), ("on and on and on", "en"), ("la casa en la loma", "es"), ("sin lang", None)]
+
+
+def model_by_hand(spark):
+    """(codes, model table, log-probability of each byte of a text under a language's half)."""
+    df = spark.createDataFrame(TRAINING, "text string, lang string")
+    codes = quality.language_codes(df)
+    half = {r["text"]: r["h"] for r in df.select("text", quality.text_half(F.col("text")).alias("h")).collect()}
+    counts = defaultdict(Counter)
+    for t, lang in TRAINING:
         raw = b"\n" * 4 + t.encode()
-        want = [math.log(p(tuple(raw[i : i + 5]))) for i in range(len(t))]
-        assert np.allclose(quality.log_probabilities(model, gram, lang), want, atol=1e-4)
+        counts[2 * codes[lang] + half[t]].update(tuple(raw[i : i + 5]) for i in range(len(t)))
+    plain = {k: kneser_ney_by_hand(c) for k, c in counts.items()}
+
+    def want(text, own):
+        raw = b"\n" * 4 + text.encode()
+        return [math.log(plain[own](tuple(raw[i : i + 5])) if own in plain else 1 / 256) for i in range(len(raw) - 4)]
+
+    return codes, quality.kneser_ney(quality.count_grams(df, codes)), want
+
+
+def test_kneser_ney_matches_plain_model(spark):
+    codes, model, want = model_by_hand(spark)
+    arrays = quality.hash_arrays(model)
+    assert len(arrays.values) - 1 == model.count()
+    for t in ("the cat sat", "a zebra", "mat on", "la loma"):
+        for own in range(2 * len(codes)):
+            gram, lang, _ = quality._stream([t], np.array([own]))
+            assert np.allclose(quality.log_probabilities(arrays, gram, lang), want(t, own), atol=1e-4)
+
+
+def test_joined_lookup_matches_plain_model(spark):
+    codes, model, want = model_by_hand(spark)
+    text = "the cat, la zebra"
+    gram, _, _ = quality._stream([text], np.array([0]))
+    asked = spark.createDataFrame([(0, own, g) for own in range(2 * len(codes)) for g in set(gram.tolist())], "block int, lang int, gram bigint")
+    got = {(r["lang"], r["gram"]): r["value"] for r in quality.joined_log_probabilities(asked, model).collect()}
+    assert len(got) == asked.count()
+    for own in range(2 * len(codes)):
+        assert np.allclose([got[own, g] for g in gram.tolist()], want(text, own), atol=1e-4)
+
+
+def test_keys_are_one_to_one():
+    kinds = [*range(1, 6), *range(17, 22)]
+    rng = np.random.default_rng(1)
+    grams = np.unique(rng.integers(0, 1 << 40, 20_000))
+    keys = np.concatenate([quality.hash_keys(k, np.full(len(grams), lang), grams) for k in kinds for lang in (0, 1, 2 * quality.LANGUAGES - 1)])
+    assert len(np.unique(keys)) == len(keys)
+
+
+def test_distributed_scores_equal_broadcast_ones(docs, monkeypatch):
+    columns = ["doc_id", "n_words", "base_failed", "kept", "log_perplexity"]
+    one = quality.digest(docs).select(columns).collect()
+    monkeypatch.setattr(quality, "BROADCAST", 0)
+    monkeypatch.setattr(quality, "BLOCK_CHARS", 20_000)
+    other = quality.digest(docs).select(columns).collect()
+    order = lambda rows: sorted(rows, key=lambda r: tuple((x is not None, x or 0) for x in r))
+    assert len(one) == len(other)
+    for x, y in zip(order(one), order(other)):
+        assert x[:4] == y[:4] and (x[4] is y[4] is None or math.isclose(x[4], y[4], rel_tol=1e-5))
+
+
+def test_lettered_words():
+    texts = [None, "", "a | b", "12 x3 é", " \n", "## --", "one\ttwo\x0bthree ", "日本"]
+    assert quality.lettered_words(texts).tolist() == [0, 0, 2, 2, 0, 0, 3, 1]
 
 
 def test_perplexity_bands_reject_noise(spark):
@@ -186,6 +237,21 @@ def test_perplexity_bands_reject_noise(spark):
     assert all(out[i] for i in range(150)) and not out[1000] and not out[1001]
 
 
+def test_perplexity_bands_reject_marked_words(spark):
+    """Words with strings of signs behind them, and words with bars between, beside the same words plain."""
+    import random
+
+    from .conftest import prose
+
+    rng = random.Random(9)
+    rows = [(i, prose(rng, 200), "en") for i in range(300)]
+    for i in range(6):
+        words = prose(rng, 200).split()
+        rows.append((1000 + i, (" | ".join(words) if i % 2 else " ".join(w + rng.choice(["$$$", "%%%", "&&&"]) for w in words)), "en"))
+    out = {r["doc_id"]: r["kept"] for r in quality.digest(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert sum(out[i] for i in range(300)) >= 297 and not any(out[1000 + i] for i in range(6))
+
+
 @pytest.mark.parametrize("share", [1 / 3, 0.8])
 def test_copies_move_no_band(spark, share):
     """A group of copies changes no other row's log-perplexity or verdict."""
