@@ -12,12 +12,15 @@ fingerprints of unrelated texts lie too close to each pivot to be dealt out by t
 A bucket with more classes than a task should hold is dealt out as pairs of slices, so every pair of it
 still meets once.  Buckets give spanning edges, not pairs; components come from star contraction.
 
-similar_documents is the wider form: fingerprints of 256 bits over five-word shingles, linked where the
-Jaccard likeness of their shingles is 0.8 or more.  At the distances that this stands for no few blocks
-stay equal, so keys are samples of bits: as many bits as the classes' number asks for, and as many keys
-as find a pair of likeness 0.8 with a probability of 0.95.  A bucket gives the edges of a least spanning
-forest of the pairs near enough; these only gather families.  In a family all pairs are compared by their
-whole shingle sets, and only pairs of likeness 0.8 or more become links.
+similar_documents is the wider form: it links texts where the Jaccard likeness of their five-word shingles
+is 0.8 or more.  Texts with equal sets of shingles form one class; its fingerprint is 128 bits of the set.
+At the distances that such a likeness stands for no few blocks stay equal, so the keys that deal classes
+out are bands of least hash values: three values of the set under different hash functions make a key, and
+of twelve keys a pair of likeness 0.8 shares one with a probability of 0.9998, whatever the number of
+classes.  In a bucket the pivot table discards and fingerprints decide who is near, up to four standard
+deviations over the distance that 0.8 stands for.  A bucket gives the edges of a least spanning forest of
+the near pairs; these only gather families.  In a family all pairs are compared by their whole shingle
+sets, and only pairs of likeness 0.8 or more become links.
 
 Cases: a null text has no words and, like any text without words, fingerprint zero; fewer words than a
 shingle make one shingle; null doc_ids come after all others in a group; repeated rows are members like
@@ -35,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, parts_of, tidy, with_text, written
+from .common import bound_batches, parts_of, tidy, written
 from .components import components
 
 WIDTH, RADIUS, SEED = 3, 3, 42
@@ -79,46 +82,48 @@ def _spread(h: np.ndarray, words: int) -> np.ndarray:
     return out
 
 
-def fingerprints_of(texts: list, width: int = WIDTH, words: int = 1) -> np.ndarray:
-    """(texts, words) uint64 fingerprints; bit b of a word counts from the least significant."""
-    hashes: list[int] = []
-    counts: list[int] = []
-    out = np.zeros((len(texts), words), np.uint64)
-
-    def flush(lo: int) -> None:
-        if not hashes:
-            return
-        wide = _spread(np.array(hashes, np.uint64), words)
-        bits = np.unpackbits(wide.astype(">u8").view(np.uint8).reshape(len(wide), -1), axis=1)
-        at = 0
-        for k, n in enumerate(counts):
-            if n:
-                ones = np.add.reduce(bits[at : at + n], axis=0, dtype=np.int32)
-                out[lo + k] = np.packbits(2 * ones > n).view(">u8")
-                at += n
-
-    lo = 0
-    for i, t in enumerate(texts):
-        h = shingle_hashes(t, width)
-        hashes += h
-        counts.append(len(h))
-        if len(hashes) > 200_000 // words or i == len(texts) - 1:
-            flush(lo)
-            hashes, counts, lo = [], [], i + 1
+def majorities(hashes: np.ndarray, counts: list[int], words: int = 1) -> np.ndarray:
+    """(texts, words) uint64: bit b is 1 if set in over half of a text's hashes; zero without any."""
+    out = np.zeros((len(counts), words), np.uint64)
+    wide = _spread(hashes, words)
+    bits = np.unpackbits(wide.astype(">u8").view(np.uint8).reshape(len(wide), -1), axis=1)
+    at = 0
+    for k, n in enumerate(counts):
+        if n:
+            ones = np.add.reduce(bits[at : at + n], axis=0, dtype=np.int32)
+            out[k] = np.packbits(2 * ones > n).view(">u8")
+            at += n
     return out
 
 
-def fingerprint_documents(docs: DataFrame, width: int = WIDTH, words: int = 1) -> DataFrame:
-    """doc_id, a hash of each whole text, and its fingerprint's words (signed) in fp, fp1, fp2, …"""
+def _some_at_a_time(texts: list, hashes_of, most: int) -> Iterator[tuple[np.ndarray, list[int]]]:
+    """(hashes of some texts in a row, how many of each); about most hashes, or one text's."""
+    held: list[np.ndarray] = []
+    total = 0
+    for i, t in enumerate(texts):
+        held.append(np.asarray(hashes_of(t), np.uint64))
+        total += len(held[-1])
+        if total > most or i == len(texts) - 1:
+            yield np.concatenate(held), [len(h) for h in held]
+            held, total = [], 0
+
+
+def fingerprints_of(texts: list, width: int = WIDTH) -> np.ndarray:
+    """(texts, 1) uint64 fingerprints; bit b counts from the least significant."""
+    parts = [majorities(h, n) for h, n in _some_at_a_time(texts, lambda t: shingle_hashes(t, width), 200_000)]
+    return np.concatenate(parts) if parts else np.zeros((0, 1), np.uint64)
+
+
+def fingerprint_documents(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """doc_id, a hash of each whole text, and its fingerprint (signed)."""
     bound_batches(docs.sparkSession)
-    names = _columns(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = fingerprints_of(b.column(1).to_pylist(), width, words).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(2), *(pa.array(np.ascontiguousarray(fps[:, w])) for w in range(words))], names=["doc_id", "text_hash", *names])
+            fps = fingerprints_of(b.column(1).to_pylist(), width).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(2), pa.array(fps[:, 0])], names=["doc_id", "text_hash", "fp"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(tidy(run), "doc_id bigint, text_hash bigint, " + ", ".join(f"{n} bigint" for n in names))
+    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(tidy(run), "doc_id bigint, text_hash bigint, fp bigint")
 
 
 def _columns(words: int) -> list[str]:
@@ -245,12 +250,14 @@ def _link_buckets(keyed: DataFrame, words: int, radius: int, n_parts: int) -> Da
     return dealt.mapInArrow(tidy(run), "u bigint, v bigint")
 
 
-def _classes(prints: DataFrame, words: int) -> DataFrame:
-    """Distinct fingerprints: node, the words, and the first row of each."""
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
-    names = _columns(words)
-    node = F.col("fp") if words == 1 else F.xxhash64(*names)
-    return written(prints.groupBy(*names).agg(first.alias("first")).select(node.alias("node"), *names, "first"), "classes")
+def _first_row():
+    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
+
+
+def _classes(prints: DataFrame) -> DataFrame:
+    """Distinct fingerprints: node and fp (equal), the first row of each, and its rows."""
+    counted = prints.groupBy("fp").agg(_first_row().alias("first"), F.count("*").alias("rows"))
+    return written(counted.select(F.col("fp").alias("node"), "fp", "first", "rows"), "classes")
 
 
 def _groups(classes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -268,18 +275,27 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     the least text_hash.
     """
     prints = written(fingerprint_documents(docs), "prints")
-    classes = _classes(prints, 1)
+    classes = _classes(prints)
     named, groups = _groups(classes, link_classes(classes.select("fp")))
     by_class = named.join(groups, "component").select(F.col("node").alias("fp"), F.col("first.doc_id").alias("component_id"))
     return prints.join(by_class, "fp").select("doc_id", "fp", "component_id"), groups.select("first.doc_id", "first.text_hash")
 
 
-#: The wider form: words of a fingerprint, shingle width, likeness, least chance to find a pair of it.
-WIDE, WIDE_WIDTH, LIKENESS, RECALL = 4, 5, 0.8, 0.95
-#: Linked are pairs up to so many standard deviations over the distance that LIKENESS stands for.
-MARGIN = 1.6
+def fingerprint_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As similar_documents, by links between fingerprints at RADIUS."""
+    prints = written(fingerprint_documents(docs), "prints")
+    classes = _classes(prints)
+    rows = prints.select("doc_id", "text_hash", F.col("fp").alias("node"))
+    return rows, _others(rows, classes, link_classes(classes.select("fp")))
+
+
+#: The wider form: words of a fingerprint, shingle width, likeness; keys, and least values in each.
+WIDE, WIDE_WIDTH, LIKENESS, BANDS, BAND = 2, 5, 0.8, 12, 3
+#: Near are pairs up to so many standard deviations over the distance that LIKENESS stands for.
+MARGIN = 4.0
 #: Classes, and shingles, of a family's slice; shingles of more sets than RARE are counted by matrix products.
 FAMILY, FAMILY_SHINGLES, RARE = 512, 500_000, 8
+_FACTORS = np.array([xxhash.xxh64_intdigest(f"least {i}", seed=SEED) | 1 for i in range(BANDS * BAND)], np.uint64)
 
 
 def differing(likeness: float) -> float:
@@ -292,34 +308,60 @@ def wide_radius(likeness: float = LIKENESS, words: int = WIDE) -> int:
     return round(n * p + MARGIN * math.sqrt(n * p * (1 - p)))
 
 
-def key_plan(classes: int, likeness: float = LIKENESS, recall: float = RECALL) -> tuple[int, int]:
-    """(bits of a key, keys): buckets of unrelated classes hold a few of them, whatever their number."""
-    bits = min(40, max(12, math.ceil(math.log2(max(classes, 2))) - 1))
-    return bits, math.ceil(math.log(1 - recall) / math.log(1 - (1 - differing(likeness)) ** bits))
+def shingle_set(text: str | None) -> np.ndarray:
+    """The distinct hashes of a text's five-word shingles, ascending."""
+    return np.unique(np.array(shingle_hashes(text, WIDE_WIDTH), np.uint64))
+
+
+def bands_of(hashes: np.ndarray, counts: list[int]) -> np.ndarray:
+    """(texts, BANDS) uint64 keys of sets that follow each other; texts without shingles have zeros."""
+    size = np.array(counts)
+    full = np.flatnonzero(size)
+    starts = (np.cumsum(size) - size)[full]
+    out = np.zeros((len(counts), BANDS), np.uint64)
+    for j in range(BANDS if len(full) else 0):
+        key = np.full(len(full), j, np.uint64)
+        for factor in _FACTORS[j * BAND : (j + 1) * BAND]:
+            key ^= np.minimum.reduceat(hashes * factor, starts)
+            key *= np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(29)
+        out[full, j] = key
+    return out
+
 
+_SKETCH = "doc_id bigint, text_hash bigint, node bigint, filled boolean, fp bigint, fp1 bigint, bands binary"
 
-def link_similar(classes: DataFrame, words: int = WIDE, likeness: float = LIKENESS) -> DataFrame:
-    """Edges between classes (node, fp…) whose fingerprints are about as near as likeness."""
-    bits, keys = key_plan(classes.count(), likeness)
-    rng = np.random.default_rng(SEED)
-    chosen = np.stack([rng.permutation(64 * words)[:bits] for _ in range(keys)])
-    names = _columns(words)
+
+def sketch_documents(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, a hash of the set of shingles (node), its fingerprint and its bands."""
+    bound_batches(docs.sparkSession)
+    names = [x.split()[0] for x in _SKETCH.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        value = 1 << np.arange(bits, dtype=np.int64)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                b = batch.slice(lo, 2000)
-                fps = np.stack([b.column(1 + w).to_numpy() for w in range(words)], axis=1)
-                ones = np.unpackbits(fps.astype(">i8").view(np.uint8).reshape(len(fps), -1), axis=1).astype(np.int64)
-                got = [ones[:, c] @ value for c in chosen]
-                bucket = np.concatenate([g * keys + j for j, g in enumerate(got)])
-                again = [np.tile(x, keys) for x in (b.column(0).to_numpy(), *fps.T)]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), *map(pa.array, again)], names=["bucket", "node", *names])
+        for b in batches:
+            at = 0
+            for hashes, counts in _some_at_a_time(b.column(1).to_pylist(), shingle_set, 100_000):
+                fps, bands = majorities(hashes, counts, WIDE).view(np.int64), bands_of(hashes, counts).astype("<u8")
+                cuts = np.cumsum(counts)
+                nodes = np.array([xxhash.xxh3_64_intdigest(hashes[c - n : c].tobytes()) for c, n in zip(cuts.tolist(), counts)], np.uint64)
+                part = b.slice(at, len(counts))
+                at += len(counts)
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(2), pa.array(nodes.view(np.int64)), pa.array(np.array(counts) > 0), *(pa.array(np.ascontiguousarray(fps[:, w])) for w in range(WIDE)), pa.array([x.tobytes() for x in bands], pa.binary())], names=names)
+
+    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(tidy(run), _SKETCH)
+
+
+def similar_classes(sketches: DataFrame) -> DataFrame:
+    """Distinct sets of shingles: node, fp, fp1, bands, filled, the first row of each, and its rows."""
+    same = [F.first(c).alias(c) for c in ("filled", "fp", "fp1", "bands")]
+    return written(sketches.groupBy("node").agg(*same, _first_row().alias("first"), F.count("*").alias("rows")), "classes")
+
 
-    schema = "bucket bigint, node bigint, " + ", ".join(f"{n} bigint" for n in names)
-    keyed = classes.select("node", *names).mapInArrow(tidy(run), schema)
-    return _link_buckets(keyed, words, wide_radius(likeness, words), 2 * parts_of(classes) + keys // 4)
+def link_similar(classes: DataFrame) -> DataFrame:
+    """Spanning edges of the classes that share a key and whose fingerprints are near."""
+    keys = F.array(*[F.conv(F.hex(F.substring("bands", 8 * j + 1, 8)), 16, -10).cast("bigint") for j in range(BANDS)])
+    keyed = classes.where("filled").select(F.explode(keys).alias("bucket"), "node", "fp", "fp1")
+    return _link_buckets(keyed, WIDE, wide_radius(), 2 * parts_of(classes))
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -368,7 +410,7 @@ def shingle_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
 
     Repeated rows may give a node more than once, equal each time.
     """
-    m = members.select("node", "component", F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__hash"))
+    m = written(members.select("node", "component", F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__hash")), "members")
     texts = docs.join(m, docs["doc_id"].eqNullSafe(m["__id"]) & (F.xxhash64(docs["text"]) == m["__hash"])).select(m["node"], m["component"], docs["text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,7 +419,7 @@ def shingle_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
             nodes = b.column(0).to_pylist()
             new = [i for i, x in enumerate(nodes) if x not in seen and not seen.add(x)]
             part = b.take(pa.array(new, pa.int64()))
-            sets = [np.unique(np.array(shingle_hashes(t, WIDE_WIDTH), np.uint64)) for t in part.column(2).to_pylist()]
+            sets = [shingle_set(t) for t in part.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())], names=["node", "component", "size", "hashes"])
 
     return texts.mapInArrow(tidy(run), "node bigint, component bigint, size bigint, hashes binary")
@@ -456,11 +498,26 @@ def link_families(docs: DataFrame, classes: DataFrame, edges: DataFrame, likenes
     return found if firm is None else found.unionByName(firm)
 
 
-def similar_documents(docs: DataFrame) -> DataFrame:
-    """doc_id and text_hash of the first row of each group of similar documents."""
-    classes = _classes(fingerprint_documents(docs, WIDE_WIDTH, WIDE), WIDE)
-    groups = _groups(classes, link_families(docs, classes, link_similar(classes)))[1]
-    return groups.select("first.doc_id", "first.text_hash")
+def _others(rows: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(doc_id, text_hash) of all rows but each group's first.  rows: doc_id, text_hash, node.
+
+    Only classes of several rows or with links are joined to their rows.
+    """
+    found = components(edges, "links")
+    named = classes.select("node", "first", "rows").join(found, "node", "left").where("rows > 1 or component is not null")
+    named = named.withColumn("component", F.coalesce("component", "node"))
+    firsts = named.groupBy("component").agg(F.min("first").alias("head"))
+    heads = written(named.join(firsts, "component").select("node", F.col("head.doc_id").alias("head_id"), F.col("head.text_hash").alias("head_hash")), "heads")
+    out = rows.join(heads, "node").where(~(F.col("doc_id").eqNullSafe(F.col("head_id")) & F.col("text_hash").eqNullSafe(F.col("head_hash"))))
+    return out.select("doc_id", "text_hash")
+
+
+def similar_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, others): doc_id and text_hash of all rows, and of those that are not the first of a group of similar ones."""
+    sketches = written(sketch_documents(docs), "sketches")
+    classes = similar_classes(sketches)
+    rows = sketches.select("doc_id", "text_hash", "node")
+    return rows, _others(rows, classes, link_families(docs, classes, link_similar(classes)))
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -469,10 +526,18 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def first_of_groups(docs: DataFrame, wide: bool = True) -> DataFrame:
-    """docs without all but the first row of each group: of similar documents, or of links at RADIUS."""
-    groups = similar_documents(docs) if wide else near_duplicates(docs)[1]
-    kept = with_text(docs, groups)
-    # repeated rows are one group's first row several times
+    """docs without all but the first row of each group: of similar documents, or of links at RADIUS.
+
+    Of repeated rows (equal doc_id and text) one stays.  Texts are shuffled only where the rows to leave out
+    are too many to broadcast by Spark's own threshold.
+    """
+    rows, others = similar_documents(docs) if wide else fingerprint_groups(docs)
+    others = written(others.distinct(), "others").toDF("__id", "__hash")
+    repeats = written(rows.groupBy("doc_id", "text_hash").count().where("count > 1").select("doc_id", "text_hash"), "repeats").toDF("__id", "__hash")
+    same = lambda keys: docs["doc_id"].eqNullSafe(keys["__id"]) & F.xxhash64(docs["text"]).eqNullSafe(keys["__hash"])
+    kept = docs.join(others, same(others), "left_anti")
+    once = kept.join(repeats, same(repeats), "left_anti")
     order = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
-    ranked = kept.select(F.struct(*[kept[c] for c in docs.columns]).alias("row"), F.row_number().over(order).alias("n"))
-    return ranked.where("n = 1").select("row.*")
+    again = kept.join(repeats, same(repeats), "left_semi")
+    again = again.select(F.struct(*[again[c] for c in docs.columns]).alias("row"), F.row_number().over(order).alias("n"))
+    return once.unionByName(again.where("n = 1").select("row.*"))
