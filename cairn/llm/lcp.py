@@ -8,16 +8,18 @@ so equal substrings are parsed alike, but for their ends, wherever they stand.
 hash of its symbols.
 
 The fingerprint is two minima sketches of a text's names, repeats numbered: 64 bins of those of the levels from
-two up, and 16 bins of level one for texts too short to have many others; 16 bits a bin, in hex, 'zzzz'
-for an empty bin.  The likeness of two fingerprints is the part of the bins filled in either that agree.
+two up, and 16 bins of level one for texts too short to have many others; a bin holds 16 bits of the name
+with the least 48-bit hash, in hex, 'zzzz' for an empty bin, so unrelated texts hardly ever agree in one,
+however long they are.  The likeness of two fingerprints is the part of the bins filled in either that agree.
 
 Cases: a null text is empty, and its fingerprint is all empty bins; two such are alike (1.0); repeated
-rows follow each other, equal doc_ids ordered by text, null doc_ids first; a single row is its own next
+rows follow each other, equal doc_ids ordered by their texts' xxhash64, null doc_ids first; a single row is its own next
 document; an empty table gives no rows; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections.abc import Iterator
 
@@ -100,17 +102,16 @@ def _numbered(names: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 def _minima(keys: np.ndarray, doc: np.ndarray, texts: int, bins: int) -> np.ndarray:
-    """(texts, bins) uint32: least 16-bit value of the names in each bin; 1 << 16 where there is none."""
-    out = np.full(texts * bins, 1 << 16, np.uint32)
+    """(texts, bins) uint64: least 48-bit hash of the names in each bin; 1 << 48 where there is none."""
+    out = np.full(texts * bins, 1 << 48, np.uint64)
     if len(keys):
         h = _mix(keys ^ _M1)
-        slot = doc * bins + (h >> np.uint64(48)).astype(np.int64) % bins
-        np.minimum.at(out, slot, (h & np.uint64(0xFFFFFFFF)).astype(np.uint32) >> 16)
+        np.minimum.at(out, doc * bins + (h >> np.uint64(48)).astype(np.int64) % bins, h & np.uint64((1 << 48) - 1))
     return out.reshape(texts, bins)
 
 
 def sketches(texts: list[str]) -> np.ndarray:
-    """(texts, BINS + SHORT_BINS) uint32 minima of each text."""
+    """(texts, BINS + SHORT_BINS) uint32 sketches of each text: 16 bits, or 1 << 16 for an empty bin."""
     out, lo, size = [], 0, 0
     for i, t in enumerate(texts):
         size += len(t)
@@ -133,7 +134,8 @@ def _sketches(texts: list[str]) -> np.ndarray:
             short = _minima(names, doc, len(texts), SHORT_BINS)
         else:
             np.minimum(main, _minima(_numbered(names, doc) + np.uint64(level), doc, len(texts), BINS), out=main)
-    return np.concatenate([main, short], axis=1)
+    least = np.concatenate([main, short], axis=1)
+    return np.where(least == 1 << 48, 1 << 16, least & np.uint64(0xFFFF)).astype(np.uint32)
 
 
 def to_text(sketch: np.ndarray) -> list[str]:
@@ -178,65 +180,84 @@ DIGEST = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint strin
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *[(n, pa.string()) for n in ("edited_sha256", "fingerprint", "edited_fingerprint")], ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
 
-def _range_of(value, cuts: list[int]):
-    """How many of the ascending cuts are less than value, found in two steps; 0 for null."""
-    width = max(1, int(len(cuts) ** 0.5))
-    groups = [cuts[i : i + width] for i in range(0, len(cuts), width)]
-    if not groups:
-        return F.lit(0)
-    less = lambda array: F.coalesce(F.size(F.filter(array, lambda c: c < value)), F.lit(0))
-    group = F.greatest(less(F.array(*[F.lit(g[0]).cast("long") for g in groups])) - 1, F.lit(0))
-    inner = F.get(F.array(*[F.array(*[F.lit(c).cast("long") for c in g]) for g in groups]), group)
-    return F.when(value.isNull(), F.lit(0)).otherwise(group * width + less(inner)).cast("int")
+def _place(doc_id, key: int) -> tuple:
+    return doc_id is not None, doc_id or 0, key
+
+
+class Ranges:
+    """Where each range of (doc_id, key) begins and ends; ranges may begin and end inside equal places."""
+
+    def __init__(self, ends: list[tuple[tuple, tuple]]):
+        """ends: (first place, last place) of each range, in order; none of the ranges is empty."""
+        self.first, self.last = [a for a, _ in ends], [b for _, b in ends]
+
+    def of(self, place: tuple, turn: int) -> int:
+        """The range of a place; rows of one place that several ranges share are dealt out to them by turns."""
+        lo, hi = bisect.bisect_left(self.first, place), bisect.bisect_right(self.first, place)
+        lo -= lo > 0 and self.last[lo - 1] >= place
+        return lo + turn % max(1, hi - lo)
+
+    def guests(self) -> list[tuple]:
+        """(doc_id, key, range) of the row before each range, where it differs from the range's first."""
+        before = [(self.last[i - 1], i) for i in range(len(self.first))]
+        return [(p[1] if p[0] else None, p[2], i) for p, i in before if p != self.first[i]]
+
+
+def ranges_of(rows: DataFrame) -> Ranges:
+    """About equal ranges of rows (doc_id, key), as many as the scan has tasks; a line of each reaches the driver."""
+    tied = rows.select("doc_id", "key", F.monotonically_increasing_id().alias("tie"))
+    ranged = tied.repartitionByRange(parts_of(rows), F.asc_nulls_first("doc_id"), "key", "tie").withColumn("part", F.spark_partition_id())
+    place = F.struct(F.col("doc_id").isNotNull().alias("some"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "key")
+    ends = ranged.groupBy("part").agg(F.min(place).alias("a"), F.max(place).alias("b")).orderBy("part").collect()
+    return Ranges([(tuple(r["a"]), tuple(r["b"])) for r in ends])
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """Every text, and the text edited with the next document (descending doc_id, then the first).
 
-    Texts are dealt out by ranges of doc_id in one shuffle; each range also gets the last document of
-    the range before it, so a row's next document is the row before it in its own task.
+    Texts are dealt out by ranges of doc_id in one shuffle, a range a task; each range also gets the row
+    before it as a guest, so a row's next document is the row before it in its own task.
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    n = parts_of(docs)
-    # cuts between ranges, and the greatest doc_id of each range: as many as the scan has tasks
-    cuts = docs.where("doc_id is not null").agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10000).alias("q")).first()["q"]
-    cuts = sorted(set(cuts or []))
-    docs = docs.withColumn("part", _range_of(F.col("doc_id"), cuts))
-    tops = docs.groupBy("part").agg(F.max("doc_id").alias("top")).orderBy("part").collect()
-    if not tops:
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.withColumn("key", F.xxhash64("text"))
+    ranges = ranges_of(docs.select("doc_id", "key"))
+    if not ranges.first:
         return spark.createDataFrame([], DIGEST)
-    # the last document of a range goes to the next range that has any; the very last to the first
-    goes = spark.createDataFrame([(r["top"], tops[(i + 1) % len(tops)]["part"]) for i, r in enumerate(tops)], "top bigint, to int")
-    ghosts = docs.join(F.broadcast(goes), docs["doc_id"].eqNullSafe(goes["top"])).select("doc_id", "text", F.col("to").alias("part"))
-    rows = docs.withColumn("own", F.lit(1)).unionByName(ghosts.withColumn("own", F.lit(0)))
-    dealt = rows.repartition(max(1, len(cuts) + 1), "part").sortWithinPartitions("part", "own", F.asc_nulls_first("doc_id"), "text")
+    shared = spark.sparkContext.broadcast(ranges)  # a line for each task
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = 0
+        for b in batches:
+            places = map(_place, b.column(0).to_pylist(), b.column(2).to_pylist())
+            parts = pa.array([shared.value.of(p, turn + i) for i, p in enumerate(places)], pa.int32())
+            turn += b.num_rows
+            yield pa.RecordBatch.from_arrays([*b.columns, parts, pa.array([True] * b.num_rows)], names=["doc_id", "text", "key", "part", "own"])
+
+    own = docs.mapInArrow(tidy(deal), "doc_id bigint, text string, key bigint, part int, own boolean")
+    asked = spark.createDataFrame(ranges.guests(), "id bigint, hash bigint, part int")
+    guests = docs.join(F.broadcast(asked), docs["doc_id"].eqNullSafe(asked["id"]) & (docs["key"] == asked["hash"])).dropDuplicates(["part"])
+    rows = own.unionByName(guests.select("doc_id", "text", "key", "part", F.lit(False).alias("own")))
+    dealt = rows.repartitionById(len(ranges.first), F.col("part")).sortWithinPartitions("part", "own", F.asc_nulls_first("doc_id"), "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, before_sketch, now = None, None, None
+        before, before_sketch = None, None  # without a guest the range's first row follows an equal one
         for b in batches:
-            ids, texts, parts, own = (b.column(i).to_pylist() for i in range(4))
+            ids, texts, own = (b.column(i).to_pylist() for i in range(3))
+            if not ids:
+                continue
             sk = sketches(texts)
-            if now is None:
-                now = parts[0] if parts else None
-            prev_t, prev_s = [], np.empty_like(sk)
-            for i in range(len(ids)):
-                if i == 0:
-                    prev_t.append(before)
-                    prev_s[0] = sk[0] if before_sketch is None else before_sketch
-                else:
-                    prev_t.append(texts[i - 1])
-                    prev_s[i] = sk[i - 1]
+            prev_t = [texts[0] if before is None else before, *texts[:-1]]
+            prev_s = np.concatenate([sk[:1] if before is None else before_sketch[None], sk[:-1]])
             mine = np.flatnonzero(np.array(own, bool))
             if len(mine):
-                new = [edited(texts[i], prev_t[i] if prev_t[i] is not None else texts[i]) for i in mine.tolist()]
+                new = [edited(texts[i], prev_t[i]) for i in mine.tolist()]
                 es = sketches(new)
                 prints, eprints = to_text(sk[mine]), to_text(es)
                 near, nxt = likeness(sk[mine], es), likeness(sk[mine], prev_s[mine])
                 out = [(ids[i], len(texts[i]), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), p, q, float(x), float(y)) for i, e, p, q, x, y in zip(mine.tolist(), new, prints, eprints, near, nxt)]
                 yield from batches_of(out, _DIGEST)
-            if len(ids):
-                before, before_sketch = texts[-1], sk[-1]
+            before, before_sketch = texts[-1], sk[-1]
 
-    return dealt.select("doc_id", "text", "part", "own").mapInArrow(tidy(run), DIGEST)
+    return dealt.select("doc_id", "text", "own").mapInArrow(tidy(run), DIGEST)

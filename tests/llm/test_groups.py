@@ -16,10 +16,11 @@ from cairn.llm import components, lcp, mixing, sharding, simhash
 
 def test_fingerprints(docs, doc_rows):
     out = [r.asDict() for r in lcp.digest(docs).collect()]
-    texts = sorted(((d is not None, d or 0, t or "", d) for d, t, *_ in doc_rows), reverse=True)
+    key = lambda t: np.uint64(xxhash.xxh64_intdigest((t or "").encode(), 42)).astype(np.int64)
+    texts = sorted(((d is not None, d or 0, key(t), t or "", d) for d, t, *_ in doc_rows), reverse=True)
     want = Counter()
-    for i, (_, _, t, d) in enumerate(texts):
-        other = texts[(i + 1) % len(texts)][2]
+    for i, (_, _, _, t, d) in enumerate(texts):
+        other = texts[(i + 1) % len(texts)][3]
         want[d, len(t), hashlib.sha256(lcp.edited(t, other).encode()).hexdigest()] += 1
     assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in out) == want
     prints = {r["doc_id"]: r["fingerprint"] for r in out if r["doc_id"] is not None}
@@ -30,6 +31,85 @@ def test_fingerprints(docs, doc_rows):
     assert {r["doc_id"]: r["fingerprint"] for r in lcp.fingerprint_documents(docs.where("doc_id is not null")).collect()} == prints
 
 
+def fingerprint_by_plain_parsing(text):
+    """One symbol at a time: runs, two rounds of coin tossing, local maxima; then the bins' least hashes."""
+    m1, m2, full = int(lcp._M1), int(lcp._M2), (1 << 64) - 1
+
+    def mix(x):
+        x = x * m1 & full
+        x ^= x >> 29
+        x = x * m2 & full
+        return x ^ x >> 32
+
+    def toss(a):
+        out = []
+        for i, v in enumerate(a):
+            low = 0 if i == 0 else ((v ^ a[i - 1]) & -(v ^ a[i - 1])).bit_length() - 1 if v != a[i - 1] else 16
+            out.append(low << 1 | v >> min(low, 15) & 1)
+        return out
+
+    def phrases(names):
+        runs = []
+        for v in names:
+            if runs and runs[-1][0] == v:
+                runs[-1][1] += 1
+            else:
+                runs.append([v, 1])
+        names = [mix(v + n * m2 & full) if n > 1 else v for v, n in runs]
+        labels = toss(toss([v & 0xFFFF for v in names]))
+        n = len(names)
+        starts = [0] + [i for i in range(2, n - 1) if labels[i] > labels[i - 1] and labels[i] >= labels[i + 1]]
+        parts = [names[a:b] for a, b in zip(starts, [*starts[1:], n])]
+        return [mix(sum(mix(v) * int(lcp._PLACE[i & 63]) for i, v in enumerate(part)) + len(part) & full) for part in parts]
+
+    main, short, names = [1 << 48] * lcp.BINS, [1 << 48] * lcp.SHORT_BINS, [ord(c) for c in text]
+    for level in range(1, lcp.LEVELS + 1):
+        if not names:
+            break
+        names, seen = phrases(names), Counter()
+        for v in names:
+            if level > 1:
+                seen[v] += 1
+                v = (mix(v + (seen[v] - 1) * m2 & full) if seen[v] > 1 else v) + level & full
+            bins = short if level == 1 else main
+            h = mix(v ^ m1)
+            bins[(h >> 48) % len(bins)] = min(bins[(h >> 48) % len(bins)], h & (1 << 48) - 1)
+    return "".join(lcp.EMPTY if v == 1 << 48 else f"{v & 0xFFFF:04x}" for v in main + short)
+
+
+def test_fingerprints_match_plain_parsing(doc_rows):
+    rng = random.Random(31)
+    texts = [t or "" for _, t, *_ in doc_rows if len(t or "") < 3000]
+    texts += ["".join(rng.choice("ab") * rng.choice([1, 1, 2, 5]) for _ in range(rng.randint(0, 80))) for _ in range(60)] + ["a", "ab", "aab", "aaaa", "日本日本"]
+    assert lcp.to_text(lcp.sketches(texts)) == [fingerprint_by_plain_parsing(t) for t in texts]
+
+
+def test_long_unrelated_texts_are_unlike():
+    rng = np.random.default_rng(4)
+    a, b = lcp.sketches(["".join(map(chr, rng.integers(97, 123, 1_500_000))) for _ in range(2)])
+    assert lcp.likeness(a[None], b[None])[0] < 0.1
+
+
+def test_ranges_split_equal_places():
+    a, b, c = lcp._place(None, 5), lcp._place(1, 2), lcp._place(9, 0)
+    r = lcp.Ranges([(a, a), (a, b), (b, b), (b, c)])
+    assert {r.of(a, i) for i in range(4)} == {0, 1} and {r.of(b, i) for i in range(6)} == {1, 2, 3}
+    assert r.of(c, 0) == r.of(lcp._place(3, 1), 7) == 3
+    assert r.guests() == [(9, 0, 0)]
+
+
+def test_fingerprints_of_one_hot_id(spark):
+    """A third of all rows without an id and with one text, and one id with many texts."""
+    rng = random.Random(3)
+    rows = [(None, "the same text again")] * 50 + [(7, f"text {rng.random()}") for _ in range(50)] + [(i, f"other {i}") for i in range(100, 150)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    got = Counter((r["doc_id"], r["edited_sha256"]) for r in lcp.digest(df).collect())
+    key = lambda t: np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).astype(np.int64)
+    order = sorted(((d is not None, d or 0, key(t), t, d) for d, t in rows), reverse=True)
+    want = Counter((r[4], hashlib.sha256(lcp.edited(r[3], order[(i + 1) % len(order)][3]).encode()).hexdigest()) for i, r in enumerate(order))
+    assert got == want
+
+
 def test_fingerprints_small_tables(spark, no_docs):
     assert lcp.digest(no_docs).count() == 0
     one = spark.createDataFrame([(1, "only one text")], "doc_id bigint, text string")
