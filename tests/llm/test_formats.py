@@ -7,6 +7,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cairn.llm import chat, packing, queries, tokens, wavelet
@@ -149,11 +151,12 @@ def test_windows_rule():
     assert [[(d, len(x)) for d, _, x, _ in win] for win in w.held] == [[(0, 6), (3, 2)], [(4, 8)]]
 
 
+@pytest.mark.parametrize("chunk", [512, 1024, wavelet.CHUNK])
 @pytest.mark.parametrize("n,sigma", [(0, 1), (1, 1), (7, 1), (513, 3), (3000, 300), (2048, 70_000)])
-def test_wavelet_matrix(n, sigma):
+def test_wavelet_matrix(n, sigma, chunk):
     rng = np.random.default_rng(n)
     seq = rng.integers(0, sigma, n)
-    m = wavelet.WaveletMatrix.from_bytes(wavelet.WaveletMatrix.build(seq).to_bytes())
+    m = wavelet.WaveletMatrix.from_bytes(wavelet.WaveletMatrix.build(seq, chunk).to_bytes())
     assert np.array_equal(m.decode(), seq)
     for i in rng.integers(0, n, 50) if n else []:
         t = int(seq[i])
@@ -170,7 +173,8 @@ def test_shards(docs, doc_rows, library):
     shards = wavelet.write_shards(docs, shard_tokens=1000)
     assert shards.count() > 1
     got = sorted(tuple(r) for r in wavelet.read_shards(shards).select("start", "n_tokens", "ids_crc32", "doc_id").collect())
-    order = sorted(doc_rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    key = lambda t: np.uint64(xxhash.xxh64_intdigest((t or "").encode(), 42)).astype(np.int64)
+    order = sorted(doc_rows, key=lambda r: (r[0] is not None, r[0] or 0, key(r[1])))
     start, want = 0, []
     for d, t, *_ in order:
         ids = whole_ids(library, t, 0)
@@ -179,5 +183,39 @@ def test_shards(docs, doc_rows, library):
     assert got == want
 
 
+def test_shards_keep_extreme_ids(spark):
+    ids = [None, -(1 << 63), (1 << 63) - 1, 0, 5]
+    df = spark.createDataFrame([(i, f"t {i}") for i in ids], "doc_id bigint, text string")
+    got = [r["doc_id"] for r in wavelet.read_shards(wavelet.write_shards(df)).orderBy("start").collect()]
+    assert got == [None, -(1 << 63), 0, 5, (1 << 63) - 1]
+
+
+def test_one_hot_id_is_dealt_out(spark):
+    df = spark.range(400).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 7).alias("text")).repartition(4)
+    shards = wavelet.write_shards(df)
+    docs = [r["n"] for r in shards.groupBy("part").agg(F.sum("n_docs").alias("n")).collect()]
+    assert sum(docs) == 400 and max(docs) < 160
+    starts = sorted((r["start"], r["n_tokens"]) for r in wavelet.read_shards(shards).collect())
+    assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:]))
+
+
+def test_files_are_read_in_parts(spark, tmp_path, library):
+    """Access, count and occurrence lookup from a file, without reading all of it."""
+    rng = random.Random(8)
+    words = [library.decode([i]) for i in range(1000, 3000)]
+    df = spark.createDataFrame([(i, "".join(rng.choice(words) for _ in range(2000))) for i in range(60)], "doc_id bigint, text string").coalesce(1)
+    files = wavelet.save_files(wavelet.write_shards(df, chunk=1 << 13), f"file://{tmp_path}/shards").collect()
+    assert len(files) == 1 and sorted(p.name for p in (tmp_path / "shards").iterdir()) == [files[0]["path"].rsplit("/", 1)[1]]
+    ids = [i for d in df.collect() for i in whole_ids(library, d["text"], 0)]
+    shard = wavelet.open_file(files[0]["path"])
+    read, seen = shard.sections.read, []
+    shard.sections.read = lambda at, size: seen.append(size) or read(at, size)
+    assert shard.matrix.access(70_000) == ids[70_000]
+    assert 0 < sum(seen) < 0.25 * (tmp_path / "shards" / files[0]["path"].rsplit("/", 1)[1]).stat().st_size
+    token = ids[500]
+    assert shard.matrix.count(token) == ids.count(token) and shard.matrix.select(token, 3) == [i for i, x in enumerate(ids) if x == token][3]
+    assert shard.doc_ids() == list(range(60)) and shard.matrix.decode().tolist() == ids
+
+
 def test_shards_empty(no_docs):
     assert wavelet.read_shards(wavelet.write_shards(no_docs)).count() == 0
