@@ -3,12 +3,13 @@
 A text is a TF-IDF vector over hashed character bigrams and trigrams of its lower-cased letters (all
 else counts as a space).  Every language has several centroids, clustered by spherical k-means over a
 bounded sample of its labelled documents; a text gets the language of the centroid with the greatest
-cosine, and is rejected if it is farther from it than the language's own documents ever are, with a
-margin.  Document frequencies cover all training documents.
+cosine, and is rejected if this cosine is under half of what all but the farthest twentieth of the language's
+sample reach, so that some junk in the sample moves nothing.  Document frequencies cover all training
+documents.
 
 Cases: a null text and a text without letters are 'und' with score 0; null languages are not learnt;
 without any training document all are 'und'; repeated rows are predicted alike; an empty table gives
-no rows; columns other than doc_id, text and (for training) lang are ignored.
+no rows; over LANGUAGES languages raise; columns other than doc_id, text and (for training) lang are ignored.
 """
 
 from __future__ import annotations
@@ -21,15 +22,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, tidy
+from .common import bound_batches, tidy, written
 
 DIM_BITS = 12
 DIM = 1 << DIM_BITS
 CENTROIDS, ROUNDS = 3, 12
 #: Bound of the sample that centroids are fitted on: about so many documents of each language.
 SAMPLE = 400
-#: Rejected are cosines below this part of the least of the language's own sample, smaller for short texts.
-MARGIN = 0.5
+#: Rejected are cosines below this part of this quantile of the language's sample, smaller for short texts.
+MARGIN, QUANTILE = 0.5, 0.05
+#: Languages at most: 48 KB each are gathered and sent to the tasks.
+LANGUAGES = 2000
 _STEP = 1 << 20
 _LETTER = np.array([chr(c).isalpha() for c in range(0xD800)] + [False] * 0x800 + [chr(c).isalpha() for c in range(0xE000, 0x10000)])
 
@@ -41,8 +44,8 @@ def has_letter(text: str | None) -> bool:
 def counts_of(texts: list) -> np.ndarray:
     """(texts, DIM) counts of hashed bigrams and trigrams; float32."""
     low = [(t or "").lower() for t in texts]
-    sizes = np.array([len(t) for t in low], np.int64) + 1
-    c = np.frombuffer((" ".join(low) + "   ").encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+    sizes = np.array([len(t) for t in low], np.int64) + 2  # a space at both ends, so no n-gram reaches into the next text
+    c = np.frombuffer(("".join(f" {t} " for t in low) + "   ").encode("utf-32-le", "surrogatepass"), np.uint32).copy()
     c[~np.where(c < 0x10000, _LETTER[np.minimum(c, 0xFFFF)], True)] = 32
     n = int(sizes.sum())
     base = np.repeat(np.arange(len(texts), dtype=np.int64) << DIM_BITS, sizes)
@@ -77,14 +80,14 @@ def vectors(texts: list, idf: np.ndarray) -> np.ndarray:
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
-    """Unit centroids; seeds are farthest-first from the mean, so the result is determined by x."""
-    mean = x.sum(0)
-    seeds = [int(np.argmax(x @ mean))]
-    while len(seeds) < min(k, len(x)):
-        seeds.append(int(np.argmin((x @ x[seeds].T).max(1))))
-    cents = x[seeds]
+    """Unit centroids; seeds stand at even ranks by their cosine to the mean, and the farthest texts
+    (QUANTILE of all) move no centroid, so none ends at an outlier."""
+    k = min(k, len(x))
+    ranked = np.argsort(x @ x.sum(0), kind="stable")
+    cents = x[ranked[(2 * np.arange(k) + 1) * len(x) // (2 * k)]]
     for _ in range(rounds):
-        near = (x @ cents.T).argmax(1)
+        cos = x @ cents.T
+        near = np.where(cos.max(1) >= np.quantile(cos.max(1), QUANTILE), cos.argmax(1), -1)
         sums = np.stack([x[near == j].sum(0) if (near == j).any() else cents[j] for j in range(len(cents))])
         cents = sums / np.linalg.norm(sums, axis=1, keepdims=True)
     return cents
@@ -132,9 +135,11 @@ def fit(training: DataFrame) -> Model:
     df[rows["f"]] = rows["n"]
     idf = np.log((1 + df[DIM]) / (1 + df[:DIM])).astype(np.float32) + np.float32(0.1)
     # about SAMPLE documents of each language, by a hash of doc_id
-    sizes = training.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = written(training.groupBy("lang").agg(F.count("*").alias("n")), "langs")
+    if (n_langs := sizes.count()) > LANGUAGES:
+        raise ValueError(f"{n_langs} languages, over {LANGUAGES}")
     chance = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    sample = training.join(F.broadcast(sizes) if sizes.count() <= 100_000 else sizes, "lang").where(chance < F.lit(float(SAMPLE)) / F.col("n"))
+    sample = training.join(F.broadcast(sizes), "lang").where(chance < F.lit(float(SAMPLE)) / F.col("n"))
 
     def vectorise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -150,7 +155,7 @@ def fit(training: DataFrame) -> Model:
         if not len(x):
             return pd.DataFrame({"lang": [], "c": [], "least": []})
         cents = spherical_kmeans(x, CENTROIDS, ROUNDS)
-        least = float((x @ cents.T).max(1).min())
+        least = float(np.quantile((x @ cents.T).max(1), QUANTILE))
         return pd.DataFrame({"lang": [pdf["lang"].iloc[0]] * len(cents), "c": [c.astype("<f4").tobytes() for c in cents], "least": [least] * len(cents)})
 
     found = sample.select("lang", "text", "doc_id").mapInArrow(tidy(vectorise), "lang string, doc_id bigint, v binary")
