@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import itertools
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Arrow batches that go to Python hold at most so many bytes, however long the texts are.
 BATCH_BYTES = "4m"
 BATCH_ROWS = "2000"
+_WRITES = itertools.count(1)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +39,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def give_back() -> None:
+    """Returns freed memory of this process to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """run, after which the worker gives freed memory back, as it lives on beside the next stages'."""
 
@@ -44,9 +53,7 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # another C library
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            give_back()
 
     return tidied
 
@@ -59,16 +66,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cairn-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # plans and task records of many small jobs would grow the driver's heap to its limit before it is collected
+    if next(_WRITES) % 6 == 0:
+        spark._jvm.System.gc()
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def with_text(docs: DataFrame, keep: DataFrame, key: Column | None = None) -> DataFrame:
-    """The rows of docs whose (doc_id, key) is a row of keep (doc_id, key); key: xxhash64 of the text."""
-    key = F.xxhash64(docs["text"]) if key is None else key
-    keep = keep.toDF("__id", "__key")
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["__id"]) & (key == keep["__key"]), "left_semi")
+def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """A written table of narrow rows, marked for broadcast where a count finds so few rows; else as it is."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def parts_of(df: DataFrame) -> int:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, parts_of, tidy, with_text, written
+from .common import bound_batches, give_back, parts_of, small, tidy, written
 
 ORDER = 5
 #: Model entries that are broadcast at most: 12 bytes each, and an index of 4 bytes each at most.
@@ -135,7 +135,7 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
     """(text, lang, key): each text of a language once; only texts that occur more than once are shuffled."""
     keyed = docs.select("text", "lang", F.xxhash64(F.col("lang").isNull(), "lang", "text").alias("key"))
     again = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "again")
-    few = F.broadcast(again) if again.count() <= 1_000_000 else again
+    few = small(again)
     copies = keyed.join(few, "key", "left_semi").dropDuplicates(["key"])
     return keyed.join(few, "key", "left_anti").unionByName(copies).select("text", "lang", "key")
 
@@ -332,6 +332,8 @@ def losses(texts: list, own: np.ndarray, look_up) -> list[float | None]:
 def score(docs: DataFrame, arrays: HashArrays, codes: dict) -> DataFrame:
     """BASE and log_perplexity of every document: the model is broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(arrays)
+    del arrays  # the driver needs them no more
+    give_back()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -408,4 +410,5 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """docs without the rows that the rules reject."""
-    return with_text(docs, judge(docs).where("kept").select("doc_id", "key"), F.xxhash64(docs["lang"].isNull(), docs["lang"], docs["text"]))
+    rejected = small(written(judge(docs).where("not kept").select(F.col("key").alias("__key")).distinct(), "rejected"))
+    return docs.join(rejected, F.xxhash64(docs["lang"].isNull(), docs["lang"], docs["text"]) == rejected["__key"], "left_anti")

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, parts_of, tidy, written
+from .common import bound_batches, parts_of, small, tidy, written
 from .components import components
 
 WIDTH, RADIUS, SEED = 3, 3, 42
@@ -411,6 +411,7 @@ def shingle_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
     Repeated rows may give a node more than once, equal each time.
     """
     m = written(members.select("node", "component", F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__hash")), "members")
+    m = small(m)
     texts = docs.join(m, docs["doc_id"].eqNullSafe(m["__id"]) & (F.xxhash64(docs["text"]) == m["__hash"])).select(m["node"], m["component"], docs["text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -508,7 +509,7 @@ def _others(rows: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFrame:
     named = named.withColumn("component", F.coalesce("component", "node"))
     firsts = named.groupBy("component").agg(F.min("first").alias("head"))
     heads = written(named.join(firsts, "component").select("node", F.col("head.doc_id").alias("head_id"), F.col("head.text_hash").alias("head_hash")), "heads")
-    out = rows.join(heads, "node").where(~(F.col("doc_id").eqNullSafe(F.col("head_id")) & F.col("text_hash").eqNullSafe(F.col("head_hash"))))
+    out = rows.join(small(heads), "node").where(~(F.col("doc_id").eqNullSafe(F.col("head_id")) & F.col("text_hash").eqNullSafe(F.col("head_hash"))))
     return out.select("doc_id", "text_hash")
 
 
@@ -529,11 +530,11 @@ def first_of_groups(docs: DataFrame, wide: bool = True) -> DataFrame:
     """docs without all but the first row of each group: of similar documents, or of links at RADIUS.
 
     Of repeated rows (equal doc_id and text) one stays.  Texts are shuffled only where the rows to leave out
-    are too many to broadcast by Spark's own threshold.
+    are too many to broadcast.
     """
     rows, others = similar_documents(docs) if wide else fingerprint_groups(docs)
-    others = written(others.distinct(), "others").toDF("__id", "__hash")
-    repeats = written(rows.groupBy("doc_id", "text_hash").count().where("count > 1").select("doc_id", "text_hash"), "repeats").toDF("__id", "__hash")
+    others = small(written(others.distinct(), "others").toDF("__id", "__hash"))
+    repeats = small(written(rows.groupBy("doc_id", "text_hash").count().where("count > 1").select("doc_id", "text_hash"), "repeats").toDF("__id", "__hash"))
     same = lambda keys: docs["doc_id"].eqNullSafe(keys["__id"]) & F.xxhash64(docs["text"]).eqNullSafe(keys["__hash"])
     kept = docs.join(others, same(others), "left_anti")
     once = kept.join(repeats, same(repeats), "left_anti")

@@ -153,6 +153,60 @@ def test_language_accuracy_on_held_out(spark, sf):
     assert n > 20 and right / n > 0.95
 
 
+def cosines_by_hand(text, model):
+    """Cosines of a text to all centroids, from a plain counter of hashed n-grams."""
+    low = f" {text.lower()} "
+    c = [ord(x) if x.isalpha() else 32 for x in low] + [32] * 3
+    grams, m = Counter(), 0xFFFFFFFF
+
+    def place(h):
+        h = h * 0x27D4EB2F & m
+        h ^= h >> 15
+        return (h * 0x165667B1 & m) >> 32 - language.DIM_BITS
+
+    for i in range(len(low)):
+        two = c[i] * 0x9E3779B1 + c[i + 1] * 0x85EBCA77 & m
+        if not c[i] == c[i + 1] == 32:
+            grams[place(two)] += 1
+            grams[place(two * 5 + c[i + 2] * 0xC2B2AE3D & m)] += 1
+    v = np.zeros(language.DIM)
+    for k, n in grams.items():
+        v[k] = math.log1p(n) * model.idf[k]
+    return model.cents @ v / (np.linalg.norm(v) or 1)
+
+
+def test_language_matches_plain_centroids(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language.fit_documents(d)
+    assert np.allclose(np.linalg.norm(model.cents, axis=1), 1, atol=1e-4) and len(set(model.langs)) > 1
+    texts = [r["text"] for r in d.limit(40).collect()] + ["Été à la maison", "x", "12 a", "日本語 ok"]
+    names, scores, _ = model.predict(texts)
+    for t, name, score in zip(texts, names, scores):
+        cos = cosines_by_hand(t, model)
+        assert math.isclose(cos.max(), score, abs_tol=1e-4) and model.langs[int(cos.argmax())] == name
+
+
+def test_language_rejects_noise_and_foreign_scripts(spark, sf):
+    import random
+
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    model, rng = language.fit_documents(d), random.Random(1)
+    own = [r["text"] for r in d.where("text is not null").collect()]
+    assert model.predict(own)[2].mean() < 0.02
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "bcdfghjklmnpqrstvwxz", "абвгдежзийклмнопрстуфхцчшщыэюя", "αβγδεζηθικλμνξοπρστυφχψω"):
+        noise = [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(n)) for n in (60, 100, 300) for _ in range(20)]
+        assert model.predict(noise)[2].mean() > 0.9
+
+
+def test_centroids_are_no_outliers():
+    rng = np.random.default_rng(2)
+    base = rng.random((2, 40))
+    x = np.concatenate([base[i % 2] + 0.1 * rng.random((1, 40)) for i in range(100)] + [rng.random((1, 40)) ** 9 for _ in range(3)])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    cents = language.spherical_kmeans(x, 3, 12)
+    assert np.bincount((x @ cents.T).argmax(1), minlength=3).min() > 3
+
+
 def test_language_needs_no_label_to_predict(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet")
     model = language.fit_documents(d)
