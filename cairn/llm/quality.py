@@ -45,7 +45,7 @@ FENCE, FLOOR = 3.0, 0.1
 SYMBOLS = b"#*$%&|<>"
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 MIN_WORDS, REPEAT_PERCENT = 50, 50
-_STEP = 1_000_000
+_STEP = 400_000
 _PAD = b"\n" * (ORDER - 1)
 _SYMBOL = np.isin(np.arange(256), list(SYMBOLS))
 _GAP = np.isin(np.arange(256), list(SPACES))
@@ -81,7 +81,7 @@ def _stream(texts: list, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def _slices(texts: list) -> Iterator[slice]:
-    """Ranges of texts of about a megabyte, which bounds the arrays made from them."""
+    """Ranges of texts of _STEP characters, which bounds the arrays made from them."""
     lo, size = 0, 0
     for i, t in enumerate(texts):
         size += len(t or "")
@@ -114,10 +114,10 @@ def count_grams(texts: DataFrame, codes: dict) -> DataFrame:
                 keys.append(k)
                 counts.append(c)
                 held += len(k)
-                if held > 1_000_000:
+                if held > 500_000:
                     k, c = _merged(keys, counts)
                     keys, counts, held = [k], [c], 0
-                    if len(k) > 500_000:  # Spark adds up what a task gives in parts
+                    if len(k) > 250_000:  # Spark adds up what a task gives in parts
                         yield _grams(k, c)
                         keys, counts = [], []
         if keys:

@@ -26,7 +26,7 @@ _ASCII_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
 _WIDE_SPACE = "\x85\xa0                　"
 _TOUCHING = ["  ", *(" " + c for c in _ASCII_SPACE), *(c + " " for c in _ASCII_SPACE)]
 #: Chunks that a worker's memo holds at most, and slots of its hash table.
-_MEMO_LIMIT, _TABLE_BITS = 1_400_000, 21
+_MEMO_LIMIT, _TABLE_BITS = 1_000_000, 21
 #: Characters that are cut into chunks at once.
 _STEP = 300_000
 _PRIME = 0x9E3779B97F4A7C15 | 1
@@ -48,6 +48,11 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in keep} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _grown(a: np.ndarray, size: int) -> np.ndarray:
+    """a, with room for size and a quarter of a million more where it is too short."""
+    return a if size <= len(a) else np.concatenate([a, np.zeros(size + (1 << 18) - len(a), a.dtype)])
+
+
 class Encoder:
     """Encodes texts into flat numpy id arrays; one per worker process and vocabulary file."""
 
@@ -158,12 +163,8 @@ class Encoder:
             parts.append(part)
         text = b" ".join(parts) + b" "  # each chunk's bytes and a space
         n = len(sizes)
-        while used + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while written + len(text) > len(self.bytes):
-            self.bytes = np.concatenate([self.bytes, np.zeros_like(self.bytes)])
-        while k + n > len(self.starts):
-            self.starts, self.lens, self.texts, self.checks = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lens, self.texts, self.checks))
+        self.pool, self.bytes = _grown(self.pool, used + len(flat)), _grown(self.bytes, written + len(text))
+        self.starts, self.lens, self.texts, self.checks = (_grown(x, k + n) for x in (self.starts, self.lens, self.texts, self.checks))
         self.pool[used : used + len(flat)] = flat
         self.bytes[written : written + len(text)] = np.frombuffer(text, np.uint8)
         self.lens[k : k + n] = sizes
