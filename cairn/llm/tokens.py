@@ -230,12 +230,27 @@ class Encoder:
         return np.concatenate(out), np.array([len(p) for p in out], np.int64)
 
     def _chunks(self, data: bytes, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, ids per text) of texts joined by spaces; stops: where each next text begins."""
+        """(ids, ids per text) of texts joined by spaces; stops: where each next text begins.
+
+        Some hundred thousand bytes are taken at a time, however long a text is.
+        """
         raw = np.frombuffer(data, np.uint8)
         end = np.append(np.flatnonzero(raw == 32), len(raw))
         begin = np.append(0, end[:-1] + 1)
         of = np.searchsorted(stops, begin, "right")
         first = np.append(True, of[1:] != of[:-1])
+        flats, lens, a = [], [], 0
+        while a < len(end):
+            b = max(a + 1, int(np.searchsorted(end, begin[a] + _STEP, "right")))
+            lo, hi = int(begin[a]), int(end[b - 1])
+            flat, n = self._part(data[lo:hi], raw[lo:hi], begin[a:b] - lo, end[a:b] - lo, first[a:b])
+            flats.append(flat)
+            lens.append(n)
+            a = b
+        return np.concatenate(flats), np.bincount(of, np.concatenate(lens), len(stops)).astype(np.int64)
+
+    def _part(self, data: bytes, raw: np.ndarray, begin: np.ndarray, end: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids per chunk) of chunks that follow each other."""
         h, check = self._hashes(raw, begin, end, first)
         idx = self._find(h, check).astype(np.int64)
         new = np.flatnonzero(idx < 0)
@@ -255,7 +270,7 @@ class Encoder:
         if len(rep) and k + len(rep) <= _MEMO_LIMIT:
             self._insert(h[rep], np.arange(k, k + len(rep)))
             self.n, self.used, self.written = k + len(rep), used, written
-        return flat, np.bincount(of, lens, len(stops)).astype(np.int64)
+        return flat, lens
 
 
 def ids_crc32(ids: np.ndarray) -> int:
