@@ -78,6 +78,20 @@ def find_newline(s: Column) -> Column:
     return F.coalesce(find_char(s, "\n"), find_char(s, "\r"))
 
 
+def substring_at(s: Column, position: Column | int, n: int) -> Column:
+    """n characters from a position on, fewer at the end."""
+    return F.substr(s, (F.lit(position) if isinstance(position, int) else position) + 1, F.lit(n))
+
+
+def advance(s: Column, position: Column, n: int) -> Column:
+    """The position n characters on, at most the end."""
+    return F.least(position + n, F.length(s))
+
+
+def at_end(s: Column, position: Column) -> Column:
+    return position >= F.length(s)
+
+
 def has_field(fields: Column, name: str) -> Column:
     return F.coalesce(F.map_contains_key(fields, name), F.lit(False))
 

@@ -44,8 +44,21 @@ def parse_time(s: Column, fmt: str, year: int | None = None) -> Column:
     return F.try_to_timestamp(F.nullif(text, F.lit("")), F.lit(java)).cast("timestamp_ntz")
 
 
+#: Formats of one layout, year to second in 19 characters.
+_ISO = ("%Y-%m-%dT%H:%M:%SZ", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M:%S")
+
+
 def parse_any(s: Column, formats=JSON_FORMATS, year: int | None = None) -> Column:
-    return F.coalesce(*[parse_time(s, f, year) for f in formats])
+    """The timestamp by the first of the formats that fits.
+
+    Where the first format is an ISO one and both ISO forms are among them, texts of that layout are cast
+    without trying patterns one by one; the patterns are for the others.
+    """
+    slow = [parse_time(s, f, year) for f in formats]
+    if formats[0] not in _ISO or not {"%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M:%S"} <= set(formats):
+        return F.coalesce(*slow)
+    fits = s.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}")
+    return F.coalesce(F.when(fits, F.substr(s, F.lit(1), F.lit(19)).try_cast("timestamp_ntz")), *slow)
 
 
 def format_time(ts: Column) -> Column:

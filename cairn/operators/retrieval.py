@@ -105,3 +105,11 @@ def asof_join(left: DataFrame, right: DataFrame, by: str, time: str, value: str)
     w = Window.partitionBy(by).orderBy(time, "__side").rowsBetween(Window.unboundedPreceding, 0)
     both = a.unionByName(b, allowMissingColumns=True).withColumn(value, F.last("__v", ignorenulls=True).over(w))
     return both.where("__side = 1").drop("__side", "__v")
+
+
+def positional_join(left: DataFrame, right: DataFrame, left_order: list[str], right_order: list[str]) -> DataFrame:
+    """The n-th row of left beside the n-th of right, each in its order; the shorter side is filled with null."""
+    from ..sources.reader import with_ordinal
+
+    a, b = with_ordinal(left, left_order).withColumnRenamed("id", "__a"), with_ordinal(right, right_order).withColumnRenamed("id", "__b")
+    return a.join(b, F.col("__a") == F.col("__b"), "full").drop("__a", "__b")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations_with_replacement
 
 from pyspark.sql import DataFrame
@@ -58,5 +59,19 @@ def distribution_histogram(df: DataFrame, column: str, bins: int = 10) -> DataFr
     return spine.join(F.broadcast(n), "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def distribution_density(df: DataFrame, column: str, points: int = 20) -> DataFrame:
+    """(x, density): a Gaussian kernel estimate by Scott's rule at even points from the least to the greatest value.
+
+    One aggregate over the rows, whatever their number.
+    """
+    c = F.col(column).cast("double")
+    ends = df.agg(F.min(c).alias("lo"), F.max(c).alias("hi"), F.stddev_samp(c).alias("std"), F.count(c).alias("n"))
+    ends = ends.withColumn("h", F.col("std") * F.pow(F.col("n"), F.lit(-0.2))).withColumn("step", (F.col("hi") - F.col("lo")) / F.lit(points - 1))
+    at = lambda i: F.col("lo") + i * F.col("step")
+    kernel = lambda i: F.exp(-0.5 * F.pow((at(i) - c) / F.col("h"), 2)) / (F.col("h") * F.lit((2 * math.pi) ** 0.5))
+    sums = df.where(c.isNotNull()).crossJoin(F.broadcast(ends)).groupBy("lo", "step", "n").agg(*[F.sum(kernel(i)).alias(f"k{i}") for i in range(points)])
+    return sums.select(F.inline(F.array(*[F.struct(at(i).alias("x"), (F.col(f"k{i}") / F.col("n")).alias("density")) for i in range(points)])))
+
+
 def timeseries(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.select(x, y).where(F.col(x).isNotNull()).orderBy(x)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clean import HEADERS, strip_header
 from ..functions.kernels import is_number
+from ..functions.tables import written
 
 WILD, EMPTY = "<*>", "<EMPTY>"
 DEPTH, THRESHOLD, MAX_CHILDREN = 4, 0.5, 100
@@ -110,7 +111,7 @@ def mine(lines: DataFrame, column: str = "message", depth: int = DEPTH, threshol
     """(rows, clusters) of lines with id (dense or not, but ordered) and a text column.
 
     rows: id, cluster_id, template_at_parse, template_final, params.  clusters: cluster_id, template,
-    count, first_id.  cluster_id counts clusters in order of their first line; every empty line is a
+    count, first_id, leaf (its place in the tree).  cluster_id counts clusters in order of their first line; every empty line is a
     cluster of its own.
     """
     content = strip_header(F.coalesce(F.col(column), F.lit("")), headers) if headers else F.coalesce(F.col(column), F.lit(""))
@@ -137,12 +138,13 @@ def mine(lines: DataFrame, column: str = "message", depth: int = DEPTH, threshol
 
     full = dealt.where("leaf is not null")
     lines_of = full.select("leaf", "id", F.array_join("tokens", " ").alias("line"))
-    got = lines_of.repartition("leaf").sortWithinPartitions("leaf", "id").mapInArrow(run, _OUT_SQL).persist()
+    got = lines_of.repartition("leaf").sortWithinPartitions("leaf", "id").mapInArrow(run, _OUT_SQL)
+    got = written(got, "mined")
     none = lines.select("id", content.alias("c")).where("c = ''").select("id")
     final = got.where("last").select("leaf", "number", "template", F.col("id").alias("first_id"), "n")
     alone = none.select(F.lit(None).cast("string").alias("leaf"), F.lit(0).alias("number"), F.lit(EMPTY).alias("template"), F.col("id").alias("first_id"), F.lit(1).cast("bigint").alias("n"))
     numbered = _numbered(final.unionByName(alone))
-    clusters = numbered.select("cluster_id", "template", F.col("n").alias("count"), "first_id")
+    clusters = numbered.select("cluster_id", "template", F.col("n").alias("count"), "first_id", "leaf")
     rows = got.where("not last").join(numbered.select("leaf", "number", "cluster_id", F.col("template").alias("template_final")), ["leaf", "number"])
     rows = rows.select("id", "cluster_id", F.col("template").alias("template_at_parse"), "template_final", _params().alias("params"))
     empty = numbered.where("leaf is null").select(F.col("first_id").alias("id"), "cluster_id", F.lit(EMPTY).alias("template_at_parse"), F.lit(EMPTY).alias("template_final"), F.create_map().cast("map<string,string>").alias("params"))
@@ -179,19 +181,35 @@ def roll_up(rows: DataFrame, column: str = "template_final") -> DataFrame:
     return out.select(F.md5(F.encode("template", "utf-8")).alias("template_id"), "template", "count")
 
 
-def find_cluster(lines: DataFrame, clusters: DataFrame, column: str = "message", threshold: float = THRESHOLD, headers=HEADERS) -> DataFrame:
+def find_cluster(lines: DataFrame, clusters: DataFrame, column: str = "message", depth: int = DEPTH, threshold: float = THRESHOLD, headers=HEADERS) -> DataFrame:
     """id and the most similar cluster's id for lines that are not mined; -1 where none is near enough.
 
-    Lines meet the clusters of their token count only; templates are few beside lines.
+    A line walks down the tree: at each level to the child of its key, else to the wildcard child, else it
+    is unknown.  Each step is a join with the tree's nodes; at the leaf it meets that leaf's clusters only.
     """
-    content = strip_header(F.coalesce(F.col(column), F.lit("")), headers) if headers else F.col(column)
-    a = lines.select("id", tokenize(content).alias("tokens")).withColumn("n", F.size("tokens"))
-    c = clusters.where(F.col("template") != EMPTY).select("cluster_id", F.split("template", " ", -1).alias("t")).withColumn("n", F.size("t"))
-    per = c.groupBy("n").agg(F.sort_array(F.collect_list(F.struct("cluster_id", "t"))).alias("cs"))
-    same = lambda x: F.size(F.filter(F.zip_with(x["t"], F.col("tokens"), lambda p, q: (p == q) | (p == WILD)), lambda b: b)) / F.col("n")
-    scored = F.transform("cs", lambda x: F.struct(same(x).alias("s"), (-x["cluster_id"]).alias("m")))
-    best = F.array_max(F.filter(scored, lambda x: x["s"] >= threshold))
-    return a.join(per, "n", "left").select("id", F.coalesce(-best["m"], F.lit(-1)).alias("cluster_id"))
+    content = strip_header(F.coalesce(F.col(column), F.lit("")), headers) if headers else F.coalesce(F.col(column), F.lit(""))
+    known = written(clusters.where("leaf is not null").select("cluster_id", "leaf", F.split("template", " ", -1).alias("t")), "clusters")
+    steps = F.split("leaf", "\x1f", -1)
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, 1, i), "\x1f"))
+    nodes = written(known.select(F.explode(prefixes).alias("node")).distinct(), "nodes")
+    rows = lines.select("id", tokenize(content).alias("tokens")).where(F.size("tokens") > 0).withColumn("path", F.size("tokens").cast("string"))
+    rows = rows.join(nodes, F.col("path") == F.col("node"), "left_semi")
+    for i in range(depth):
+        token = F.get("tokens", i)
+        key = F.when(is_number(token), F.lit(WILD)).otherwise(token)
+        own, wild = F.concat("path", F.lit("\x1f"), key), F.concat("path", F.lit("\x1f" + WILD))
+        rows = rows.join(nodes.select(F.col("node").alias("own")), own == F.col("own"), "left")
+        rows = rows.join(nodes.select(F.col("node").alias("wild")), F.col("own").isNull() & (wild == F.col("wild")), "left")
+        rows = rows.withColumn("path", F.when(F.size("tokens") > i, F.coalesce("own", "wild")).otherwise(F.col("path"))).drop("own", "wild").where("path is not null")
+    same = F.size(F.filter(F.zip_with("t", "tokens", lambda p, q: (p == q) | (p == WILD)), lambda b: b)) / F.size("tokens")
+    near = rows.join(known, rows["path"] == known["leaf"]).select("id", same.alias("s"), "cluster_id").where(F.col("s") >= threshold)
+    best = near.groupBy("id").agg(F.max(F.struct("s", (-F.col("cluster_id")).alias("m"))).alias("b"))
+    return lines.select("id").join(best, "id", "left").select("id", F.coalesce(-F.col("b.m"), F.lit(-1)).alias("cluster_id"))
+
+
+def template_of(clusters: DataFrame, cluster_id: int) -> DataFrame:
+    """The template of a cluster's id; no row for an unknown one."""
+    return clusters.where(F.col("cluster_id") == cluster_id).select("template")
 
 
 def params_of(template, text):

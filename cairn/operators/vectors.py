@@ -33,38 +33,39 @@ def search_similar(store: DataFrame, vector: list[float], limit: int = 5, id_col
     return store.withColumn("score", cosine(F.col("embedding"), query)).where("score is not null").orderBy(F.desc("score"), id_column).limit(limit)
 
 
-def search_many(queries: DataFrame, store: DataFrame, limit: int = 5, block: int = 512) -> DataFrame:
-    """(query_id, id, score): top matches of many queries, in blocks that are held in memory.
+def search_many(queries: DataFrame, store: DataFrame, limit: int = 5, query_block: int = 8192, store_block: int = 65536) -> DataFrame:
+    """(query_id, id, score, rank): top matches of many queries in one job, ties by id.
 
-    queries and store have id and embedding.  Blocks of queries are broadcast one after another, each of
-    fixed size; a task multiplies its rows with the block and keeps limit candidates a query.
+    queries and store have id and embedding.  Both are dealt out in blocks of bounded size; each pair of
+    blocks is a group, which multiplies slices of the two and keeps limit candidates a query.  Queries are
+    copied to the store's blocks and the store to the (usually one) query blocks; nothing reaches the driver.
     """
-    spark, found = store.sparkSession, None
-    n = queries.count()
-    ranked = queries.withColumn("__b", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // block)))).cast("int"))
-    for b in range(max(1, -(-n // block))):
-        part = ranked.where(F.col("__b") == b).toPandas()
-        if not len(part):
-            continue
-        ids, m = part["id"].to_numpy(), np.stack(part["embedding"].to_list()).astype(np.float64)
-        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        shared = spark.sparkContext.broadcast((ids, m))
-
-        def top(it, shared=shared):
-            qids, q = shared.value
-            for pdf in it:
-                if not len(pdf):
-                    continue
-                x = np.stack(pdf["embedding"].to_list()).astype(np.float64)
-                norms = np.linalg.norm(x, axis=1, keepdims=True)
-                s = q @ (x / np.maximum(norms, 1e-300)).T
-                s[:, norms[:, 0] == 0] = -np.inf
-                k = min(limit, s.shape[1])
-                best = np.argpartition(-s, k - 1, axis=1)[:, :k]
-                yield pd.DataFrame({"query_id": np.repeat(qids, k), "id": pdf["id"].to_numpy()[best].ravel(), "score": np.take_along_axis(s, best, 1).ravel()})
-
-        got = store.select("id", "embedding").mapInPandas(top, "query_id bigint, id bigint, score double").where("score > double('-infinity')")
-        found = got if found is None else found.unionByName(got)
+    n, m = max(1, -(-queries.count() // query_block)), max(1, -(-store.count() // store_block))
+    block = lambda k: F.pmod(F.xxhash64("id"), F.lit(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    q = queries.select("id", "embedding", block(n).alias("a"), every(m).alias("b"))
+    x = store.select("id", "embedding", block(m).alias("b"), every(n).alias("a"))
+
+    def unit(vectors) -> tuple[np.ndarray, np.ndarray]:
+        v = np.stack(vectors.to_list()).astype(np.float64)
+        norms = np.linalg.norm(v, axis=1, keepdims=True)
+        return v / np.where(norms == 0, 1, norms), norms[:, 0] > 0
+
+    def top(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "score": np.zeros(0)})]
+        for lo in range(0, len(left) if len(right) else 0, 1024):
+            ids, (v, real) = left["id"].to_numpy()[lo : lo + 1024], unit(left["embedding"][lo : lo + 1024])
+            for at in range(0, len(right), 4096):
+                part, (y, there) = right["id"].to_numpy()[at : at + 4096], unit(right["embedding"][at : at + 4096])
+                s = np.where(real[:, None] & there, v @ y.T, -np.inf)
+                # all that tie with the last of the best stay, so that ids decide
+                cut = np.partition(s, -min(limit, len(part)), axis=1)[:, -min(limit, len(part))]
+                row, col = np.nonzero((s >= cut[:, None]) & np.isfinite(s))
+                found.append(pd.DataFrame({"query_id": ids[row], "id": part[col], "score": s[row, col]}))
+        out = pd.concat(found)
+        return out.sort_values(["query_id", "score", "id"], ascending=[True, False, True]).groupby("query_id").head(limit)
+
+    found = q.groupBy("a", "b").cogroup(x.groupBy("a", "b")).applyInPandas(top, "query_id bigint, id bigint, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
@@ -100,11 +101,12 @@ class Embedder(Protocol):
 
 
 def embed_hash(text: Column, dim: int = 64) -> Column:
-    """An offline embedding: counts of a text's tokens in hashed places."""
+    """An offline embedding: counts of a text's tokens in places by the first 32 bits of their md5."""
     tokens = F.filter(F.split(F.lower(text), r"[^a-z0-9<*>]+"), lambda t: t != "")
-    places = F.transform(tokens, lambda t: F.pmod(F.crc32(t.cast("binary")), F.lit(dim)).cast("int"))
-    count = lambda at, i: F.size(F.filter(at, lambda p: p == i)).cast("float")
-    return let(places, lambda at: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: count(at, i)))
+    places = F.transform(tokens, lambda t: F.pmod(F.conv(F.substr(F.md5(t.cast("binary")), F.lit(1), F.lit(8)), 16, 10).cast("bigint"), F.lit(dim)).cast("int"))
+    # a token a place at most once: the counts of the places that occur, then all places
+    counts = let(places, lambda at: F.map_from_entries(F.transform(F.array_distinct(at), lambda p: F.struct(p, F.size(F.filter(at, lambda q: q == p)).cast("float")))))
+    return let(counts, lambda m: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0.0).cast("float"))))
 
 
 def embed_with(df: DataFrame, embedder: Embedder, column: str = "template") -> DataFrame:
@@ -117,6 +119,12 @@ def embed_with(df: DataFrame, embedder: Embedder, column: str = "template") -> D
     return df.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", embedding array<float>")
 
 
+def load_counts(templates: DataFrame, embedder: Embedder) -> DataFrame:
+    """How many templates a load stores, and for how many the embedding fails (is empty)."""
+    e = embed_with(templates.select("template"), embedder).select(F.size("embedding").alias("n"))
+    return e.agg(F.count_if(F.col("n") > 0).alias("stored"), F.count_if(F.col("n") <= 0).alias("failed"))
+
+
 def store_templates(templates: DataFrame, embedder: Embedder | None = None, dim: int = 64) -> DataFrame:
     """Points of a template table; templates whose embedding failed (an empty vector) are left out."""
     t = templates.select("template", "template_id", "count")

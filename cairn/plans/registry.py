@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,11 +11,14 @@ from pyspark.sql import functions as F
 from ..functions import clean, dialect, kernels, times
 from ..operators import retrieval, search, stats, templates, vectors
 
+from ..engine import Engine
 from ..sources.events import SQL as LOGS
 from ..sources.events import log_entries, log_templates, table
+from . import ingest
+from .planner import plan
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(ingest.QUERIES)
+SQL: dict[str, str] = dict(ingest.SQL)
 _AT = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 
 
@@ -73,6 +77,8 @@ _on_logs("group_by_time_filled", lambda x: stats.group_by_time(x.where("level =
 _on_logs("heatmap_counts", lambda x: stats.heatmap_counts(x.withColumn("h", F.hour("ts")), "h", "level", "value", [0, 1, 2]).select("level", *[F.col(str(h)).alias(f"h{h}") for h in (0, 1, 2)]), "SELECT level, " + ", ".join(f"nullif(count(value) FILTER (hour(ts) = {h}), 0) AS h{h}" for h in (0, 1, 2)) + " FROM log_entries GROUP BY level")
 _on_logs("correlation_matrix", lambda x: stats.correlation_matrix(x, ["value", "user_id", "id"]), " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS corr FROM log_entries" for a in ("value", "user_id", "id") for b in ("value", "user_id", "id")))
 _on_logs("distribution_histogram", lambda x: stats.distribution_histogram(x, "value", 10), "SELECT bin, count(value) AS n FROM (SELECT unnest(range(10))::INT AS bin) LEFT JOIN (SELECT value, least(9, floor((value - lo) / ((hi - lo) / 10)))::INT AS bin FROM log_entries, (SELECT min(value) AS lo, max(value) AS hi FROM log_entries)) USING (bin) GROUP BY bin")
+_on_logs("timeseries", lambda x: stats.timeseries(x.where("level = 'ERROR'"), "ts", "value").select(times.format_time(F.col("ts")).alias("at"), "value"), f"SELECT {_AT.format('ts')} AS at, value FROM log_entries WHERE level = 'ERROR'")
+_on_logs("distribution_density", lambda x: stats.distribution_density(x, "value", 5).select(F.round("x", 6).alias("x"), F.round("density", 6).alias("density")), ", e AS (SELECT min(value) AS lo, (max(value) - min(value)) / 4 AS step, count(value) AS n, stddev(value) * pow(count(value), -0.2) AS h FROM log_entries), p AS (SELECT lo + i * step AS x, n, h FROM e, range(5) r(i)) SELECT round(x, 6) AS x, round(sum(exp(-0.5 * pow((x - value) / h, 2)) / (h * sqrt(2 * pi()))) / any_value(n), 6) AS density FROM p, log_entries GROUP BY x")
 _on_logs("extract_patterns", lambda x: x.select("id", F.array_join(clean.extract_patterns(F.col("message"), r"[0-9]+"), ",").alias("found")), "SELECT id, array_to_string(regexp_extract_all(message, '[0-9]+'), ',') AS found FROM log_entries")
 _add("parse_timestamp", lambda s, d: table(s, d, "orders").select("o_orderkey", times.format_time(times.parse_time(F.date_format("o_orderdate", "dd/MMM/yyyy:HH:mm:ss"), "%d/%b/%Y:%H:%M:%S")).alias("at")), f"SELECT o_orderkey, {_AT.format('o_orderdate')} AS at FROM orders")
 
@@ -98,6 +104,10 @@ _add("kernel_json_path", lambda s, d: table(s, d, "events").select("event_id", k
 _add("kernel_fields", lambda s, d: table(s, d, "events").withColumn("f", kernels.set_field(F.from_json("props", "map<string,string>"), "type", F.col("event_type"))).select("event_id", kernels.has_field(F.col("f"), "k").alias("has_k"), kernels.get_field(F.col("f"), "type").alias("type"), kernels.get_field(F.col("f"), "none").alias("none")), "SELECT event_id, json_extract_string(props, '$.k') IS NOT NULL AS has_k, event_type AS type, '' AS none FROM events")
 _on_logs("kernel_is_number", lambda x: x.select("id", F.explode(F.split("message", " ", -1)).alias("t")).groupBy(kernels.is_number(F.col("t")).alias("number")).agg(F.count("*").alias("n")), ", tok AS (SELECT unnest(string_split(message, ' ')) AS t FROM log_entries) SELECT CASE WHEN length(t) = 1 THEN regexp_full_match(t, '[0-9]') ELSE regexp_full_match(t, '[0-9+-][0-9]*\\.?[0-9]*|\\.[0-9]+') END AS number, count(*) AS n FROM tok GROUP BY 1")
 
+_kernel("find_newline", lambda t: kernels.find_newline(t), "coalesce(nullif(instr(text, chr(10)), 0), nullif(instr(text, chr(13)), 0)) - 1")
+_kernel("substring_at", lambda t: F.md5(F.encode(kernels.substring_at(t, 5, 40), "utf-8")), "md5(text[6:45])")
+_add("kernel_cursor", lambda s, d: table(s, d, "documents").select("doc_id", kernels.advance(F.col("text"), F.lit(10), 200).alias("at"), kernels.at_end(F.col("text"), kernels.advance(F.col("text"), F.lit(10), 200)).alias("ended")), "SELECT doc_id, least(210, length(text)) AS at, length(text) <= 210 AS ended FROM documents")
+
 # --- cleaning -------------------------------------------------------------------------------------
 _CLEAN = "trim(regexp_replace(translate(message, ',;:|' || chr(9) || '[]{}()<>', '             '), ' +', ' ', 'g'), ' ')"
 
@@ -164,14 +174,40 @@ def _store(s: SparkSession, d: str) -> DataFrame:
 def _vector_upsert(s: SparkSession, d: str) -> DataFrame:
     store = _store(s, d)
     new = store.where(F.col("template").startswith("error")).withColumn("payload", F.create_map(F.lit("count"), F.lit("0")))
-    out = vectors.update_metadata(vectors.upsert(store, new), "none", {"x": "y"})
-    return out.select("point_id", kernels.get_field(F.col("payload"), "count").alias("count"))
+    out = vectors.upsert(store, new)
+    # the metadata of one known point
+    out = vectors.update_metadata(out, hashlib.md5(b'view user <*> {"k": <*>}').hexdigest(), {"seen": "yes", "count": "-1"})
+    return out.select("point_id", kernels.get_field(F.col("payload"), "count").alias("count"), kernels.get_field(F.col("payload"), "seen").alias("seen"))
 
 
 _add("vector_store", lambda s, d: vectors.get_all(_store(s, d)).select("point_id", "template", kernels.get_field(F.col("payload"), "count").alias("count")), f"{LOGS} SELECT template_id AS point_id, template, count::VARCHAR AS count FROM log_templates ORDER BY point_id LIMIT 100")
-_add("vector_upsert", _vector_upsert, f"{LOGS} SELECT template_id AS point_id, CASE WHEN template LIKE 'error%' THEN '0' ELSE count::VARCHAR END AS count FROM log_templates")
+_add("vector_upsert", _vector_upsert, f"{LOGS} SELECT template_id AS point_id, CASE WHEN template LIKE 'error%' THEN '0' WHEN template LIKE 'view%' THEN '-1' ELSE count::VARCHAR END AS count, CASE WHEN template LIKE 'view%' THEN 'yes' ELSE '' END AS seen FROM log_templates")
 _add("vector_delete", lambda s, d: vectors.delete(_store(s, d), _store(s, d).where("template like 'error%'")).select("template"), f"{LOGS} SELECT template FROM log_templates WHERE template NOT LIKE 'error%'")
-_add("embed_hash", lambda s, d: log_entries(s, d).select("id", F.aggregate(vectors.embed_hash(F.col("message")), F.lit(0.0).cast("float"), lambda a, v: (a + v).cast("float")).cast("int").alias("tokens")), f"{LOGS} SELECT id, len(list_filter(regexp_split_to_array(lower(message), '[^a-z0-9<*>]+'), lambda x: x <> ''))::INT AS tokens FROM log_entries")
+_add("embed_hash", lambda s, d: log_entries(s, d).select("id", F.array_join(F.transform(vectors.embed_hash(F.col("message")), lambda v: v.cast("int").cast("string")), ",").alias("places")), f"{LOGS} , t AS (SELECT id, list_transform(list_filter(regexp_split_to_array(lower(message), '[^a-z0-9<*>]+'), lambda x: x <> ''), lambda x: ('0x' || md5(x)[1:8])::BIGINT % 64) AS p FROM log_entries) SELECT id, array_to_string(list_transform(range(64), lambda i: len(list_filter(p, lambda x: x = i))), ',') AS places FROM t")
+
+class _Flaky:
+    """An embedder that fails for templates of errors."""
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        return [[] if t.startswith("error") else [1.0] for t in texts]
+
+
+_add("vector_load_counts", lambda s, d: vectors.load_counts(log_templates(log_entries(s, d)), _Flaky()), f"{LOGS} SELECT count(*) FILTER (template NOT LIKE 'error%') AS stored, count(*) FILTER (template LIKE 'error%') AS failed FROM log_templates")
+
+# --- the facade: loads replace what was there; questions become operations --------------------------
+
+
+def _loaded_twice(s: SparkSession, d: str) -> DataFrame:
+    logs = log_entries(s, d)
+    engine = Engine(s).set_tables(logs, log_templates(logs)).set_tables(logs.where("level = 'ERROR'"))
+    return engine.execute_query("SELECT (SELECT count(*) FROM log_entries) AS n, (SELECT sum(count) FROM log_templates) AS in_templates, (SELECT count(DISTINCT level) FROM log_entries) AS levels")
+
+
+_add("engine_load", _loaded_twice, f"{LOGS} SELECT count(*) AS n, count(*)::HUGEINT AS in_templates, 1 AS levels FROM log_entries WHERE level = 'ERROR'")
+_on_logs("engine_frames", lambda x: Engine(x.sparkSession).set_tables(x, log_templates(x)).logs.groupBy("level").agg(F.count("*").alias("n")), "SELECT level, count(*) AS n FROM log_entries GROUP BY 1")
+_on_logs("engine_question", lambda x: Engine(x.sparkSession).set_tables(x, log_templates(x)).chat("How often does 'user 14' occur by level?").dataframes[0], "SELECT level, count(*) AS n FROM log_entries WHERE message LIKE '%user 14%' GROUP BY level")
+_ASKED = {"How many times does 'x' occur?": "count_occurrences", "Why did 'x' happen?": "analyze_causality", "compare 'a' with 'b'": "compare_events", "which users were affected by 'x'": "analyze_user_impact", "what is the time range": "get_time_range", "show the top patterns": "get_trending_patterns", "find 'x'": "search_logs", "SELECT 1": "execute_query"}
+_add("planner", lambda s, d: s.createDataFrame([(q, plan(q).operation) for q in _ASKED], "question string, operation string"), "SELECT * FROM (VALUES " + ", ".join("('" + q.replace("'", "''") + f"', '{o}')" for q, o in _ASKED.items()) + ") v(question, operation)")
 
 # --- SQL pass-through: the same statement, translated for Spark ------------------------------------
 
@@ -193,7 +229,7 @@ def _pass(name: str, sql: str, oracle: str | None = None) -> None:
 _pass("equi_join", "SELECT c_mktsegment, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment")
 _pass("theta_join", "SELECT a.r_name AS a, b.r_name AS b FROM region a JOIN region b ON a.r_regionkey < b.r_regionkey")
 _pass("semi_join", "SELECT c_custkey FROM customer SEMI JOIN orders ON o_custkey = c_custkey")
-_pass("anti_join", "SELECT c_custkey FROM customer ANTI JOIN orders ON o_custkey = c_custkey")
+_pass("anti_join", "SELECT c_custkey FROM customer ANTI JOIN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 300000) o ON o_custkey = c_custkey")
 _pass("cube", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
 _pass("rollup", "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS qty FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 _pass("grouping_sets", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())")
@@ -202,7 +238,7 @@ _pass("window_rank", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custk
 _pass("window_frame", "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS moving FROM orders")
 _pass("union", "SELECT n_name AS name FROM nation UNION SELECT r_name FROM region")
 _pass("intersect", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
-_pass("except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+_pass("except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 300000")
 _pass("correlated_subquery", "SELECT o_orderkey FROM orders o WHERE o_totalprice > (SELECT 1.5 * avg(o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey)")
 _pass("recursive_cte", "WITH RECURSIVE t(n, f) AS (SELECT 1, 1 UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 10) SELECT n, f FROM t")
 _pass("pivot", "SELECT * FROM (SELECT l_returnflag, l_linestatus, l_quantity FROM lineitem) PIVOT (sum(l_quantity) AS q FOR l_linestatus IN ('O' AS o, 'F' AS f))", "SELECT l_returnflag, sum(l_quantity) FILTER (l_linestatus = 'O') AS o, sum(l_quantity) FILTER (l_linestatus = 'F') AS f FROM lineitem GROUP BY 1")
@@ -213,11 +249,30 @@ _pass("exclude", "SELECT * EXCLUDE (c_name, c_acctbal) FROM customer WHERE c_acc
 _pass("strftime", "SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n FROM orders GROUP BY ALL")
 _pass("interval", "SELECT count(*) AS n FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL '90m'")
 _pass("integer_division", "SELECT o_orderkey // 7 AS b, count(*) AS n FROM orders GROUP BY 1")
-_pass("lag_ignore_nulls", "SELECT event_id, lag(v IGNORE NULLS) OVER (ORDER BY event_id) AS before FROM (SELECT event_id, CASE WHEN event_type = 'error' THEN event_id END AS v FROM events WHERE user_id < 5) q", "SELECT event_id, lag(v IGNORE NULLS) OVER (ORDER BY event_id) AS before FROM (SELECT event_id, CASE WHEN event_type = 'error' THEN event_id END AS v FROM events WHERE user_id < 5) q")
+_LAG = "SELECT event_id, lag(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM (SELECT event_id, user_id, CASE WHEN event_type = 'error' THEN event_id END AS v FROM events) q"
+_pass("lag_ignore_nulls", _LAG)
 _pass("json", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
 _pass("lateral", "SELECT r_name, x.n FROM region, LATERAL (SELECT count(*) AS n FROM nation WHERE n_regionkey = r_regionkey) x")
 
 
+_pass("union_by_name", "SELECT n_name AS name, n_regionkey AS k FROM nation UNION ALL BY NAME SELECT r_regionkey AS k, r_name AS name, 1 AS region FROM region")
+_pass("union_by_name_distinct", "SELECT n_regionkey AS k, 'a' AS x FROM nation UNION BY NAME SELECT 'a' AS x, r_regionkey AS k FROM region ORDER BY k")
+_pass("strftime_letters", "SELECT strftime(o_orderdate, '%Y-W%m day %d') AS label, count(*) AS n FROM orders GROUP BY ALL")
+_pass("nested_qualify", "SELECT o_custkey, count(*) AS n FROM (SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2) t GROUP BY o_custkey")
+_pass("cte_distinct_on", "WITH last AS (SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey, o_totalprice FROM orders ORDER BY o_custkey, o_orderkey DESC) SELECT o_custkey, o_orderkey FROM last QUALIFY row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) <= 10")
+_pass("struct_literal", "SELECT r_name, {'key': r_regionkey, name: r_name}.key AS k FROM region WHERE r_name <> '{a: 1}'")
+_pass("dynamic_pivot", "PIVOT (SELECT o_orderstatus, o_orderpriority, o_orderkey FROM orders) ON o_orderstatus USING count(o_orderkey) GROUP BY o_orderpriority")
+
+
+def _summary(s: SparkSession, d: str) -> DataFrame:
+    _views(s, d)
+    return dialect.execute(s, "SUMMARIZE SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders").select("column_name", "min", "max", F.round("avg", 3).alias("avg"), F.round("std", 3).alias("std"), "count", "null_percentage")
+
+
+_add("sql_summarize", _summary, "SELECT 'o_orderkey' AS column_name, min(o_orderkey)::VARCHAR AS min, max(o_orderkey)::VARCHAR AS max, round(avg(o_orderkey), 3) AS avg, round(stddev(o_orderkey), 3) AS std, count(*) AS count, 0.0::DOUBLE AS null_percentage FROM orders UNION ALL SELECT 'o_orderstatus', min(o_orderstatus), max(o_orderstatus), NULL, NULL, count(*), 0.0 FROM orders UNION ALL SELECT 'o_totalprice', min(o_totalprice)::VARCHAR, max(o_totalprice)::VARCHAR, round(avg(o_totalprice), 3), round(stddev(o_totalprice), 3), count(*), 0.0 FROM orders")
+_add("sql_positional_join", lambda s, d: retrieval.positional_join(table(s, d, "nation").select("n_name"), table(s, d, "region").select("r_name"), ["n_name"], ["r_name"]), "SELECT n_name, r_name FROM (SELECT n_name FROM nation ORDER BY n_name) POSITIONAL JOIN (SELECT r_name FROM region ORDER BY r_name)")
+
+
 def _asof(s: SparkSession, d: str) -> DataFrame:
     e = log_entries(s, d)
     errors = e.where("level = 'ERROR'").select("id", "user_id", "ts")
@@ -226,7 +281,7 @@ def _asof(s: SparkSession, d: str) -> DataFrame:
 
 
 _add("sql_asof_join", _asof, f"{LOGS} SELECT e.id, c.id AS click_id FROM (SELECT * FROM log_entries WHERE level = 'ERROR') e ASOF JOIN (SELECT * FROM log_entries WHERE service = 'click') c ON e.user_id = c.user_id AND e.ts >= c.ts")
-_add("sql_sample", lambda s, d: table(s, d, "orders").sample(0.1, 7).agg((F.count("*") > 0).alias("some")), "SELECT count(*) > 0 AS some FROM orders")
+_add("sql_sample", lambda s, d: table(s, d, "orders").sample(0.1, 7).agg((F.count("*") > 0).alias("some"), F.count_if(~F.col("o_orderkey").isNotNull()).alias("odd")).crossJoin(table(s, d, "orders").agg(F.count("*").alias("all"))), "SELECT count(*) > 0 AS some, 0::BIGINT AS odd, count(*) AS \"all\" FROM orders")
 
 # --- sessions and sliding windows, as a stream would give them --------------------------------------
 
@@ -250,12 +305,11 @@ _on_logs("sessions", _sessions, ", s AS (SELECT user_id, id, ts, CASE WHEN ts -
 
 
 def _round_trip(format: str, line: Callable[[], Column], **options) -> Callable[[SparkSession, str], DataFrame]:
-    from ..sources.parsers import parser
+    from ..sources.parsers import parse_rows
 
     def run(s: SparkSession, d: str) -> DataFrame:
-        e = log_entries(s, d).select("id", line().alias("line"))
-        r = e.select("id", parser(format)(F.col("line"), **options).alias("r")).where("r is not null")
-        return r.select("id", times.format_time(F.col("r.timestamp")).alias("at"), F.coalesce("r.level", F.lit("")).alias("level"), F.coalesce("r.message", F.lit("")).alias("message"))
+        r = parse_rows(log_entries(s, d).select("id", line().alias("line")), "line", format, "id", **options)
+        return r.select("id", times.format_time(F.col("timestamp")).alias("at"), F.coalesce("level", F.lit("")).alias("level"), F.coalesce("message", F.lit("")).alias("message"))
 
     return run
 
@@ -266,6 +320,14 @@ def _iso() -> Column:
     return F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
 
 
+def _csv(s: SparkSession, d: str) -> DataFrame:
+    from ..sources.parsers import parse_rows
+
+    lines = log_entries(s, d).select("id", F.concat_ws(",", _iso(), "level", "service", F.col("user_id").cast("string")).alias("line"))
+    r = parse_rows(lines, "line", "csv", "id", dimensions=("timestamp", "severity", "body", "user"))
+    return r.select("id", times.format_time(F.col("timestamp")).alias("at"), "severity", "body", F.col("fields")["user"].alias("who"))
+
+
 _PARSED = f"{LOGS} SELECT id, {{at}} AS at, level, {{m}} AS message FROM log_entries"
 _plain_at = _AT.format("ts")
 _add("parse_json", _round_trip("json", lambda: F.to_json(F.struct(_iso().alias("time"), F.col("level"), F.col("message").alias("msg"), "user_id"))), _PARSED.format(at=_plain_at, m="message"))
@@ -273,5 +335,5 @@ _add("parse_logfmt", _round_trip("logfmt", lambda: F.concat(F.lit("time="), _iso
 _add("parse_syslog", _round_trip("syslog", lambda: F.concat(_iso(), F.lit(" host app[7]: "), "message")), f"{LOGS} SELECT id, {_plain_at} AS at, 'INFO' AS level, message FROM log_entries")
 _add("parse_log4j", _round_trip("log4j", lambda: F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(",123 "), "level", F.lit(" [main] com.example.App: "), "message")), _PARSED.format(at=_plain_at, m="message"))
 _add("parse_cef", _round_trip("cef", lambda: F.concat(F.lit("CEF:0|v|p|1|"), F.col("id").cast("string"), F.lit("|n|"), "level", F.lit("|msg="), "service", F.lit(" user src=1.2.3.4"))), f"{LOGS} SELECT id, NULL::VARCHAR AS at, level, service || ' user' AS message FROM log_entries")
-_add("parse_csv", _round_trip("csv", lambda: F.concat_ws(",", _iso(), "level", "service"), dimensions=("timestamp", "severity", "body")), f"{LOGS} SELECT id, {_plain_at} AS at, '' AS level, '' AS message FROM log_entries")
+_add("parse_csv", _csv, f"{LOGS} SELECT id, {_plain_at} AS at, level AS severity, service AS body, user_id::VARCHAR AS who FROM log_entries")
 _add("parse_regex", _round_trip("regex", lambda: F.concat("level", F.lit("|"), "service"), log_pattern=r"([A-Z]+)\|(\w+)", groups=("level", "message")), f"{LOGS} SELECT id, NULL::VARCHAR AS at, level, service AS message FROM log_entries")

@@ -9,7 +9,7 @@ import re
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kernels import let
@@ -58,12 +58,15 @@ def _special(values: dict[str, Column], datetime_format: str, year: int | None,
 
 def json_scalars(line: Column) -> Column:
     """Top-level scalars of a JSON object as text; null for anything else.  Nulls and nested values go."""
-    v = F.try_parse_json(line)
     # variants keep types apart: a nested value has no string form of its own, a string "[1]" has
     typed = F.from_json(line, "map<string,variant>")
-    is_object = F.schema_of_variant(v).startswith("OBJECT")
     flat = F.map_filter(typed, lambda _, x: ~F.schema_of_variant(x).rlike("^(VOID|OBJECT|ARRAY)"))
-    return F.when(is_object, F.transform_values(flat, lambda _, x: F.try_variant_get(x, "$", "string")))
+    exact = F.transform_values(flat, lambda _, x: F.try_variant_get(x, "$", "string"))
+    # only one brace and no bracket: nothing is nested; no number with a fraction or exponent: texts are the same
+    plain = line.rlike(r"^\s*\{[^{\[]*$") & ~line.rlike(r":\s*-?\d+[.eE]")
+    strings = F.map_filter(F.from_json(line, "map<string,string>"), lambda _, x: x.isNotNull())
+    is_object = F.schema_of_variant(F.try_parse_json(line)).startswith("OBJECT")
+    return F.when(plain, strings).when(is_object, exact)
 
 
 def parse_json(line: Column, dimensions=(), datetime_format: str = "%Y-%m-%dT%H:%M:%SZ", year: int | None = None, **_) -> Column:
@@ -119,6 +122,15 @@ def parse_regex(line: Column, log_pattern: str, groups=(), datetime_format: str
     return record(line.rlike(full), **parts)
 
 
+#: Stands between groups while a line is taken apart; patterns of all groups but the last exclude it.
+_CUT = "\x1f"
+
+
+def _groups(line: Column, pattern: str, n: int) -> Column:
+    """The n groups of a pattern for the whole line, found in one match; groups that took no part are ''."""
+    return F.split(F.regexp_replace(line, pattern, _CUT.join(f"${i + 1}" for i in range(n))), _CUT, n)
+
+
 _ISO = r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?"
 _BSD = r"\w{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}"
 
@@ -130,14 +142,18 @@ def parse_syslog(line: Column, year: int | None = None, now: datetime | None = N
     rest = F.regexp_replace(line, r"^<\d{1,3}>", "")
     host = r"[\w.-]+" if strict else r"\w+|\d+(?:\.\d+){3}"
     p = rf"(?s)^(?:({_BSD})|({_ISO})){'' if strict else '?'}\s*(?:({host})\s+)?(?:(\w+)(?:\[(\d+)\])?:)?\s*(.*)$"
-    g = [F.nullif(F.regexp_extract(rest, p, i), F.lit("")) for i in range(1, 7)]
-    bsd = parse_time(g[0], "%b %d %H:%M:%S", year or datetime.now().year)
-    iso = parse_time(g[1], "%Y-%m-%dT%H:%M:%S")
     at = F.lit(now).cast("timestamp_ntz") if now else F.localtimestamp()
     named = lambda names, i: F.get(F.array(*map(F.lit, names)), i)
     level = F.coalesce(named(SEVERITIES, pri.bitwiseAND(7)), F.lit("INFO"))
-    fields = _map({"facility": named(FACILITIES, F.shiftright(pri, 3)), "host": g[2], "program": g[3], "pid": g[4]})
-    return record((line != "") & rest.rlike(p), fields=fields, timestamp=F.coalesce(bsd, iso, at), level=level, severity=F.when(pri.isNotNull(), level), message=F.coalesce(g[5], F.lit("")))
+
+    def build(groups: Column) -> Column:
+        g = [F.nullif(F.get(groups, i), F.lit("")) for i in range(6)]
+        bsd = parse_time(g[0], "%b %d %H:%M:%S", year or datetime.now().year)
+        iso = F.substr(g[1], F.lit(1), F.lit(19)).try_cast("timestamp_ntz")
+        fields = _map({"facility": named(FACILITIES, F.shiftright(pri, 3)), "host": g[2], "program": g[3], "pid": g[4]})
+        return record((line != "") & rest.rlike(p), fields=fields, timestamp=F.coalesce(bsd, iso, at), level=level, severity=F.when(pri.isNotNull(), level), message=F.coalesce(g[5], F.lit("")))
+
+    return let(_groups(rest, p, 6), build)
 
 
 def parse_line(line: Column, now: datetime | None = None, **_) -> Column:
@@ -165,12 +181,14 @@ def parse_logfmt(line: Column, year: int | None = None, **_) -> Column:
 
 
 def parse_log4j(line: Column, **_) -> Column:
-    p = r"(?s)^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})(?:[,.](\d{1,6}))?\s+([A-Z]+)\s+\[([^\]]*)\]\s+(\S+?):?\s*(?:(?<=:)|- |\s)\s*(.*)$"
-    g = lambda i: F.regexp_extract(line, p, i)
-    base = parse_time(g(1), "%Y-%m-%d %H:%M:%S")
-    part = F.rpad(F.nullif(g(2), F.lit("")), 6, "0").cast("int")
-    ts = F.coalesce(base + F.make_dt_interval(secs=part / F.lit(1000000.0)), base)
-    return record(line.rlike(p), fields=_map({"thread": g(4), "logger": g(5)}), severity=g(3), timestamp=ts, level=g(3), message=g(6))
+    p = r"(?s)^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})(?:[,.](\d{1,6}))?\s+([A-Z]+)\s+\[([^\]\x1f]*)\]\s+([^\s\x1f]+?):?\s*(?:(?<=:)|- |\s)\s*(.*)$"
+
+    def build(groups: Column) -> Column:
+        g = lambda i: F.get(groups, i - 1)
+        ts = F.concat(g(1), F.lit("."), F.rpad(g(2), 6, "0")).try_cast("timestamp_ntz")
+        return record(line.rlike(p), fields=_map({"thread": g(4), "logger": g(5)}), severity=g(3), timestamp=ts, level=g(3), message=g(6))
+
+    return let(_groups(line, p, 6), build)
 
 
 def parse_cef(line: Column, **_) -> Column:
@@ -198,6 +216,25 @@ def parse_cef(line: Column, **_) -> Column:
     return let(F.split(line, r"(?<!\\)\|", 8), build)
 
 
+def parse_xml(line: Column, datetime_format: str = "%Y-%m-%dT%H:%M:%SZ", year: int | None = None, **_) -> Column:
+    """One element a line: its attributes and its flat child elements are the fields; names as in JSON."""
+    name = r"[A-Za-z_][\w.\-]*"
+    plain = lambda v: F.replace(F.replace(F.replace(F.replace(F.replace(v, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&quot;"), F.lit('"')), F.lit("&apos;"), F.lit("'")), F.lit("&amp;"), F.lit("&"))
+    found = lambda text, p, i: F.regexp_extract_all(text, F.lit(p), F.lit(i))
+    head, pair, child = F.regexp_extract(line, rf"^\s*<{name}([^>]*)>", 1), rf'({name})="([^"]*)"', rf"<({name})>([^<]*)</\1>"
+    keys = F.concat(found(head, pair, 1), found(line, child, 1))
+    values = F.transform(F.concat(found(head, pair, 2), found(line, child, 2)), plain)
+
+    def build(f: Column) -> Column:
+        get = lambda *ks: F.coalesce(*[F.try_element_at(f, F.lit(k)) for k in ks])
+        ok = line.rlike(rf"(?s)^\s*<({name})[\s>].*</\1>\s*$") & (F.size(f) > 0)
+        at = let(get("timestamp", "time"), lambda t: parse_any(t, (datetime_format, *JSON_FORMATS), year))
+        level = get("level", "severity")
+        return record(ok, fields=f, severity=get("severity", "level"), timestamp=at, level=F.coalesce(level, F.lit("")), message=F.coalesce(get("message", "msg"), F.lit("")))
+
+    return let(F.struct(keys.alias("k"), values.alias("v")), lambda e: let(_last_wins(e["k"], e["v"]), build))
+
+
 #: Parsers by format name.
 PARSERS: dict[str, Callable[..., Column]] = {
     "json": parse_json,
@@ -211,9 +248,19 @@ PARSERS: dict[str, Callable[..., Column]] = {
     "logfmt": parse_logfmt,
     "log4j": parse_log4j,
     "cef": parse_cef,
+    "xml": parse_xml,
 }
 
 
+def parse_rows(df: DataFrame, line: str, format: str, *keep: str, **options) -> DataFrame:
+    """The columns keep and the record's columns of the lines that fit.
+
+    A generator gives the records: a filter on them would be pushed below the projection and parse each line again.
+    """
+    found = F.filter(F.array(parser(format)(F.col(line), **options)), lambda r: r.isNotNull())
+    return df.select(*keep, F.inline(found))
+
+
 def parser(name: str) -> Callable[..., Column]:
     if name.lower() not in PARSERS:
         raise ValueError(f"unknown format {name!r}; known: {', '.join(sorted(PARSERS))}")

@@ -6,7 +6,6 @@ text scan keeps within a split, so no global sort is needed to number lines.
 
 from __future__ import annotations
 
-import gzip
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -15,11 +14,14 @@ from pyspark.sql import functions as F
 
 from ..functions import clean
 from ..functions.kernels import SPACES
+from ..functions.tables import written
 from . import parsers
 
 #: Encodings that are taken, the length from which a line is skipped, codecs by extension.
 ENCODINGS = ("utf-8", "ascii")
 MAX_LINE = 1024 * 1024
+#: The format of lines whose templates are mined.
+MINED = "drain"
 CODECS = {"gz": "gzip", "gzip": "gzip", "bz2": "bzip2", "z": "zlib"}
 
 
@@ -32,19 +34,33 @@ def is_compressed(path: str) -> bool:
     return extension(path) in CODECS
 
 
+def _unpacked(data: bytes, bits: int) -> Iterator[bytes]:
+    """The content of one or more packed members in pieces of a megabyte at most."""
+    while data:
+        one = zlib.decompressobj(bits)
+        piece = one.decompress(data, 1 << 20)
+        while piece or one.unconsumed_tail:
+            yield piece
+            piece = one.decompress(one.unconsumed_tail, 1 << 20)
+        if not one.eof:
+            raise ValueError("a packed file ends early")
+        data = one.unused_data
+
+
 def _inflate(it):
+    """Lines of packed files, some thousands at a time."""
     import pandas as pd
 
     for pdf in it:
         for path, data in zip(pdf["path"], pdf["content"]):
-            data = bytes(data)
-            raw = gzip.decompress(data) if extension(path) == "gzip" else zlib.decompress(data)
-            lines = raw.decode("utf-8", "replace").split("\n")
-            if lines and lines[-1] == "":
-                lines.pop()
-            for at in range(0, len(lines), 10_000):
-                part = lines[at : at + 10_000]
-                yield pd.DataFrame({"value": part, "file": path, "pos": range(at, at + len(part))})
+            at, rest = 0, b""
+            for piece in _unpacked(bytes(data), 31 if extension(path) == "gzip" else 15):
+                *lines, rest = (rest + piece).split(b"\n")
+                if lines:
+                    yield pd.DataFrame({"value": [x.decode("utf-8", "replace") for x in lines], "file": path, "pos": range(at, at + len(lines))})
+                    at += len(lines)
+            if rest:
+                yield pd.DataFrame({"value": [rest.decode("utf-8", "replace")], "file": path, "pos": [at]})
 
 
 class LogReader:
@@ -59,7 +75,7 @@ class LogReader:
     def option(self, key: str, value) -> "LogReader":
         if key == "encoding" and str(value).lower() not in ENCODINGS:
             raise ValueError(f"encoding {value!r} is not supported; known: {', '.join(ENCODINGS)}")
-        if key == "format":
+        if key == "format" and value != MINED:
             parsers.parser(value)
         self.options[key] = value
         return self
@@ -86,14 +102,21 @@ class LogReader:
             out = out.join(F.broadcast(first) if len(paths) <= 1000 else first, "file").where("pos > head").drop("head")
         return logical_lines(out) if self.options["logical_lines"] else out
 
-    def parsed(self, path: str | list[str]) -> DataFrame:
-        """(file, pos, line, r): r is the record, null where the line does not fit."""
+    def _values(self, path: str | list[str]) -> DataFrame:
+        """(file, pos, line, value): value is what the parser is given."""
         lines = self.lines(path)
         value = F.btrim(F.col("value"), F.lit(SPACES)) if self.options.get("trim", False) else F.col("value")
         if self.options["preprocess"]:
             value = clean.clean_line(value)[0]
-        own = {k: v for k, v in self.options.items() if k not in ("format", "encoding", "has_header", "logical_lines", "preprocess", "max_line_length", "trim")}
-        return lines.select("file", "pos", F.col("value").alias("line"), parsers.parser(self.options["format"])(value, **own).alias("r"))
+        return lines.select("file", "pos", F.col("value").alias("line"), value.alias("value"))
+
+    def _own(self) -> dict:
+        return {k: v for k, v in self.options.items() if k not in ("format", "encoding", "has_header", "logical_lines", "preprocess", "max_line_length", "trim")}
+
+    def parsed(self, path: str | list[str]) -> DataFrame:
+        """(file, pos, line, r): r is the record, null where the line does not fit."""
+        record = parsers.parser(self.options["format"])(F.col("value"), **self._own())
+        return self._values(path).select("file", "pos", "line", record.alias("r"))
 
     def load(self, path: str | list[str], format: str | None = None) -> DataFrame:
         """id, file and the record's columns; lines that do not fit are dropped.
@@ -102,8 +125,21 @@ class LogReader:
         """
         if format is not None:
             self.option("format", format)
-        rows = self.parsed(path).where("r is not null")
-        return with_ordinal(rows, ["file", "pos"]).select("id", "file", "r.*")
+        values = self._values(path)
+        if self.options["format"] == MINED:
+            return self._mined(values)
+        rows = parsers.parse_rows(values, "value", self.options["format"], "file", "pos", **self._own())
+        return with_ordinal(rows, ["file", "pos"]).drop("pos")
+
+    def _mined(self, values: DataFrame) -> DataFrame:
+        """Records of template mining over all lines in (file, line) order, empty ones included."""
+        from ..operators import templates
+
+        lines = with_ordinal(values.select("file", "pos", "value"), ["file", "pos"])
+        found = templates.mined_records(lines.select("id", "value"), "value", **self._own())
+        empty = {"severity": "string", "timestamp": "timestamp_ntz"}
+        out = found.join(lines.select("id", "file"), "id").withColumns({k: F.lit(None).cast(t) for k, t in empty.items()})
+        return out.select("id", "file", "body", "template", "fields", "severity", "timestamp", F.lit("").alias("level"), F.lit("").alias("message"))
 
     def counts(self, path: str | list[str]) -> DataFrame:
         """processed and failed lines."""
@@ -113,10 +149,11 @@ class LogReader:
 def with_ordinal(df: DataFrame, order: list[str]) -> DataFrame:
     """df with id: its dense 0-based place in the order, by one range shuffle and per-part counts."""
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    ranged = ranged.persist()
+    ranged = written(ranged, "ranged")
     sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
+    # a row a part
     base = sizes.withColumn("__base", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return ranged.join(F.broadcast(base.select("__part", "__base")), "__part").withColumn("id", F.col("__base") + F.col("__row")).drop("__part", "__row", "__base")
+    return ranged.join(F.broadcast(base.select("__part", "__base")), "__part").select((F.col("__base") + F.col("__row")).alias("id"), *df.columns)
 
 
 def logical_lines(lines: DataFrame) -> DataFrame:
@@ -157,7 +194,10 @@ class MultiFileReader:
 
     def entries(self) -> DataFrame:
         """All records of all files, by time, then file, then line."""
-        frames = [LogReader(self.spark, format=f, **o).parsed(p).where("r is not null").select("file", "pos", "r.*", F.octet_length("line").alias("bytes")) for p, (f, o) in self.files.items()]
+        frames = []
+        for path, (f, o) in self.files.items():
+            reader = LogReader(self.spark, format=f, **o)
+            frames.append(parsers.parse_rows(reader._values(path).withColumn("bytes", F.octet_length("line")), "value", f, "file", "pos", "bytes", **reader._own()))
         out = frames[0]
         for f in frames[1:]:
             out = out.unionByName(f)

@@ -58,10 +58,38 @@ def test_matches_sequential(spark, seed, depth, threshold, cap):
 
 
 def test_find_cluster(spark):
-    clusters = spark.createDataFrame([(0, "user <*> in"), (1, "disk full")], "cluster_id bigint, template string")
-    lines = spark.createDataFrame([(1, "user 7 in"), (2, "disk full"), (3, "a b c"), (4, "one")], "id bigint, message string")
-    got = dict(templates.find_cluster(lines, clusters, headers=()).collect())
-    assert got == {1: 0, 2: 1, 3: -1, 4: -1}
+    mined = spark.createDataFrame([(0, "user 5 in"), (1, "disk full"), (2, ""), (3, "user 6 in")], "id bigint, message string")
+    _, clusters = templates.mine(mined, headers=())
+    lines = spark.createDataFrame([(1, "user 7 in"), (2, "disk full"), (3, "a b c"), (4, "one"), (5, ""), (6, "user x in")], "id bigint, message string")
+    assert dict(templates.find_cluster(lines, clusters, headers=()).collect()) == {1: 0, 2: 1, 3: -1, 4: -1, 5: -1, 6: 0}
+    assert templates.template_of(clusters, 0).first()["template"] == "user <*> in" and templates.template_of(clusters, 9).count() == 0
+
+
+@pytest.mark.parametrize("seed,depth,threshold,cap", [(1, 4, 0.5, 100), (2, 2, 0.4, 3), (3, 3, 0.6, 2)])
+def test_find_cluster_walks_the_tree(spark, seed, depth, threshold, cap):
+    """Against a walk over a tree of dicts, made from the mined clusters' places."""
+    rng = random.Random(seed)
+    line = lambda: " ".join(rng.choice(["a", "b", "c", "7", "-1", "x9", ""]) for _ in range(rng.randint(0, 5)))
+    mined = spark.createDataFrame([(i, line()) for i in range(150)], "id bigint, message string")
+    clusters = templates.mine(mined, depth=depth, threshold=threshold, max_children=cap, headers=())[1]
+    leaves, nodes = {}, set()
+    for r in clusters.where("leaf is not null").collect():
+        leaves.setdefault(tuple(r["leaf"].split("\x1f")), []).append((r["cluster_id"], r["template"].split(" ")))
+    for path in leaves:
+        nodes |= {path[: i + 1] for i in range(len(path))}
+
+    def walk(text):
+        tokens = text.split(" ") if text else []
+        path = (str(len(tokens)),)
+        for t in tokens[:depth]:
+            path = next((p for p in (path + ("<*>" if templates.number_like(t) else t,), path + ("<*>",)) if p in nodes), ("none",))
+        scored = [(sum(a == b or a == "<*>" for a, b in zip(c, tokens)) / len(tokens), -n) for n, c in leaves.get(path, [])]
+        best = max((x for x in scored if x[0] >= threshold), default=(0, 1))
+        return -best[1]
+
+    asked = [(i, line()) for i in range(200)]
+    got = dict(templates.find_cluster(spark.createDataFrame(asked, "id bigint, message string"), clusters, depth=depth, threshold=threshold, headers=()).collect())
+    assert got == {i: walk(t) for i, t in asked} and max(got.values()) > -1
 
 
 def test_empty_table(spark):
