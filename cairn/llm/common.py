@@ -5,13 +5,14 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import itertools
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import tables
+
 #: Arrow batches that go to Python hold at most so many bytes, however long the texts are.
 BATCH_BYTES = "4m"
 BATCH_ROWS = "2000"
@@ -29,16 +30,6 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own in local mode."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file:///tmp/checkpoints"
-    return folder.rstrip("/")
-
-
 def give_back() -> None:
     """Returns freed memory of this process to the system."""
     pa.default_memory_pool().release_unused()
@@ -59,19 +50,11 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """df, computed once and written to the shared folder: lost executors lose nothing of it.
-
-    The folder is removed when the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cairn-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    """df, computed once and written to the shared folder, which is emptied when the application ends."""
     # plans and task records of many small jobs would grow the driver's heap to its limit before it is collected
     if next(_WRITES) % 6 == 0:
-        spark._jvm.System.gc()
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+        df.sparkSession._jvm.System.gc()
+    return tables.written(df, label)
 
 
 def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:

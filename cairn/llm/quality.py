@@ -45,7 +45,7 @@ FENCE, FLOOR = 3.0, 0.1
 SYMBOLS = b"#*$%&|<>"
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 MIN_WORDS, REPEAT_PERCENT = 50, 50
-_STEP = 400_000
+_STEP = 200_000
 _PAD = b"\n" * (ORDER - 1)
 _SYMBOL = np.isin(np.arange(256), list(SYMBOLS))
 _GAP = np.isin(np.arange(256), list(SPACES))

@@ -371,6 +371,57 @@ def test_mixing(docs, doc_rows):
     assert places.where("mix_place < 0 or mix_place >= 1").count() == 0
 
 
+def spark_hash(*values):
+    """Spark's xxhash64 of longs, ints (given as ('int', n)), strings and nulls in a row."""
+    seed = 42
+    for v in values:
+        if v is None:
+            continue
+        data = v.encode() if isinstance(v, str) else v[1].to_bytes(4, "little", signed=True) if isinstance(v, tuple) else v.to_bytes(8, "little", signed=True)
+        seed = xxhash.xxh64_intdigest(data, seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def mix_by_hand(rows, repetition):
+    """Copies of each row: shares, the exponent by bisection, budgets, then blocks in their hashed order."""
+    words, by = [len((t or "").encode().split()) for _, t, *_ in rows], defaultdict(list)
+    for i, r in enumerate(rows):
+        by["n" if r[3] is None else "s" + r[3]].append(i)
+    tokens = {s: sum(words[i] for i in m) for s, m in by.items()}
+    p = {s: n / sum(words) for s, n in tokens.items() if n}
+    lo, hi = 0.0, 1.0
+    spread = max(p.values()) / min(p.values())
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (lo, mid) if spread ** (1 - mid) <= repetition * (1 + 1e-12) else (mid, hi)
+    a = 0.0 if spread <= repetition * (1 + 1e-12) else hi
+    raw = {s: v**a for s, v in p.items()}
+    z, budget = sum(raw.values()), max(tokens[s] / raw[s] for s in raw)
+    copies = [1] * len(rows)
+    for s in raw:
+        epochs = max(1.0, round(raw[s] / z * (budget * z) / tokens[s], 9))
+        left = (epochs - math.floor(epochs)) * tokens[s]
+        blocks = defaultdict(list)
+        for i in by[s]:
+            blocks[spark_hash(rows[i][0], "block") % mixing.BLOCKS].append(i)
+        for b in sorted(blocks, key=lambda b: (spark_hash(s, ("int", b), "turn"), b)):
+            inner = sorted(blocks[b], key=lambda i: spark_hash(rows[i][0], zlib.crc32((rows[i][1] or "").encode())))
+            whole, upto = sum(words[k] for k in inner), 0
+            for i in inner:
+                copies[i] = math.floor(epochs) + (whole > 0 and left > 0 and (left >= whole or upto + words[i] / 2 <= left))
+                upto += words[i]
+            left -= whole
+    return copies
+
+
+def test_mixing_matches_plain_permutations(spark):
+    rng = random.Random(17)
+    rows = [(i, " ".join("w" for _ in range(rng.randint(0, 60))), "en", rng.choices(["a", "b", "c", None], [70, 20, 8, 2])[0]) for i in range(1500)]
+    got = {r["doc_id"]: r["mix_copies"] for r in mixing.mix(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").repartition(3), repetition=1.7).collect()}
+    want = mix_by_hand(rows, 1.7)
+    assert set(want) == {1, 2} and got == {r[0]: n for r, n in zip(rows, want)}
+
+
 def test_mixing_by_entropy(spark):
     shares = [0.7, 0.2, 0.06, 0.04]
     a = mixing.solve_exponent(spark.createDataFrame([(p,) for p in shares], "p double"), entropy=0.9)
@@ -394,14 +445,62 @@ def test_sharding(docs, doc_rows):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def ring_by_hand(docs, shards, points=128, slack=0.001):
+    """Shard by document (id, size) with distinct ids, by a plain walk around the ring."""
+    segment = lambda d: xxhash.xxh64_intdigest(d.to_bytes(8, "little", signed=True), 42) >> 48
+    ring = sorted((int.from_bytes(hashlib.blake2b(f"{s}/{v}".encode(), digest_size=8).digest(), "big") % 65536, s) for s in range(shards) for v in range(points))
+    held = defaultdict(list)
+    for d, size in docs:
+        held[segment(d)].append((d, size))
+    limit = math.ceil((1 + slack) * sum(n for _, n in docs) / shards)
+    used, out = Counter(), {}
+    for seg, members in sorted(held.items(), key=lambda x: (-sum(n for _, n in x[1]), x[0])):
+        load = sum(n for _, n in members)
+        after = [s for p, s in ring if p >= seg] + [s for p, s in ring if p < seg]
+        shard = next((s for s in after if used[s] + load <= limit), None)
+        if shard is None:
+            return None  # this one would be cut
+        used[shard] += load
+        out.update((d, shard) for d, _ in members)
+    return out
+
+
+@pytest.mark.parametrize("shards", [3, 16])
+def test_sharding_matches_plain_ring(spark, shards):
+    rng = random.Random(shards)
+    docs = [(rng.randrange(-(10**12), 10**12), rng.randint(1, 40)) for _ in range(3000)]
+    want = ring_by_hand(docs, shards, slack=0.2)
+    df = spark.createDataFrame([(d, "x" * (n - 1)) for d, n in docs], "doc_id bigint, text string").repartition(4)
+    got = {r["doc_id"]: r["shard"] for r in sharding.shard_documents(df, shards, slack=0.2).collect()}
+    assert want is not None and got == want
+
+
 def test_sharding_is_even_and_moves_little(spark):
-    df = spark.range(6000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), F.pmod(F.col("id") * 37, F.lit(400)).cast("int")).alias("text"))
+    df = spark.range(40_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), F.pmod(F.col("id") * 37, F.lit(400)).cast("int")).alias("text"))
     a, b = sharding.shard_documents(df, 16).toPandas(), sharding.shard_documents(df, 17).toPandas()
     for out, n in ((a, 16), (b, 17)):
         size = out.groupby("shard")["size"].sum()
-        assert len(size) == n and size.max() / size.mean() < 1.01 and size.min() / size.mean() > 0.95
+        assert len(size) == n and size.max() <= 1.001 * size.mean() + 401
     both = a.merge(b, on="doc_id")
-    assert (both["shard_x"] != both["shard_y"]).mean() < 0.35
+    moved = (both["shard_x"] != both["shard_y"]).mean()
+    assert 1 / 17 < moved < 0.2, moved
+
+
+def test_sharding_of_one_hot_id(spark):
+    """A third of all rows without an id: they are dealt out, and no shard is over its bound."""
+    df = spark.range(9000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.repeat(F.lit("y"), (F.col("id") % 50).cast("int")).alias("text")).repartition(4)
+    out = sharding.shard_documents(df, 8).toPandas()
+    size = out.groupby("shard")["size"].sum()
+    assert len(out) == 9000 and len(size) == 8 and size.max() <= 1.001 * size.mean() + 50
+    assert all(sorted(g) == list(range(len(g))) for _, g in out.groupby("shard")["slot"])
+
+
+def test_written_shards_are_whole(spark, docs, doc_rows, tmp_path):
+    sharding.write_shards(docs, str(tmp_path / "s"), shards=4)
+    got = spark.read.parquet(str(tmp_path / "s"))
+    assert Counter((r["doc_id"], r["text"]) for r in got.select("doc_id", "text").collect()) == Counter((d, t) for d, t, *_ in doc_rows)
+    slots = got.groupBy("shard").agg(F.count("*").alias("n"), F.count_distinct("slot").alias("k"), F.max("slot").alias("m")).collect()
+    assert len(slots) == 4 and all(r["n"] == r["k"] == r["m"] + 1 for r in slots)
 
 
 def test_ring_plan_covers_every_byte():

@@ -415,6 +415,30 @@ def test_pipeline(spark, sf, tmp_path):
     assert seen.count() > 0
 
 
+def test_pipeline_stages_on_odd_tables(spark, docs, no_docs):
+    """Nulls, empty and very long texts, ties, repeats, clashing columns; and no rows at all."""
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, "")
+        n = out.count()
+        assert n > 0 and stage(spark, no_docs, "").count() == 0
+        if name != "packing":
+            assert out.columns == corpus_pipeline.COLUMNS and out.exceptAll(docs.select(out.columns)).count() == (0 if name != "mixing sources" else n - docs.count())
+
+
+def test_pipeline_leaves_no_tables(spark, sf, tmp_path, monkeypatch):
+    """What run() writes between stages is marked for removal at the end of the application."""
+    import corpus_pipeline
+    from cairn.functions import tables
+
+    made = []
+    real = tables.new_path
+    monkeypatch.setattr(tables, "new_path", lambda s, label: made.append(label) or real(s, label))
+    assert corpus_pipeline.run(spark, sf).count() > 0
+    assert sum(label.startswith("pipeline") for label in made) == len(corpus_pipeline.STAGES) - 1
+
+
 def test_all_ten_are_registered():
     assert {k.split("_")[0] for k in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
 
