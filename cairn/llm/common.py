@@ -52,7 +52,7 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
 def written(df: DataFrame, label: str) -> DataFrame:
     """df, computed once and written to the shared folder, which is emptied when the application ends."""
     # plans and task records of many small jobs would grow the driver's heap to its limit before it is collected
-    if next(_WRITES) % 6 == 0:
+    if next(_WRITES) % 3 == 0:
         df.sparkSession._jvm.System.gc()
     return tables.written(df, label)
 

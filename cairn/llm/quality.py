@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -198,12 +199,13 @@ def hash_keys(kind: int | np.ndarray, lang: np.ndarray, gram: np.ndarray) -> np.
 class HashArrays:
     """Sorted keys, their values, and where each leading-bit range begins."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, self.values = keys[order], np.append(values[order], np.float32(0))
-        self.bits = min(23, max(8, len(keys).bit_length() - 1))
-        self.begin = np.searchsorted(self.keys, np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)).astype(np.int32)
-        self.keys = np.append(self.keys, ~np.uint64(0))
+    def __init__(self, keys: list[bytes], values: list[bytes]):
+        """keys ascend over all parts."""
+        self.keys = np.frombuffer(b"".join([*keys, b"\xff" * 8]), "<u8")
+        self.values = np.frombuffer(b"".join([*values, bytes(4)]), "<f4")
+        n = len(self.keys) - 1
+        self.bits = min(23, max(8, n.bit_length() - 1))
+        self.begin = np.searchsorted(self.keys[:n], np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)).astype(np.int32)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(value, found) of each key."""
@@ -217,16 +219,44 @@ class HashArrays:
         return self.values[at], (got == keys) & (at < len(self.keys) - 1)
 
 
-def hash_arrays(model: DataFrame) -> HashArrays:
-    """The model's arrays, on the driver: for models of BROADCAST entries at most."""
+class Packed:
+    """The parts of HashArrays as bytes, which a worker that unpickles them makes into arrays; the driver does not."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, keys: list[bytes], values: list[bytes]):
+        self.keys, self.values = keys, values
+
+    def __reduce__(self):
+        return HashArrays, (self.keys, self.values)
+
+    def open(self) -> HashArrays:
+        return HashArrays(self.keys, self.values)
+
+
+#: Entries of a part of the arrays.
+_PART = 1 << 19
+
+
+def hash_arrays(model: DataFrame, entries: int) -> Packed:
+    """The model's arrays, for models of BROADCAST entries at most: sorted by Spark, a row a part to the driver."""
+
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kind, lang, gram = (b.column(i).to_numpy() for i in range(3))
-            yield pa.RecordBatch.from_arrays([pa.array(hash_keys(kind, lang, gram).view(np.int64)), b.column(3)], names=["key", "value"])
+            # signed numbers in the order of the unsigned keys
+            yield pa.RecordBatch.from_arrays([pa.array((hash_keys(kind, lang, gram) ^ np.uint64(1 << 63)).view(np.int64)), b.column(3)], names=["key", "value"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, values = [], []
+        for b in batches:
+            keys.append((b.column(0).to_numpy().view(np.uint64) ^ np.uint64(1 << 63)).astype("<u8").tobytes())
+            values.append(b.column(1).to_numpy().astype("<f4").tobytes())
+        if keys:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([b"".join(keys)], pa.binary()), pa.array([b"".join(values)], pa.binary())], names=["part", "keys", "values"])
 
-    got = model.select("kind", "lang", "gram", "value").mapInArrow(tidy(run), "key bigint, value float").toArrow()
-    return HashArrays(got["key"].to_numpy().view(np.uint64), got["value"].to_numpy().astype(np.float32))
+    keyed = model.select("kind", "lang", "gram", "value").mapInArrow(tidy(key), "key bigint, value float")
+    parts = keyed.repartitionByRange(-(-entries // _PART) or 1, "key").sortWithinPartitions("key").mapInArrow(tidy(pack), "part bigint, keys binary, values binary")
+    rows = sorted(parts.collect())
+    return Packed([bytes(r["keys"]) for r in rows], [bytes(r["values"]) for r in rows])
 
 
 def log_probabilities(arrays: HashArrays, gram: np.ndarray, lang: np.ndarray) -> np.ndarray:
@@ -329,7 +359,7 @@ def losses(texts: list, own: np.ndarray, look_up) -> list[float | None]:
     return out
 
 
-def score(docs: DataFrame, arrays: HashArrays, codes: dict) -> DataFrame:
+def score(docs: DataFrame, arrays: Packed, codes: dict) -> DataFrame:
     """BASE and log_perplexity of every document: the model is broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(arrays)
     del arrays  # the driver needs them no more
@@ -390,8 +420,8 @@ def judge(docs: DataFrame) -> DataFrame:
     bound_batches(docs.sparkSession)
     codes, texts = language_codes(docs), distinct_texts(docs)
     model = written(kneser_ney(written(count_grams(texts, codes), "grams")), "model")
-    small = model.count() <= BROADCAST
-    scored = written(score(docs, hash_arrays(model), codes) if small else score_distributed(docs, texts, model, codes), "scored")
+    entries = model.count()
+    scored = written(score(docs, hash_arrays(model, entries), codes) if entries <= BROADCAST else score_distributed(docs, texts, model, codes), "scored")
     failed = F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {REPEAT_PERCENT} * n_words")
     scored = scored.withColumn("base_failed", failed)
     once = scored.where("not base_failed").groupBy("lang_code", "key").agg(F.first("log_perplexity").alias("log_perplexity"))
