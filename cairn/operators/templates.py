@@ -2,8 +2,8 @@
 
 Clusters of a leaf depend on that leaf's lines only, and a line's leaf on its token count and first
 keys, but for the cap on children: of the keys below one node only the first to arrive, up to the cap,
-are kept, later ones become <*>.  Arrival order is the least line id of a key, so the caps are window
-ranks over the table of distinct key paths, which is small; each line joins its leaf by its keys.  The
+are kept, later ones become <*>.  Arrival order is the least line id of a key, so the caps are ranks of
+distinct key paths, cut to the cap before they are shuffled; each line joins its leaf by its keys.  The
 lines of a leaf then stream through one task in id order, which holds the leaf's clusters, not its lines.
 """
 
@@ -94,12 +94,15 @@ def leaves(lines: DataFrame, depth: int, max_children: int) -> DataFrame:
     rows = lines.withColumns({"__n": F.size("tokens")} | {n: key(i) for i, n in enumerate(names)})
     paths = rows.where("__n > 0").groupBy("__n", *names).agg(F.min("id").alias("first")).withColumn("leaf", F.col("__n").cast("string"))
     for n in names:
-        # sibling keys in order of arrival (a line has one key, so no two tie); those past the cap share
-        # the wildcard.  One shuffle a level: both windows fit a table dealt out by leaf
-        paths = paths.repartition("leaf").withColumn("__f", F.min("first").over(Window.partitionBy("leaf", n)))
-        paths = paths.withColumn("__r", F.dense_rank().over(Window.partitionBy("leaf").orderBy("__f")))
-        step = F.when(F.col(n).isNull(), F.lit("")).when(F.col("__r") <= max_children, F.concat(F.lit("\x1f"), n)).otherwise(F.lit("\x1f" + WILD))
-        paths = paths.withColumn("leaf", F.concat("leaf", step)).drop("__f", "__r")
+        # of a node's keys the first to arrive are kept (a line has one key, so no two tie); the others share
+        # the wildcard.  Each task passes on max_children keys of a node at most, so no node is a hot task
+        paths = written(paths, "paths")
+        firsts = paths.where(F.col(n).isNotNull()).groupBy("leaf", n).agg(F.min("first").alias("__f"))
+        ranked = firsts.withColumn("__r", F.row_number().over(Window.partitionBy("leaf").orderBy("__f"))).where(F.col("__r") <= max_children)
+        kept = ranked.select(F.col("leaf").alias("__leaf"), F.col(n).alias("__key"), F.lit(True).alias("__kept"))
+        paths = paths.join(kept, (F.col("leaf") == F.col("__leaf")) & (F.col(n) == F.col("__key")), "left")
+        step = F.when(F.col(n).isNull(), F.lit("")).when(F.col("__kept"), F.concat(F.lit("\x1f"), n)).otherwise(F.lit("\x1f" + WILD))
+        paths = paths.withColumn("leaf", F.concat("leaf", step)).drop("__leaf", "__key", "__kept")
     p = paths.select(F.col("__n").alias("__m"), *[F.col(n).alias(n + "_") for n in names], "leaf")
     on = F.col("__n") == F.col("__m")
     for n in names:
