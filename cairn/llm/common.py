@@ -26,10 +26,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
+    """What operators begin with: small Arrow batches, and JVMs that give back what they do not need."""
+    shrink(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+def shrink(spark: SparkSession) -> None:
+    """Has the driver's and the executors' JVMs collect and return free heap.
+
+    Plans, task records and sort buffers of many small jobs grow a heap to its limit before it is collected; in an
+    executor that leaves no room for the Python workers beside it.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark._jvm.System.gc()
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')").alias("done")).write.format("noop").mode("overwrite").save()
+
+
 def give_back() -> None:
     """Returns freed memory of this process to the system."""
     pa.default_memory_pool().release_unused()
@@ -51,9 +64,8 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """df, computed once and written to the shared folder, which is emptied when the application ends."""
-    # plans and task records of many small jobs would grow the driver's heap to its limit before it is collected
-    if next(_WRITES) % 3 == 0:
-        df.sparkSession._jvm.System.gc()
+    if next(_WRITES) % 5 == 0:
+        shrink(df.sparkSession)
     return tables.written(df, label)
 
 

@@ -82,17 +82,17 @@ def _rows(window: list, sequence_id: int, keep_ids: bool) -> list[tuple]:
     return rows
 
 
-def pack_documents(docs: DataFrame, length: int = 2048, open_windows: int = 32, min_cut: int = 64, tokenizer: str | None = None, end_id: int = 1, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, length: int = 2048, open_windows: int = 32, min_cut: int = 64, tokenizer: str | None = None, end_id: int = 1, with_ids: bool = False, memo: int | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
 
-    ids (little-endian uint32) is filled if with_ids.  Tokenising and packing happen in the scan's own
+    ids (little-endian uint32) is filled if with_ids.  memo bounds the chunks that a worker remembers the ids of.  Tokenising and packing happen in the scan's own
     tasks, without a shuffle; only leftovers (a bounded number a task) are shuffled.
     """
     path = tokenizer or default_tokenizer_path()
     bound_batches(docs.sparkSession)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, windows = Encoder.get(path), Windows(length, open_windows, min_cut)
+        encoder, windows = Encoder.get(path, memo), Windows(length, open_windows, min_cut)
         base, n = TaskContext.get().partitionId() << _SHIFT, 0
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()

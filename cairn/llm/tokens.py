@@ -33,7 +33,7 @@ _MEMO_LIMIT, _TABLE_BITS = 1_000_000, 21
 _STEP = 100_000
 _PRIME = 0x9E3779B97F4A7C15 | 1
 _BYTE = np.array([int.from_bytes(hashlib.blake2b(bytes([i]), digest_size=8).digest(), "big") for i in range(256)], np.uint64)
-_ENCODERS: dict[str, "Encoder"] = {}
+_ENCODERS: dict[tuple, "Encoder"] = {}
 
 
 def default_tokenizer_path() -> str:
@@ -58,7 +58,8 @@ def _grown(a: np.ndarray, size: int) -> np.ndarray:
 class Encoder:
     """Encodes texts into flat numpy id arrays; one per worker process and vocabulary file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo: int | None = None):
+        self.memo = _MEMO_LIMIT if memo is None else memo
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
         from tokenizers import Tokenizer
@@ -73,10 +74,12 @@ class Encoder:
         self._clear()
 
     @classmethod
-    def get(cls, path: str) -> "Encoder":
-        if path not in _ENCODERS:
-            _ENCODERS[path] = cls(path)
-        return _ENCODERS[path]
+    def get(cls, path: str, memo: int | None = None) -> "Encoder":
+        """The worker's encoder; memo: chunks that it remembers at most."""
+        if (path, memo) not in _ENCODERS:
+            _ENCODERS.clear()  # one at a time
+            _ENCODERS[path, memo] = cls(path, memo)
+        return _ENCODERS[path, memo]
 
     def _clear(self) -> None:
         self.keys = np.zeros(1 << _TABLE_BITS, np.uint64)
@@ -269,7 +272,7 @@ class Encoder:
         lens = self.lens[idx].astype(np.int64)
         stop = np.cumsum(lens)
         flat = self.pool[np.arange(int(stop[-1])) + np.repeat(self.starts[idx] - (stop - lens), lens)]
-        if len(rep) and k + len(rep) <= _MEMO_LIMIT:
+        if len(rep) and k + len(rep) <= self.memo:
             self._insert(h[rep], np.arange(k, k + len(rep)))
             self.n, self.used, self.written = k + len(rep), used, written
         return flat, lens
