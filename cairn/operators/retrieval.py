@@ -97,14 +97,24 @@ def compare_events(logs: DataFrame, first: str, second: str) -> DataFrame:
     return out.select("level", "n1", "n2", (F.col("n1") - F.col("n2")).alias("diff"), "users1", "users2", format_time(F.col("x")).alias("first_ts"), format_time(F.col("y")).alias("last_ts"))
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: str, time: str, value: str) -> DataFrame:
-    """left with the latest right value at or before its time, by key: one shuffle on the key, a union
-    and a running last value, no pairs."""
+def asof_join(left: DataFrame, right: DataFrame, by: str, time: str, value: str, bucket: str = "1d") -> DataFrame:
+    """left with the latest non-null right value at or before its time, by key: no pairs.
+
+    A union and a running last value inside each bucket of time, so a hot key is many tasks; what earlier buckets
+    leave is a running last value over one row a key and bucket.
+    """
+    seconds = int(interval(bucket).total_seconds())
+    at = F.floor(F.unix_micros(F.col(time).cast("timestamp")) / F.lit(seconds * 1_000_000))
     a = left.withColumns({"__side": F.lit(1), "__v": F.lit(None).cast(right.schema[value].dataType)})
     b = right.select(F.col(by), F.col(time), F.col(value).alias("__v"), F.lit(0).alias("__side"))
-    w = Window.partitionBy(by).orderBy(time, "__side").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b, allowMissingColumns=True).withColumn(value, F.last("__v", ignorenulls=True).over(w))
-    return both.where("__side = 1").drop("__side", "__v")
+    both = a.unionByName(b, allowMissingColumns=True).withColumn("__bucket", at)
+    here = Window.partitionBy(by, "__bucket").orderBy(time, "__side").rowsBetween(Window.unboundedPreceding, 0)
+    rows = both.withColumn(value, F.last("__v", ignorenulls=True).over(here)).where("__side = 1")
+    ends = both.groupBy(by, "__bucket").agg(F.max_by("__v", F.when(F.col("__v").isNotNull(), F.col(time))).alias("__end"))
+    before = Window.partitionBy(by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(F.col(by).alias("__by"), F.col("__bucket").alias("__at"), F.last("__end", ignorenulls=True).over(before).alias("__carried")).where("__carried is not null")
+    out = rows.join(ends, rows[by].eqNullSafe(ends["__by"]) & rows["__bucket"].eqNullSafe(ends["__at"]), "left")
+    return out.withColumn(value, F.coalesce(value, "__carried")).drop("__side", "__v", "__bucket", "__by", "__at", "__carried")
 
 
 def positional_join(left: DataFrame, right: DataFrame, left_order: list[str], right_order: list[str]) -> DataFrame:

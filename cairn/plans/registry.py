@@ -333,7 +333,7 @@ _plain_at = _AT.format("ts")
 _add("parse_json", _round_trip("json", lambda: F.to_json(F.struct(_iso().alias("time"), F.col("level"), F.col("message").alias("msg"), "user_id"))), _PARSED.format(at=_plain_at, m="message"))
 _add("parse_logfmt", _round_trip("logfmt", lambda: F.concat(F.lit("time="), _iso(), F.lit("Z level="), "level", F.lit(' msg="'), "service", F.lit(' user" user='), F.col("user_id").cast("string"))), _PARSED.format(at=_plain_at, m="service || ' user'"))
 _add("parse_syslog", _round_trip("syslog", lambda: F.concat(_iso(), F.lit(" host app[7]: "), "message")), f"{LOGS} SELECT id, {_plain_at} AS at, 'INFO' AS level, message FROM log_entries")
-_add("parse_log4j", _round_trip("log4j", lambda: F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(",123 "), "level", F.lit(" [main] com.example.App: "), "message")), _PARSED.format(at=_plain_at, m="message"))
+_add("parse_log4j", _round_trip("log4j", lambda: F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(",123 "), "level", F.lit(" [main] org.sample.Oven: "), "message")), _PARSED.format(at=_plain_at, m="message"))
 _add("parse_cef", _round_trip("cef", lambda: F.concat(F.lit("CEF:0|v|p|1|"), F.col("id").cast("string"), F.lit("|n|"), "level", F.lit("|msg="), "service", F.lit(" user src=1.2.3.4"))), f"{LOGS} SELECT id, NULL::VARCHAR AS at, level, service || ' user' AS message FROM log_entries")
 _add("parse_csv", _csv, f"{LOGS} SELECT id, {_plain_at} AS at, level AS severity, service AS body, user_id::VARCHAR AS who FROM log_entries")
 _add("parse_regex", _round_trip("regex", lambda: F.concat("level", F.lit("|"), "service"), log_pattern=r"([A-Z]+)\|(\w+)", groups=("level", "message")), f"{LOGS} SELECT id, NULL::VARCHAR AS at, level, service AS message FROM log_entries")

@@ -222,8 +222,9 @@ def parse_xml(line: Column, datetime_format: str = "%Y-%m-%dT%H:%M:%SZ", year: i
     plain = lambda v: F.replace(F.replace(F.replace(F.replace(F.replace(v, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&quot;"), F.lit('"')), F.lit("&apos;"), F.lit("'")), F.lit("&amp;"), F.lit("&"))
     found = lambda text, p, i: F.regexp_extract_all(text, F.lit(p), F.lit(i))
     head, pair, child = F.regexp_extract(line, rf"^\s*<{name}([^>]*)>", 1), rf'({name})="([^"]*)"', rf"<({name})>([^<]*)</\1>"
-    keys = F.concat(found(head, pair, 1), found(line, child, 1))
-    values = F.transform(F.concat(found(head, pair, 2), found(line, child, 2)), plain)
+    inner = F.regexp_extract(line, rf"(?s)^\s*<{name}[^>]*>(.*)</", 1)
+    keys = F.concat(found(head, pair, 1), found(inner, child, 1))
+    values = F.transform(F.concat(found(head, pair, 2), found(inner, child, 2)), plain)
 
     def build(f: Column) -> Column:
         get = lambda *ks: F.coalesce(*[F.try_element_at(f, F.lit(k)) for k in ks])

@@ -84,3 +84,22 @@ def test_live_templates(spark, tmp_path):
     s = streams.read_table(spark, str(tmp_path / "t"), "id bigint, leaf string, tokens array<string>", 1)
     out = streams.run_once(streams.live_templates(s), "live", "append").collect()
     assert {r["template"] for r in out} <= {"user <*> in", *(f"user {i} in" for i in range(6))} and len(out) == 6
+
+
+def test_asof_join_over_buckets(spark):
+    """One hot key, values many buckets back, ties, null values and null keys, against a plain search."""
+    import random
+    from datetime import datetime, timedelta
+
+    from cairn.operators.retrieval import asof_join
+
+    rng, start = random.Random(4), datetime(2030, 1, 1)
+    at = lambda: start + timedelta(minutes=rng.randrange(60 * 24 * 6))
+    left = [(i, rng.choice(["hot", "hot", "k", "none", None]), at()) for i in range(200)]
+    right = [(rng.choice(["hot", "k"]), t, None if rng.random() < 0.2 else i) for i, t in enumerate(sorted({at() for _ in range(40)}))]
+    got = asof_join(spark.createDataFrame(left, "id bigint, k string, ts timestamp_ntz"), spark.createDataFrame(right, "k string, ts timestamp_ntz, v bigint"), "k", "ts", "v", "6h")
+    assert got.columns == ["id", "k", "ts", "v"]
+    for r in got.collect():
+        before = [(t, v) for k, t, v in right if k == r["k"] and t <= r["ts"] and v is not None]
+        assert r["v"] == (max(before)[1] if before else None)
+    assert got.count() == 200

@@ -66,3 +66,25 @@ def test_dialect_leaves_strings_alone():
 def test_json_path_and_fields(spark):
     df = spark.createDataFrame([('{"choices":[{"message":"hi"}]}',)], "j string")
     assert df.select(kernels.json_path(F.col("j"), "choices.0.message")).first()[0] == "hi"
+
+
+def test_dialect_structure():
+    assert dialect.java_format("%Y-W%m, %d o'clock") == "yyyy-'W'MM, dd 'o''clock'"
+    with pytest.raises(ValueError):
+        dialect.java_format("%Q")
+    with pytest.raises(ValueError):
+        dialect.translate("SELECT * FROM (SELECT 1 AS a UNION BY NAME SELECT 2 AS a) t")
+    assert "UNION BY NAME" in dialect.translate("SELECT 'UNION BY NAME' AS a")
+    assert dialect.translate("SELECT {'a': 1, b: x::INT}, '{c: 1}'") == "SELECT named_struct('a', 1, 'b', x::INT), '{c: 1}'"
+    nested = dialect.translate("SELECT n FROM (SELECT a, count(*) AS n FROM t GROUP BY a QUALIFY n > 1) q")
+    assert nested.count("__q") == 3 and nested.index("FROM (SELECT * EXCEPT (__q)") > 0
+
+
+def test_union_by_name_keeps_order_and_fills(spark):
+    spark.createDataFrame([(1, "x"), (2, "y")], "a int, b string").createOrReplaceTempView("ubn_l")
+    spark.createDataFrame([("x", 1), ("z", 3)], "b string, a int").createOrReplaceTempView("ubn_r")
+    every = dialect.execute(spark, "WITH l AS (SELECT * FROM ubn_l) SELECT * FROM l UNION ALL BY NAME SELECT *, 7 AS c FROM ubn_r ORDER BY a")
+    got = [tuple(r) for r in every.collect()]
+    assert [r[0] for r in got] == [1, 1, 2, 3] and set(got) == {(1, "x", None), (1, "x", 7), (2, "y", None), (3, "z", 7)}
+    once = dialect.execute(spark, "SELECT * FROM ubn_l UNION BY NAME SELECT * FROM ubn_r")
+    assert sorted(tuple(r) for r in once.collect()) == [(1, "x"), (2, "y"), (3, "z")]

@@ -62,3 +62,19 @@ def test_dense_ids_over_many_splits(spark, tmp_path):
         assert [(r["id"], r["message"]) for r in got] == [(i, f"line {i}") for i in range(2000)]
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_packed_in_members_and_cut_short(spark, tmp_path):
+    (tmp_path / "two.gzip").write_bytes(gzip.compress(b"a\nb") + gzip.compress(b"c\n" + b"long " * 600_000 + b"\nlast"))
+    got = LogReader(spark, format="line").lines(str(tmp_path / "two.gzip")).orderBy("pos").collect()
+    assert [r["value"] for r in got] == ["a", "bc", "last"]  # the line of three megabytes is over the limit
+    assert LogReader(spark, format="line", max_line_length=1 << 22).lines(str(tmp_path / "two.gzip")).count() == 4
+    (tmp_path / "cut.z").write_bytes(zlib.compress(b"line\n" * 1000)[:-9])
+    with pytest.raises(Exception, match="ends early"):
+        LogReader(spark, format="line").lines(str(tmp_path / "cut.z")).collect()
+
+
+def test_mined_format(spark, tmp_path):
+    (tmp_path / "a.log").write_text("job 1 done\njob 2 done\nready\n")
+    got = LogReader(spark, format="drain").load(str(tmp_path / "a.log")).orderBy("id").collect()
+    assert [(r["id"], r["body"], r["template"], r["fields"]["cluster_id"]) for r in got] == [(0, "job 1 done", "job 1 done", "0"), (1, "job 2 done", "job <*> done", "0"), (2, "ready", "ready", "1")]
