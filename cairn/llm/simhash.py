@@ -16,7 +16,7 @@ similar_documents is the wider form: it links texts where the Jaccard likeness o
 is 0.8 or more.  Texts with equal sets of shingles form one class; its fingerprint is 128 bits of the set.
 At the distances that such a likeness stands for no few blocks stay equal, so the keys that deal classes
 out are bands of least hash values: three values of the set under different hash functions make a key, and
-of twelve keys a pair of likeness 0.8 shares one with a probability of 0.9998, whatever the number of
+of sixteen keys a pair of likeness 0.8 shares one with a probability of 0.99999, whatever the number of
 classes.  In a bucket the pivot table discards and fingerprints decide who is near, up to four standard
 deviations over the distance that 0.8 stands for.  A bucket gives the edges of a least spanning forest of
 the near pairs; these only gather families.  In a family all pairs are compared by their whole shingle
@@ -290,7 +290,7 @@ def fingerprint_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 #: The wider form: words of a fingerprint, shingle width, likeness; keys, and least values in each.
-WIDE, WIDE_WIDTH, LIKENESS, BANDS, BAND = 2, 5, 0.8, 12, 3
+WIDE, WIDE_WIDTH, LIKENESS, BANDS, BAND = 2, 5, 0.8, 16, 3
 #: Near are pairs up to so many standard deviations over the distance that LIKENESS stands for.
 MARGIN = 4.0
 #: Classes, and shingles, of a family's slice; shingles of more sets than RARE are counted by matrix products.
