@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, language, lcp, mixing, packing, quality, sharding, simhash, urls, wavelet
+from . import align, centroids, chat, language, lcp, lines, mixing, packing, quality, sharding, simhash, urls, wavelet
 from .common import table
 
 
@@ -50,6 +50,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_hamerly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.digest(table(spark, sf_dir, "embeddings"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op2_fingerprints": op2_fingerprints,
@@ -61,6 +73,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_language": op9_language,
     "op10_quality": op10_quality,
+    "op11_hamerly": op11_hamerly,
+    "op12_alignment": op12_alignment,
+    "op13_lines": op13_lines,
 }
 
-SQL: dict[str, str] = {"op1_chat": chat.SQL}
+SQL: dict[str, str] = {"op1_chat": chat.SQL, "op13_lines": lines.SQL}
