@@ -38,8 +38,9 @@ from .common import bound_batches, tidy, written
 #: White space, and characters that some version of Unicode calls so.
 _WHITE = r"\s\x1c-\x1f\u180e\u200b\u2060\ufeff"
 _CUT = re.compile(rf" (?<=[^{_WHITE}] )(?=[^{_WHITE}])")
-#: Segments that a worker remembers over its blocks, and characters of the longest of them.
-_MEMO, _MEMO_CHARS = 200_000, 40
+_EDGE = re.compile(rf"\A[{_WHITE}]|[{_WHITE}]\Z")
+#: Segments that a worker remembers over its blocks, and how many the libraries get at once.
+_MEMO, _RUN = 400_000, 512
 _ENCODED_SQL = "block string, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, groups_sha256 string, segments binary, held binary, keys array<string>, times array<bigint>"
 _ENCODED = pa.schema([("block", pa.string()), ("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("groups_sha256", pa.string()), ("segments", pa.binary()), ("held", pa.binary()), ("keys", pa.list_(pa.string())), ("times", pa.list_(pa.int64()))])
 _LINKS_SQL = "key string, times bigint, a int, b int, links bigint"
@@ -73,7 +74,14 @@ class Pair:
         odd = " x  y\u212b"
         plain_b = not any("\u2581" in p.lstrip("\u2581") for p in pieces) and b"".join(self.b_bytes[i] for i in self.b.encode(odd)) == (" " + odd).encode()
         self.cuts = plain_a and plain_b
-        self.memo: dict[str, tuple | None] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        """Forgets segments and groups; results do not depend on what is remembered."""
+        self.places: dict[str, int] = {}  # segments
+        self.numbers: dict[str, int] = {}  # groups
+        # of each segment: its A and B ids (-1: bytes differ), its groups, and where they begin in flat
+        self.n_a, self.n_b, self.sizes, self.starts, self.flat = (np.zeros(0, np.int64) for _ in range(5))
 
     @classmethod
     def get(cls, a_path: str, b_path: str) -> "Pair":
@@ -87,29 +95,71 @@ class Pair:
             return [text]
         return text.split(" ") if text.isascii() and " ".join(text.split()) == text else _CUT.split(text)
 
-    def groups(self, segments: list[str]) -> list[tuple[int, int, list[str]] | None]:
-        """(A ids, B ids, groups' keys) of each segment with a space before it; None where bytes differ."""
-        out = [self.memo.get(s, 0) for s in segments]
-        new = [i for i, g in enumerate(out) if g == 0]
-        texts = [segments[i] for i in new]
-        a_all = self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)
-        b_all = self.b.encode(texts, num_threads=1)
-        for i, text, a, b in zip(new, texts, a_all, b_all):
-            out[i] = got = self._grouped(text, a.ids, b)
-            if len(self.memo) < _MEMO and len(text) <= _MEMO_CHARS:
-                self.memo[text] = got
-        return out
-
-    def _grouped(self, text: str, a: list[int], b: list[int]) -> tuple[int, int, list[str]] | None:
-        whole = (" " + text).encode("utf-8", "surrogatepass")
-        if b"".join(map(self.a_bytes.__getitem__, a)) != whole or b"".join(map(self.b_bytes.__getitem__, b)) != whole:
-            return None
-        if len(a) == 1 or len(b) == 1:  # one group
-            return len(a), len(b), [key_of(a, b)]
+    def learn(self, segments: list[str]) -> np.ndarray:
+        """Places of segments among those that are remembered; unseen ones are encoded, all at once."""
+        if len(self.places) + len(segments) > _MEMO:
+            self.clear()
+        known = len(self.places)
+        at = np.array([self.places.setdefault(s, len(self.places)) for s in segments], np.int64)
+        if new := list(self.places)[known:] if len(self.places) > known else []:
+            self._encode(new)
+        return at
+
+    def _encode(self, segments: list[str]) -> None:
+        """Adds segments in their order.  Those with a visible character at both ends go to the libraries many at a
+        time, with spaces between them, where tokens begin anyway; what does not come back as it was goes alone."""
+        inner = [i for i, s in enumerate(segments) if self.cuts and s and not _EDGE.search(s)]
+        alone = sorted(set(range(len(segments))) - set(inner))
+        runs = [inner[lo : lo + _RUN] for lo in range(0, len(inner), _RUN)] + [[i] for i in alone]
+        good, a_all, b_all = [], [], []
+        while runs:
+            texts = [" ".join([segments[i] for i in run]) for run in runs]
+            a_got = self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)
+            b_got = self.b.encode(texts, num_threads=1)
+            again = []
+            for run, text, a, b in zip(runs, texts, a_got, b_got):
+                whole = (" " + text).encode("utf-8", "surrogatepass")
+                if b"".join(map(self.a_bytes.__getitem__, a.ids)) == whole == b"".join(map(self.b_bytes.__getitem__, b)):
+                    good += run
+                    a_all.append(np.array(a.ids, np.int64))
+                    b_all.append(np.array(b, np.int64))
+                elif len(run) > 1:
+                    again += [[i] for i in run]
+            runs = again
+        n_a, n_b, sizes = (np.full(len(segments), v, np.int64) for v in (-1, -1, 0))
+        flat, order = np.zeros(0, np.int64), np.array(good, np.int64)
+        if good:
+            ends = np.cumsum([len(segments[i].encode("utf-8", "surrogatepass")) + 1 for i in good])
+            n_a[order], n_b[order], sizes[order], flat = self._grouped(np.concatenate(a_all), np.concatenate(b_all), ends)
+        starts = np.zeros(len(segments), np.int64)
+        starts[order] = len(self.flat) + np.cumsum(sizes[order]) - sizes[order]
+        for name, more in (("n_a", n_a), ("n_b", n_b), ("sizes", sizes), ("starts", starts), ("flat", flat)):
+            setattr(self, name, np.concatenate([getattr(self, name), more]))
+
+    def _grouped(self, a: np.ndarray, b: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(A ids, B ids, groups of each segment; groups' numbers) of segments that end at byte offsets ends."""
         ends_a, ends_b = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
-        _, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-        cuts_a, cuts_b = [0, *(at_a + 1).tolist()], [0, *(at_b + 1).tolist()]
-        return len(a), len(b), [key_of(a[p:q], b[r:s]) for p, q, r, s in zip(cuts_a, cuts_a[1:], cuts_b, cuts_b[1:])]
+        at_b = np.searchsorted(ends_b, ends_a)
+        both = ends_b[at_b] == ends_a
+        stop_a, stop_b = np.flatnonzero(both) + 1, at_b[both] + 1
+        start_a, start_b = np.append(0, stop_a[:-1]), np.append(0, stop_b[:-1])
+        len_a, len_b = stop_a - start_a, stop_b - start_b
+        numbers, bits = np.zeros(len(stop_a), np.int64), max(len(self.a_sizes), len(self.b_sizes)).bit_length()
+        # groups of one shape are rows of a matrix; a key is written once for each distinct row
+        shapes, shape = np.unique(np.stack([len_a, len_b], 1), axis=0, return_inverse=True)
+        shape = shape.ravel()
+        by_shape = np.argsort(shape, kind="stable")
+        for (p, q), at in zip(shapes.tolist(), np.split(by_shape, np.cumsum(np.bincount(shape))[:-1])):
+            cells = np.concatenate([a[start_a[at][:, None] + np.arange(p)], b[start_b[at][:, None] + np.arange(q)]], 1)
+            if bits * (p + q) < 63:
+                rows = (cells << (bits * np.arange(p + q))).sum(1)
+            else:
+                rows = np.ascontiguousarray(cells.astype(np.int32)).view(np.dtype((np.void, 4 * (p + q)))).ravel()
+            _, first, back = np.unique(rows, return_index=True, return_inverse=True)
+            own = [self.numbers.setdefault(key_of(r[:p], r[p:]), len(self.numbers)) for r in cells[first].tolist()]
+            numbers[at] = np.array(own, np.int64)[back.ravel()]
+        cuts = [np.searchsorted(x, ends) + 1 for x in (ends_a, ends_b, ends_a[both])]
+        return *(np.diff(c, prepend=0) for c in cuts), numbers
 
     def links(self, key: str) -> dict[tuple[int, int], int]:
         """The linked id pairs of a group, with how often it links them."""
@@ -141,31 +191,38 @@ def _numbered(items: list[str], places: dict[str, int]) -> list[int]:
     return [places.setdefault(x, len(places)) for x in items]
 
 
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of runs, one after another."""
+    stops = np.cumsum(sizes)
+    return np.arange(int(stops[-1]) if len(stops) else 0) + np.repeat(starts - (stops - sizes), sizes)
+
+
 def _encode_block(pair: Pair, texts: list[str | None]) -> tuple[list[tuple], bytes, list[str], np.ndarray]:
     """(documents' cells; which groups each segment holds; groups' keys; their frequencies) of a batch."""
     places: dict[str, int] = {}
     docs = [np.array(_numbered(pair.segments(t), places), np.int32) if t else np.zeros(0, np.int32) for t in texts]
-    got = pair.groups(list(places))
-    bad = np.array([g is None for g in got], bool)
-    keys: dict[str, int] = {}
-    held = [_numbered(g[2], keys) if g else [] for g in got]
-    counts = np.array([(g[0], g[1], len(g[2])) if g else (0, 0, 0) for g in got], np.int64).reshape(-1, 3)
-    joined = [";".join(g[2]) if g else "" for g in got]
-    cells, used = [], np.zeros(len(got), np.int64)
+    at = pair.learn(list(places))
+    bad, sizes = pair.n_a[at] < 0, pair.sizes[at]
+    used, flat = np.unique(pair.flat[_spread(pair.starts[at], sizes)], return_inverse=True)
+    flat = flat.ravel()
+    starts = np.cumsum(sizes) - sizes
+    known = list(pair.numbers)
+    keys = [known[i] for i in used.tolist()]
+    counts = np.stack([pair.n_a[at], pair.n_b[at], sizes], 1) if len(at) else np.zeros((0, 3), np.int64)
+    cells, times = [], np.zeros(len(keys), np.int64)
     for ids in docs:
         if not len(ids) or bad[ids].any():
             cells.append((0, 0, 0, "", b""))
             continue
-        used += np.bincount(ids, minlength=len(got))
         sha = hashlib.sha256()
-        for lo in range(0, len(ids), 100_000):
-            part = ";".join(map(joined.__getitem__, ids[lo : lo + 100_000].tolist()))
-            sha.update((";" if lo else "").encode() + part.encode())
+        for lo in range(0, len(ids), 200_000):
+            part = ids[lo : lo + 200_000]
+            groups = flat[_spread(starts[part], sizes[part])]
+            times += np.bincount(groups, minlength=len(keys))
+            sha.update((";" if lo else "").encode() + ";".join(map(keys.__getitem__, groups.tolist())).encode())
         cells.append((*counts[ids].sum(0).tolist(), sha.hexdigest(), ids.tobytes()))
-    sizes = np.array([len(h) for h in held], np.int32)
-    flat = np.array([x for h in held for x in h], np.int32)
-    times = np.bincount(flat, np.repeat(used, sizes), len(keys)).astype(np.int64) if len(flat) else np.zeros(0, np.int64)
-    return cells, np.concatenate([np.array([len(sizes)], np.int32), sizes, flat]).tobytes(), list(keys), times
+    held = np.concatenate([[len(sizes)], sizes, flat]).astype(np.int32)
+    return cells, held.tobytes(), keys, times
 
 
 def encoded(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFrame:
