@@ -1,6 +1,7 @@
 """SQL pass-through: the analytical dialect users write, turned into Spark SQL.
 
-Only text outside quotes and comments is rewritten.  UNION BY NAME, SUMMARIZE and the short PIVOT statement
+Only text outside quotes and comments is rewritten: names, calls with their arguments, and brackets; it is no parser
+of SQL, and what it leaves alone is Spark's to accept or refuse.  UNION BY NAME, SUMMARIZE and the short PIVOT statement
 resolve columns, so execute() runs them as DataFrames; joins that have no equivalent as text (ASOF JOIN,
 POSITIONAL JOIN) are library functions: operators.retrieval.asof_join and positional_join.
 """
@@ -16,7 +17,7 @@ from pyspark.sql.types import NumericType
 _QUOTED = re.compile(r"""('(?:[^']|'')*'|"(?:[^"]|"")*"|--[^\n]*|/\*.*?\*/)""", re.S)
 _UNITS = {"s": "SECOND", "m": "MINUTE", "h": "HOUR", "d": "DAY", "w": "WEEK"}
 #: Functions that only have another name here.
-NAMES = {"arg_max": "max_by", "arg_min": "min_by", "quantile_cont": "percentile", "list": "collect_list", "regexp_matches": "regexp_like", "epoch": "unix_timestamp", "unnest": "explode", "json_extract_string": "get_json_object", "json_extract": "get_json_object", "list_transform": "transform", "list_filter": "filter", "len": "length", "strlen": "octet_length", "string_split": "split", "list_contains": "array_contains", "list_distinct": "array_distinct", "list_sort": "array_sort", "struct_pack": "named_struct"}
+NAMES = {"arg_max": "max_by", "arg_min": "min_by", "quantile_cont": "percentile", "list": "collect_list", "regexp_matches": "regexp_like", "unnest": "explode", "list_transform": "transform", "list_filter": "filter", "strlen": "octet_length", "array_to_string": "array_join", "list_contains": "array_contains", "list_distinct": "array_distinct", "list_sort": "array_sort", "struct_pack": "named_struct"}
 #: Letters of time formats.
 STRFTIME = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%b": "MMM", "%B": "MMMM", "%a": "EEE", "%A": "EEEE", "%y": "yy", "%f": "SSSSSS", "%j": "DDD"}
 
@@ -45,7 +46,10 @@ def _plain(code: str) -> str:
     code = re.sub(r"\bUSING\s+SAMPLE\s+(\d+(?:\.\d+)?)\s*%", r"TABLESAMPLE (\1 PERCENT)", code, flags=re.I)
     code = re.sub(r"\bSIMILAR\s+TO\b", "RLIKE", code, flags=re.I)
     code = re.sub(r"(?<![/:])//(?!/)", " div ", code)
-    return code
+    code = re.sub(r"\)\s*FILTER\s*\(\s*(?!WHERE\b)", ") FILTER (WHERE ", code, flags=re.I)
+    code = re.sub(r"(::\s*|\bAS\s+)(?:VARCHAR|TEXT)\b(?!\s*\()", r"\1STRING", code, flags=re.I)
+    code = re.sub(r"(::\s*|\bAS\s+)HUGEINT\b", r"\1DECIMAL(38, 0)", code, flags=re.I)
+    return re.sub(r"\blambda\s+(\w+(?:\s*,\s*\w+)*)\s*:", lambda m: f"({m[1]}) ->" if "," in m[1] else f"{m[1]} ->", code, flags=re.I)
 
 
 def _string(text: str, before: str) -> str:
@@ -75,9 +79,223 @@ def _strftime(sql: str) -> str:
     return re.sub(r"\bstrftime\s*\(((?:[^()']|\([^()]*\))*),\s*'((?:[^'\\]|\\.)*)'\s*\)", call, sql, flags=re.I)
 
 
-def _time_bucket(sql: str) -> str:
-    """time_bucket(INTERVAL n UNIT, ts) to the start of a window."""
-    return re.sub(r"\btime_bucket\s*\(\s*INTERVAL\s+(\d+\s+\w+)\s*,\s*([^()]+?)\s*\)", r"window(\2, '\1').start", sql, flags=re.I)
+#: A piece of Spark SQL: a quoted string, a quoted name, or one other character.
+_PIECE = re.compile(r"""'(?:[^'\\]|\\.)*'|`(?:[^`]|``)*`|.""", re.S)
+_PAIRS = {"(": ")", "[": "]", "{": "}"}
+
+
+def _pieces(sql: str) -> list[tuple[int, str]]:
+    return [(m.start(), m[0]) for m in _PIECE.finditer(sql)]
+
+
+def _arguments(sql: str, begin: int) -> tuple[list[str], int] | None:
+    """The texts between the commas of a bracket that opens before begin, and where it closes; None if it doesn't."""
+    depth, last, out = 0, begin, []
+    for at, t in _pieces(sql[begin:]):
+        at += begin
+        if t in _PAIRS:
+            depth += 1
+        elif t in (")", "]", "}"):
+            if depth == 0:
+                return out + [sql[last:at].strip()], at
+            depth -= 1
+        elif t == "," and depth == 0:
+            out.append(sql[last:at].strip())
+            last = at + 1
+    return None
+
+
+def _called(sql: str, change: dict) -> str:
+    """sql with calls of the named functions rewritten from their arguments, inner ones first."""
+    names = re.compile(rf"\b({'|'.join(change)})\s*\(", re.I)
+    inside = [(at, at + len(t)) for at, t in _pieces(sql) if len(t) > 1]
+    for m in reversed([m for m in names.finditer(sql) if not any(a < m.start() < b for a, b in inside)]):
+        if got := _arguments(sql, m.end()):
+            new = change[m[1].lower()](*got[0])
+            if new is not None:
+                sql = sql[: m.start()] + new + sql[got[1] + 1 :]
+    return sql
+
+
+def _literal(text: str) -> str | None:
+    """The value of a Spark string literal."""
+    return re.sub(r"\\(.)", r"\1", text[1:-1], flags=re.S) if re.fullmatch(r"'(?:[^'\\]|\\.)*'", text, re.S) else None
+
+
+def _quoted(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _string_split(text: str, separator: str) -> str:
+    value = _literal(separator)
+    if value is None:
+        return f"split({text}, concat('\\\\Q', {separator}, '\\\\E'))"
+    return f"split({text}, {_quoted(re.sub(r'([^A-Za-z0-9 _])', lambda m: chr(92) + m[1], value))})"
+
+
+def _json_path(path: str) -> str:
+    value = _literal(path)
+    return path if value is None or value.startswith("$") else _quoted("$." + value)
+
+
+def _regexp_replace(text: str, pattern: str, new: str, options: str = "''") -> str:
+    """The first match alone, or all with option g; \\1 is a group.  What is replaced once has its start before it."""
+    flags = _literal(options)
+    if flags is None or set(flags) - set("gimsc"):
+        raise ValueError(f"options {options} of regexp_replace are not supported")
+    inline = "".join(f for f in flags if f in "ims")
+    head, shift = (f"(?{inline})" if inline else ""), (0 if "g" in flags else 1)
+    value, known = _literal(new), _literal(pattern)
+    if shift:
+        pattern = f"concat('\\\\A((?s:.*?))(?:{head}', {pattern}, ')')" if known is None else _quoted(f"\\A((?s:.*?))(?:{head}{known})")
+    elif head:
+        pattern = f"concat('{head}', {pattern})" if known is None else _quoted(head + known)
+    if value is None:
+        return f"regexp_replace({text}, {pattern}, {f'concat(chr(36), 1, {new})' if shift else new})"
+    value = re.sub(r"\\(\d)|([$\\])", lambda m: f"${int(m[1]) + shift}" if m[1] else chr(92) + m[2], value)
+    if shift:
+        # $1 ends before a digit of the text
+        value = "$1" + (chr(92) + value if value[:1].isdigit() else value)
+    return f"regexp_replace({text}, {pattern}, {_quoted(value)})"
+
+
+#: Seconds and months of units; where buckets of time begin: a Monday, or for months a year's first day.
+_SECONDS = {"microsecond": 1e-6, "millisecond": 1e-3, "second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}
+_MONTHS = {"month": 1, "quarter": 3, "year": 12}
+_MONDAY = "TIMESTAMP_NTZ'2000-01-03 00:00:00'"
+
+
+def _time_bucket(width: str, ts: str, *more: str) -> str:
+    m = re.fullmatch(r"INTERVAL\s+'?(\d+)'?\s+(\w+?)s?'?", width, re.I)
+    unit = m[2].lower() if m else None
+    if more or unit not in _SECONDS | _MONTHS:
+        raise ValueError(f"time_bucket({width}, ...) is not supported")
+    if unit in _MONTHS:
+        months = f"(12 * (year({ts}) - 2000) + month({ts}) - 1)"
+        return f"CAST(add_months(DATE'2000-01-01', {months} - pmod({months}, {int(m[1]) * _MONTHS[unit]})) AS TIMESTAMP_NTZ)"
+    micros = f"timestampdiff(MICROSECOND, {_MONDAY}, {ts})"
+    size = round(int(m[1]) * _SECONDS[unit] * 1_000_000)
+    return f"({_MONDAY} + make_dt_interval(0, 0, 0, CAST(({micros} - pmod({micros}, {size}L)) / 1000000 AS DECIMAL(18, 6))))"
+
+
+def _unit(text: str) -> str:
+    value = (_literal(text) or "").lower().rstrip("s")
+    if value not in _SECONDS | _MONTHS:
+        raise ValueError(f"unit {text} is not supported")
+    return value
+
+
+def _date_diff(unit: str, a: str, b: str) -> str:
+    """How many borders of the unit lie between a and b."""
+    u = _unit(unit)
+    return f"timestampdiff({u.upper()}, date_trunc('{u}', {a}), date_trunc('{u}', {b}))"
+
+
+def _strptime(text: str, fmt: str) -> str:
+    value = _literal(fmt)
+    if value is None:
+        raise ValueError("strptime needs a literal format")
+    return f"to_timestamp_ntz({text}, {_quoted(java_format(value))})"
+
+
+def _ordered(text: str) -> tuple[str, str] | None:
+    """An argument around its top-level ORDER BY."""
+    return _split_top(text, r"ORDER\s+BY")
+
+
+def _string_agg(text: str, separator: str = "','") -> str | None:
+    for part in (separator, text):
+        if cut := _ordered(part):
+            own, order = cut[0].strip(), cut[1].strip()
+            return f"listagg({own}, {separator}) WITHIN GROUP (ORDER BY {order})" if part is text else f"listagg({text}, {own}) WITHIN GROUP (ORDER BY {order})"
+    return f"listagg({text}, {separator})"
+
+
+def _list(text: str, *more: str) -> str | None:
+    if more or not (cut := _ordered(text)):
+        return None
+    m = re.fullmatch(r"(.*?)(\s+(?:ASC|DESC))?", cut[1].strip(), re.I | re.S)
+    up = "false" if (m[2] or "").strip().upper() == "DESC" else "true"
+    return f"transform(sort_array(collect_list(named_struct('o', {m[1]}, 'v', {cut[0].strip()})), {up}), e -> e.v)"
+
+
+def _len(value: str) -> str:
+    """Of a list that the text shows to be one its size, else a text's length."""
+    return f"{'size' if re.match(r'(split|array|transform|filter|sort_array|collect_list|array_[a-z]+|sequence|slice)[(]|[[]', value) else 'length'}({value})"
+
+
+def _indexed(function: str):
+    """transform or filter, whose lambda's index counts from one."""
+
+    def call(values: str, *change: str) -> str | None:
+        m = re.fullmatch(r"\(\s*(\w+)\s*,\s*(\w+)\s*\)\s*->(.*)", ", ".join(change), re.S)
+        if not m:
+            return None
+        parts = re.split(r"('(?:[^'\\]|\\.)*'|`[^`]*`)", m[3])
+        body = "".join(t if t[:1] in ("'", "`") else re.sub(rf"(?<![.\w]){m[2]}\b", f"({m[2]} + 1)", t) for t in parts)
+        return f"{function}({values}, ({m[1]}, {m[2]}) ->{body})"
+
+    return call
+
+
+#: Functions whose arguments are other ones here.
+_CALLS = {
+    "transform": _indexed("transform"),
+    "filter": _indexed("filter"),
+    "len": _len,
+    "string_split": _string_split,
+    "str_split": _string_split,
+    "json_extract_string": lambda x, path: f"get_json_object({x}, {_json_path(path)})",
+    "json_extract": lambda x, path: f"to_json(try_variant_get(try_parse_json({x}), {_json_path(path)}, 'variant'))",
+    "regexp_replace": _regexp_replace,
+    "time_bucket": _time_bucket,
+    "epoch": lambda ts: f"(unix_micros(CAST({ts} AS TIMESTAMP)) / 1000000)",
+    "date_diff": _date_diff,
+    "datediff": lambda *x: _date_diff(*x) if len(x) == 3 else None,
+    "date_sub": lambda *x: f"timestampdiff({_unit(x[0]).upper()}, {x[1]}, {x[2]})" if len(x) == 3 else None,
+    "strptime": _strptime,
+    "string_agg": _string_agg,
+    "group_concat": _string_agg,
+    "collect_list": _list,
+}
+
+
+def _base(sql: str, end: int) -> int:
+    """Where the expression begins that ends before end: a name, a call or a bracket."""
+    at = end
+    while at and sql[at - 1] in ")]":
+        depth = 0
+        for place, t in reversed(_pieces(sql[:at])):
+            depth += (t in (")", "]")) - (t in ("(", "["))
+            if depth == 0:
+                at = place
+                break
+        else:
+            return at
+        if at and (sql[at - 1].isalnum() or sql[at - 1] in "_`"):
+            break
+    while at and (sql[at - 1].isalnum() or sql[at - 1] in "_.`"):
+        at -= 1
+    return at
+
+
+def _lists(sql: str) -> str:
+    """[a, b] to array(a, b), and x[i], which counts from one, to try_element_at(x, i)."""
+    while opened := [at for at, t in _pieces(sql) if t == "["]:
+        at = opened[0]
+        if (got := _arguments(sql, at + 1)) is None:
+            raise ValueError("a bracket is not closed")
+        before = sql[:at].rstrip()
+        indexes = before and (before[-1].isalnum() or before[-1] in "_`)") and not re.search(r"\b(SELECT|IN|THEN|ELSE|WHEN|AND|OR|BY|ON|AS|FROM|WHERE|RETURN)$", before, re.I)
+        inner, rest = sql[at + 1 : got[1]], sql[got[1] + 1 :]
+        if not indexes:
+            sql = f"{sql[:at]}array({inner}){rest}"
+        else:
+            if len(got[0]) != 1 or ":" in re.sub(r"'(?:[^'\\]|\\.)*'|::", "", inner):
+                raise ValueError(f"[{inner}] is not supported: slices of lists are slice(x, start, length)")
+            begin = _base(sql, len(before))
+            sql = f"{sql[:begin]}try_element_at({sql[begin : len(before)]}, {inner}){rest}"
+    return sql
 
 
 def _tops(code: str, word: str) -> list[tuple[int, int]]:
@@ -187,7 +405,7 @@ def translate(sql: str) -> str:
         else:
             out.append(_plain(part))
         before = part if i % 2 == 0 else before
-    plain = _time_bucket(_strftime("".join(out)))
+    plain = _lists(_called(_strftime("".join(out)), _CALLS))
     return _inside(plain, lambda q: _qualify(_distinct_on(q)))
 
 

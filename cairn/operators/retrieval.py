@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import written
 from ..functions.times import format_time, interval, interval_column
 from .search import like
 
@@ -31,6 +34,39 @@ def causality_candidates(logs: DataFrame, event: str, window: str = "1h") -> Dat
     return out.select("template_id", "n_win", "n_all", F.round((F.col("n_win") / F.col("w")) / (F.col("n_all") / F.col("a")), 6).alias("lift")).orderBy(F.desc("lift"), "template_id")
 
 
+def causes(logs: DataFrame, event: str, window: str = "1h", alpha: float = 0.01) -> DataFrame:
+    """causality_candidates with confidence: score, p_bound and whether the template is more frequent than chance allows.
+
+    score is the log-likelihood ratio of the window's rate against the other rows' rate.  Twice its tail bounds the
+    chance of such a score, and times the number of templates that of any of them (p_bound, one at most).
+    """
+    found = causality_candidates(logs, event, window)
+    totals = found.agg(F.sum("n_win").alias("w"), F.count("*").alias("m"))
+    rows = _anchored(_anchored(found, totals), logs.agg(F.count("template_id").alias("a")))
+    inside, outside = F.col("n_win"), F.col("n_all") - F.col("n_win")
+    rest = F.col("a") - F.col("w")
+    term = lambda k, n: F.when(k > 0, k * F.log(k / (n * F.col("n_all") / F.col("a")))).otherwise(0.0)
+    gone = lambda n, k: F.when(n - k > 0, (n - k) * F.log((n - k) / (n * (F.col("a") - F.col("n_all")) / F.col("a")))).otherwise(0.0)
+    score = 2 * (term(inside, F.col("w")) + term(outside, rest) + gone(F.col("w"), inside) + gone(rest, outside))
+    scored = rows.withColumn("score", F.round(score, 6))
+    bound = F.least(F.lit(1.0), 2 * F.col("m") * F.exp(-F.col("score") / 2))
+    return scored.select("template_id", "n_win", "n_all", "lift", "score", F.round(bound, 9).alias("p_bound"), ((bound < alpha) & (F.col("lift") > 1)).alias("confident"))
+
+
+def evidence(logs: DataFrame, event: str, window: str = "1h", rows: int = 3, alpha: float | None = 0.01) -> DataFrame:
+    """The latest rows of each cause in the window: template_id, rank, id, ts, message; ties by id.
+
+    Causes are the confident ones, or with alpha None all templates that are more frequent there than elsewhere.
+
+    Tasks keep so many rows of a template each before the shuffle, so a frequent template is no hot key.
+    """
+    sure = causes(logs, event, window, alpha or 0.0).where("lift > 1" if alpha is None else "confident").select("template_id")
+    near = causality_window(logs, event, window).where(~like("message", event))
+    w = Window.partitionBy("template_id").orderBy(F.desc("ts"), F.desc("id"))
+    top = near.select("template_id", "id", "ts", "message", F.row_number().over(w).alias("rank")).where(F.col("rank") <= rows)
+    return top.join(sure, "template_id").select("template_id", "rank", "id", "ts", "message")
+
+
 def user_impact(logs: DataFrame, event: str, user: str = "user_id") -> DataFrame:
     hits = logs.where(like("message", event))
     out = hits.agg(F.count_distinct(user).alias("affected_users"), F.min("ts").alias("a"), F.max("ts").alias("b"))
@@ -48,18 +84,50 @@ def service_logs(logs: DataFrame, service: str, window: str = "1h", now=None) ->
     return _anchored(hits, anchor).where(F.col("ts") >= F.col("anchor") - interval_column(window)).drop("anchor")
 
 
-def service_edges(logs: DataFrame, within: str = "10m") -> DataFrame:
-    """How often a row of one service is followed, for the same user and in time, by one of another.
+#: Rows that a task of service_edges takes about at once.
+EDGE_ROWS = 50_000
+
+
+def service_edges(logs: DataFrame, within: str = "10m", rows: int = EDGE_ROWS) -> DataFrame:
+    """How often a row of one service is followed, for the same user and in time, by one of another: no pairs.
 
-    A range join by time buckets as wide as the range: a row meets its own and the next bucket of its
-    user, so the join is an equi-join, and what one bucket holds is bounded by the rate, not the table.
+    Rows of one user, time and service are one with a weight before they are shuffled.  Time is cut into buckets
+    as wide as the range; a bucket gets the rows of the one before as guests.  Running weights of each service
+    tell by two binary searches how much of it lies in the range before each row, so work grows with rows and
+    services, not with pairs.  Buckets are dealt out in groups of about so many rows; a user's bucket is in one.
+    Null users, times and services have no edges.  The range is a year at most.
     """
-    seconds = int(interval(within).total_seconds())
-    bucket = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (seconds * 1_000_000))
-    a = logs.select("user_id", F.col("ts").alias("a_ts"), F.col("service").alias("source"), F.explode(F.array(bucket, bucket + 1)).alias("bucket"))
-    b = logs.select("user_id", F.col("ts").alias("b_ts"), F.col("service").alias("target"), bucket.alias("bucket"))
-    hit = (F.col("b_ts") > F.col("a_ts")) & (F.col("b_ts") <= F.col("a_ts") + interval_column(within)) & (F.col("source") != F.col("target"))
-    return a.join(b, ["user_id", "bucket"]).where(hit).groupBy("source", "target").agg(F.count("*").alias("n"))
+    width = int(interval(within).total_seconds()) * 1_000_000
+    if not 0 < width <= 366 * 86_400_000_000:
+        raise ValueError(f"a range of {within!r} is not between a second and a year")
+    seen = logs.where("user_id is not null and ts is not null and service is not null")
+    seen = seen.groupBy("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "service").agg(F.count("*").alias("n"))
+    seen = written(seen, "seen")
+    bucket = F.expr(f"(at - pmod(at, {width}L)) div {width}L")
+    dealt = seen.select("user_id", "at", "service", "n", F.explode(F.array(bucket, bucket + 1)).alias("bucket"))
+    parts = max(1, -(-2 * seen.count() // rows))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("user_id", "bucket"), F.lit(parts)))
+
+    def sweep(pdf: pd.DataFrame) -> pd.DataFrame:
+        cell = pdf.groupby(["user_id", "bucket"], sort=False).ngroup().to_numpy()
+        # times of one cell lie in two widths; cells are set four widths apart, so ranges never reach over
+        at = cell * (4 * width) + (pdf["at"] - (pdf["bucket"] - 1) * width).to_numpy()
+        weight, own = pdf["n"].to_numpy(), (pdf["at"] >= pdf["bucket"] * width).to_numpy()
+        code, names = pd.factorize(pdf["service"])
+        out = []
+        for source, name in enumerate(names):
+            here = code == source
+            order = np.argsort(at[here], kind="stable")
+            times, running = at[here][order], np.concatenate([[0], np.cumsum(weight[here][order])])
+            targets = own & ~here
+            before = running[np.searchsorted(times, at[targets], "left")] - running[np.searchsorted(times, at[targets] - width, "left")]
+            sums = np.zeros(len(names), np.int64)
+            np.add.at(sums, code[targets], before * weight[targets])
+            out += [(name, names[t], int(sums[t])) for t in np.flatnonzero(sums)]
+        return pd.DataFrame(out, columns=["source", "target", "n"])
+
+    found = dealt.groupBy("part").applyInPandas(sweep, "source string, target string, n bigint")
+    return found.groupBy("source", "target").agg(F.sum("n").alias("n"))
 
 
 def service_bottlenecks(logs: DataFrame, within: str = "10m") -> DataFrame:

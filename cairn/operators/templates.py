@@ -4,85 +4,24 @@ Clusters of a leaf depend on that leaf's lines only, and a line's leaf on its to
 keys, but for the cap on children: of the keys below one node only the first to arrive, up to the cap,
 are kept, later ones become <*>.  Arrival order is the least line id of a key, so the caps are ranks of
 distinct key paths, cut to the cap before they are shuffled; each line joins its leaf by its keys.  The
-lines of a leaf then stream through one task in id order, which holds the leaf's clusters, not its lines.
+lines of a leaf are then folded in chunks by many tasks (module folding), with the result of one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clean import HEADERS, strip_header
 from ..functions.kernels import is_number
 from ..functions.tables import written
+from . import folding
+from .folding import CHUNK, WILD
 
-WILD, EMPTY = "<*>", "<EMPTY>"
+EMPTY = "<EMPTY>"
 DEPTH, THRESHOLD, MAX_CHILDREN = 4, 0.5, 100
 
 
-def number_like(token: str) -> bool:
-    """The rule of functions.kernels.is_number in plain Python."""
-    if len(token) <= 1:
-        return token.isascii() and token.isdigit()
-    head, rest = token[0], token[1:]
-    dots = token.count(".")
-    return (head in "+-." or (head.isascii() and head.isdigit())) and dots <= 1 and all(c == "." or (c.isascii() and c.isdigit()) for c in rest)
-
-
-class Cluster:
-    __slots__ = ("number", "tokens", "params", "count", "first", "text", "places")
-
-    def __init__(self, number: int, tokens: list[str], first: int):
-        self.number, self.tokens, self.first, self.count = number, list(tokens), first, 0
-        self.params = {i for i, t in enumerate(tokens) if number_like(t)}
-        self.note()
-
-    def note(self) -> None:
-        """Keeps the template's text and the parameters' places as a list in text."""
-        self.text, self.places = " ".join(self.tokens), ",".join(map(str, sorted(self.params)))
-
-
-class Leaf:
-    """Clusters of one leaf, in order of their creation."""
-
-    def __init__(self, threshold: float):
-        self.threshold, self.clusters = threshold, []
-
-    def match(self, tokens: list[str]) -> Cluster | None:
-        best, most = None, -1.0
-        for c in self.clusters:
-            same = sum(a == b or a == WILD for a, b in zip(c.tokens, tokens)) / max(len(c.tokens), len(tokens), 1)
-            if same > most:
-                best, most = c, same
-        return best if best is not None and most >= self.threshold else None
-
-    def add(self, tokens: list[str], line: int) -> Cluster:
-        c = self.match(tokens)
-        if c is None:
-            c = Cluster(len(self.clusters), tokens, line)
-            self.clusters.append(c)
-        else:
-            new = [i for i, (a, b) in enumerate(zip(c.tokens, tokens)) if a != b and a != WILD]
-            if new:
-                for i in new:
-                    c.tokens[i] = WILD
-                c.params.update(new)
-                c.note()
-        c.count += 1
-        return c
-
-
-_OUT = pa.schema([("id", pa.int64()), ("leaf", pa.string()), ("number", pa.int32()), ("template", pa.string()), ("line", pa.string()), ("places", pa.string()), ("last", pa.bool_()), ("n", pa.int64())])
-_OUT_SQL = "id bigint, leaf string, number int, template string, line string, places string, last boolean, n bigint"
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _OUT)], schema=_OUT)
-
-
 def tokenize(content):
     return F.when(content == "", F.array().cast("array<string>")).otherwise(F.split(content, " ", -1))
 
@@ -110,7 +49,7 @@ def leaves(lines: DataFrame, depth: int, max_children: int) -> DataFrame:
     return rows.join(p, on, "left").select("id", "tokens", "leaf")
 
 
-def mine(lines: DataFrame, column: str = "message", depth: int = DEPTH, threshold: float = THRESHOLD, max_children: int = MAX_CHILDREN, headers=HEADERS) -> tuple[DataFrame, DataFrame]:
+def mine(lines: DataFrame, column: str = "message", depth: int = DEPTH, threshold: float = THRESHOLD, max_children: int = MAX_CHILDREN, headers=HEADERS, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
     """(rows, clusters) of lines with id (dense or not, but ordered) and a text column.
 
     rows: id, cluster_id, template_at_parse, template_final, params.  clusters: cluster_id, template,
@@ -120,35 +59,15 @@ def mine(lines: DataFrame, column: str = "message", depth: int = DEPTH, threshol
     content = strip_header(F.coalesce(F.col(column), F.lit("")), headers) if headers else F.coalesce(F.col(column), F.lit(""))
     dealt = leaves(lines.select("id", tokenize(content).alias("tokens")), depth, max_children)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leaf, now = None, None
-
-        def ends() -> list[tuple]:
-            return [] if leaf is None else [(c.first, now, c.number, c.text, None, None, True, c.count) for c in leaf.clusters]
-
-        for batch in batches:
-            out = []
-            for name, line, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if name != now:
-                    out += ends()
-                    leaf, now = Leaf(threshold), name
-                c = leaf.add(text.split(" "), line)
-                out.append((line, name, c.number, c.text, text, c.places, False, 1))
-            if out:
-                yield _batch(out)
-        if leaf is not None:
-            yield _batch(ends())
-
     full = dealt.where("leaf is not null")
-    lines_of = full.select("leaf", "id", F.array_join("tokens", " ").alias("line"))
-    got = lines_of.repartition("leaf").sortWithinPartitions("leaf", "id").mapInArrow(run, _OUT_SQL)
-    got = written(got, "mined")
+    got, final = folding.fold_leaves(full.select("leaf", "id", F.array_join("tokens", " ").alias("line")), threshold, chunk)
+    counts = got.groupBy("leaf", "number").agg(F.count("*").alias("n"))
+    final = final.join(counts, ["leaf", "number"])
     none = lines.select("id", content.alias("c")).where("c = ''").select("id")
-    final = got.where("last").select("leaf", "number", "template", F.col("id").alias("first_id"), "n")
     alone = none.select(F.lit(None).cast("string").alias("leaf"), F.lit(0).alias("number"), F.lit(EMPTY).alias("template"), F.col("id").alias("first_id"), F.lit(1).cast("bigint").alias("n"))
     numbered = _numbered(final.unionByName(alone))
     clusters = numbered.select("cluster_id", "template", F.col("n").alias("count"), "first_id", "leaf")
-    rows = got.where("not last").join(numbered.select("leaf", "number", "cluster_id", F.col("template").alias("template_final")), ["leaf", "number"])
+    rows = got.join(numbered.select("leaf", "number", "cluster_id", F.col("template").alias("template_final")), ["leaf", "number"])
     rows = rows.select("id", "cluster_id", F.col("template").alias("template_at_parse"), "template_final", _params().alias("params"))
     empty = numbered.where("leaf is null").select(F.col("first_id").alias("id"), "cluster_id", F.lit(EMPTY).alias("template_at_parse"), F.lit(EMPTY).alias("template_final"), F.create_map().cast("map<string,string>").alias("params"))
     return rows.unionByName(empty), clusters

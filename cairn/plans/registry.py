@@ -14,11 +14,11 @@ from ..operators import retrieval, search, stats, templates, vectors
 from ..engine import Engine
 from ..sources.events import SQL as LOGS
 from ..sources.events import log_entries, log_templates, table
-from . import ingest
+from . import analysis, ingest
 from .planner import plan
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(ingest.QUERIES)
-SQL: dict[str, str] = dict(ingest.SQL)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = ingest.QUERIES | analysis.QUERIES
+SQL: dict[str, str] = ingest.SQL | analysis.SQL
 _AT = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 
 
@@ -261,7 +261,68 @@ _pass("strftime_letters", "SELECT strftime(o_orderdate, '%Y-W%m day %d') AS labe
 _pass("nested_qualify", "SELECT o_custkey, count(*) AS n FROM (SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2) t GROUP BY o_custkey")
 _pass("cte_distinct_on", "WITH last AS (SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey, o_totalprice FROM orders ORDER BY o_custkey, o_orderkey DESC) SELECT o_custkey, o_orderkey FROM last QUALIFY row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) <= 10")
 _pass("struct_literal", "SELECT r_name, {'key': r_regionkey, name: r_name}.key AS k FROM region WHERE r_name <> '{a: 1}'")
-_pass("dynamic_pivot", "PIVOT (SELECT o_orderstatus, o_orderpriority, o_orderkey FROM orders) ON o_orderstatus USING count(o_orderkey) GROUP BY o_orderpriority")
+_pass("dynamic_pivot", "PIVOT (SELECT o_orderstatus, o_orderpriority, o_orderkey FROM orders) ON o_orderstatus USING count(o_orderkey) GROUP BY o_orderpriority", "SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS \"F\", count(*) FILTER (o_orderstatus = 'O') AS \"O\", count(*) FILTER (o_orderstatus = 'P') AS \"P\" FROM orders GROUP BY 1")
+
+# --- functions and brackets whose meaning differs between the engines: the same text runs on both -----------
+_pass(
+    "string_split",
+    """
+SELECT c_custkey, string_split(c_name, '#')[2] AS number, len(string_split(c_mktsegment, '')) AS letters,
+       array_to_string(string_split(c_acctbal::VARCHAR, '.'), '|') AS parts
+FROM customer
+""",
+)
+_pass(
+    "json_extract",
+    """
+SELECT event_id, json_extract(concat('{"t": "', event_type, '"}'), '$.t')::VARCHAR AS t,
+       json_extract(props, 'k')::VARCHAR AS k, json_extract(props, '$.none')::VARCHAR AS none
+FROM events
+""",
+)
+_pass(
+    "time_bucket",
+    """
+SELECT strftime(time_bucket(INTERVAL 7 DAY, ts), '%Y-%m-%d') AS week, strftime(time_bucket(INTERVAL 2 MONTH, ts), '%Y-%m-%d') AS months,
+       strftime(time_bucket(INTERVAL 25 MINUTE, ts), '%H:%M') AS part, count(*) AS n
+FROM events GROUP BY 1, 2, 3
+""",
+)
+_pass("epoch", "SELECT event_id, epoch(ts) AS seconds, epoch(ts + INTERVAL 500 MILLISECOND) AS half FROM events")
+_pass(
+    "regexp_replace",
+    r"""
+SELECT c_custkey, regexp_replace(c_name, '0', '-') AS first, regexp_replace(c_name, '(\d)(\d)', '\2\1', 'g') AS swapped,
+       regexp_replace(c_name, '(C)u', '$\1', 'i') AS sign, regexp_replace(c_name, '0+', '7') AS digit
+FROM customer
+""",
+)
+_pass(
+    "lists",
+    """
+SELECT n_name, list_transform(string_split(n_name, 'A'), lambda x, i: x || i)[1] AS head, [n_regionkey, n_nationkey][-1] AS last,
+       len(list_filter([1, 2, n_regionkey], lambda x: x > 1)) AS n, list_contains([0, 1], n_regionkey) AS low
+FROM nation
+""",
+)
+_pass("unnest", "SELECT r_name, x, y.k AS k FROM (SELECT r_name, unnest([r_regionkey, 7]) AS x FROM region) q, (SELECT n_nationkey AS k FROM nation WHERE n_nationkey IN (1, 2)) y")
+_pass(
+    "ordered_agg",
+    """
+SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name DESC) AS names, array_to_string(list(n_nationkey::VARCHAR ORDER BY n_name), ' ') AS keys,
+       count(*) FILTER (n_nationkey > 10) AS high
+FROM nation GROUP BY n_regionkey
+""",
+)
+_pass(
+    "date_functions",
+    """
+SELECT event_id, date_diff('day', ts, TIMESTAMP '2024-02-01 12:00:00') AS days, date_sub('day', ts, TIMESTAMP '2024-02-01 12:00:00') AS whole,
+       date_diff('month', ts, TIMESTAMP '2024-12-31') AS months, strptime('03/Feb/2024', '%d/%b/%Y') > ts AS before
+FROM events
+""",
+)
+_pass("similar_to", "SELECT count(*) FILTER (c_name SIMILAR TO 'Customer#0*1[0-9]') AS a, count(*) FILTER (regexp_matches(c_name, '1[0-9]$')) AS b FROM customer")
 
 
 def _summary(s: SparkSession, d: str) -> DataFrame:

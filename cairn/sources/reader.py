@@ -98,8 +98,9 @@ class LogReader:
             out = out.unionByName(f)
         out = out.where((F.col("value") != "") & (F.octet_length("value") < self.options["max_line_length"]))
         if self.options["has_header"]:
-            first = out.groupBy("file").agg(F.min("pos").alias("head"))
-            out = out.join(F.broadcast(first) if len(paths) <= 1000 else first, "file").where("pos > head").drop("head")
+            # a row a file; a folder is one path, so files are counted
+            first = written(out.groupBy("file").agg(F.min("pos").alias("head")), "heads")
+            out = out.join(F.broadcast(first) if first.count() <= 100_000 else first, "file").where("pos > head").drop("head")
         return logical_lines(out) if self.options["logical_lines"] else out
 
     def _values(self, path: str | list[str]) -> DataFrame:
@@ -156,21 +157,45 @@ def with_ordinal(df: DataFrame, order: list[str]) -> DataFrame:
     return ranged.join(F.broadcast(base.select("__part", "__base")), "__part").select((F.col("__base") + F.col("__row")).alias("id"), *df.columns)
 
 
-def logical_lines(lines: DataFrame) -> DataFrame:
+#: Rows of a segment, as a power of two: what logical_lines orders at once.
+SEGMENT_BITS = 17
+
+
+def logical_lines(lines: DataFrame, bits: int = SEGMENT_BITS) -> DataFrame:
     """Joins continuation lines of (value, file, pos): a line that starts with white space joins the one
-    before with a space, a line after a trailing backslash joins directly."""
-    w = Window.partitionBy("file").orderBy("pos")
+    before with a space, a line after a trailing backslash joins directly.
+
+    A file is cut into segments: the rows of one split, at most so many.  Segments are ordered alone.  A row a segment
+    tells whether its last line is open and how many events start in it; over these rows, and not over the
+    file's lines, each segment learns whether its first line is joined, and to which segment's last event
+    the lines before its first start belong.  An event may reach over any number of segments; it must fit into a row.
+    """
     value = F.col("value")
-    indented = value.rlike(r"^[ \t]")
-    open_before = F.coalesce(F.lag(value.endswith("\\")).over(w), F.lit(False))
-    starts = ~(indented | open_before) | (F.row_number().over(w) == 1)
-    marked = lines.withColumn("__start", starts.cast("int")).withColumn("__joined", open_before)
-    marked = marked.withColumn("__event", F.sum("__start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    body = F.when(value.endswith("\\"), F.rtrim(F.substr(value, F.lit(1), F.length(value) - 1))).otherwise(value)
-    glue = F.when(F.col("__start") == 1, F.lit("")).when(F.col("__joined"), F.lit("")).otherwise(F.lit(" "))
-    piece = F.concat(glue, F.when(F.col("__start") == 1, body).otherwise(F.regexp_replace(body, r"^[ \t]+", "")))
-    parts = marked.select("file", "__event", "pos", piece.alias("p")).groupBy("file", "__event").agg(F.array_sort(F.collect_list(F.struct("pos", "p"))).alias("parts"))
-    return parts.select(F.array_join(F.transform("parts", lambda x: x["p"]), "").alias("value"), "file", F.col("parts")[0]["pos"].alias("pos"))
+    key = ["file", "__block", "__part"]
+    rows = lines.select("value", "file", "pos", F.col("pos.block").alias("__block"), F.shiftright("pos.row", bits).alias("__part"))
+    rows = rows.withColumns({"__open": value.endswith("\\"), "__indented": value.rlike(r"^[ \t]")})
+    w = Window.partitionBy(*key).orderBy("pos")
+    rows = rows.withColumn("__lag", F.lag("__open").over(w))  # null in a segment's first row alone
+    inner = F.col("__lag").isNotNull() & ~(F.col("__indented") | F.col("__lag"))
+    parts = rows.groupBy(*key).agg(F.max_by("__open", "pos").alias("open"), F.min_by("__indented", "pos").alias("indented"), F.count_if(inner).alias("starts"))
+    of_file = Window.partitionBy("file").orderBy("__block", "__part")
+    parts = parts.withColumn("__before", F.lag("open").over(of_file))
+    parts = parts.withColumn("__first", F.col("__before").isNull() | ~(F.col("indented") | F.col("__before")))
+    last = F.struct("__block", "__part", (F.col("starts") + F.col("__first").cast("int")).alias("n"))
+    owner = F.last(F.when(last["n"] > 0, last), ignorenulls=True).over(of_file.rowsBetween(Window.unboundedPreceding, -1))
+    facts = parts.select(*[F.col(k).alias(f"{k}_") for k in key], "__before", "__first", owner.alias("__owner"))
+    same = (F.col("file") == F.col("file_")) & (F.col("__block") == F.col("__block_")) & (F.col("__part") == F.col("__part_"))
+    marked = rows.join(facts, same)
+    joined = F.coalesce("__lag", "__before", F.lit(False))
+    marked = marked.withColumn("__start", F.when(F.col("__lag").isNull(), F.col("__first")).otherwise(inner)).withColumn("__joined", joined)
+    marked = marked.withColumn("__k", F.sum(F.col("__start").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    own = F.struct("__block", "__part", F.col("__k").alias("n"))
+    body = F.when(F.col("__open"), F.rtrim(F.substr(value, F.lit(1), F.length(value) - 1))).otherwise(value)
+    glue = F.when(F.col("__start") | F.col("__joined"), F.lit("")).otherwise(F.lit(" "))
+    piece = F.concat(glue, F.when(F.col("__start"), body).otherwise(F.regexp_replace(body, r"^[ \t]+", "")))
+    events = marked.select("file", F.when(F.col("__k") > 0, own).otherwise(F.col("__owner")).alias("event"), "pos", piece.alias("p"))
+    events = events.groupBy("file", "event").agg(F.array_sort(F.collect_list(F.struct("pos", "p"))).alias("parts"))
+    return events.select(F.array_join(F.transform("parts", lambda x: x["p"]), "").alias("value"), "file", F.col("parts")[0]["pos"].alias("pos"))
 
 
 class MultiFileReader:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions.times import interval
-from ..operators.templates import Cluster, Leaf
+from ..operators.folding import Cluster, Leaf
 from ..sources import parsers
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from cairn.functions import clean, dialect, kernels, times
-from cairn.operators.templates import number_like
+from cairn.operators.folding import number_like
 
 slow = settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.operators import templates
+from cairn.operators import folding, templates
 
 
 def sequential(lines, depth, threshold, cap):
@@ -13,7 +13,7 @@ def sequential(lines, depth, threshold, cap):
     root, out, clusters = {}, {}, []
 
     def key(t):
-        return "<*>" if templates.number_like(t) else t
+        return "<*>" if folding.number_like(t) else t
 
     for i, text in lines:
         if text == "":
@@ -57,6 +57,44 @@ def test_matches_sequential(spark, seed, depth, threshold, cap):
     assert clusters.agg(F.sum("count")).first()[0] == len(lines)
 
 
+@pytest.mark.parametrize("seed,chunk,threshold", [(1, 7, 0.5), (2, 40, 0.5), (3, 3, 0.7), (4, 1000, 0.4), (5, 1, 0.5)])
+def test_one_leaf_in_many_chunks(spark, seed, chunk, threshold):
+    """All lines in one leaf; templates keep changing, so guesses fail and chunks run again."""
+    rng = random.Random(seed)
+    lines = [(i * 3, " ".join(rng.choice(["a", "b", "c", "7", "x9", "", "<*>", f"v{i // 60}"]) for _ in range(5))) for i in range(240)]
+    df = spark.createDataFrame(lines, "id bigint, message string").repartition(3)
+    rows, clusters = templates.mine(df, depth=0, threshold=threshold, headers=(), chunk=chunk)
+    got = rows.collect()
+    assert {r["id"]: (r["cluster_id"], r["template_final"]) for r in got} == sequential(lines, 0, threshold, 100)
+    leaf, at_parse = folding.Leaf(threshold), {}
+    for i, text in lines:
+        c = leaf.add(text.split(" "), i)
+        at_parse[i] = (c.text, {f"param_{p}": text.split(" ")[p] for p in c.params})
+    assert {r["id"]: (r["template_at_parse"], r["params"]) for r in got} == at_parse
+    assert sum(r["count"] for r in clusters.collect()) == len(lines)
+
+
+def test_a_hot_leaf_is_many_tasks(spark):
+    """Ranges of one leaf go to several tasks, and no chunk has more lines than its size."""
+    df = spark.range(20_000).select("id", F.lit("3").alias("leaf"), F.concat(F.lit("x y "), F.col("id").cast("string")).alias("line"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = folding.chunked(df, 0.5, 500).select(F.spark_partition_id().alias("p"), F.size("lines").alias("n"))
+    by = {r["p"]: r["n"] for r in got.groupBy("p").agg(F.sum("n").alias("n")).collect()}
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(by) > 1 and sum(by.values()) == 20_000 and max(by.values()) < 15_000
+    assert got.agg(F.max("n")).first()[0] <= 500
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_fold_is_add(seed):
+    rng = random.Random(seed)
+    lines = [" ".join(rng.choice(["a", "b", "<*>", "5", "q"]) for _ in range(4)) for _ in range(120)]
+    one, many = folding.Leaf(0.5), folding.Leaf(0.5)
+    want = [(c.number, c.text, c.places) for c in (one.add(x.split(" "), i) for i, x in enumerate(lines))]
+    got = [many.fold(lines[lo : lo + 50], list(range(lo, len(lines)))) for lo in range(0, 120, 50)]
+    assert [x for g in got for x in zip(*g[:3])] == want
+
+
 def test_find_cluster(spark):
     mined = spark.createDataFrame([(0, "user 5 in"), (1, "disk full"), (2, ""), (3, "user 6 in")], "id bigint, message string")
     _, clusters = templates.mine(mined, headers=())
@@ -82,7 +120,7 @@ def test_find_cluster_walks_the_tree(spark, seed, depth, threshold, cap):
         tokens = text.split(" ") if text else []
         path = (str(len(tokens)),)
         for t in tokens[:depth]:
-            path = next((p for p in (path + ("<*>" if templates.number_like(t) else t,), path + ("<*>",)) if p in nodes), ("none",))
+            path = next((p for p in (path + ("<*>" if folding.number_like(t) else t,), path + ("<*>",)) if p in nodes), ("none",))
         scored = [(sum(a == b or a == "<*>" for a, b in zip(c, tokens)) / len(tokens), -n) for n, c in leaves.get(path, [])]
         best = max((x for x in scored if x[0] >= threshold), default=(0, 1))
         return -best[1]
