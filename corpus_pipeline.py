@@ -38,9 +38,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all rows in sequences of 2048 tokens; a null text is its end id alone."""
+    """The pieces of all rows in sequences of 2048 tokens, with their ids (little-endian uint32); a null text is its end id alone."""
     # a smaller memo than op3's: workers and JVMs have the stages before behind them
-    return packing.pack_documents(docs, memo=500_000).drop("ids")
+    return packing.pack_documents(docs, memo=500_000, with_ids=True)
 
 
 STAGES = [
