@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.times import format_time
-from ..operators import frames, retrieval, stats, templates
+from ..operators import ann, frames, retrieval, stats, templates
 from ..sources.events import SQL as LOGS
 from ..sources.events import log_entries, table
 
@@ -199,3 +199,13 @@ def _histogram(items: DataFrame) -> DataFrame:
     by = ["l_returnflag"]
     found = stats.value_histogram(items, "l_linenumber", by).join(stats.value_histogram(items, "l_quantity", by).withColumnRenamed("histogram", "q"), by)
     return found.select("l_returnflag", found["histogram"][3].alias("threes"), F.size("q").cast("long").alias("quantities"))
+
+
+# --- approximate search: no SQL, as which of the nearest are missed is the index's own; tests measure recall ----
+def _vector_ann(s: SparkSession, d: str) -> DataFrame:
+    store = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    found = ann.AnnIndex.build(store).search(store.where("id % 100 = 0"), store, 10)
+    return found.select("query_id", "id", "rank", F.round("score", 4).alias("score"))
+
+
+QUERIES["vector_ann"] = _vector_ann

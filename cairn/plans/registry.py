@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clean, dialect, kernels, times
@@ -14,6 +14,8 @@ from ..operators import retrieval, search, stats, templates, vectors
 from ..engine import Engine
 from ..sources.events import SQL as LOGS
 from ..sources.events import log_entries, log_templates, table
+from ..functions.tables import new_path
+from ..streaming import streams
 from . import analysis, ingest
 from .planner import plan
 
@@ -344,20 +346,40 @@ def _asof(s: SparkSession, d: str) -> DataFrame:
 _add("sql_asof_join", _asof, f"{LOGS} SELECT e.id, c.id AS click_id FROM (SELECT * FROM log_entries WHERE level = 'ERROR') e ASOF JOIN (SELECT * FROM log_entries WHERE service = 'click') c ON e.user_id = c.user_id AND e.ts >= c.ts")
 _add("sql_sample", lambda s, d: table(s, d, "orders").sample(0.1, 7).agg((F.count("*") > 0).alias("some"), F.count_if(~F.col("o_orderkey").isNotNull()).alias("odd")).crossJoin(table(s, d, "orders").agg(F.count("*").alias("all"))), "SELECT count(*) > 0 AS some, 0::BIGINT AS odd, count(*) AS \"all\" FROM orders")
 
-# --- sessions and sliding windows, as a stream would give them --------------------------------------
+# --- streams over the events, written in several files and read a few at a time ----------------------------
+
+
+def _stream(x: DataFrame, *columns: str) -> DataFrame:
+    """log_entries as a stream.  Its files are in no order of time, so nothing is too late for a complete result."""
+    path = new_path(x.sparkSession, "stream")
+    rows = x.select(*columns)
+    rows.repartition(6).write.parquet(path)
+    return streams.read_table(x.sparkSession, path, rows.schema, 2)
 
 
 def _sliding(x: DataFrame) -> DataFrame:
-    return x.groupBy(F.window("ts", "2 hours", "1 hour").alias("w")).agg(F.count("*").alias("n")).select(times.format_time(F.col("w.start")).alias("start"), "n")
+    counts = streams.window_counts(streams.event_time(_stream(x, "ts"), late=None), every="2h", slide="1h")
+    return streams.collected(counts, "sliding", "complete").select(times.format_time(F.col("window_start")).alias("start"), "n")
 
 
 def _sessions(x: DataFrame) -> DataFrame:
-    gap = F.col("ts") - F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts")) >= F.expr("INTERVAL 30 MINUTES")
-    s = x.withColumn("new", F.coalesce(gap, F.lit(True)).cast("int"))
-    s = s.withColumn("k", F.sum("new").over(Window.partitionBy("user_id").orderBy("ts", "id")))
-    return s.groupBy("user_id", "k").agg(F.count("*").alias("n")).groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n").alias("longest"))
+    found = streams.sessions(streams.event_time(_stream(x, "ts", "user_id"), late=None), gap="30m")
+    return streams.collected(found, "sessions", "complete").groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n").alias("longest"))
+
+
+def _live(x: DataFrame) -> DataFrame:
+    """Lines of each template, as it stands at the end of the stream."""
+    streams.use_rocksdb(x.sparkSession)
+    tokens = F.split("message", " ", -1)
+    keys = F.transform(F.slice(tokens, 1, 4), lambda t: F.when(kernels.is_number(t), F.lit("<*>")).otherwise(t))
+    lines = x.select("id", F.array_join(F.concat(F.array(F.size(tokens).cast("string")), keys), " ").alias("leaf"), tokens.alias("tokens"))
+    path = new_path(x.sparkSession, "live")
+    lines.repartitionByRange(4, "id").write.parquet(path)
+    out = streams.collected(streams.live_templates(streams.read_table(x.sparkSession, path, lines.schema, 1)), "live")
+    return out.groupBy("leaf", "number").agg(F.max_by("template", "id").alias("template"), F.count("*").alias("n")).select("template", "n")
 
 
+_on_logs("live_templates", _live, f"SELECT {_MASK} AS template, count(*) AS n FROM log_entries GROUP BY 1")
 _on_logs("window_sliding", _sliding, f"SELECT {_AT.format('w')} AS start, count(*) AS n FROM (SELECT unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS w FROM log_entries) GROUP BY 1")
 _on_logs("sessions", _sessions, ", s AS (SELECT user_id, id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM log_entries), k AS (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts, id) AS k FROM s), g AS (SELECT user_id, k, count(*) AS n FROM k GROUP BY 1, 2) SELECT user_id, count(*) AS sessions, max(n) AS longest FROM g GROUP BY 1")
 

@@ -7,8 +7,10 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
+from ..functions.tables import new_path
 from ..functions.times import interval
 from ..operators.folding import Cluster, Leaf
 from ..sources import parsers
@@ -85,30 +87,77 @@ def write_files(df: DataFrame, path: str, checkpoint: str, format: str = "parque
     return df.writeStream.format(format).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-_STATE = "clusters array<struct<tokens:array<string>,params:array<int>,n:bigint,first:bigint>>"
+_CLUSTER = "text string, places string, first bigint"
+_LIVE = "id bigint, leaf string, number int, template string"
 
 
-def live_templates(lines: DataFrame, threshold: float = 0.5) -> DataFrame:
+class LeafState(StatefulProcessor):
+    """A leaf's clusters as a map state, an entry a cluster: a batch writes those that it made or changed, no others.
+
+    With expiry, a leaf that gets no line for so long is forgotten by a timer; its next line starts anew.
+    """
+
+    def __init__(self, threshold: float, expiry: int | None):
+        self.threshold, self.expiry = threshold, expiry
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.clusters = handle.getMapState("clusters", "number int", _CLUSTER)
+
+    def _leaf(self) -> Leaf:
+        leaf = Leaf(self.threshold)
+        for (number,), (text, places, first) in sorted(self.clusters.iterator(), key=lambda kv: kv[0][0]):
+            c = Cluster(number, text.split(" "), first)
+            c.params = {int(p) for p in places.split(",") if p}
+            c.note()
+            leaf.clusters.append(c)
+        return leaf
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        lines = pd.concat(list(rows)).sort_values("id")
+        leaf = self._leaf()
+        ids = lines["id"].tolist()
+        numbers, texts, _, changing = leaf.fold([" ".join(t) for t in lines["tokens"]], ids)
+        for number in sorted({numbers[i] for i in changing}):
+            c = leaf.clusters[number]
+            self.clusters.updateValue((number,), (c.text, c.places, int(c.first)))
+        if self.expiry is not None:
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.expiry)
+        yield pd.DataFrame({"id": ids, "leaf": key[0], "number": pd.Series(numbers, dtype="int32"), "template": texts})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.clusters.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def live_templates(lines: DataFrame, threshold: float = 0.5, expiry: str | None = None) -> DataFrame:
     """Templates of a stream of (id, leaf, tokens): id, leaf, number, template at parse time.
 
-    Each leaf's clusters are its state.  Leaves come from the caller (templates.leaves needs all lines
-    for its caps; a stream uses a snapshot of kept keys), so caps on a stream are approximate.
+    Each leaf's clusters are its state, on disk (use_rocksdb is needed).  Leaves come from the caller
+    (templates.leaves needs all lines for its caps; a stream uses a snapshot of kept keys), so caps on a stream are
+    approximate.  expiry is for streams that run on: a batch may come at any time then, so they do not end by
+    themselves.  Lines of one batch are taken in the order of id; a leaf's lines of a batch are one task.
+    """
+    size = None if expiry is None else int(interval(expiry).total_seconds() * 1000)
+    mode = "none" if size is None else "processingTime"
+    return lines.select("id", "leaf", "tokens").groupBy("leaf").transformWithStateInPandas(LeafState(threshold, size), _LIVE, "append", mode)
+
+
+def collected(df: DataFrame, label: str, mode: str = "append") -> DataFrame:
+    """All that a stream gives for what there is now, in a table of the shared folder.
+
+    A complete result replaces the one before it, a batch at a time; appended batches are kept beside each other.
     """
+    path = new_path(df.sparkSession, label)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        # a batch that is run again after a failure writes its own folder again
+        batch.write.mode("overwrite").parquet(f"{path}/batch={0 if mode == 'complete' else number}")
 
-    def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        leaf = Leaf(threshold)
-        if state.exists:
-            for i, (tokens, params, n, first) in enumerate(state.get[0]):
-                c = Cluster(i, list(tokens), first)
-                c.params, c.count = set(params), n
-                c.note()
-                leaf.clusters.append(c)
-        out = []
-        rows = pd.concat(list(batches)).sort_values("id")
-        for line, tokens in zip(rows["id"], rows["tokens"]):
-            c = leaf.add(list(tokens), int(line))
-            out.append((int(line), key[0], c.number, " ".join(c.tokens)))
-        state.update(([(c.tokens, sorted(c.params), c.count, c.first) for c in leaf.clusters],))
-        yield pd.DataFrame(out, columns=["id", "leaf", "number", "template"])
-
-    return lines.groupBy("leaf").applyInPandasWithState(step, "id bigint, leaf string, number int, template string", _STATE, "append", "NoTimeout")
+    for_each_batch(df, keep, new_path(df.sparkSession, f"{label}-checkpoint"), mode).awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(path)

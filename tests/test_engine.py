@@ -86,6 +86,65 @@ def test_live_templates(spark, tmp_path):
     assert {r["template"] for r in out} <= {"user <*> in", *(f"user {i} in" for i in range(6))} and len(out) == 6
 
 
+def test_live_templates_over_batches(spark, tmp_path):
+    """Many batches, several leaves: the templates at parse time are those of one fold over all lines."""
+    import random
+
+    from cairn.operators.folding import Leaf
+
+    streams.use_rocksdb(spark)
+    rng, schema = random.Random(2), "id bigint, leaf string, tokens array<string>"
+    lines = [(i, str(n := rng.choice([3, 4])), [rng.choice(["a", "b", "7", "x"]) for _ in range(n)]) for i in range(80)]
+    for lo in range(0, 80, 20):
+        spark.createDataFrame(lines[lo : lo + 20], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    out = streams.collected(streams.live_templates(streams.read_table(spark, str(tmp_path / "in"), schema, 1)), "live")
+    leaves, want = {}, {}
+    for i, leaf, tokens in lines:
+        c = leaves.setdefault(leaf, Leaf(0.5)).add(tokens, i)
+        want[i] = (leaf, c.number, c.text)
+    assert {r["id"]: (r["leaf"], r["number"], r["template"]) for r in out.collect()} == want
+
+
+def test_live_state_writes_changes_and_expires():
+    import pandas as pd
+
+    class Map(dict):
+        writes = 0
+
+        def iterator(self):
+            return iter(self.items())
+
+        def updateValue(self, key, value):
+            self.writes += 1
+            self[key] = value
+
+    class Handle:
+        def __init__(self):
+            self.map, self.timers = Map(), []
+            self.listTimers = lambda: iter(self.timers)
+            self.deleteTimer, self.registerTimer = self.timers.remove, self.timers.append
+
+        def getMapState(self, *_):
+            return self.map
+
+    class Now:
+        def getCurrentProcessingTimeInMs(self):
+            return 5_000
+
+    def feed(*texts):
+        rows = pd.DataFrame({"id": range(len(texts)), "tokens": [t.split(" ") for t in texts]})
+        return next(state.handleInputRows(("3",), iter([rows]), Now()))["template"].tolist()
+
+    handle, state = Handle(), streams.LeafState(0.5, 1_000)
+    state.init(handle)
+    assert feed("user 1 in", "user 2 in", "all is off") == ["user 1 in", "user <*> in", "all is off"]
+    assert handle.map.writes == 2 and handle.timers == [6_000]
+    assert feed("user 3 in", "all is off") == ["user <*> in", "all is off"]
+    assert handle.map.writes == 2 and handle.timers == [6_000]
+    assert list(state.handleExpiredTimer(("3",), Now(), None)) == [] and not handle.map
+    assert feed("user 4 in") == ["user 4 in"]
+
+
 def test_asof_join_over_buckets(spark):
     """One hot key, values many buckets back, ties, null values and null keys, against a plain search."""
     import random
