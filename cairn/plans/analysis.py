@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.times import format_time
-from ..operators import ann, frames, retrieval, stats, templates
+from ..operators import ann, frames, retrieval, stats, templates, trigrams
 from ..sources.events import SQL as LOGS
 from ..sources.events import log_entries, table
 
@@ -209,3 +209,10 @@ def _vector_ann(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES["vector_ann"] = _vector_ann
+
+
+# --- substring search that leaves files out -----------------------------------------------------------------
+@_on_logs("search_trigrams", "SELECT id, message FROM log_entries WHERE message LIKE '%purchase user 1_ {%'")
+def _trigrams(logs: DataFrame) -> DataFrame:
+    index = trigrams.TrigramIndex.build(logs.select("id", "message"), rows=500)
+    return index.search("purchase user 1_ {")
