@@ -121,6 +121,22 @@ _source("trim", lambda x: LogReader(x.sparkSession, format="line", trim=True).lo
 _source("logical_lines", lambda x: LogReader(x.sparkSession, format="line", logical_lines=True).load(write_lines(x, F.concat("service", F.lit("\n  at "), "level", F.lit(" \\\nmore")), "multi")).select("id", "message"), "SELECT id, service || ' at ' || level || 'more' AS message FROM log_entries")
 
 
+def _followed(x: DataFrame) -> DataFrame:
+    """A folder that gets two thirds of the events first and the others later, read in two steps."""
+    path, steps = new_path(x.sparkSession, "growing"), MultiFileReader(x.sparkSession)
+    out = None
+    for number, part in enumerate(("id % 3 <> 1", "id % 3 = 1")):
+        x.where(part).select(json_line().alias("value")).write.mode("append").text(path)
+        if number == 0:
+            steps.add_file(path, "json")
+        rows = steps.next_entries().select(F.lit(number).alias("step"), "level", "message")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+_source("follow", _followed, "SELECT (id % 3 = 1)::INT AS step, level, message FROM log_entries")
+
+
 def _chunked(x: DataFrame) -> DataFrame:
     """Rows in chunks of 1000: each chunk's number, rows and first id."""
     records = LogReader(x.sparkSession).load(write_lines(x, json_line(), "lines")).select("id").orderBy("id")

@@ -105,7 +105,9 @@ class LogReader:
 
     def _values(self, path: str | list[str]) -> DataFrame:
         """(file, pos, line, value): value is what the parser is given."""
-        lines = self.lines(path)
+        return self._prepared(self.lines(path))
+
+    def _prepared(self, lines: DataFrame) -> DataFrame:
         value = F.btrim(F.col("value"), F.lit(SPACES)) if self.options.get("trim", False) else F.col("value")
         if self.options["preprocess"]:
             value = clean.clean_line(value)[0]
@@ -199,10 +201,10 @@ def logical_lines(lines: DataFrame, bits: int = SEGMENT_BITS) -> DataFrame:
 
 
 class MultiFileReader:
-    """Several files as one stream of records in time order."""
+    """Several files as one stream of records in time order, or step by step while they grow."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.files = spark, {}
+        self.spark, self.files, self.followers = spark, {}, {}
 
     def add_file(self, path: str, format: str = "json", **options) -> None:
         if path in self.files:
@@ -213,6 +215,7 @@ class MultiFileReader:
         if path not in self.files:
             raise KeyError(path)
         del self.files[path]
+        self.followers.pop(path, None)
 
     def get_files(self) -> list[str]:
         return list(self.files)
@@ -228,6 +231,26 @@ class MultiFileReader:
             out = out.unionByName(f)
         return out.orderBy("timestamp", "file", "pos")
 
+    def _follower(self, path: str):
+        from .follow import Follower
+
+        return self.followers.setdefault(path, Follower(self.spark, path))
+
+    def has_more(self) -> bool:
+        """Whether a file has lines that next_entries has not given."""
+        return any(self._follower(path).has_more() for path in self.files)
+
+    def next_entries(self, finished: bool = False) -> DataFrame | None:
+        """Records of the lines that files got since the step before, by time, then file, then line; None without files.
+        finished: the last lines need no line end."""
+        out = None
+        for path, (f, o) in self.files.items():
+            reader = LogReader(self.spark, format=f, **o)
+            lines = self._follower(path).next(finished).where(F.octet_length("value") < reader.options["max_line_length"])
+            rows = parsers.parse_rows(reader._prepared(lines.withColumnRenamed("line", "pos")), "value", f, "file", "pos", **reader._own())
+            out = rows if out is None else out.unionByName(rows)
+        return None if out is None else out.orderBy("timestamp", "file", "pos")
+
     def progress(self) -> DataFrame:
         """Entries and bytes read by file."""
         return self.entries().groupBy("file").agg(F.count("*").alias("entries"), F.sum("bytes").alias("bytes"))
