@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import clean, dialect
 from .operators import retrieval, search, stats, templates, vectors
+from .plans.planner import SqlPlanner, Step, plan
 from .sources.reader import LogReader
 
 
@@ -27,9 +28,11 @@ class AnalysisResult:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, planner: SqlPlanner | None = None):
+        """planner: asked for SQL where no rule fits a question of chat()."""
+        self.spark, self.planner = spark, planner
         self._logs: DataFrame | None = None
+        self._kept: DataFrame | None = None
         self._templates: DataFrame | None = None
         self._store: DataFrame | None = None
 
@@ -45,7 +48,10 @@ class Engine:
             logs = logs.drop("template").join(rows.withColumnRenamed("template_final", "template"), "id")
         else:
             logs = logs.withColumn("template_id", F.lit(None).cast("string"))
-        return self.set_tables(logs.drop("__text").persist())
+        before, self._kept = self._kept, logs.drop("__text").persist()
+        if before is not None:  # the log that was loaded before
+            before.unpersist()
+        return self.set_tables(self._kept)
 
     def set_tables(self, logs: DataFrame, log_templates: DataFrame | None = None) -> "Engine":
         self._logs = logs
@@ -112,27 +118,36 @@ class Engine:
     def causality_window(self, event: str, window: str = "1h") -> DataFrame:
         return retrieval.causality_window(self.logs, event, window)
 
+    def find_causes(self, event: str, window: str = "1h", alpha: float = 0.01) -> DataFrame:
+        return retrieval.causes(self.logs, event, window, alpha)
+
+    def get_evidence(self, event: str, window: str = "1h", rows: int = 3, alpha: float | None = 0.01) -> DataFrame:
+        return retrieval.evidence(self.logs, event, window, rows, alpha)
+
+    def _with_fields(self, *names: str) -> DataFrame:
+        """logs with the named columns, from the records' fields where the log has no such column."""
+        return self.logs.withColumns({n: F.try_element_at("fields", F.lit(n)) for n in names if n not in self.logs.columns})
+
     def analyze_user_impact(self, event: str, user_field: str = "user_id") -> DataFrame:
-        logs = self.logs
-        if user_field not in logs.columns:
-            logs = logs.withColumn(user_field, F.try_element_at("fields", F.lit(user_field)))
-        return retrieval.user_impact(logs, event, user_field)
+        return retrieval.user_impact(self._with_fields(user_field), event, user_field)
 
     def get_event_context(self, event_id: int, window: str = "5m") -> DataFrame:
         return retrieval.event_context(self.logs, event_id, window)
 
-    def compare_events(self, first: str, second: str) -> DataFrame:
-        logs = self.logs
-        if "user_id" not in logs.columns:
-            logs = logs.withColumn("user_id", F.try_element_at("fields", F.lit("user_id")))
-        return retrieval.compare_events(logs, first, second)
+    def compare_events(self, first: str, second: str, metrics: tuple[str, ...] = ()) -> DataFrame:
+        return retrieval.compare_events(self._with_fields("user_id", *metrics), first, second, metrics)
+
+    def _services(self, service_field: str) -> DataFrame:
+        return self._with_fields(service_field, "user_id").withColumn("service", F.col(service_field))
 
     def analyze_service_dependencies(self, within: str = "10m", service_field: str = "service") -> DataFrame:
-        logs = self.logs
-        for name in (service_field, "user_id"):
-            if name not in logs.columns:
-                logs = logs.withColumn(name, F.try_element_at("fields", F.lit(name)))
-        return retrieval.service_edges(logs.withColumn("service", F.col(service_field)), within)
+        return retrieval.service_edges(self._services(service_field), within)
+
+    def service_bottlenecks(self, within: str = "10m", service_field: str = "service") -> DataFrame:
+        return retrieval.service_bottlenecks(self._services(service_field), within)
+
+    def critical_paths(self, start: str, within: str = "10m", depth: int = 3, service_field: str = "service") -> DataFrame:
+        return retrieval.critical_paths(self._services(service_field), start, within, depth)
 
     def service_logs(self, service: str, window: str = "1h", now=None) -> DataFrame:
         return retrieval.service_logs(self.logs, service, window, now)
@@ -159,10 +174,14 @@ class Engine:
 
     def chat(self, question: str) -> AnalysisResult:
         """A question in words to a named operation, by rules; nothing is generated or executed as code."""
-        from .plans.planner import plan
-
         try:
-            step = plan(question)
+            try:
+                step = plan(question)
+            except ValueError:
+                if self.planner is None:
+                    raise
+                schema = "\n".join(f"log_entries.{f.name} {f.dataType.simpleString()}" for f in self.logs.schema)
+                step = Step("execute_query", (self.planner.plan(question, schema),))
             return AnalysisResult(True, step.operation, None, [getattr(self, step.operation)(*step.args, **step.kwargs)])
         except (ValueError, EngineNotInitialised) as e:
             return AnalysisResult(False, error=str(e))

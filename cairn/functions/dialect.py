@@ -221,7 +221,7 @@ def _list(text: str, *more: str) -> str | None:
 
 def _len(value: str) -> str:
     """Of a list that the text shows to be one its size, else a text's length."""
-    return f"{'size' if re.match(r'(split|array|transform|filter|sort_array|collect_list|array_[a-z]+|sequence|slice)[(]|[[]', value) else 'length'}({value})"
+    return f"{'size' if re.match(r'(split|array|transform|filter|sort_array|collect_list|array_[a-z]+|sequence|slice)\(|\[', value) else 'length'}({value})"
 
 
 def _indexed(function: str):

@@ -158,11 +158,13 @@ def event_context(logs: DataFrame, event_id: int, window: str = "5m") -> DataFra
     return rows.select("id", format_time(F.col("ts")).alias("at"), "level", "message", relation.alias("relation"), (F.col("template_id") == F.col("tid")).alias("same_template"))
 
 
-def compare_events(logs: DataFrame, first: str, second: str) -> DataFrame:
-    """Per level: rows of either event, their difference, distinct users, first and last time."""
+def compare_events(logs: DataFrame, first: str, second: str, metrics: tuple[str, ...] = ()) -> DataFrame:
+    """Per level: rows of either event, their difference, distinct users, first and last time; for each of metrics
+    the means of that column, as a number, in the rows of either (<metric>_1, <metric>_2)."""
     a, b = like("message", first), like("message", second)
-    out = logs.where(a | b).groupBy("level").agg(F.count_if(a).alias("n1"), F.count_if(b).alias("n2"), F.count_distinct(F.when(a, F.col("user_id"))).alias("users1"), F.count_distinct(F.when(b, F.col("user_id"))).alias("users2"), F.min("ts").alias("x"), F.max("ts").alias("y"))
-    return out.select("level", "n1", "n2", (F.col("n1") - F.col("n2")).alias("diff"), "users1", "users2", format_time(F.col("x")).alias("first_ts"), format_time(F.col("y")).alias("last_ts"))
+    means = [F.avg(F.when(c, F.col(m).try_cast("double"))).alias(f"{m}_{i}") for m in metrics for i, c in ((1, a), (2, b))]
+    out = logs.where(a | b).groupBy("level").agg(F.count_if(a).alias("n1"), F.count_if(b).alias("n2"), F.count_distinct(F.when(a, F.col("user_id"))).alias("users1"), F.count_distinct(F.when(b, F.col("user_id"))).alias("users2"), F.min("ts").alias("x"), F.max("ts").alias("y"), *means)
+    return out.select("level", "n1", "n2", (F.col("n1") - F.col("n2")).alias("diff"), "users1", "users2", format_time(F.col("x")).alias("first_ts"), format_time(F.col("y")).alias("last_ts"), *[f"{m}_{i}" for m in metrics for i in (1, 2)])
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: str, time: str, value: str, bucket: str = "1d") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import let
+from ..functions.tables import written
 
 STORE = "point_id string, template string, embedding array<float>, payload map<string,string>"
 
@@ -119,6 +120,22 @@ def embed_with(df: DataFrame, embedder: Embedder, column: str = "template") -> D
     return df.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", embedding array<float>")
 
 
+def embed_cached(templates: DataFrame, embedder: Embedder, cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(templates with embedding, the cache for the next call): a service is asked once for each distinct template.
+
+    cache has point_id and embedding.  Templates that it knows are not sent; failures (empty vectors) are not kept, so
+    they are asked for again.  Null templates have no embedding.
+    """
+    wanted = templates.where("template is not null").select(point_id(F.col("template")).alias("point_id"), "template").distinct()
+    new = wanted if cache is None else wanted.join(cache.select("point_id"), "point_id", "left_anti")
+    fresh = written(embed_with(new, embedder).select("point_id", "embedding"), "embedded")
+    kept = fresh.where(F.size("embedding") > 0)
+    kept = kept if cache is None else cache.select("point_id", "embedding").unionByName(kept)
+    known = kept.unionByName(fresh.where(F.size("embedding") <= 0)).withColumnRenamed("point_id", "__id")
+    found = templates.join(known, point_id(F.col("template")) == F.col("__id"), "left").drop("__id")
+    return found, written(kept, "embeddings")
+
+
 def load_counts(templates: DataFrame, embedder: Embedder) -> DataFrame:
     """How many templates a load stores, and for how many the embedding fails (is empty)."""
     e = embed_with(templates.select("template"), embedder).select(F.size("embedding").alias("n"))

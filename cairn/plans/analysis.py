@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.times import format_time
-from ..operators import ann, frames, retrieval, stats, templates, trigrams
+from ..operators import ann, frames, retrieval, stats, templates, trigrams, vectors
 from ..sources.events import SQL as LOGS
-from ..sources.events import log_entries, table
+from ..sources.events import log_entries, log_templates, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -216,3 +216,38 @@ QUERIES["vector_ann"] = _vector_ann
 def _trigrams(logs: DataFrame) -> DataFrame:
     index = trigrams.TrigramIndex.build(logs.select("id", "message"), rows=500)
     return index.search("purchase user 1_ {")
+
+
+# --- two events by a metric ---------------------------------------------------------------------------------
+@_on_logs(
+    "compare_events_metrics",
+    """
+SELECT level, count(*) FILTER (message LIKE '%user 1%') AS n1, count(*) FILTER (message LIKE '%user 2%') AS n2,
+       round(avg(value) FILTER (message LIKE '%user 1%'), 4) AS value_1, round(avg(value) FILTER (message LIKE '%user 2%'), 4) AS value_2
+FROM log_entries WHERE message LIKE '%user 1%' OR message LIKE '%user 2%' GROUP BY level
+""",
+)
+def _metrics(logs: DataFrame) -> DataFrame:
+    found = retrieval.compare_events(logs, "user 1", "user 2", ("value",))
+    return found.select("level", "n1", "n2", F.round("value_1", 4).alias("value_1"), F.round("value_2", 4).alias("value_2"))
+
+
+# --- a cache in front of an embedder: the second load asks for what is new --------------------------------------
+class _Counted:
+    """An offline embedder of one component, a template's length."""
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        return [[float(len(t))] for t in texts]
+
+
+@_on_logs(
+    "vector_cache",
+    "SELECT template_id AS point_id, length(template)::DOUBLE AS size, template LIKE 'error%' AS cached FROM log_templates",
+)
+def _cache(logs: DataFrame) -> DataFrame:
+    known = log_templates(logs)
+    _, cache = vectors.embed_cached(known.where("template like 'error%'"), _Counted())
+    found, _ = vectors.embed_cached(known, _Counted(), cache)
+    cached = cache.select("point_id", F.lit(True).alias("cached"))
+    out = found.select("template_id", vectors.point_id(F.col("template")).alias("point_id"), F.col("embedding")[0].cast("double").alias("size"))
+    return out.join(cached, "point_id", "left").select("point_id", "size", F.coalesce("cached", F.lit(False)).alias("cached"))

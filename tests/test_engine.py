@@ -78,6 +78,54 @@ def test_streams_equal_batches(spark, sf, tmp_path):
     assert want <= got_sessions <= want | tail and len(rows) == len(got_sessions)
 
 
+def test_more_of_the_facade(engine, spark, tmp_path):
+    assert {r["confident"] for r in engine.find_causes("Glaze cracked", "1h").collect()} == {False}
+    assert engine.get_evidence("Glaze cracked", "1h").collect() == []
+    assert engine.service_bottlenecks().collect() == [] and engine.critical_paths("none").collect() == []
+    r = engine.compare_events("batch 12", "batch 45", ("weight",)).first()
+    assert (r["n1"], r["n2"], r["weight_1"], r["weight_2"]) == (1, 1, None, None)
+
+
+def test_a_planner_is_asked_where_no_rule_fits(spark, tmp_path):
+    class Fixed:
+        def plan(self, question, schema):
+            assert "log_entries.level string" in schema
+            return "SELECT count(*) AS n FROM log_entries"
+
+    (tmp_path / "a.jsonl").write_text("\n".join(map(json.dumps, LOG)))
+    one = Engine(spark, Fixed()).initialize(str(tmp_path / "a.jsonl"))
+    assert one.chat("tell me a story").dataframes[0].first()["n"] == len(LOG)
+    assert not Engine(spark).set_tables(one.logs, one.templates).chat("tell me a story").success
+    first = one.logs
+    one.initialize(str(tmp_path / "a.jsonl"))
+    assert not first.storageLevel.useMemory and one.logs.storageLevel.useMemory
+
+
+def test_embedding_cache(spark):
+    from cairn.operators import vectors
+
+    class Service:
+        """Writes down what it is asked for; fails for one text."""
+
+        def __init__(self, path):
+            self.path = path
+
+        def embed(self, texts):
+            with open(self.path, "a") as f:
+                f.writelines(t + "\n" for t in texts)
+            return [[] if t == "bad" else [float(len(t))] for t in texts]
+
+    import tempfile
+
+    path = tempfile.mktemp(prefix="spark-asked-")
+    rows = lambda *t: spark.createDataFrame([(x,) for x in t], "template string")
+    found, cache = vectors.embed_cached(rows("aa", "bad", "aa", None), Service(path))
+    assert sorted((r["template"] or "", r["embedding"]) for r in found.collect()) == [("", None), ("aa", [2.0]), ("aa", [2.0]), ("bad", [])]
+    found, cache = vectors.embed_cached(rows("aa", "ccc", "bad"), Service(path), cache)
+    assert sorted((r["template"], r["embedding"]) for r in found.collect()) == [("aa", [2.0]), ("bad", []), ("ccc", [3.0])]
+    assert cache.count() == 2 and sorted(open(path).read().split()) == ["aa", "bad", "bad", "ccc"]
+
+
 def test_live_templates(spark, tmp_path):
     streams.use_rocksdb(spark)
     spark.createDataFrame([(i, "3", ["user", str(i), "in"]) for i in range(6)], "id bigint, leaf string, tokens array<string>").write.parquet(str(tmp_path / "t"))
