@@ -27,8 +27,8 @@ from ..functions.tables import written
 WILD = "<*>"
 #: Lines and characters of a chunk at most; a longer line is a chunk of its own.
 CHUNK, CHUNK_CHARS = 4096, 4_000_000
-#: Rows of a table that is broadcast at most.
-SMALL = 200_000
+#: Bytes of lines of a log that is broadcast at most.
+SMALL = 32_000_000
 
 
 def number_like(token: str) -> bool:
@@ -201,7 +201,8 @@ def refolded(candidates: DataFrame, threshold: float) -> DataFrame:
 def folded(chunks: DataFrame, log: DataFrame, threshold: float) -> DataFrame:
     """Every line of chunks with its cluster's number, template and places of parameters at the time."""
     logs = log.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("id", "line"))).alias("log"))
-    logs = F.broadcast(logs) if log.count() <= SMALL else logs
+    size = log.agg(F.sum(F.octet_length("line") + 16)).first()[0] or 0
+    logs = F.broadcast(logs) if size <= SMALL else logs
     before = F.filter("log", lambda e: e["id"] < F.col("lo"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,7 +9,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import clean
@@ -144,6 +144,15 @@ class LogReader:
         out = found.join(lines.select("id", "file"), "id").withColumns({k: F.lit(None).cast(t) for k, t in empty.items()})
         return out.select("id", "file", "body", "template", "fields", "severity", "timestamp", F.lit("").alias("level"), F.lit("").alias("message"))
 
+    def counted(self, path: str | list[str]) -> tuple[DataFrame, Observation]:
+        """(file, pos, line and the record's columns of the lines that fit; an observation of processed and failed lines).
+
+        The counts come with the first action on the records, without a scan of their own.
+        """
+        seen = Observation("lines")
+        rows = self.parsed(path).observe(seen, F.count("r").alias("processed"), F.count_if(F.col("r").isNull()).alias("failed"))
+        return rows.where("r is not null").select("file", "pos", "line", "r.*"), seen
+
     def counts(self, path: str | list[str]) -> DataFrame:
         """processed and failed lines."""
         return self.parsed(path).agg(F.count("r").alias("processed"), F.count_if(F.col("r").isNull()).alias("failed"))

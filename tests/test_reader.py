@@ -78,3 +78,10 @@ def test_mined_format(spark, tmp_path):
     (tmp_path / "a.log").write_text("job 1 done\njob 2 done\nready\n")
     got = LogReader(spark, format="drain").load(str(tmp_path / "a.log")).orderBy("id").collect()
     assert [(r["id"], r["body"], r["template"], r["fields"]["cluster_id"]) for r in got] == [(0, "job 1 done", "job 1 done", "0"), (1, "job 2 done", "job <*> done", "0"), (2, "ready", "ready", "1")]
+
+
+def test_counts_come_with_the_load(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"message": "one"}\n{broken\n{"message": "two"}\n\n')
+    records, seen = LogReader(spark).counted(str(tmp_path / "a.jsonl"))
+    assert sorted(r["message"] for r in records.collect()) == ["one", "two"]
+    assert seen.get == {"processed": 2, "failed": 1}
