@@ -7,9 +7,11 @@ a model that had counted a text would find even its noise likely.
 
 The model lives in sorted hash arrays: keys of kind, language and n-gram, mixed by a one-to-one hash and in
 ascending order, values beside them, and an index of the keys' leading bits; nothing is dropped and no two
-entries share a key.  The arrays grow with the corpus.  Up to BROADCAST entries they are sent to the scoring
-tasks; a larger model stays distributed: the distinct n-grams of each block of texts are looked up by
-joins, and blocks meet their values in cogroups.  Both ways give the same numbers.
+entries share a key.  The arrays grow with the corpus, so they come in slices of about SLICE entries.  What
+scores a byte (its n-grams and their contexts) shares the model's language and the two bytes before it, so
+slices are ranges of these and each scores its own bytes of a text.  Slices are broadcast one after another,
+each to one pass over the texts of its languages, and a text's losses are added up as integers: sums do not
+depend on where slices begin.  One way serves any size; what grows is the number of passes.
 
 A document's log-perplexity is its log-loss per word, words being those that hold a letter, so that what
 stands between words costs but does not count.  Outside its language's band it is rejected; a band reaches
@@ -25,20 +27,24 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, give_back, parts_of, small, tidy, written
+from .common import bound_batches, give_back, small, tidy, written
 
 ORDER = 5
-#: Model entries that are broadcast at most: 12 bytes each, and an index of 4 bytes each at most.
-BROADCAST = 1 << 23
-#: Characters of text in a block of the distributed lookup.
-BLOCK_CHARS = 1 << 23
+#: Model entries of a slice, about: 12 bytes each, and an index of 4 bytes each at most.
+SLICE = 1 << 21
+#: Losses are added up in parts of a nat.
+UNIT = 1 << 24
+#: Keys that hold over one row in so many are joined by broadcast; there are no more of them than that.
+HOT = 1000
+#: A pass reads only its slice's languages where they are no more than these.
+_LISTED = 100
 LANGUAGES = 1 << 19
 #: A band reaches so many quartile ranges beyond the quartiles (outer fences), each at least FLOOR nats wide.
 FENCE, FLOOR = 3.0, 0.1
@@ -232,31 +238,72 @@ class Packed:
         return HashArrays(self.keys, self.values)
 
 
-#: Entries of a part of the arrays.
-_PART = 1 << 19
+def units_of(kind: int | np.ndarray, lang: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) unit that needs an entry.
+
+    A unit is a model's number and the two bytes before the last, the nearer one first.  Entries with one
+    byte of context, or none, are needed by all units that agree with them.
+    """
+    kind, lang, gram = np.asarray(kind, np.int64), lang.astype(np.int64), gram.astype(np.int64)
+    context, size = np.where(kind > 16, gram, gram >> 8), (kind & 15) - 1
+    first = lang << 16 | np.where(size > 0, (context & 255) << 8, 0) | np.where(size > 1, context >> 8 & 255, 0)
+    return first, first + np.where(size > 1, 0, np.where(size > 0, (1 << 8) - 1, (1 << 16) - 1))
 
 
-def hash_arrays(model: DataFrame, entries: int) -> Packed:
-    """The model's arrays, for models of BROADCAST entries at most: sorted by Spark, a row a part to the driver."""
+def slice_cuts(model: DataFrame) -> np.ndarray:
+    """The first unit of each slice, ascending from 0: a number a slice to the driver.
+
+    Running sums go by model (2 * LANGUAGES rows at most) and by unit inside a model (2 ** 16 at most).
+    """
+    context = F.expr("if(kind > 16, gram, shiftright(gram, 8))")
+    near = F.expr("if(kind % 16 > 1, 1, 0)") * context.bitwiseAND(F.lit(255))
+    far = F.expr("if(kind % 16 > 2, 1, 0)") * F.shiftright(context, 8).bitwiseAND(F.lit(255))
+    unit = F.col("lang").cast("bigint") * 65536 + near * 256 + far
+    n = written(model.groupBy("lang", unit.alias("unit")).agg(F.count("*").alias("n")), "units")
+    before = n.groupBy("lang").agg(F.sum("n").alias("all")).select("lang", (F.sum("all").over(Window.orderBy("lang")) - F.col("all")).alias("before"))
+    start = F.col("before") + F.sum("n").over(Window.partitionBy("lang").orderBy("unit")) - F.col("n")
+    cuts = n.join(before, "lang").select("unit", F.floor(start / SLICE).alias("slice")).groupBy("slice").agg(F.min("unit").alias("unit"))
+    got = np.sort(np.array([r["unit"] for r in cuts.collect()] or [0], np.int64))
+    got[0] = 0
+    return got
+
+
+def hash_arrays(model: DataFrame, cuts: np.ndarray) -> DataFrame:
+    """(slice, keys, values): a row a slice, its entries' keys in ascending order and their values, as bytes."""
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kind, lang, gram = (b.column(i).to_numpy() for i in range(3))
+            kind, lang, gram, value = (b.column(i).to_numpy() for i in range(4))
+            first, last = (np.searchsorted(cuts, u, "right") - 1 for u in units_of(kind, lang, gram))
+            times = last - first + 1
+            of = np.repeat(first, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
             # signed numbers in the order of the unsigned keys
-            yield pa.RecordBatch.from_arrays([pa.array((hash_keys(kind, lang, gram) ^ np.uint64(1 << 63)).view(np.int64)), b.column(3)], names=["key", "value"])
+            keys = (hash_keys(kind, lang, gram) ^ np.uint64(1 << 63)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(np.repeat(keys, times)), pa.array(np.repeat(value, times))], names=["slice", "key", "value"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, values = [], []
-        for b in batches:
-            keys.append((b.column(0).to_numpy().view(np.uint64) ^ np.uint64(1 << 63)).astype("<u8").tobytes())
-            values.append(b.column(1).to_numpy().astype("<f4").tobytes())
-        if keys:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([b"".join(keys)], pa.binary()), pa.array([b"".join(values)], pa.binary())], names=["part", "keys", "values"])
+        now, keys, values = None, [], []
 
-    keyed = model.select("kind", "lang", "gram", "value").mapInArrow(tidy(key), "key bigint, value float")
-    parts = keyed.repartitionByRange(-(-entries // _PART) or 1, "key").sortWithinPartitions("key").mapInArrow(tidy(pack), "part bigint, keys binary, values binary")
-    rows = sorted(parts.collect())
-    return Packed([bytes(r["keys"]) for r in rows], [bytes(r["values"]) for r in rows])
+        def packed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([b"".join(keys)], pa.binary()), pa.array([b"".join(values)], pa.binary())], names=["slice", "keys", "values"])
+
+        for b in batches:
+            of = b.column(0).to_numpy()
+            key = (b.column(1).to_numpy().view(np.uint64) ^ np.uint64(1 << 63)).astype("<u8")
+            value = b.column(2).to_numpy().astype("<f4")
+            begin = np.flatnonzero(np.diff(of, prepend=-1))
+            for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(of)]):
+                if of[lo] != now:
+                    if now is not None:
+                        yield packed()
+                    now, keys, values = int(of[lo]), [], []
+                keys.append(key[lo:hi].tobytes())
+                values.append(value[lo:hi].tobytes())
+        if now is not None:
+            yield packed()
+
+    keyed = model.select("kind", "lang", "gram", "value").mapInArrow(tidy(key), "slice bigint, key bigint, value float")
+    return keyed.repartition(len(cuts), "slice").sortWithinPartitions("slice", "key").mapInArrow(tidy(pack), "slice bigint, keys binary, values binary")
 
 
 def log_probabilities(arrays: HashArrays, gram: np.ndarray, lang: np.ndarray) -> np.ndarray:
@@ -279,24 +326,6 @@ def log_probabilities(arrays: HashArrays, gram: np.ndarray, lang: np.ndarray) ->
     return out
 
 
-def joined_log_probabilities(asked: DataFrame, model: DataFrame) -> DataFrame:
-    """asked (block, lang, gram) with value, as log_probabilities gives it, by joins."""
-    distinct = asked.select("lang", "gram").distinct()
-    done, left = None, distinct.withColumn("sum", F.lit(0.0))
-    for k in range(ORDER, -1, -1):
-        if k:
-            own = model.where(F.col("kind") == k).select("lang", F.col("gram").alias("g"), F.col("value").cast("double").alias("own"))
-            left = left.withColumn("g", _low(k)).join(own, ["lang", "g"], "left").drop("g")
-            known = left.where("own is not null").select("lang", "gram", (F.col("sum") + F.col("own")).alias("value"))
-            weight = model.where(F.col("kind") == 16 + k).select("lang", F.col("gram").alias("g"), F.col("value").cast("double").alias("weight"))
-            left = left.where("own is null").drop("own").withColumn("g", F.shiftright(_low(k), 8)).join(weight, ["lang", "g"], "left")
-            left = left.select("lang", "gram", (F.col("sum") + F.coalesce("weight", F.lit(0.0))).alias("sum"))
-        else:
-            known = left.select("lang", "gram", (F.col("sum") + F.lit(float(np.log(1 / 256)))).alias("value"))
-        done = known if done is None else done.unionByName(known)
-    return asked.join(done, ["lang", "gram"])
-
-
 def repeat_words(words: list) -> int:
     """Words that lie in three-word windows found twice or more."""
     windows = list(zip(words, words[1:], words[2:]))
@@ -319,24 +348,27 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
     return len(words), int(_INK[raw].sum()), int(_SYMBOL[raw].sum()), len(lines) - len(set(lines)), repeat_words(words)
 
 
-BASE = "doc_id bigint, key bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, lang_code int"
+BASE = "doc_id bigint, key bigint, lang_code int, n_lettered bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint"
 _NAMES = [x.split()[0] for x in BASE.split(", ")]
 
 
-def _base(b: pa.RecordBatch, codes: dict) -> list:
-    """BASE columns of a batch (doc_id, text, lang, half, key)."""
-    base = np.array([base_counts(t) for t in b.column(1).to_pylist()], np.int64).reshape(-1, 5)
-    lang = np.array([codes[x] for x in b.column(2).to_pylist()], np.int32)
-    return [b.column(0).cast(pa.int64()), b.column(4), *(pa.array(base[:, i]) for i in range(5)), pa.array(lang)]
+def _marked(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", "lang", text_half(F.col("text")).alias("half"), F.xxhash64(F.col("lang").isNull(), "lang", "text").alias("key"))
 
 
-def _asked(b: pa.RecordBatch, codes: dict) -> tuple[list, np.ndarray]:
-    """Texts, and the codes of the models that score them: those of the other halves."""
-    return b.column(1).to_pylist(), _codes(b.column(2), b.column(3), codes) ^ 1
+def base_table(docs: DataFrame, codes: dict) -> DataFrame:
+    """BASE of every document."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            base = np.array([base_counts(t) for t in texts], np.int64).reshape(-1, 5)
+            lettered = [lettered_words(texts[part]) for part in _slices(texts)]
+            lang = np.array([codes[x] for x in b.column(2).to_pylist()], np.int32)
+            columns = [b.column(0).cast(pa.int64()), b.column(4), pa.array(lang), pa.array(np.concatenate([np.zeros(0, np.int64), *lettered])), *(pa.array(base[:, i]) for i in range(5))]
+            yield pa.RecordBatch.from_arrays(columns, names=_NAMES)
 
-def _marked(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text", "lang", text_half(F.col("text")).alias("half"), F.xxhash64(F.col("lang").isNull(), "lang", "text").alias("key"))
+    return _marked(docs).mapInArrow(tidy(run), BASE)
 
 
 def lettered_words(texts: list) -> np.ndarray:
@@ -349,70 +381,69 @@ def lettered_words(texts: list) -> np.ndarray:
     return np.bincount(np.searchsorted(np.cumsum([len(d) + 1 for d in data]), first, "right"), minlength=len(texts))
 
 
-def losses(texts: list, own: np.ndarray, look_up) -> list[float | None]:
-    """Log-perplexities of texts under the models own; look_up gives n-grams' log-probabilities."""
-    out: list[float | None] = []
+def losses(texts: list, own: np.ndarray, arrays: HashArrays, lo: int, hi: int) -> np.ndarray:
+    """Sums of the losses, in parts of 1 / UNIT nat, of each text's bytes whose units are from lo to hi - 1."""
+    out = []
     for part in _slices(texts):
         gram, lang, sizes = _stream(texts[part], own[part])
-        total = np.bincount(np.repeat(np.arange(len(sizes)), sizes), look_up(gram, lang), len(sizes))
-        out += [-t / n if n else None for t, n in zip(total.tolist(), lettered_words(texts[part]).tolist())]
-    return out
-
-
-def score(docs: DataFrame, arrays: Packed, codes: dict) -> DataFrame:
-    """BASE and log_perplexity of every document: the model is broadcast."""
-    shared = docs.sparkSession.sparkContext.broadcast(arrays)
-    del arrays  # the driver needs them no more
+        unit = units_of(ORDER, lang, gram)[0]
+        at = np.flatnonzero((unit >= lo) & (unit < hi))
+        sums = np.zeros(len(gram) + 1, np.int64)
+        sums[1:][at] = np.rint(log_probabilities(arrays, gram[at], lang[at]) * -UNIT).astype(np.int64)
+        ends = np.cumsum(sizes)
+        np.cumsum(sums, out=sums)
+        out.append(sums[ends] - sums[ends - sizes])
+    return np.concatenate([np.zeros(0, np.int64), *out])
+
+
+def slice_losses(docs: DataFrame, codes: dict, packed: Packed, lo: int, hi: int) -> DataFrame:
+    """(key, loss): the losses of one slice, for each text and language that may have some; written."""
+    langs = [x for x, c in codes.items() if lo >> 17 <= c <= (hi - 1) >> 17]
+    if len(langs) <= min(_LISTED, len(codes) - 1):
+        docs = docs.where(F.col("lang").isin([x for x in langs if x is not None]) | (F.col("lang").isNull() if None in langs else F.lit(False)))
+    shared = docs.sparkSession.sparkContext.broadcast(packed)
     give_back()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for b in batches:
-            mean = losses(*_asked(b, codes), lambda gram, lang: log_probabilities(model, gram, lang))
-            yield pa.RecordBatch.from_arrays([*_base(b, codes), pa.array(mean, pa.float64())], names=[*_NAMES, "log_perplexity"])
-
-    return _marked(docs).mapInArrow(tidy(run), BASE + ", log_perplexity double")
-
-
-def score_distributed(docs: DataFrame, texts: DataFrame, model: DataFrame, codes: dict) -> DataFrame:
-    """What score gives, without the model in one place.  texts: the distinct texts of docs.
-
-    Blocks hold about BLOCK_CHARS of distinct texts; a block's distinct n-grams are looked up by joins, and
-    the block's texts meet their values in a cogroup.  Copies get their text's result by its key.
-    """
-    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(parts_of(docs), -(-chars // BLOCK_CHARS))
-    block = F.pmod(F.xxhash64("key", F.lit("block")), F.lit(blocks)).cast("int").alias("block")
-    dealt = _marked(texts.withColumn("doc_id", F.lit(0))).select("doc_id", "text", "lang", "half", "key", block)
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            (all_texts, own), of = _asked(b, codes), b.column(5).to_numpy()
-            for part in _slices(all_texts):
-                gram, lang, sizes = _stream(all_texts[part], own[part])
-                k = np.unique(np.stack([np.repeat(of[part].astype(np.int64), sizes), lang << 40 | gram]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(k[0].astype(np.int32)), pa.array((k[1] >> 40).astype(np.int32)), pa.array(k[1] & ((1 << 40) - 1))], names=["block", "lang", "gram"])
-
-    asked = written(dealt.mapInArrow(tidy(ask), "block int, lang int, gram bigint").distinct(), "asked")
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        grams, values = (right["lang"].to_numpy().astype(np.int64) << 40) | right["gram"].to_numpy(), right["value"].to_numpy()
-        order = np.argsort(grams)
-        grams, values = grams[order], values[order]
-        keys: list[pa.Array] = []
-        mean: list[float | None] = []
-        for b in left.to_batches(2000):
-            keys.append(b.column(4))
-            mean += losses(*_asked(b, codes), lambda gram, lang: values[np.searchsorted(grams, lang << 40 | gram)])
-        return pa.table({"key": pa.concat_arrays(keys) if keys else pa.array([], pa.int64()), "log_perplexity": pa.array(mean, pa.float64())})
-
-    found = dealt.groupBy("block").cogroup(joined_log_probabilities(asked, model).groupBy("block")).applyInArrow(run, "key bigint, log_perplexity double")
-
-    def base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrays = shared.value
         for b in batches:
-            yield pa.RecordBatch.from_arrays(_base(b, codes), names=_NAMES)
-
-    return _marked(docs).mapInArrow(tidy(base), BASE).join(written(found, "losses"), "key")
+            # a text is scored by the model of the other half; copies in a batch once
+            own, (keys, first) = _codes(b.column(2), b.column(3), codes) ^ 1, np.unique(b.column(4).to_numpy(), return_index=True)
+            mine = (own[first] >= lo >> 16) & (own[first] <= (hi - 1) >> 16)
+            keys, first = keys[mine], first[mine]
+            texts = b.column(1).take(pa.array(first)).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(losses(texts, own[first], arrays, lo, hi))], names=["key", "loss"])
+
+    part = _marked(docs).mapInArrow(tidy(run), "key bigint, loss bigint").groupBy("key").agg(F.max("loss").alias("loss"))
+    part = written(part, "slice")
+    shared.destroy()
+    return part
+
+
+def text_losses(docs: DataFrame, model: DataFrame, codes: dict) -> DataFrame:
+    """(key, loss) of each text and language: the sums over all slices."""
+    cuts = slice_cuts(model)
+    arrays = written(hash_arrays(model, cuts), "arrays")
+    ends = [*cuts[1:].tolist(), 2 * len(codes) << 16]
+    summed = lambda: reduce(DataFrame.unionByName, parts).groupBy("key").agg(F.sum("loss").alias("loss"))
+    parts: list[DataFrame] = []
+    for i, (lo, hi) in enumerate(zip(cuts.tolist(), ends)):
+        rows = arrays.where(F.col("slice") == i).collect()  # a row
+        parts.append(slice_losses(docs, codes, Packed([bytes(r["keys"]) for r in rows], [bytes(r["values"]) for r in rows]), lo, hi))
+        if len(parts) == 16:  # plans stay short
+            parts = [written(summed(), "losses")]
+    return written(summed(), "losses")
+
+
+def score(docs: DataFrame, model: DataFrame, codes: dict) -> DataFrame:
+    """BASE and log_perplexity of every document."""
+    base, loss = written(base_table(docs, codes), "base"), text_losses(docs, model, codes)
+    # HOT keys at most
+    hot = base.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > base.count() / HOT).select("key")
+    hot = F.broadcast(written(hot.join(loss, "key", "left"), "hot"))
+    out = base.join(hot.select("key"), "key", "left_anti").join(loss, "key", "left").unionByName(base.join(hot, "key"))
+    lettered = F.when(F.col("n_lettered") > 0, F.coalesce("loss", F.lit(0)) / UNIT / F.col("n_lettered"))
+    return out.withColumn("log_perplexity", lettered)
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -420,8 +451,7 @@ def judge(docs: DataFrame) -> DataFrame:
     bound_batches(docs.sparkSession)
     codes, texts = language_codes(docs), distinct_texts(docs)
     model = written(kneser_ney(written(count_grams(texts, codes), "grams")), "model")
-    entries = model.count()
-    scored = written(score(docs, hash_arrays(model, entries), codes) if entries <= BROADCAST else score_distributed(docs, texts, model, codes), "scored")
+    scored = written(score(docs, model, codes), "scored")
     failed = F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {REPEAT_PERCENT} * n_words")
     scored = scored.withColumn("base_failed", failed)
     once = scored.where("not base_failed").groupBy("lang_code", "key").agg(F.first("log_perplexity").alias("log_perplexity"))

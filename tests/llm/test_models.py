@@ -299,26 +299,27 @@ def model_by_hand(spark):
     return codes, quality.kneser_ney(quality.count_grams(df, codes)), want
 
 
-def test_kneser_ney_matches_plain_model(spark):
+@pytest.mark.parametrize("size", [1 << 21, 60, 1])
+def test_kneser_ney_matches_plain_model(spark, monkeypatch, size):
+    """Each byte's value from its own slice of the model alone, however small slices are."""
+    monkeypatch.setattr(quality, "SLICE", size)
     codes, model, want = model_by_hand(spark)
-    n = model.count()
-    arrays = pickle.loads(pickle.dumps(quality.hash_arrays(model, n)))
-    assert len(arrays.values) - 1 == n and (np.diff(arrays.keys.astype(object)) > 0).all()
+    model, n = model.cache(), model.count()
+    cuts = quality.slice_cuts(model)
+    rows = {r["slice"]: r for r in quality.hash_arrays(model, cuts).collect()}
+    assert sorted(rows) == list(range(len(cuts))) and cuts[0] == 0 and (np.diff(cuts) > 0).all()
+    assert len(cuts) == 1 if size > n else len(cuts) > (1 if size == 1 else n // size // 4)
+    slices = [pickle.loads(pickle.dumps(quality.Packed([bytes(rows[i]["keys"])], [bytes(rows[i]["values"])]))) for i in range(len(cuts))]
+    entries = [len(a.values) - 1 for a in slices]
+    assert sum(entries) == n if size > n else sum(entries) >= n
+    assert all((np.diff(a.keys.astype(object)) > 0).all() for a in slices)
     for t in ("the cat sat", "a zebra", "mat on", "la loma"):
         for own in range(2 * len(codes)):
             gram, lang, _ = quality._stream([t], np.array([own]))
-            assert np.allclose(quality.log_probabilities(arrays, gram, lang), want(t, own), atol=1e-4)
-
-
-def test_joined_lookup_matches_plain_model(spark):
-    codes, model, want = model_by_hand(spark)
-    text = "the cat, la zebra"
-    gram, _, _ = quality._stream([text], np.array([0]))
-    asked = spark.createDataFrame([(0, own, g) for own in range(2 * len(codes)) for g in set(gram.tolist())], "block int, lang int, gram bigint")
-    got = {(r["lang"], r["gram"]): r["value"] for r in quality.joined_log_probabilities(asked, model).collect()}
-    assert len(got) == asked.count()
-    for own in range(2 * len(codes)):
-        assert np.allclose([got[own, g] for g in gram.tolist()], want(text, own), atol=1e-4)
+            of = np.searchsorted(cuts, quality.units_of(quality.ORDER, lang, gram)[0], "right") - 1
+            got = [quality.log_probabilities(slices[i], gram[k : k + 1], lang[k : k + 1])[0] for k, i in enumerate(of)]
+            assert np.allclose(got, want(t, own), atol=1e-4)
+    model.unpersist()
 
 
 def test_keys_are_one_to_one():
@@ -329,16 +330,70 @@ def test_keys_are_one_to_one():
     assert len(np.unique(keys)) == len(keys)
 
 
-def test_distributed_scores_equal_broadcast_ones(docs, monkeypatch):
-    columns = ["doc_id", "n_words", "base_failed", "kept", "log_perplexity"]
-    one = quality.digest(docs).select(columns).collect()
-    monkeypatch.setattr(quality, "BROADCAST", 0)
-    monkeypatch.setattr(quality, "BLOCK_CHARS", 20_000)
-    other = quality.digest(docs).select(columns).collect()
-    order = lambda rows: sorted(rows, key=lambda r: tuple((x is not None, x or 0) for x in r))
-    assert len(one) == len(other)
-    for x, y in zip(order(one), order(other)):
-        assert x[:4] == y[:4] and (x[4] is y[4] is None or math.isclose(x[4], y[4], rel_tol=1e-5))
+def test_slices_change_nothing(docs, monkeypatch):
+    """The model in one slice and in many: the same rows, to the last digit."""
+    one = quality.digest(docs).collect()
+    monkeypatch.setattr(quality, "SLICE", 3_000)
+    monkeypatch.setattr(quality, "HOT", 3)
+    monkeypatch.setattr(quality, "_LISTED", 1)
+    assert Counter(quality.digest(docs).collect()) == Counter(one)
+
+
+def kept_by_hand(spark, rows):
+    """Each row's verdict: plain base rules, plain models of both halves, plain bands."""
+    half = {r["text"]: r["h"] for r in spark.createDataFrame([(t,) for t in {t for _, t, _ in rows if t}], "text string").select("text", quality.text_half(F.col("text")).alias("h")).collect()}
+    counts = defaultdict(Counter)
+    for t, lang in {(t, lang) for _, t, lang in rows if t}:
+        raw = b"\n" * 4 + t.encode()
+        counts[lang, half[t]].update(tuple(raw[i : i + 5]) for i in range(len(raw) - 4))
+    plain = {k: kneser_ney_by_hand(c) for k, c in counts.items()}
+
+    def loss(t, lang):
+        words = len([w for w in re.split("[\x20\x09-\x0d]+", t or "") if re.search("[A-Za-z\x80-\U0010ffff]", w)])
+        if not words:
+            return None
+        raw, p = b"\n" * 4 + t.encode(), plain.get((lang, 1 - half[t]), lambda g: 1 / 256)
+        return -sum(math.log(p(tuple(raw[i : i + 5]))) for i in range(len(raw) - 4)) / words
+
+    losses = {(t, lang): loss(t, lang) for t, lang in {(t, lang) for _, t, lang in rows}}
+    base = {t: base_by_hand(t) for _, t, _ in rows}
+    failed = {t: b[0] < 50 or 100 * b[4] > 50 * b[0] for t, b in base.items()}
+    bands = {}
+    for lang in {lang for _, _, lang in rows}:
+        xs = sorted(x for (t, of), x in losses.items() if of == lang and not failed[t] and x is not None)
+        if xs:
+            lo, hi = (xs[max(0, math.ceil(q * len(xs)) - 1)] for q in (0.25, 0.75))
+            wide = max(hi - lo, quality.FLOOR)
+            bands[lang] = lo - quality.FENCE * wide, hi + quality.FENCE * wide
+
+    def verdict(t, lang):
+        x = losses[t, lang]
+        return not failed[t] and x is not None and bands[lang][0] <= x <= bands[lang][1]
+
+    return Counter((d, failed[t], verdict(t, lang)) for d, t, lang in rows), losses
+
+
+@pytest.mark.parametrize("size", [1 << 21, 5_000])
+def test_kept_matches_plain_version(spark, monkeypatch, size):
+    """Whole verdicts over languages, copies, noise, marked words, repeats, nulls and texts that no model knows."""
+    import random
+
+    from .conftest import prose
+
+    monkeypatch.setattr(quality, "SLICE", size)
+    rng = random.Random(11)
+    rows = [(i, prose(rng, 90), rng.choice(["en", "fr", None])) for i in range(60)]
+    rows += [(100 + i, " ".join("".join(chr(rng.randint(33, 126)) for _ in range(6)) for _ in range(60)), "en") for i in range(3)]
+    rows += [(200 + i, " ".join(w + "%%%$" for w in prose(rng, 70).split()), "fr") for i in range(2)]
+    rows += [(300 + i, *rows[7][1:]) for i in range(30)] + [rows[3], (None, rows[4][1], "fr")]
+    rows += [(400, prose(rng, 20), "en"), (401, "one two three " * 40, "en"), (402, None, "en"), (403, "", None), (404, "12 ; 34 " * 5 + " ".join(map(str, range(60))), "fr"), (405, prose(rng, 60), "xx"), (406, "日本 " + prose(rng, 80), "en")]
+    want, losses = kept_by_hand(spark, rows)
+    out = quality.digest(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()
+    assert Counter((r["doc_id"], r["base_failed"], r["kept"]) for r in out) == want
+    of = {d: losses[t, lang] for d, t, lang in rows}
+    assert all((r["log_perplexity"] is None) == (of[r["doc_id"]] is None) and math.isclose(r["log_perplexity"] or 0, of[r["doc_id"]] or 0, rel_tol=1e-5) for r in out)
+    kept = Counter(k for _, _, k in want.elements())
+    assert kept[True] > 60 and kept[False] >= 8
 
 
 def test_lettered_words():
