@@ -111,6 +111,23 @@ _source("quoted_csv", lambda x: LogReader(x.sparkSession, format="csv", quoted=T
 _source("jsonl", _PLAIN(format="jsonl"), _ALL)
 _source("line", lambda x: LogReader(x.sparkSession, format="line", now=datetime(2024, 1, 1)).load(write_lines(x, F.col("message"), "line")).select("id", "level", "message", format_time(F.col("timestamp")).alias("at")), "SELECT id, 'INFO' AS level, message, '2024-01-01 00:00:00' AS at FROM log_entries")
 _source("xml", lambda x: _shown(LogReader(x.sparkSession, format="xml").load(write_lines(x, F.concat(F.lit('<event level="'), "level", F.lit('"><time>'), _iso(), F.lit("</time><message>"), F.replace("message", F.lit('"'), F.lit("&quot;")), F.lit("</message></event>")), "xml"))), _ALL)
+
+
+def _multi_line_csv(x: DataFrame) -> DataFrame:
+    """Quoted values with line ends, an empty line and doubled quotes in them."""
+    line = F.concat(F.lit('"'), "service", F.lit('\n\n""said"", '), "level", F.lit('\n."'), F.lit(","), "id")
+    out = LogReader(x.sparkSession, format="csv", quoted=True, multi_line=True).load(write_lines(x, line, "multi-csv"))
+    return out.select("id", F.col("fields")["0"].alias("a"), F.col("fields")["1"].alias("b"))
+
+
+def _nested_xml(x: DataFrame) -> DataFrame:
+    """Events over several lines, with elements inside elements."""
+    parts = [F.lit('<event source="s"\n level="'), "level", F.lit('">\n <head><time zone="UTC">'), _iso(), F.lit("</time>\n </head>\n\n <body>\n  <empty/><message>"), F.replace("message", F.lit('"'), F.lit("&quot;")), F.lit("</message>\n </body>\n</event>")]
+    return _shown(LogReader(x.sparkSession, format="xml", multi_line=True).load(write_lines(x, F.concat(*parts), "multi-xml")))
+
+
+_source("multi_line_csv", _multi_line_csv, "SELECT id, service || chr(10) || chr(10) || '\"said\", ' || level || chr(10) || '.' AS a, id::VARCHAR AS b FROM log_entries")
+_source("nested_xml", _nested_xml, _ALL)
 # a line in ten is no JSON, and every line is followed by an empty one
 _BROKEN = lambda: F.concat(F.when(F.col("id") % 10 == 3, F.lit("{broken ")).otherwise(F.lit("")), json_line(), F.lit("\n"))
 _source("malformed", lambda x: LogReader(x.sparkSession).load(write_lines(x, _BROKEN(), "broken")).select("id", "message"), "SELECT row_number() OVER (ORDER BY id) - 1 AS id, message FROM log_entries WHERE id % 10 <> 3")

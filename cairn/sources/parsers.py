@@ -217,11 +217,12 @@ def parse_cef(line: Column, **_) -> Column:
 
 
 def parse_xml(line: Column, datetime_format: str = "%Y-%m-%dT%H:%M:%SZ", year: int | None = None, **_) -> Column:
-    """One element a line: its attributes and its flat child elements are the fields; names as in JSON."""
+    """One element: its attributes and the elements inside that hold text only, at any depth and under their own
+    names, are the fields; of equal names the last counts; names as in JSON."""
     name = r"[A-Za-z_][\w.\-]*"
     plain = lambda v: F.replace(F.replace(F.replace(F.replace(F.replace(v, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&quot;"), F.lit('"')), F.lit("&apos;"), F.lit("'")), F.lit("&amp;"), F.lit("&"))
     found = lambda text, p, i: F.regexp_extract_all(text, F.lit(p), F.lit(i))
-    head, pair, child = F.regexp_extract(line, rf"^\s*<{name}([^>]*)>", 1), rf'({name})="([^"]*)"', rf"<({name})>([^<]*)</\1>"
+    head, pair, child = F.regexp_extract(line, rf"^\s*<{name}([^>]*)>", 1), rf'({name})="([^"]*)"', rf"<({name})(?:\s[^<>]*)?>([^<]*)</\1\s*>"
     inner = F.regexp_extract(line, rf"(?s)^\s*<{name}[^>]*>(.*)</", 1)
     keys = F.concat(found(head, pair, 1), found(inner, child, 1))
     values = F.transform(F.concat(found(head, pair, 2), found(inner, child, 2)), plain)

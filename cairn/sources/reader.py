@@ -68,7 +68,7 @@ class LogReader:
 
     def __init__(self, spark: SparkSession, **options):
         self.spark = spark
-        self.options: dict = {"format": "json", "encoding": "utf-8", "has_header": False, "logical_lines": False, "preprocess": False, "max_line_length": MAX_LINE}
+        self.options: dict = {"format": "json", "encoding": "utf-8", "has_header": False, "logical_lines": False, "multi_line": False, "enclosing": 0, "preprocess": False, "max_line_length": MAX_LINE}
         for k, v in options.items():
             self.option(k, v)
 
@@ -81,7 +81,11 @@ class LogReader:
         return self
 
     def lines(self, path: str | list[str]) -> DataFrame:
-        """(value, file, pos): non-empty lines under the length limit, in file order by (file, pos)."""
+        """(value, file, pos): non-empty lines under the length limit, in file order by (file, pos).
+
+        With multi_line, value is a record of quoted CSV or of XML, whose quotes or elements may hold line ends;
+        enclosing is how many XML elements lie around all records.
+        """
         paths = [path] if isinstance(path, str) else list(path)
         odd = [p for p in paths if extension(p) in ("gzip", "z")]
         plain = [p for p in paths if p not in odd]
@@ -96,13 +100,25 @@ class LogReader:
         out = frames[0]
         for f in frames[1:]:
             out = out.unionByName(f)
-        out = out.where((F.col("value") != "") & (F.octet_length("value") < self.options["max_line_length"]))
+        multi = self.options["multi_line"]
+        out = out.where((F.lit(multi) | (F.col("value") != "")) & (F.octet_length("value") < self.options["max_line_length"]))
         if self.options["has_header"]:
             # a row a file; a folder is one path, so files are counted
             first = written(out.groupBy("file").agg(F.min("pos").alias("head")), "heads")
             out = out.join(F.broadcast(first) if first.count() <= 100_000 else first, "file").where("pos > head").drop("head")
+        if multi:
+            out = balanced_lines(out, *self._balance()).where(F.btrim("value", F.lit(SPACES)) != "")
         return logical_lines(out) if self.options["logical_lines"] else out
 
+    def _balance(self) -> tuple[Column, Callable[[Column], Column]]:
+        """What a line adds to the balance of what is open, and whether a balance lets a record begin."""
+        value, kind = F.col("value"), self.options["format"].lower()
+        if kind in ("csv", "tsv"):
+            return F.regexp_count(value, F.lit('"')), lambda open: open % 2 == 0
+        if kind == "xml":
+            return F.regexp_count(value, F.lit("<[A-Za-z_]")) - F.regexp_count(value, F.lit("</|/>")), lambda open: open <= self.options["enclosing"]
+        raise ValueError(f"records of format {kind!r} are single lines")
+
     def _values(self, path: str | list[str]) -> DataFrame:
         """(file, pos, line, value): value is what the parser is given."""
         return self._prepared(self.lines(path))
@@ -114,7 +130,7 @@ class LogReader:
         return lines.select("file", "pos", F.col("value").alias("line"), value.alias("value"))
 
     def _own(self) -> dict:
-        return {k: v for k, v in self.options.items() if k not in ("format", "encoding", "has_header", "logical_lines", "preprocess", "max_line_length", "trim")}
+        return {k: v for k, v in self.options.items() if k not in ("format", "encoding", "has_header", "logical_lines", "multi_line", "enclosing", "preprocess", "max_line_length", "trim")}
 
     def parsed(self, path: str | list[str]) -> DataFrame:
         """(file, pos, line, r): r is the record, null where the line does not fit."""
@@ -192,8 +208,7 @@ def logical_lines(lines: DataFrame, bits: int = SEGMENT_BITS) -> DataFrame:
     of_file = Window.partitionBy("file").orderBy("__block", "__part")
     parts = parts.withColumn("__before", F.lag("open").over(of_file))
     parts = parts.withColumn("__first", F.col("__before").isNull() | ~(F.col("indented") | F.col("__before")))
-    last = F.struct("__block", "__part", (F.col("starts") + F.col("__first").cast("int")).alias("n"))
-    owner = F.last(F.when(last["n"] > 0, last), ignorenulls=True).over(of_file.rowsBetween(Window.unboundedPreceding, -1))
+    owner = _last_event(F.col("starts") + F.col("__first").cast("int"))
     facts = parts.select(*[F.col(k).alias(f"{k}_") for k in key], "__before", "__first", owner.alias("__owner"))
     same = (F.col("file") == F.col("file_")) & (F.col("__block") == F.col("__block_")) & (F.col("__part") == F.col("__part_"))
     marked = rows.join(facts, same)
@@ -209,6 +224,35 @@ def logical_lines(lines: DataFrame, bits: int = SEGMENT_BITS) -> DataFrame:
     return events.select(F.array_join(F.transform("parts", lambda x: x["p"]), "").alias("value"), "file", F.col("parts")[0]["pos"].alias("pos"))
 
 
+def _last_event(starts: Column) -> Column:
+    """Over the segments of a file: the last event that starts in one before this; starts: how many start in each."""
+    last = F.struct("__block", "__part", starts.alias("n"))
+    before = Window.partitionBy("file").orderBy("__block", "__part").rowsBetween(Window.unboundedPreceding, -1)
+    return F.last(F.when(last["n"] > 0, last), ignorenulls=True).over(before)
+
+
+def balanced_lines(lines: DataFrame, weight: Column, closed: Callable[[Column], Column], bits: int = SEGMENT_BITS) -> DataFrame:
+    """Joins lines of (value, file, pos) into records, by line ends: a line begins a record where the weights
+    of all lines before it in its file have a sum that is closed.
+
+    Segments, as in logical_lines: the sum before each comes from a row a segment, and so does the event that the
+    lines before its first start belong to.  A file's first line begins a record.  A record must fit into a row.
+    """
+    key = ["file", "__block", "__part"]
+    rows = lines.select("value", "file", "pos", F.col("pos.block").alias("__block"), F.shiftright("pos.row", bits).alias("__part"), weight.cast("bigint").alias("__weight"))
+    w = Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    sums = rows.groupBy(*key).agg(F.sum("__weight").alias("all"))
+    sums = sums.withColumn("__sum", F.sum("all").over(Window.partitionBy("file").orderBy("__block", "__part")) - F.col("all")).drop("all")
+    marked = rows.join(written(sums, "balances"), key).withColumn("__start", closed(F.col("__sum") + F.sum("__weight").over(w) - F.col("__weight")).cast("int"))
+    marked = marked.withColumn("__k", F.sum("__start").over(w))
+    parts = marked.groupBy(*key).agg(F.sum("__start").alias("starts"))
+    owners = written(parts.select(*key, _last_event(F.col("starts")).alias("__owner")), "owners")
+    own = F.struct("__block", "__part", F.col("__k").alias("n"))
+    events = marked.join(owners, key).select("file", F.when(F.col("__k") > 0, own).otherwise(F.col("__owner")).alias("event"), "pos", "value")
+    events = events.groupBy("file", "event").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("parts"))
+    return events.select(F.array_join(F.transform("parts", lambda x: x["value"]), "\n").alias("value"), "file", F.col("parts")[0]["pos"].alias("pos"))
+
+
 class MultiFileReader:
     """Several files as one stream of records in time order, or step by step while they grow."""
 

@@ -35,6 +35,56 @@ def test_logical_lines(spark, tmp_path):
     assert [r["message"] for r in got.collect()] == ["E1 at x", "E2more", "E3"]
 
 
+def test_multi_line_csv(spark, tmp_path):
+    """Files of many splits and segments against the csv module; quotes stay open over many of them."""
+    import csv
+    import io
+    import random
+
+    from cairn.sources import reader
+
+    rng = random.Random(4)
+    for name in "ab":
+        table = [[rng.choice(["x", "two\nlines", 'a "word"', "", "c,d\n\n\nz", "long\n" * rng.choice([1, 40]) + "."]), str(i)] for i in range(150)]
+        out = io.StringIO()
+        csv.writer(out, lineterminator="\n").writerows(table)
+        (tmp_path / f"{name}.csv").write_text(out.getvalue())
+    paths = [str(tmp_path / f"{n}.csv") for n in "ab"]
+    want = [r for p in paths for r in csv.reader(open(p, newline=""))]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+    try:
+        options = LogReader(spark, format="csv", quoted=True, multi_line=True)
+        got = options.load(paths).orderBy("id").select("fields").collect()
+        lines = LogReader(spark, format="csv").option("multi_line", False)
+        raw = spark.read.option("lineSep", "\n").text(paths)
+        assert raw.rdd.getNumPartitions() > 10
+        plain = raw.selectExpr("value", "_metadata.file_path AS file", "struct(_metadata.file_block_start AS block, monotonically_increasing_id() AS row) AS pos")
+        small = reader.balanced_lines(plain, *options._balance(), bits=1).orderBy("file", "pos").select("value").collect()
+        assert lines.lines(paths).count() > len(want)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [[r["fields"]["0"], r["fields"]["1"]] for r in got] == want
+    assert [next(csv.reader(io.StringIO(r["value"], newline=""))) for r in small] == want
+
+
+def test_nested_xml(spark, tmp_path):
+    text = '<?xml version="1.0"?>\n<log>\n<event level="INFO">\n <head><time>2024-01-01T00:00:01</time><host a="1">h1</host></head>\n <message>one\n\ntwo &amp; three</message>\n</event>\n<event><level>ERROR</level><body><message>b</message></body>\n<none/>\n</event><event/>\n</log>\n'
+    (tmp_path / "a.xml").write_text(text)
+    got = LogReader(spark, format="xml", multi_line=True, enclosing=1).load(str(tmp_path / "a.xml")).orderBy("id").collect()
+    assert [(r["level"], r["message"], r["fields"].get("host")) for r in got] == [("INFO", "one\n\ntwo & three", "h1")]
+    text = text.replace("<event/>", "")
+    (tmp_path / "b.xml").write_text(text)
+    got = LogReader(spark, format="xml", multi_line=True, enclosing=1).load(str(tmp_path / "b.xml")).orderBy("id").collect()
+    assert [(r["level"], r["message"]) for r in got] == [("INFO", "one\n\ntwo & three"), ("ERROR", "b")]
+    (tmp_path / "empty.xml").write_text("")
+    assert LogReader(spark, format="xml", multi_line=True).load(str(tmp_path / "empty.xml")).count() == 0
+    with pytest.raises(ValueError):
+        LogReader(spark, format="json", multi_line=True).load(str(tmp_path / "b.xml"))
+
+
 def test_several_files(spark, tmp_path):
     for n, ts in (("a", (1, 4)), ("b", (2, 3))):
         (tmp_path / n).write_text("".join(f'{{"timestamp": "2024-01-01T00:00:0{t}", "message": "{n}{t}"}}\n' for t in ts))
