@@ -396,13 +396,21 @@ def losses(texts: list, own: np.ndarray, arrays: HashArrays, lo: int, hi: int) -
     return np.concatenate([np.zeros(0, np.int64), *out])
 
 
-def slice_losses(docs: DataFrame, codes: dict, packed: Packed, lo: int, hi: int) -> DataFrame:
-    """(key, loss): the losses of one slice, for each text and language that may have some; written."""
+def _broadcast(array: DataFrame):
+    """A slice's row of hash_arrays as a broadcast; the driver keeps no bytes of it."""
+    rows = array.collect()
+    shared = array.sparkSession.sparkContext.broadcast(Packed([bytes(r["keys"]) for r in rows], [bytes(r["values"]) for r in rows]))
+    del rows
+    give_back()
+    return shared
+
+
+def slice_losses(docs: DataFrame, codes: dict, array: DataFrame, lo: int, hi: int) -> DataFrame:
+    """(key, loss): the losses of one slice, whose row of hash_arrays is array, for each text and language that may have some; written."""
     langs = [x for x, c in codes.items() if lo >> 17 <= c <= (hi - 1) >> 17]
     if len(langs) <= min(_LISTED, len(codes) - 1):
         docs = docs.where(F.col("lang").isin([x for x in langs if x is not None]) | (F.col("lang").isNull() if None in langs else F.lit(False)))
-    shared = docs.sparkSession.sparkContext.broadcast(packed)
-    give_back()
+    shared = _broadcast(array)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrays = shared.value
@@ -428,8 +436,7 @@ def text_losses(docs: DataFrame, model: DataFrame, codes: dict) -> DataFrame:
     summed = lambda: reduce(DataFrame.unionByName, parts).groupBy("key").agg(F.sum("loss").alias("loss"))
     parts: list[DataFrame] = []
     for i, (lo, hi) in enumerate(zip(cuts.tolist(), ends)):
-        rows = arrays.where(F.col("slice") == i).collect()  # a row
-        parts.append(slice_losses(docs, codes, Packed([bytes(r["keys"]) for r in rows], [bytes(r["values"]) for r in rows]), lo, hi))
+        parts.append(slice_losses(docs, codes, arrays.where(F.col("slice") == i), lo, hi))
         if len(parts) == 16:  # plans stay short
             parts = [written(summed(), "losses")]
     return written(summed(), "losses")
