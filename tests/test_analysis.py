@@ -3,6 +3,7 @@
 import math
 import random
 import statistics
+import time
 from collections import Counter
 
 import pytest
@@ -54,6 +55,34 @@ def test_frames_refuse(spark):
         frames.framed(df, {"m": ("min", "k")}, ["p"], ["k"], "range")
 
 
+def sorts(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Sort [")
+
+
+def test_frames_share_windows(spark):
+    """Frames of one order share their shuffle and sorts; more rows are more tasks, not larger ones."""
+    df = spark.range(5000).selectExpr("id % 50 AS p", "id % 7 AS k", "id AS v")
+    asked = [({f"{f}_{i}": (f, "v") for f in ("sum", "count", "max")}, {"start": -1, "end": 1, "exclude": e}) for i, e in enumerate(frames.EXCLUDES)]
+    got = frames.framed_all(df, asked, ["p"], ["k"], rows=500)
+    assert sorts(got) <= 2 and got.rdd.getNumPartitions() == 10
+    for (cells, options) in asked:
+        one = frames.framed(df, cells, ["p"], ["k"], **options)
+        assert sorted(map(tuple, got.select("p", "k", "v", *cells).collect())) == sorted(map(tuple, one.collect()))
+
+
+@pytest.mark.parametrize("exclude", frames.EXCLUDES)
+def test_frames_of_floats(spark, exclude):
+    """No sum is told from a larger one that has swallowed it."""
+    values = [1e300, 1.0, None, 2.5, 0.25, 1e300, 3.0]
+    df = spark.createDataFrame([(0, i // 3, v) for i, v in enumerate(values)], "p int, k int, v double")
+    got = frames.framed(df, {"s": ("sum", "v"), "lo": ("min", "v"), "hi": ("max", "v")}, ["p"], ["k"], "groups", 0, 1, exclude).collect()
+    want = Counter()
+    for i, v in enumerate(values):
+        xs = [x for x in plain_frame([(j // 3, x) for j, x in enumerate(values)], i, "groups", 0, 1, exclude) if x is not None]
+        want[i // 3, v, sum(xs) if xs else None, min(xs, default=None), max(xs, default=None)] += 1
+    assert Counter(tuple(r)[1:] for r in got) == want
+
+
 @pytest.mark.parametrize("values", [[], [None], [5.0], [1.0, 2.0], [None, 3.0, 1.0, 3.0], [7.0] * 50, [1.0] * 30 + [2.0] * 31, [float(i % 7) for i in range(100)], [math.exp(i) for i in range(-40, 41)], [float("nan"), 1.0, 2.0]])
 def test_median_by_rounds(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "v double")
