@@ -83,6 +83,15 @@ def test_frames_of_floats(spark, exclude):
     assert Counter(tuple(r)[1:] for r in got) == want
 
 
+def test_frames_to_the_end_are_not_quadratic(spark):
+    """One partition of 100,000 groups: a frame up to its end is run from there."""
+    df = spark.range(100_000).selectExpr("0 AS p", "id AS k")
+    began = time.time()
+    got = frames.framed(df, {"n": ("count", "k"), "lo": ("min", "k")}, ["p"], ["k"], "groups", 1, None, "ties")
+    assert got.where("n <> 99999 - k OR NOT lo <=> nullif(k + 1, 100000)").count() == 0
+    assert time.time() - began < 60
+
+
 @pytest.mark.parametrize("values", [[], [None], [5.0], [1.0, 2.0], [None, 3.0, 1.0, 3.0], [7.0] * 50, [1.0] * 30 + [2.0] * 31, [float(i % 7) for i in range(100)], [math.exp(i) for i in range(-40, 41)], [float("nan"), 1.0, 2.0]])
 def test_median_by_rounds(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "v double")
