@@ -92,6 +92,15 @@ def test_frames_to_the_end_are_not_quadratic(spark):
     assert time.time() - began < 60
 
 
+def test_rows_frame_without_the_row_is_not_quadratic(spark):
+    """One partition of 100,000 rows: the mean of all others is told from the whole."""
+    df = spark.range(100_000).selectExpr("0 AS p", "id AS k")
+    began = time.time()
+    got = frames.framed(df, {"m": ("avg", "k"), "hi": ("max", "k")}, ["p"], ["k"], "rows", None, None, "current row")
+    assert got.where("m <> (4999950000 - k) / 99999 OR hi <> if(k = 99999, 99998, 99999)").count() == 0
+    assert time.time() - began < 60
+
+
 @pytest.mark.parametrize("values", [[], [None], [5.0], [1.0, 2.0], [None, 3.0, 1.0, 3.0], [7.0] * 50, [1.0] * 30 + [2.0] * 31, [float(i % 7) for i in range(100)], [math.exp(i) for i in range(-40, 41)], [float("nan"), 1.0, 2.0]])
 def test_median_by_rounds(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "v double")
