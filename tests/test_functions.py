@@ -1,15 +1,18 @@
 """Kernels, cleaning, times and the dialect against plain Python."""
 
 import itertools
+import random
 import re
 from datetime import timedelta
 
+import duckdb
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from cairn.functions import clean, dialect, kernels, times
+from cairn.functions.tables import new_path
 from cairn.operators.folding import number_like
 
 slow = settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
@@ -88,3 +91,21 @@ def test_union_by_name_keeps_order_and_fills(spark):
     assert [r[0] for r in got] == [1, 1, 2, 3] and set(got) == {(1, "x", None), (1, "x", 7), (2, "y", None), (3, "z", 7)}
     once = dialect.execute(spark, "SELECT * FROM ubn_l UNION BY NAME SELECT * FROM ubn_r")
     assert sorted(tuple(r) for r in once.collect()) == [(1, "x"), (2, "y"), (3, "z")]
+
+
+def test_ties_of_arg_max(spark):
+    """Ties go to the table's first row, as in DuckDB's scan by one thread; null values are left out."""
+    rng = random.Random(8)
+    rows = [(i % 5, rng.choice([None, *range(1000)]), rng.choice([None, 1.5, 2.5, float("nan")] if i % 5 else [None, 1.5, 2.5])) for i in rng.sample(range(2000), 2000)]
+    spark.createDataFrame(rows, "g int, x int, y double").repartition(1).write.parquet(path := new_path(spark, "ties"))
+    spark.read.parquet(path).createOrReplaceTempView("tied")
+    one = duckdb.connect(config={"threads": 1})
+    one.execute("CREATE TABLE tied (g INT, x INT, y DOUBLE)")
+    one.executemany("INSERT INTO tied VALUES (?, ?, ?)", [tuple(r) for r in spark.read.parquet(path).collect()])
+    for sql in (
+        "SELECT g, arg_max(x, y) AS a, arg_min(x, y) AS b FROM tied GROUP BY g",
+        "SELECT t.g, arg_max(t.x, t.y) FILTER (t.x > 500) AS a FROM tied AS t WHERE t.g > 0 GROUP BY t.g",
+        "SELECT max(a) AS a, count(*) AS n FROM (SELECT g, arg_min(x + 1, coalesce(y, 0)) AS a FROM tied GROUP BY g) q",
+        "SELECT arg_max(x, y) AS a, ') FROM arg_max(' AS s FROM tied",
+    ):
+        assert sorted(map(tuple, dialect.execute(spark, sql).collect())) == sorted(one.execute(sql).fetchall()), sql
