@@ -85,6 +85,21 @@ def test_nested_xml(spark, tmp_path):
         LogReader(spark, format="json", multi_line=True).load(str(tmp_path / "b.xml"))
 
 
+def test_lines_of_records_are_not_shuffled(spark, tmp_path):
+    """A line goes from the scan into its record; what segments share is a few rows.  Records over many batches and segments."""
+    from cairn.sources import reader
+
+    records = [f"<event>\n<message>{i}</message>\n" + "\n" * (30 if i % 50 else 3000) + "</event>" for i in range(300)]
+    (tmp_path / "a.xml").write_text("\n".join(records) + "\n")
+    options = LogReader(spark, format="xml")
+    raw = spark.read.option("lineSep", "\n").text(str(tmp_path / "a.xml"))
+    plain = raw.selectExpr("value", "_metadata.file_path AS file", "struct(_metadata.file_block_start AS block, monotonically_increasing_id() AS row) AS pos")
+    for bits in (17, 8, 5):
+        got = reader.balanced_lines(plain, *options._balance(), bits=bits)
+        assert [r["value"] for r in got.orderBy("pos").collect()] == records
+        assert "FileScan text" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_several_files(spark, tmp_path):
     for n, ts in (("a", (1, 4)), ("b", (2, 3))):
         (tmp_path / n).write_text("".join(f'{{"timestamp": "2024-01-01T00:00:0{t}", "message": "{n}{t}"}}\n' for t in ts))
