@@ -133,3 +133,16 @@ def test_find_cluster_walks_the_tree(spark, seed, depth, threshold, cap):
 def test_empty_table(spark):
     rows, clusters = templates.mine(spark.createDataFrame([], "id bigint, message string"))
     assert rows.count() == 0 and clusters.count() == 0
+
+
+def test_lines_of_a_cluster_are_not_one_task(spark):
+    """Lines meet their clusters where they are, whatever their size; clusters are broadcast by their bytes."""
+    lines = spark.range(3000).selectExpr("id", "concat('one big cluster ', id % 9) AS message")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows, clusters = templates.mine(lines, depth=0, chunk=100)
+        assert "SortMergeJoin" not in rows._jdf.queryExecution().executedPlan().toString()
+        assert rows.groupBy("template_final").count().collect() == [("one big cluster <*>", 3000)] and clusters.count() == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
