@@ -142,6 +142,8 @@ def test_lines_of_a_cluster_are_not_one_task(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         rows, clusters = templates.mine(lines, depth=0, chunk=100)
+        dealt = templates.leaves(lines.selectExpr("id", "split(message, ' ') AS tokens"), 0, 100)
+        assert "SortMergeJoin" not in dealt._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" not in rows._jdf.queryExecution().executedPlan().toString()
         assert rows.groupBy("template_final").count().collect() == [("one big cluster <*>", 3000)] and clusters.count() == 1
     finally:
