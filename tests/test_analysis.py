@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.operators import frames, retrieval, stats
+from cairn.plans import analysis
 from cairn.sources import reader
 
 
@@ -70,6 +71,23 @@ def test_frames_share_windows(spark):
         assert sorted(map(tuple, got.select("p", "k", "v", *cells).collect())) == sorted(map(tuple, one.collect()))
 
 
+@pytest.fixture(scope="module")
+def many_items(spark, tmp_path_factory):
+    """A lineitem table of two million rows, 40 of each part number."""
+    folder = str(tmp_path_factory.mktemp("items"))
+    rows = spark.range(2_000_000).selectExpr("id AS l_orderkey", "int(id % 7) AS l_linenumber", "id % 50000 AS l_partkey", "id % 1000 AS l_suppkey", "double(id % 977) AS l_extendedprice")
+    rows.write.parquet(f"{folder}/lineitem.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["frame_groups_spans"])
+def test_frames_of_many_rows_are_more_tasks(spark, many_items, name):
+    """What a task sorts stays about ROWS, however many rows the table has."""
+    got = analysis.QUERIES[name](spark, many_items)
+    tasks = got.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n"), F.max(F.xxhash64(*got.columns))).collect()
+    assert sum(t["n"] for t in tasks) == 2_000_000 and max(t["n"] for t in tasks) < 1.2 * frames.ROWS
+
+
 @pytest.mark.parametrize("exclude", frames.EXCLUDES)
 def test_frames_of_floats(spark, exclude):
     """No sum is told from a larger one that has swallowed it."""
