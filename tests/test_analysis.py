@@ -80,7 +80,7 @@ def many_items(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["frame_groups_spans"])
+@pytest.mark.parametrize("name", ["frame_groups_spans", "frame_rows_exclude"])
 def test_frames_of_many_rows_are_more_tasks(spark, many_items, name):
     """What a task sorts stays about ROWS, however many rows the table has."""
     got = analysis.QUERIES[name](spark, many_items)
